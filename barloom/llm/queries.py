@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, topk
+from . import chat, jaccard, mixing, packing, suffix, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,15 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk(v, v.where(F.col("vec_id") % 50 == 0), k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_source_mixing, op5_chat_formatting, op8_exact_top_k)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=5, threshold=75).drop("node")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(table(spark, sf_dir, "documents"), length=100)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_source_mixing, op5_chat_formatting, op8_exact_top_k, op9_jaccard_join, op10_suffix_dedup)}
 
 OP8_SQL = """
 with e as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
@@ -48,4 +56,18 @@ select query_id, r::int as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r from s) where r <= 5
 """
 
-ORACLES = {"op8_exact_top_k": OP8_SQL}
+OP9_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+     s as (select doc_id, case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+                  else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) end as sh from w),
+     x as (select doc_id, len(sh)::bigint as n, unnest(sh) as g from s),
+     t as (select doc_id, n, g from x where g in (select g from x group by g having count(*) > 1)),
+     p as (select a.doc_id as a, b.doc_id as b from t a join t b on a.g = b.g and a.doc_id < b.doc_id
+           group by 1, 2, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+     e as (select a, b from p union all select b, a from p),
+     reach(a, b) as (select a, b from e union select r.a, e.b from reach r join e on r.b = e.a),
+     c as (select a, min(b) as low from reach group by a)
+select s.doc_id, len(s.sh)::bigint as n_shingles, least(s.doc_id, coalesce(c.low, s.doc_id)) as component_id from s left join c on s.doc_id = c.a
+"""
+
+ORACLES = {"op9_jaccard_join": OP9_SQL, "op8_exact_top_k": OP8_SQL}
