@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, packing, suffix, topk
+from . import backoff, chat, jaccard, mixing, neardup, packing, quality, suffix, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,29 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(table(spark, sf_dir, "documents"), length=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_source_mixing, op5_chat_formatting, op8_exact_top_k, op9_jaccard_join, op10_suffix_dedup)}
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))), table(spark, sf_dir, "labels"), fold=~held_out)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = backoff.scores(table(spark, sf_dir, "documents"), order=3, backoff=0.4, min_count=2)
+    return scored.select("doc_id", "n_tokens", F.round("log_score", 3).alias("log_score"))
+
+
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures(table(spark, sf_dir, "pages")))
+    text = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n")
+    return found.select("record_id", "canonical_url", "ts", "resolution", "response_id", text.alias("headers"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_source_mixing, op5_chat_formatting, op8_exact_top_k, op9_jaccard_join, op10_suffix_dedup, op2_embedding_near_dedup, op4_quality_classifier, op6_stupid_backoff, op7_warc_revisits)}
 
 OP8_SQL = """
 with e as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
@@ -70,4 +92,45 @@ with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text,
 select s.doc_id, len(s.sh)::bigint as n_shingles, least(s.doc_id, coalesce(c.low, s.doc_id)) as component_id from s left join c on s.doc_id = c.a
 """
 
-ORACLES = {"op9_jaccard_join": OP9_SQL, "op8_exact_top_k": OP8_SQL}
+OP6_SQL = r"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+     x as (select doc_id, unnest(words) as w3, unnest(range(1, len(words) + 1)) as i from w),
+     g as (select doc_id, i, w3, lag(w3) over (partition by doc_id order by i) as w2, lag(w3, 2) over (partition by doc_id order by i) as w1 from x),
+     n1 as (select w3, count(*) as c from g group by w3),
+     n2 as (select w2, w3, count(*) as c from g where i >= 2 group by w2, w3),
+     n3 as (select w1, w2, w3, count(*) as c from g where i >= 3 group by w1, w2, w3),
+     s as (select g.doc_id, ln(case
+             when i >= 3 and n3.c >= 2 then n3.c / c2.c
+             when i >= 2 and n2.c >= 2 then (case when i >= 3 then 0.4 else 1 end) * n2.c / c1.c
+             else (case when i >= 3 then 0.4 * 0.4 when i = 2 then 0.4 else 1 end) * n1.c / (select count(*) from g) end) as l
+           from g join n1 on g.w3 = n1.w3
+           left join n2 on g.w2 = n2.w2 and g.w3 = n2.w3
+           left join n3 on g.w1 = n3.w1 and g.w2 = n3.w2 and g.w3 = n3.w3
+           left join n1 c1 on g.w2 = c1.w3
+           left join n2 c2 on g.w1 = c2.w2 and g.w2 = c2.w3)
+select w.doc_id, len(w.words)::bigint as n_tokens, round(coalesce(t.l, 0), 3) as log_score
+from w left join (select doc_id, sum(l) as l from s group by doc_id) t on w.doc_id = t.doc_id
+"""
+
+OP7_SQL = r"""
+with p as (select page_id, url, '"' || substr(md5(html), 1, 16) || '"' as tag, strlen(html)::varchar as size, k from pages, (select unnest(range(4)) as k)),
+     c as (select *, page_id * 4 + k as record_id, page_id % 1000 * 60 + k * 86400 as ts, page_id % 3 = 0 and k >= 2 as changed,
+                  case when (k = 0 and page_id % 11 <> 0) or (k = 2 and page_id % 3 = 0) then 'response' else 'revisit' end as kind,
+                  regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as u from p),
+     d as (select record_id, ts, kind, size,
+                  regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
+                  || regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '^[^/?]*', ''), '([?&])ref=[^&]*&?', '\1', 'g'), '[?&]$', ''), '/$', '') as curl,
+                  case when kind = 'revisit' and k = 3 and page_id % 5 = 0 then '"stale"' when kind = 'revisit' and page_id % 7 = 0 then null
+                       when changed then tag || '-2' else tag end as etag,
+                  case when page_id % 13 = 0 then null else page_id || '-' || (case when changed then '2' else '1' end) end as lm from c),
+     a as (select *, last_value(case when kind = 'response' then struct_pack(ts := ts, id := record_id, etag := etag, lm := lm) end ignore nulls)
+                  over (partition by curl order by ts, record_id rows between unbounded preceding and 1 preceding) as r from d),
+     b as (select *, case when r is null then 'missing' when etag is not null and r.etag is not null then (case when etag = r.etag then 'resolved' else 'mismatch' end)
+                          when lm is not null and r.lm is not null then (case when lm = r.lm then 'resolved' else 'mismatch' end) else 'unverified' end as resolution
+           from a where kind = 'revisit')
+select record_id, curl as canonical_url, ts, resolution, r.id as response_id,
+       case when resolution = 'resolved' then 'cache-control: max-age=60' || chr(10) || 'content-length: ' || (select d.size from d where d.record_id = b.r.id) || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'server: a' end as headers
+from b
+"""
+
+ORACLES = {"op6_stupid_backoff": OP6_SQL, "op7_warc_revisits": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op8_exact_top_k": OP8_SQL}
