@@ -36,9 +36,17 @@ class Scratch:
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame) -> DataFrame:
+        """Write ``df``, in Arrow batches of few rows (texts are long), and let Spark's cleaner drop the shuffles that led to it."""
         self._n += 1
         path = f"{self.base}/{self._n}"
-        df.write.parquet(path)
+        rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(rows)
+        self.spark.conf.set(rows, str(min(int(before), 1000) if int(before) > 0 else 1000))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(rows, before)
+        self.spark.sparkContext._jvm.System.gc()  # the cleaner acts on what the driver has collected
         if self._n == 1:
             p, fs = self._fs(self.base)
             fs.deleteOnExit(p)
