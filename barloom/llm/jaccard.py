@@ -6,11 +6,12 @@ The sets are reduced before any pair is looked at, then joined by a size-aware h
    to ranges of the hash space, where shingles found in two sets at least are counted for each set. A set linked with
    another shares three quarters of its shingles, so sets with fewer shared shingles have no partner;
 2. of those left, each distinct set is kept once and counted again among its like;
-3. two linked sets have k shingles in common among the first n - ceil(3n/4) + k of either, in order of hash. Small sets
+3. two linked sets have k shingles in common among the first n - ceil(3n/4) + k of either, rarest first. Small sets
    enumerate all 2-subsets of that prefix as keys (a key is shared by few sets); large sets, of which there are few,
    go into inverted lists of single shingles. The boundary is the size at which the estimated cost is least;
-4. sets of a list are verified against the list's leader first; only sets that are then in different components are
-   verified against each other, so a group of n near copies costs about n verifications.
+4. sets of a list are verified against the list's leader first. Only where a list's sets are then in different
+   components are the rest compared, in blocks of sets with the same leader, all overlaps of two blocks at once; so a
+   group of n near copies costs about n verifications and no pair is written out.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, components
@@ -202,27 +203,38 @@ def prefix(n, k: int, tenths: int = 75):
     return F.least(n, n - F.ceil(n * tenths / 100) + k).cast("int")
 
 
-def boundary(sets: DataFrame, threshold: int, meets: float = 4.0) -> int:
+def ranked(sets: DataFrame) -> DataFrame:
+    """(node, n, member, place): the members that other sets have too, and their place in their set, rarest first."""
+    each = sets.select("node", "n", F.explode("members").alias("member"))
+    common = each.groupBy("member").agg(F.count("*").alias("df")).where("df > 1")
+    by = Window.partitionBy("node")
+    got = each.join(common, "member")
+    # members of no other set come before all others: they take the first places
+    return got.withColumn("place", F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("df", "member"))).select("node", "n", "member", "place")
+
+
+def boundary(places: DataFrame, threshold: int, meets: float = 4.0) -> int:
     """The set size up to which sets count as light: where keys made for light sets and list entries met for heavy ones cost least.
 
     A light set costs its 2-subsets; a heavy one, or one that may meet a heavy one, its prefix times ``meets`` (entries
     that a list's member is set against).
     """
     p1, p2 = prefix(F.col("n"), 1, threshold), prefix(F.col("n"), 2, threshold)
+    own = places.where(F.col("place") <= p2).groupBy("node").agg(F.first("n").alias("n"), F.sum((F.col("place") <= p1).cast("int")).alias("k1"), F.count("*").alias("k2"))
     tries = [4, 8, 16, 32, 64, 128]
-    cost = [F.sum(F.when(F.col("n") <= x, p2 * (p2 - 1) / 2).otherwise(0.0) + F.when(F.col("n") > threshold * x / 100, p1 * meets).otherwise(0.0)).alias(f"c{x}") for x in tries]
-    rows = sets.agg(*cost).first()
+    cost = [F.sum(F.when(F.col("n") <= x, F.col("k2") * (F.col("k2") - 1) / 2).otherwise(0.0) + F.when(F.col("n") > threshold * x / 100, F.col("k1") * meets).otherwise(0.0)).alias(f"c{x}") for x in tries]
+    rows = own.agg(*cost).first()
     return min(tries, key=lambda x: (rows[f"c{x}"] or 0.0, x))
 
 
-def keys_of(sets: DataFrame, x: int, threshold: int) -> DataFrame:
+def keys_of(places: DataFrame, x: int, threshold: int) -> DataFrame:
     """(key, node, n): light sets by 2-subsets of their prefix, sets that may meet a heavy one by its single members."""
     p1, p2 = prefix(F.col("n"), 1, threshold), prefix(F.col("n"), 2, threshold)
-    light = sets.where(F.col("n") <= x).withColumn("p", F.slice("members", 1, p2))
-    two = light.where("n > 1").select("node", "n", F.posexplode("p").alias("i", "a"), "p").select("node", "n", "a", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("b")).select(F.xxhash64(F.lit(2), "a", "b").alias("key"), "node", "n")
+    light = places.where((F.col("n") <= x) & (F.col("place") <= p2)).groupBy("node", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "member"))), lambda s: s["member"]).alias("p"))
+    two = light.select("node", "n", F.posexplode("p").alias("i", "a"), "p").select("node", "n", "a", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("b")).select(F.xxhash64(F.lit(2), "a", "b").alias("key"), "node", "n")
     # sets so small that one common member is enough, and those that they may meet
-    one = light.where(F.col("n") <= (100 // threshold) * 100 / threshold).select(F.explode("members").alias("key"), "node", "n").select(F.xxhash64(F.lit(1), "key").alias("key"), "node", "n")
-    heavy = sets.where(F.col("n") > threshold * x / 100).select(F.explode(F.slice("members", 1, p1)).alias("key"), "node", "n").select(F.xxhash64(F.lit(0), "key").alias("key"), "node", "n")
+    one = places.where((F.col("n") <= x) & (F.col("n") <= (100 // threshold) * 100 / threshold)).select(F.xxhash64(F.lit(1), "member").alias("key"), "node", "n")
+    heavy = places.where((F.col("n") > threshold * x / 100) & (F.col("place") <= p1)).select(F.xxhash64(F.lit(0), "member").alias("key"), "node", "n")
     return two.unionByName(one).unionByName(heavy)
 
 
@@ -234,6 +246,66 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("both", both).where(100 * F.col("both") >= threshold * (F.size("ma") + F.size("mb") - F.col("both"))).select("a", "b")
 
 
+def compare_blocks(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """Links that join components among the sets of two blocks (or within one): every overlap is counted, none is written out."""
+    side = pdf["side"].to_numpy()
+    pdf = pdf.drop_duplicates(["node", "side"]) if len(pdf) else pdf
+    side, node, comp = pdf["side"].to_numpy(), pdf["node"].tolist(), pdf["c"].tolist()
+    sets = [np.frombuffer(m, np.uint64) for m in pdf["packed"]]
+    size = np.array([len(s) for s in sets], np.int64)
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    boss: dict[int, int] = {}
+
+    def top(v):
+        while boss.get(v, v) != v:
+            boss[v] = v = boss.get(boss[v], boss[v])
+        return v
+
+    keys, which = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(keys, kind="stable")
+    keys, which = keys[order], which[order]
+    new = np.append(True, keys[1:] != keys[:-1])
+    number = np.cumsum(new) - 1
+    many = np.bincount(number) > 1
+    column = (np.cumsum(many) - 1)[number]
+    keep = many[number]
+    which, column = which[keep], column[keep]
+    both = np.zeros((len(left), len(right)), np.float32)
+    at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
+    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+    for c in range(0, int(many.sum()), 4096):  # members by the thousand: 0/1 matrices times each other count overlaps
+        a, b = np.searchsorted(column, c), np.searchsorted(column, c + 4096)
+        w, col = which[a:b], column[a:b] - c
+        x, y = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
+        l, r = at_left[w] >= 0, at_right[w] >= 0
+        x[at_left[w][l], col[l]] = 1
+        y[at_right[w][r], col[r]] = 1
+        both += x @ y.T
+    i, j = np.nonzero(100 * both >= threshold * (size[left][:, None] + size[right][None, :] - both))
+    out = []
+    for u, v in zip(left[i].tolist(), right[j].tolist(), strict=True):
+        p, q = top(comp[u]), top(comp[v])
+        if p != q:
+            boss[max(p, q)] = min(p, q)
+            out.append((node[u], node[v]))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def all_apart(apart: DataFrame, leaders: DataFrame, packed: DataFrame, threshold: int, block_members: int = 100_000) -> DataFrame:
+    """Links (a, b) between sets of ``apart`` (key, node, n, c) that share a key and are in different components c."""
+    nodes = apart.select("node", "n", "c").distinct().join(leaders, "node", "left").withColumn("family", F.coalesce("leader", "node"))
+    parts = nodes.groupBy("family").agg(F.ceil(F.sum("n") / block_members).alias("parts"))
+    blocks = nodes.join(parts, "family").select("node", "c", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
+    met = apart.select("key", "node").join(blocks, "node").groupBy("key", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    other = met.select("key", F.col("block").alias("to"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    pairs = met.join(other, "key").where((F.col("block") <= F.col("to")) & ((F.col("low") != F.col("high2")) | (F.col("high") != F.col("low2")))).select("block", "to").distinct()
+    full = blocks.join(packed, "node").select("block", "node", "c", "packed")
+    one = pairs.join(full, "block").select("block", "to", F.lit(0).alias("side"), "node", "c", "packed")
+    two = pairs.where("block <> to").join(full.withColumnRenamed("block", "to"), "to").select("block", "to", F.lit(1).alias("side"), "node", "c", "packed")
+    return one.unionByName(two).groupBy("block", "to").applyInPandas(lambda pdf: compare_blocks(pdf, threshold), "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 75) -> DataFrame:
     """Classes of ``docs`` (doc_id, text) under 100 * intersection >= threshold * union of word shingles.
 
@@ -290,31 +362,32 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 75) ->
     again = scratch.save(again)
     small = again.count() <= 1_000_000
     left = sets.join(F.broadcast(again) if small else again, "node", "left_semi").dropDuplicates(["node"])
-    kept = scratch.save(left.mapInArrow(unpacked, "node long, n long, members array<long>"))
+    packed = scratch.save(left)
+    kept = scratch.save(packed.mapInArrow(unpacked, "node long, n long, members array<long>"))
     scratch.drop(sets)
     # 3: keys
-    keys = keys_of(kept, boundary(kept, threshold), threshold).distinct()
+    places = scratch.save(ranked(kept).where(F.col("place") <= prefix(F.col("n"), 2, threshold)))
+    keys = keys_of(places, boundary(places, threshold), threshold).distinct()
     lists = keys.groupBy("key").agg(F.count("*").alias("in_list"), F.min("node").alias("leader")).where("in_list > 1")
     postings = scratch.save(keys.join(lists, "key").select("key", "node", "n", "leader"))
-    # 4: each set against the leader it shares most keys with, then what is still apart
-    votes = postings.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
-    first = votes.groupBy("node").agg(F.max_by("leader", F.struct("votes", "leader")).alias("b")).select(F.col("node").alias("a"), "b")
-    links = scratch.save(verified(first, kept, threshold))
-    for _ in range(2):
+    # 4: each set against the leader it shares most keys with
+    votes = postings.groupBy("node", "leader").agg(F.count("*").alias("votes"))
+    leaders = scratch.save(votes.groupBy("node").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader")))
+    links = scratch.save(verified(leaders.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")), kept, threshold))
+    # then what is still apart: of each list one set of each component against one of its largest component, then all
+    for exhaustive in (False, True):
         comp = components(links, scratch)
         named = postings.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         mixed_lists = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
         apart = scratch.save(named.join(mixed_lists, "key").select("key", "node", "n", "c"))
-        if _ == 0:
-            # one member of each component of a list against the list's largest component's
+        if exhaustive:
+            more = all_apart(apart, leaders, packed, threshold)
+        else:
             rep = apart.groupBy("key", "c").agg(F.min("node").alias("node"), F.count("*").alias("size"))
             top = rep.groupBy("key").agg(F.max_by(F.struct("node", "c"), F.struct("size", "c")).alias("t"))
-            tried = rep.join(top, "key").where("c <> t.c").select(F.col("node").alias("a"), F.col("t.node").alias("b")).distinct()
-        else:
-            other = apart.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            tried = apart.withColumnRenamed("node", "a").join(other, "key").where((F.col("c") < F.col("cb")) & (100 * F.least("n", "nb") >= threshold * F.greatest("n", "nb"))).select("a", "b").distinct()
-        more = scratch.save(verified(tried, kept, threshold))
-        links = links.unionByName(more)
+            tried = rep.join(top, "key").where("c <> t.c").groupBy(F.col("node").alias("a"), F.col("t.node").alias("b")).agg(F.count("*").alias("votes"))
+            more = verified(tried.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b")), kept, threshold)
+        links = links.unionByName(scratch.save(more))
     comp = components(links, scratch).withColumnRenamed("node", "member")
     named = meta.join(comp, F.col("node") == F.col("member"), "left").withColumn("c", F.coalesce("component", "node"))
     smallest = named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("c", "of")
