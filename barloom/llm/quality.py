@@ -76,16 +76,16 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     return w, b, mean, scale
 
 
-def sampled(docs: DataFrame, n: int) -> np.ndarray:
-    """The features of ``n`` of docs (doc_id, text), or of all if fewer: those with the least hash of doc_id."""
+def sampled(docs: DataFrame, ids: DataFrame, n: int) -> np.ndarray:
+    """The features of those of docs (doc_id, text) with the ``n`` of ``ids`` (doc_id) of least hash, or with all if fewer."""
 
     def run(batches):
         for b in batches:
             rows = [features(t).tobytes() for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["f"])
 
-    some = docs.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n)
-    got = some.select("text").mapInArrow(run, "f binary").collect()
+    some = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    got = docs.join(F.broadcast(some), "doc_id", "left_semi").select("text").mapInArrow(run, "f binary").collect()
     return np.stack([np.frombuffer(r.f, np.float32) for r in got]) if got else np.zeros((0, WIDTH), np.float32)
 
 
@@ -103,9 +103,10 @@ def score(docs: DataFrame, labels: DataFrame, fold=None, positives: int = 3000,
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & inside).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = marks.agg(F.avg("quality").alias("p")).first()["p"]
     prior = min(0.99, max(0.01, share)) if share is not None else 0.5
-    text = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & inside)
-    good = sampled(text.join(marks.where("quality = 1"), "doc_id", "left_semi"), positives)
-    other = sampled(text.join(labels.select("doc_id"), "doc_id", "left_anti"), unlabelled)
+    text = docs.select("doc_id", "text")
+    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & inside)
+    good = sampled(text, ids.join(marks.where("quality = 1"), "doc_id", "left_semi"), positives)
+    other = sampled(text, ids.join(labels.select("doc_id"), "doc_id", "left_anti"), unlabelled)
     if len(good) and len(other):
         w, b, mean, scale = train(good, other, prior)
         w, b = w / scale, b - (mean * w / scale).sum()
