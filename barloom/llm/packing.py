@@ -13,6 +13,8 @@ The plan's rows say which ranks of which length go where; Spark numbers the piec
 from __future__ import annotations
 
 import functools
+import string
+import struct
 import zlib
 from collections import defaultdict
 
@@ -42,39 +44,70 @@ class WordEncoder:
         self.young: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
 
+        self.model = self.tok.model
+        # the byte alphabet of byte-level BPE: printable Latin-1 bytes stand for themselves, the others for 256, 257, ...
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.alphabet = {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+        self.space = self.alphabet[32]
+        self.line_end = self.tok.token_to_id(self.alphabet[10])
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str, space: bool) -> list:
+        """Tokens of one pre-token, with or without a space before it."""
+        known = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
+        return self.model.tokenize(self.space + known if space else known)
+
+    def _part(self, part: str, space: bool) -> list[int]:
+        """Ids of letters, signs, or letters and signs, which are a pre-token each; others go through the whole tokenizer."""
+        core = part.rstrip(string.punctuation)
+        if core.isalpha():
+            tokens = self._piece(core, space)
+            if len(core) < len(part):
+                tokens += self._piece(part[len(core) :], False)
+        elif not core:
+            tokens = self._piece(part, space)
+        else:
+            return self.tok.encode(" " + part if space else part, add_special_tokens=False).ids
+        return [t.id for t in tokens]
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a space and ``word``. Line ends inside it, between other characters, are pre-tokens of their own."""
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        parts = word.split("\n")
+        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts) or "<|" in word:
+            ids = self.tok.encode(" " + word, add_special_tokens=False).ids
+        else:
+            ids = self._part(parts[0], True)
+            for p in parts[1:]:
+                ids += [self.line_end, *self._part(p, False)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         if len(self.young) > REMEMBER:
             self.old, self.young = self.young, {}
-        young = self.young
+        young, old = self.young, self.old
         split = [t.split(" ") for t in texts]
-        new: dict[str, None] = {}
-        for words in split:
-            new.update(dict.fromkeys(words[1:]))
-        missing = []
-        for w in new.keys() - young.keys():
-            if w in self.old:
-                young[w] = self.old[w]
-            elif not w or w[0].isspace() or w[-1].isspace():
-                young[w] = None
-            else:
-                missing.append(w)
-        young.update(zip(missing, self._ids([" " + w for w in missing]), strict=True))
+        for w in set().union(*split) - young.keys():
+            young[w] = old[w] if w in old else self._word(w)
+        firsts = self._ids([words[0] for words in split])
         out, whole = [], []
         for i, words in enumerate(split):
             first = words[0]
-            ids = [young[w] for w in words[1:]]
-            if None in ids or (ids and (not first or first[-1].isspace())):
-                out.append(None)
-                whole.append((i, texts[i]))
-            else:
-                out.append(ids)
-                whole.append((i, first))
-        for (i, _), ids in zip(whole, self._ids([t for _, t in whole]), strict=True):
-            out[i] = ids if out[i] is None else ids + b"".join(out[i])
+            try:
+                if len(words) > 1 and (not first or first[-1].isspace()):
+                    raise TypeError
+                rest = b"".join(map(young.__getitem__, words[1:]))  # a word that isn't safe to encode alone is None
+                out.append(firsts[i] + rest)
+            except TypeError:
+                out.append(b"")
+                whole.append(i)
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+            out[i] = ids
         return out
 
 
