@@ -113,7 +113,8 @@ def runs_of(data: bytes, length: int, seed: int):
     count = np.diff(np.append(first, len(at)))
     back = (at[first] - first).astype(np.uint64)  # windows differ where the representative's place in them does
     whole = mixed(prints.at(first, first + count - 1 + length) ^ (back * PRIME) ^ (count.astype(np.uint64) << np.uint64(48)))
-    return mixed(h[at[first]]), whole, first, count
+    # the least of many hashes is small: another mix spreads the ranks evenly over the ranges
+    return mixed(h[at[first]] ^ PRIME), whole, first, count
 
 
 def firsts(doc: np.ndarray, pos: np.ndarray, *ranks: np.ndarray):
