@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_features
+from . import q_features, q_market
 
-MODULES = [q_features]
+MODULES = [q_features, q_market]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

@@ -40,7 +40,7 @@ def ms(ts="ts"):
     return F.unix_millis(ts).alias("ts_ms")
 
 
-MS = "epoch_ms(ts) as ts_ms"
+MS = "(epoch_us(ts) // 1000) as ts_ms"
 
 
 def rounded(df: DataFrame, *keys, digits: int = 6, **values) -> DataFrame:
