@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_features, q_market
+from . import q_features, q_market, q_model
 
-MODULES = [q_features, q_market]
+MODULES = [q_features, q_market, q_model]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
