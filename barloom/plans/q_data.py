@@ -111,7 +111,7 @@ ORACLES = {
     "normalize_vendor_json": f"with {BARS} select symbol, {MS}, {sql_rounded({'open': 'case when day(ts) % 3 = 1 then close else open end', 'high': 'high', 'low': 'low', 'close': 'close', 'volume': 'case when day(ts) % 3 = 2 then 0 else volume end'}, 4)} from bars where day(ts) <> 14",
     "normalize_chart_json": f"with {BARS} select symbol, {MS}, {sql_rounded({n: n for n in OHLCV}, 4)} from bars where day(ts) % 7 <> 0",
     "write_audit": f"with {BARS}, i as (select symbol, (row_number() over (partition by symbol order by ts) - 1) % 50 = 7 as bad from bars) select symbol, count(*) as fetched, count(*) filter (not bad) as accepted, count(*) filter (bad) as rejected, 'official' as source from i group by 1",
-    "catalyst_events": """with c as (select doc_id, upper(trim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) as t from documents), h as (select doc_id, s as symbol, instr(t, s) as pos, t from c, (values ('THE'), ('DER')) v(s) where list_contains(string_split(t, ' '), s))
+    "catalyst_events": """with c as (select doc_id, replace(replace(upper(trim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ', 'g'))), 'ß', 'SS'), 'ẞ', 'SS') as t from documents), h as (select doc_id, s as symbol, instr(t, s) as pos, t from c, (values ('THE'), ('DER')) v(s) where list_contains(string_split(t, ' '), s))
         select doc_id, symbol, pos as "at", case when regexp_matches(t, 'ANTION|OUEA') then 'POSITIVE' when regexp_matches(t, 'ERTI|UNG') then 'NEGATIVE' else 'NEUTRAL' end as direction, length(substr(t, greatest(pos - 250, 1), pos + 1500 - greatest(pos - 250, 1))) as excerpt_chars from h""",
     "normalize_standard": f"with {LONG} select symbol, {MS}, name, {sql_rounded({'z': 'coalesce((x - avg(x) over (partition by symbol, name)) / nullif(stddev_samp(x) over (partition by symbol, name), 0), 0)'})} from lo",
     "normalize_robust": f"""with {LONG}, k as (select *, row_number() over (partition by symbol, name order by x) - 1 as nth, count(*) over (partition by symbol, name) as n from lo),
