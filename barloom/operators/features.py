@@ -163,3 +163,51 @@ def feature_matrix(bars: DataFrame, minimum_bars: int = 110) -> DataFrame:
     f = compute_features(bars).withColumn("bars", F.count("*").over(whole())).where((F.col("bars") >= minimum_bars) & (F.col("idx") >= 1)).drop("bars")
     names = [n for k in families().values() for n in k]
     return f.select("symbol", "ts", "idx", *[F.coalesce(F.nanvl(F.col(n).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(n) for n in names])
+
+
+def garch_vol(bars: DataFrame, alpha: float = 0.1, beta: float = 0.85, expanding: bool = False) -> DataFrame:
+    """(symbol, ts, garch_vol): a recursion, so a symbol is one group. Mean and starting variance are of the whole series, or of the past only if ``expanding``."""
+    import numpy as np
+
+    def run(pdf):
+        pdf = pdf.sort_values("ts", kind="stable")
+        r = np.diff(np.log(pdf["close"].to_numpy()))
+        n, out = len(r), np.full(len(pdf), np.nan)
+        count = np.arange(1, n + 1)
+        mean = np.cumsum(r) / count if expanding else np.full(n, r.mean() if n else 0.0)
+        var = np.maximum(0, (np.cumsum(r * r) - count * mean**2) / np.maximum(1, count - 1)) if expanding else np.full(n, r.var(ddof=1) if n > 1 else 0.0)
+        h = var[0] if n else 0.0
+        for i in range(n):
+            h = var[i] * (1 - alpha - beta) + alpha * (r[i] - mean[i]) ** 2 + beta * h
+            out[i + 1] = np.sqrt(max(h, 1e-10))
+        return pdf[["symbol", "ts"]].assign(garch_vol=out)
+
+    return bars.select("symbol", "ts", "close").groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, garch_vol double").withColumn("garch_vol", F.when(~F.isnan("garch_vol"), F.col("garch_vol")))
+
+
+def rolling_hurst(bars: DataFrame, window: int = 100) -> DataFrame:
+    """(symbol, ts, rolling_hurst): rescaled-range exponent of the ``window`` returns before a bar's own; null until they are there."""
+    import numpy as np
+
+    def run(pdf):
+        pdf = pdf.sort_values("ts", kind="stable")
+        r = np.diff(np.log(pdf["close"].to_numpy()))
+        out = np.full(len(pdf), np.nan)
+        if len(r) > window:
+            v = np.lib.stride_tricks.sliding_window_view(r, window)[:-1]
+            d, scales = v - v.mean(1, keepdims=True), [s for s in (8, 16, 32, 64) if s <= window / 2]
+            y, used = np.zeros((len(v), len(scales))), np.zeros((len(v), len(scales)), bool)
+            for j, s in enumerate(scales):
+                seg = d[:, : window // s * s].reshape(len(v), -1, s)
+                cum, sd = np.cumsum(seg, 2), seg.std(2, ddof=1)
+                spread, ok = np.maximum(cum.max(2), 0) - np.minimum(cum.min(2), 0), sd > 0
+                used[:, j] = ok.sum(1) >= 2
+                y[:, j] = np.log2(np.maximum(np.where(ok, spread / np.where(ok, sd, 1), 0).sum(1) / np.maximum(1, ok.sum(1)), 1e-300))
+            x, k = np.log2(scales), used.sum(1)
+            mx, my = (used * x).sum(1) / np.maximum(1, k), (used * y).sum(1) / np.maximum(1, k)
+            den = (used * (x - mx[:, None]) ** 2).sum(1)
+            slope = (used * (x - mx[:, None]) * (y - my[:, None])).sum(1) / np.where(den > 0, den, 1)
+            out[window + 1 :] = np.where((k >= 2) & (den > 0), np.clip(slope, 0, 1), 0.5)
+        return pdf[["symbol", "ts"]].assign(rolling_hurst=out)
+
+    return bars.select("symbol", "ts", "close").groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, rolling_hurst double").withColumn("rolling_hurst", F.when(~F.isnan("rolling_hurst"), F.col("rolling_hurst")))

@@ -36,3 +36,17 @@ def statistics(outcomes: DataFrame, sets: str) -> DataFrame:
             from {{{name}}} group by grouping sets {sets}""",
         **{name: outcomes},
     )
+
+
+def list_predictions(predictions: DataFrame, status: str | None = None, limit: int = 100) -> DataFrame:
+    """The newest ``limit`` predictions of each symbol, of one status if given."""
+    p = predictions.where(F.col("status") == status) if status else predictions
+    w = Window.partitionBy("symbol").orderBy(F.desc("ts"), "horizon", "id")
+    return p.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit).drop("nth")
+
+
+def manual_resolve(predictions: DataFrame, prices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(resolved predictions, rejected prices) for supplied prices (symbol, id, price): unknown ids and predictions that aren't pending are rejected."""
+    pending = predictions.where("status = 'PENDING'")
+    done = pending.join(prices, ["symbol", "id"]).withColumn("status", F.lit("RESOLVED")).withColumn("actual_return", F.col("price") / F.col("anchor_price") - 1)
+    return done, prices.join(pending.select("symbol", "id"), ["symbol", "id"], "left_anti")
