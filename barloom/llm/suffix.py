@@ -179,7 +179,8 @@ def send_runs(batches, length: int, seed: int, ranges: int):
         yield send(f"{task}-{serial}", ranges, ids.tolist(), [h for _, h, _ in some], local, rank[kept], pair[kept], doc[kept], owner[kept], pos[kept].astype("<u4"), run[kept].astype("<u2"))
 
 
-def send_windows(batches, length: int, ranges: int):
+def send_windows(batches, length: int, ranges: int, part: int, parts: int):
+    """The windows of one of ``parts`` equal shares of the ranks."""
     task = TaskContext.get().partitionId()
     for serial, some in enumerate(batches_of(columns(batches, 0, 1, 2, 3))):
         hashes, places = [], []
@@ -188,8 +189,10 @@ def send_windows(batches, length: int, ranges: int):
             runs = runs[runs["kind"] == 2]
             n = runs["run"].astype("int64")
             start = np.repeat(runs["pos"].astype("int64") - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-            places.append(start)
-            hashes.append(mixed(Prints(data).at(start, start + length)) if len(start) else np.empty(0, np.uint64))
+            rank = mixed(Prints(data).at(start, start + length)) if len(start) else np.empty(0, np.uint64)
+            mine = rank % np.uint64(parts) == np.uint64(part)
+            places.append(start[mine])
+            hashes.append(rank[mine])
         owner = np.repeat(np.arange(len(some), dtype="<u2"), [len(p) for p in places])
         rank, pos = np.concatenate(hashes), np.concatenate(places)
         ids = np.array([d for d, *_ in some], "int64")
@@ -240,12 +243,12 @@ def by_document(pdf: pd.DataFrame) -> pd.DataFrame:
     runs = runs[np.lexsort((runs["pos"], runs["owner"]))]
     owners = np.unique(runs["owner"])
     left, right = np.searchsorted(runs["owner"], owners), np.searchsorted(runs["owner"], owners, "right")
-    return pd.DataFrame({"id": np.asarray(meta["ids"], "int64")[owners], "h": np.asarray(meta["hs"], "int64")[owners], "runs": [runs[a:b].tobytes() for a, b in zip(left, right, strict=True)]})
+    return pd.DataFrame({"id": np.asarray(meta["ids"], "int64")[owners], "h": np.asarray(meta["hs"], "int64")[owners], "runs": [runs[a:b].tobytes() for a, b in zip(left, right, strict=True)], "split": [bool((runs["kind"][a:b] == 2).any()) for a, b in zip(left, right, strict=True)]})
 
 
 def ranked(packed: DataFrame) -> DataFrame:
     """(id, h, runs) of the documents that have any."""
-    return packed.groupBy("range").applyInPandas(rerank, RANKED).groupBy("batch").applyInPandas(by_document, "id long, h long, runs binary")
+    return packed.groupBy("range").applyInPandas(rerank, RANKED).groupBy("batch").applyInPandas(by_document, "id long, h long, runs binary, split boolean")
 
 
 def spans_of(runs: bytes, more: bytes | None, length: int, size: int) -> list[tuple[int, int]]:
@@ -267,18 +270,28 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("h", F.xxhash64("text"))
 
 
-def repeats(docs: DataFrame, scratch: Scratch, length: int = 100, seed: int = 24) -> DataFrame:
-    """(id, h, runs, windows) of the documents of ``keyed`` docs with a repeated string, or that are the source of some."""
+def repeats(docs: DataFrame, scratch: Scratch, length: int = 100, seed: int = 24, parts: int = 2) -> DataFrame:
+    """(id, h, runs, windows) of the documents of ``keyed`` docs with a repeated string, or that are the source of some.
+
+    Windows are ranked in ``parts`` shares of the ranks, one after the other: all of them are, and no step needs disk for more than a share.
+    """
     texts = docs.where(F.octet_length("text") >= length).select("id", "h", "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(96, -(-size // (16 << 20)))
     runs = scratch.save(ranked(texts.mapInArrow(lambda b: send_runs(b, length, seed, ranges), PACKED)).dropDuplicates(["id", "h"]))
-    split = runs.where(F.expr("runs is not null"))
+    split = runs.where("split")
     few = split.count() <= 1_000_000  # ids and hashes; the runs stay out of the broadcast
     ids = split.select("id", "h")
-    chosen = texts.join(F.broadcast(ids) if few else ids, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).join(runs, ["id", "h"])
-    windows = ranked(chosen.select("id", "h", "text", "runs").mapInArrow(lambda b: send_windows(b, length, ranges), PACKED)).dropDuplicates(["id", "h"])
-    return scratch.save(runs.join(windows.withColumnRenamed("runs", "windows"), ["id", "h"], "left"))
+    chosen = texts.join(F.broadcast(ids) if few else ids, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).join(split, ["id", "h"])
+    chosen = scratch.save(chosen.select("id", "h", "text", "runs"))
+    found, more = runs.drop("split"), []
+    for part in range(parts):
+        sent = chosen.mapInArrow(lambda b, part=part: send_windows(b, length, ranges, part, parts), PACKED)
+        w = scratch.save(ranked(sent).dropDuplicates(["id", "h"]).select("id", "h", F.col("runs").alias(f"w{part}")))
+        found = found.join(w, ["id", "h"], "left")
+        more.append(F.coalesce(f"w{part}", F.lit(b"")))
+    scratch.drop(chosen)
+    return scratch.save(found.select("id", "h", "runs", F.concat(*more).alias("windows")))
 
 
 def applied(docs: DataFrame, length: int, seed: int, clean, touched, schema: str) -> DataFrame:
