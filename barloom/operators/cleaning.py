@@ -141,10 +141,40 @@ def horizon_targets(bars: DataFrame, horizon: int = 5, purge: int = 5, step: int
     return b.where(ok).select("symbol", "ts", F.col("idx").alias("cutoff"), "start", "target", (F.col("target") / F.col("start") - 1).alias("actual_return"))
 
 
-def covariance_pairs(returns: DataFrame) -> DataFrame:
-    """Sample covariance of each pair of symbols over their common times, (a, b, n, cov) with a <= b; for universes of bounded size."""
-    a, b = (returns.select(F.col("symbol").alias(s), "ts", F.col("ret").alias(f"ret_{s}")) for s in "ab")
-    return a.join(b, "ts").where("a <= b").groupBy("a", "b").agg(F.count("*").alias("n"), F.covar_samp("ret_a", "ret_b").alias("cov"))
+def covariance_pairs(returns: DataFrame, block_symbols: int = 256) -> DataFrame:
+    """Sample covariance of each pair of symbols over their common times, (a, b, n, cov) with a <= b; pairs without a common time have no row.
+
+    ``returns`` (symbol, ts, ret) has one row a symbol and time at most. Symbols are dealt into blocks by hash; two blocks
+    are one group, whose sums over the common times are matrix products, so only the pairs themselves are written out.
+    The covariance over a single common time is null.
+    """
+    series = returns.where(F.col("ret").isNotNull()).groupBy("symbol").agg(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), F.col("ret").cast("double").alias("ret"))).alias("s"))
+    series = series.select("symbol", F.col("s.t").alias("t"), F.col("s.ret").alias("ret"))
+    blocks = F.lit(-(-max(1, returns.select("symbol").distinct().count()) // block_symbols)).cast("long")
+    series = series.withColumn("block", F.pmod(F.xxhash64("symbol"), blocks))
+    # a symbol goes to its block's pairs with every block, as the lesser or the greater of the two
+    pairs = series.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "symbol", "t", "ret")
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("symbol", kind="stable")
+        symbols = pdf["symbol"].to_numpy()
+        times = np.unique(np.concatenate(pdf["t"].tolist()))
+        r, there = np.zeros((len(pdf), len(times))), np.zeros((len(pdf), len(times)))
+        for i, (t, ret) in enumerate(zip(pdf["t"], pdf["ret"], strict=True)):
+            at = np.searchsorted(times, t)
+            r[i, at], there[i, at] = np.asarray(ret) - np.mean(ret), 1.0
+        left, right = (np.flatnonzero(pdf["block"].to_numpy() == pdf[c].iloc[0]) for c in ("x", "y"))
+        n = there[left] @ there[right].T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cov = (r[left] @ r[right].T - (r[left] @ there[right].T) * (there[left] @ r[right].T) / n) / (n - 1)
+        i, j = np.nonzero(n > 0)
+        if pdf["x"].iloc[0] == pdf["y"].iloc[0]:
+            i, j = i[i <= j], j[i <= j]
+        a, b = symbols[left[i]], symbols[right[j]]
+        low = a <= b
+        return pd.DataFrame({"a": np.where(low, a, b), "b": np.where(low, b, a), "n": n[i, j].astype("int64"), "cov": cov[i, j]})
+
+    return pairs.groupBy("x", "y").applyInPandas(products, "a string, b string, n long, cov double").withColumn("cov", F.when(F.col("n") > 1, F.col("cov")))
 
 
 def catalyst_events(announcements: DataFrame, symbols: DataFrame, positive: list[str], negative: list[str]) -> DataFrame:

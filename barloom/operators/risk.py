@@ -91,19 +91,19 @@ def position_sizing(df: DataFrame, capital: float = 1e6, max_risk: float = 0.02,
 def portfolio_risk(returns: DataFrame, weights: DataFrame, confidence: float = 0.99) -> DataFrame:
     """One row per asset of a portfolio with its marginal and component risk, and the portfolio's volatility, VaR, CVaR and diversification ratio.
 
-    ``returns``: (symbol, ts, ret), every asset at every time; ``weights``: (symbol, w), of bounded number.
+    ``returns``: (symbol, ts, ret); at a time of others that an asset lacks its return is 0 (it has no new price);
+    ``weights``: (symbol, w). An asset's row of the covariance matrix times the weights is its covariance with the
+    portfolio's return, so the pairs are never formed and the work grows with the rows of ``returns``.
     """
-    from .cleaning import covariance_pairs
-
-    w = F.broadcast(weights)
-    cov = covariance_pairs(returns.join(w, "symbol", "left_semi"))
-    both = cov.select("a", "b", "cov").unionByName(cov.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "cov"))
-    wb = weights.select(F.col("symbol").alias("b"), F.col("w").alias("wb"))
-    rows = both.join(F.broadcast(wb), "b").groupBy("a").agg(F.sum(F.col("cov") * F.col("wb")).alias("cw"), F.max(F.when(F.col("a") == F.col("b"), F.col("cov"))).alias("own")).withColumnRenamed("a", "symbol").join(w, "symbol")
-    every = Window.partitionBy()  # one row an asset
-    rows = rows.withColumn("portfolio_vol", F.sqrt(F.sum(F.col("w") * F.col("cw")).over(every))).withColumn("diversification", F.sum(F.abs("w") * F.sqrt("own")).over(every) / F.col("portfolio_vol"))
-    port = returns.join(w, "symbol").groupBy("ts").agg(F.sum(F.col("ret") * F.col("w")).alias("pr"))
-    port = port.withColumn("nth", F.row_number().over(Window.orderBy("pr")) - 1).withColumn("at", F.floor((F.lit(1.0) - confidence) * F.count("*").over(every)))  # one row a period
-    tail = port.agg(F.abs(F.max(F.when(F.col("nth") == F.col("at"), F.col("pr")))).alias("portfolio_var"), F.abs(F.avg(F.when(F.col("nth") <= F.col("at"), F.col("pr")))).alias("portfolio_cvar"))
-    out = rows.join(F.broadcast(tail), how="cross").withColumn("marginal", F.col("cw") / F.col("portfolio_vol"))
+    held = returns.join(weights, "symbol").where(F.col("ret").isNotNull())
+    port = held.groupBy("ts").agg(F.sum(F.col("ret") * F.col("w")).alias("pr"))
+    every = Window.partitionBy()  # one row a period
+    port = port.withColumn("nth", F.row_number().over(Window.orderBy("pr")) - 1).withColumn("periods", F.count("*").over(every)).withColumn("at", F.floor((F.lit(1.0) - confidence) * F.col("periods"))).withColumn("off", F.col("pr") - F.avg("pr").over(every))
+    tail = port.agg(F.sqrt(F.var_samp("pr")).alias("portfolio_vol"), F.abs(F.max(F.when(F.col("nth") == F.col("at"), F.col("pr")))).alias("portfolio_var"), F.abs(F.avg(F.when(F.col("nth") <= F.col("at"), F.col("pr")))).alias("portfolio_cvar"))
+    t = F.first("periods")
+    rows = held.join(F.broadcast(port.select("ts", "off", "periods")), "ts").groupBy("symbol", "w").agg(
+        (F.sum(F.col("ret") * F.col("off")) / (t - 1)).alias("cw"), (F.greatest(F.lit(0.0), F.sum(F.col("ret") * F.col("ret")) - F.sum("ret") * F.sum("ret") / t) / (t - 1)).alias("own")
+    )
+    spread = rows.agg(F.sum(F.abs("w") * F.sqrt("own")).alias("apart"))
+    out = rows.join(F.broadcast(tail), how="cross").join(F.broadcast(spread), how="cross").withColumn("marginal", F.col("cw") / F.col("portfolio_vol")).withColumn("diversification", F.col("apart") / F.col("portfolio_vol"))
     return out.select("symbol", "w", "marginal", (F.col("w") * F.col("marginal")).alias("component"), "portfolio_vol", "portfolio_var", "portfolio_cvar", "diversification")

@@ -157,6 +157,12 @@ def monthly(spark, sf):
     return r.join(every, "ts")
 
 
+def monthly_returns(b):
+    """Monthly returns of every symbol, over the months in which it has bars."""
+    m = b.groupBy("symbol", F.date_trunc("month", "ts").alias("ts")).agg(F.max_by("close", "ts").alias("close"))
+    return log_returns(m).where("ret is not null").select("symbol", "ts", "ret")
+
+
 MONTHLY = BARS + """,
 m0 as (select symbol, date_trunc('month', ts) as mon, arg_max(close, ts) as close from bars where symbol::bigint between 1 and 10 group by 1, 2),
 m1 as (select symbol, mon, ln(close / lag(close) over (partition by symbol order by mon)) as ret from m0),
@@ -172,6 +178,20 @@ def portfolio_risk(spark, sf):
     return rounded(K.portfolio_risk(r, r.select("symbol").distinct().withColumn("w", F.lit(0.1))), "symbol", digits=8, **c("marginal", "component", "portfolio_vol", "portfolio_var", "portfolio_cvar", "diversification"))
 
 
+def covariance_pairs_universe(spark, sf):
+    """Every pair of the universe over its common months; ``covariance_pairs`` is the check of ten symbols against SQL."""
+    return rounded(C.covariance_pairs(monthly_returns(bars(spark, sf))), "a", "b", "n", digits=9, **c("cov"))
+
+
+def portfolio_risk_universe(spark, sf):
+    """A portfolio of every symbol, weighted by its share of the traded value; ``portfolio_risk`` is the check of ten symbols against SQL."""
+    b = bars(spark, sf)
+    r = monthly_returns(b)
+    value = b.join(r.select("symbol").distinct(), "symbol", "left_semi").groupBy("symbol").agg(F.sum(F.col("close") * F.col("volume")).alias("value"))
+    weights = value.join(F.broadcast(value.agg(F.sum("value").alias("all"))), how="cross").select("symbol", (F.col("value") / F.col("all")).alias("w"))
+    return rounded(K.portfolio_risk(r, weights), "symbol", digits=8, **c("w", "marginal", "component", "portfolio_vol", "portfolio_var", "portfolio_cvar", "diversification"))
+
+
 RISK = ("n", "mean", "var99", "cvar99", "garch_var99", "cond_vol", "ewma_vol", "vol", "win", "avg_win", "avg_loss", "payoff", "kelly", "allocation", "sharpe", "sortino", "calmar", "drawdown")
 
 
@@ -227,7 +247,7 @@ def kalman_track(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     read_bars, dedupe_bars, latest_n_bars, source_fallback, finite_series_check, min_history_gate, reconcile_streams, detect_corporate_actions, apply_corporate_actions, filter_bad_prints,
-    clean_history, prepare_verified_matrix, append_live_quote, enrich_quotes, index_filter, symbol_search, normalize_symbol, number_from_cell, horizon_targets, covariance_pairs, portfolio_risk,
+    clean_history, prepare_verified_matrix, append_live_quote, enrich_quotes, index_filter, symbol_search, normalize_symbol, number_from_cell, horizon_targets, covariance_pairs, portfolio_risk, covariance_pairs_universe, portfolio_risk_universe,
     risk_profile, stress_test, position_sizing, downside_deviation, max_drawdown_log, hurst_rs, hurst_dfa, variance_ratio, half_life, kalman_track,
 )} | {"garch_terminal": grouped(K.garch_sum), "ewma_variance": grouped(K.ewma_variance_sum), "ewma_mean": grouped(K.ewma_mean_sum)}
 

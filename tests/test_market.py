@@ -137,3 +137,50 @@ def test_normal_cdf(spark):
 def test_empty_bars_give_no_rows(spark):
     e = frame(spark, [1.0]).limit(0)
     assert X.compute_features(e, ["macd"]).count() == 0 and K.risk_profile(e).count() == 0 and T.hurst_rs(e).count() == 0 and C.flag_bad_prints(e).count() == 0
+
+
+def test_covariance_and_portfolio_over_the_whole_universe(spark):
+    import __spark_entry__ as entry
+    from barloom.plans import q_market, testbed
+
+    sf = "/root/testdata/sf0.001"
+    b = testbed.bars(spark, sf).cache()
+    r = q_market.monthly_returns(b).toPandas().pivot(index="ts", columns="symbol", values="ret")
+    every = sorted(x.symbol for x in b.select("symbol").distinct().collect())
+    assert len(every) > 0 and sorted(r.columns) == every
+    got = entry.queries()["covariance_pairs_universe"](spark, sf).toPandas()
+    both = r.notna().astype(int).T @ r.notna().astype(int)
+    assert len(got) == sum(both.loc[x, y] > 0 for x in every for y in every if x <= y)
+    want, few = r.cov(min_periods=2), C.covariance_pairs(q_market.monthly_returns(b), block_symbols=3).toPandas()
+    for pairs in (got, few):
+        assert (pairs["a"] <= pairs["b"]).all() and not pairs.duplicated(["a", "b"]).any() and len(pairs) == len(got)
+        for x in pairs.itertuples():
+            assert x.n == both.loc[x.a, x.b] and (abs(x.cov - want.loc[x.a, x.b]) < 2e-9 if x.n > 1 else x.cov != x.cov)
+    risk = entry.queries()["portfolio_risk_universe"](spark, sf).toPandas().set_index("symbol")
+    value = b.toPandas().assign(v=lambda d: d["close"] * d["volume"]).groupby("symbol")["v"].sum()
+    w, full = (value / value.sum())[every], r.fillna(0.0)[every]
+    sigma = full.cov()
+    vol = float(np.sqrt(w @ sigma @ w))
+    assert sorted(risk.index) == every
+    np.testing.assert_allclose(risk.loc[every, "marginal"], sigma @ w / vol, atol=2e-8)
+    np.testing.assert_allclose(risk["portfolio_vol"], vol, atol=2e-8)
+    np.testing.assert_allclose(risk["diversification"], (w * np.sqrt(np.diag(sigma))).sum() / vol, atol=2e-8)
+    np.testing.assert_allclose(risk["portfolio_var"], abs(np.sort(full @ w)[int(0.01 * len(full))]), atol=2e-8)
+
+
+def test_covariance_covers_symbols_beyond_the_tenth(spark):
+    days = [DAY + dt.timedelta(days=i) for i in range(6)]
+    r = np.random.default_rng(4)
+    rows = [(f"S{i:02}", d, float(r.normal())) for i in range(25) for k, d in enumerate(days) if (i + k) % 7]
+    f = spark.createDataFrame(rows, "symbol string, ts timestamp, ret double")
+    got = {(x.a, x.b): (x.n, x.cov) for x in C.covariance_pairs(f, block_symbols=6).collect()}
+    at = {}
+    for s, d, v in rows:
+        at.setdefault(s, {})[d] = v
+    names = sorted(at)
+    assert len(got) == 25 * 26 // 2
+    for i, a in enumerate(names):
+        for b in names[i:]:
+            common = sorted(at[a].keys() & at[b].keys())
+            want = np.cov([at[a][d] for d in common], [at[b][d] for d in common])[0, 1]
+            assert got[a, b][0] == len(common) and abs(got[a, b][1] - want) < 1e-12
