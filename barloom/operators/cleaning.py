@@ -120,6 +120,26 @@ def clean_history(bars: DataFrame) -> DataFrame:
     return flag_bad_prints(apply_corporate_actions(bars, detect_corporate_actions(bars)))
 
 
+def lasting_actions(bars: DataFrame, low: float = 0.4, high: float = 2.3) -> DataFrame:
+    """The detected actions without the two of a bar whose close jumps and is back at the next one: that is a bad print, no action."""
+    w = by_time()
+    stays = lambda ratio: F.coalesce((ratio <= low) | (ratio >= high), F.lit(True))
+    b = bars.select("symbol", "ts", stays(F.lead("close").over(w) / F.lag("close").over(w)).alias("s1"), stays(F.col("close") / F.lag("close", 2).over(w)).alias("s2"))
+    return detect_corporate_actions(bars).join(b.where("s1 and s2").select("symbol", "ts"), ["symbol", "ts"], "left_semi")
+
+
+def prepare_verified_matrix(primary: DataFrame, baseline: DataFrame, actions: DataFrame | None = None) -> DataFrame:
+    """Bars (symbol, ts, close, volume, usable) that are reconciled, free of bad prints and adjusted; usable: the symbol's closes are all finite.
+
+    ``actions`` (symbol, ts, factor) are the lasting ones of the reconciled bars unless given. Bad prints are told from
+    adjusted closes, as every price after a split would count as one; for a series without actions that is the order of
+    reconciling, bad prints, corporate actions and finite check.
+    """
+    r = reconcile_streams(primary, baseline).select("symbol", "ts", "close", "volume")
+    adjusted = flag_bad_prints(apply_corporate_actions(r, lasting_actions(r) if actions is None else actions)).where("not rejected").drop("rejected")
+    return adjusted.join(finite_series_check(adjusted).select("symbol", "usable"), "symbol")
+
+
 def append_live_quote(bars: DataFrame, quotes: DataFrame) -> DataFrame:
     """A flat bar from each symbol's quote, if it is later than the symbol's last bar; volume of the quote, else of the last bar, else 0."""
     end = bars.groupBy("symbol").agg(F.max("ts").alias("end"), F.max_by("volume", "ts").alias("last_volume"))

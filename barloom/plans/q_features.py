@@ -112,8 +112,17 @@ def matrix(spark, sf_dir):
     return f.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.lit(len(cells)).cast("long").alias("n_cols"), *[(F.round(F.avg(n), 5) + 0.0).alias(n) for n in ("rsi_14", "macd", "ema_20", "adx_14", "realized_vol_20")])
 
 
-QUERIES = {k: feature_query(k) for k in SQL} | {"feature_matrix": matrix}
+def matrix_rows(spark, sf_dir):
+    """The matrix itself, every column of every row; ``feature_matrix`` sums five of its columns up."""
+    f = X.feature_matrix(bars(spark, sf_dir))
+    return f.select("symbol", ms(), *[(F.round(F.col(n), min(6, DIGITS.get(k, 6))) + 0.0).alias(n) for k, names in X.families().items() for n in names])
+
+
+QUERIES = {k: feature_query(k) for k in SQL} | {"feature_matrix": matrix, "feature_matrix_rows": matrix_rows}
 ORACLES = {k: f"with {PARTS} select symbol, {MS}, {sql_rounded(v, DIGITS.get(k, 6))} from p" for k, v in SQL.items()}
 _M = {"rsi_14": "rsi", "macd": "macd", "ema_20": SQL["ema_w"]["ema_20"], "adx_14": SQL["adx_14"]["adx_14"], "realized_vol_20": SQL["realized_vol_w"]["realized_vol_20"]}
 ORACLES["feature_matrix"] = f"""with {PARTS}, f as (select symbol, idx, count(*) over (partition by symbol) as bars, {', '.join(f'{e} as f_{n}' for n, e in _M.items())} from p)
 select symbol, count(*) as n_rows, {sum(map(len, SQL.values()))}::bigint as n_cols, {', '.join(f'round(avg(coalesce(f_{n}, 0)), 5) + 0.0 as {n}' for n in _M)} from f where bars >= 110 and idx >= 1 group by symbol"""
+#: The same rows in SQL for a test with a tolerance: over this many cells some rounded sums of two engines differ in the last digit.
+MATRIX_ROWS_SQL = f"""with {PARTS}, f as (select *, count(*) over (partition by symbol) as n_bars, {', '.join(f'({e})::double as f_{n}' for v in SQL.values() for n, e in v.items())} from p)
+select symbol, {MS}, {', '.join(f'round(coalesce(case when not isnan(f_{n}) then f_{n} end, 0), {min(6, DIGITS.get(k, 6))}) + 0.0 as {n}' for k, v in SQL.items() for n in v)} from f where n_bars >= 110 and idx >= 1"""

@@ -99,10 +99,8 @@ def clean_history(spark, sf):
 
 
 def prepare_verified_matrix(spark, sf):
-    b = bars(spark, sf)
-    r = C.reconcile_streams(b, baseline(b))
-    flagged = C.flag_bad_prints(r).where("not rejected")
-    return C.finite_series_check(flagged)
+    b = split_bars(bars(spark, sf))
+    return rounded(C.prepare_verified_matrix(b, baseline(b)), "symbol", ms(), "usable", digits=4, **c("close", "volume"))
 
 
 def quotes(spark, sf):

@@ -184,3 +184,25 @@ def test_covariance_covers_symbols_beyond_the_tenth(spark):
             common = sorted(at[a].keys() & at[b].keys())
             want = np.cov([at[a][d] for d in common], [at[b][d] for d in common])[0, 1]
             assert got[a, b][0] == len(common) and abs(got[a, b][1] - want) < 1e-12
+
+
+def test_verified_matrix_adjusts_splits_and_drops_bad_prints(spark):
+    closes = [100.0 + i % 3 for i in range(60)]
+    truth = list(closes)
+    closes = [c * 4 if i < 30 else c for i, c in enumerate(closes)]
+    closes[45] *= 3
+    b = frame(spark, closes).unionByName(frame(spark, [50.0 + i % 2 for i in range(20)] + [float("nan")], symbol="B"))
+    got = C.prepare_verified_matrix(b, b.limit(0)).orderBy("symbol", "ts").collect()
+    a = [r for r in got if r.symbol == "A"]
+    assert [r.ts for r in a] == [DAY + dt.timedelta(days=i) for i in range(60) if i != 45] and all(r.usable for r in a)
+    factor = closes[29] / closes[30]
+    assert [r.close for r in a] == pytest.approx([closes[i] / (factor if i < 30 else 1) for i in range(60) if i != 45])
+    assert max(abs(r.close - truth[0]) for r in a) < 5
+    assert [r.usable for r in got if r.symbol == "B"] == [False] * 21
+
+
+def test_every_matrix_column_is_returned(spark):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["feature_matrix_rows"](spark, "/root/testdata/sf0.001")
+    assert set(got.columns) == {"symbol", "ts_ms"} | {n for k in X.families().values() for n in k}
