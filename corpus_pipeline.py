@@ -6,7 +6,7 @@ stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm import jaccard, mixing, packing, quality, queries, suffix
@@ -34,15 +34,35 @@ def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it. Rows alike in doc_id, source and size share their copies evenly, rounded down."""
+    """Each document as many times as the mix takes it. Rows alike in doc_id, source and size share all their copies: some get one more than the others."""
     scratch = Scratch(spark)
     mixed = mixing.mix(docs.select("doc_id", "text", "source"), weights=(3, 1, 2), share=1.5, cap=2.0)
-    copies = mixed.groupBy("doc_id", "source", "size").agg(F.floor(F.sum("copies") / F.count("*")).cast("int").alias("copies"))
-    copies = scratch.save(copies.where("copies > 0").select(F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), F.col("size").alias("of_size"), "copies"))
+    of = [F.col(c).alias(f"of_{c.removeprefix('doc_')}") for c in ("doc_id", "source", "size")]
+    copies = mixed.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("all"), F.count("*").alias("rows")).where("all > 0")
+    copies = scratch.save(copies.select(*of, F.floor(F.col("all") / F.col("rows")).cast("int").alias("copies"), (F.col("all") % F.col("rows")).alias("extra")))
     small = copies.count() <= 500_000  # under 64 bytes a row
     size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
-    hit = docs.join(F.broadcast(copies) if small else copies, F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (size == F.col("of_size")))
-    return hit.withColumn("of_id", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+    def taken(rows: DataFrame, copies: DataFrame) -> DataFrame:
+        found = F.broadcast(copies) if small else copies
+        return rows.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (size == F.col("of_size")))
+
+    def repeated(hit: DataFrame) -> DataFrame:
+        return hit.where("copies > 0").withColumn("of_id", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+    even, uneven = copies.where("extra = 0"), copies.where("extra > 0")
+    if uneven.isEmpty():
+        return repeated(taken(docs, even))
+    # rows of a group are numbered by the task that read them and their place there: no task has to hold a whole group
+    hit = scratch.save(taken(docs, uneven).withColumn("of_task", F.spark_partition_id()).withColumn("of_place", F.monotonically_increasing_id()))
+    group = ["of_id", "of_source", "of_size"]
+    before = hit.groupBy(*group, "of_task").agg(F.count("*").alias("of_rows"))
+    before = before.withColumn("of_before", F.sum("of_rows").over(Window.partitionBy(*group).orderBy("of_task")) - F.col("of_rows"))
+    place = hit.select(*group, "of_task", "of_place", "extra").withColumn("of_nth", F.row_number().over(Window.partitionBy(*group, "of_task").orderBy("of_place")))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in (*group, "of_task")]
+    more = place.alias("p").join(before.alias("q"), same).where("of_before + of_nth <= extra").select(F.col("p.of_place").alias("of_more"))
+    odd = hit.join(more, F.col("of_place") == F.col("of_more"), "left").withColumn("copies", F.col("copies") + F.col("of_more").isNotNull().cast("int"))
+    return repeated(taken(docs, even)).unionByName(repeated(odd))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,3 +20,24 @@ def test_stages_keep_the_columns_and_take_effect(spark):
 def test_run_packs_what_the_stages_keep(spark):
     out = P.run(spark, SF).toPandas()
     assert len(out) and (out.groupby("sequence_id")["length"].sum() <= 1024).all()
+
+
+def test_repeated_rows_share_all_their_copies(spark, monkeypatch):
+    rows = [(7, "same words here", "a", "en", 15)] * 100 + [(None, f"word{i} word{i}", "a", "en", 11) for i in range(60)] + [(i + 100, f"x y{i} z w", "b", "en", 8) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(3).cache()
+    mix = P.mixing.mix
+    chosen = {}
+
+    def less(d, **_):
+        out = mix(d, weights=(3, 1), share=0.6, cap=2.0)
+        chosen.update({(r.doc_id, r.source, r.size): r.n for r in out.groupBy("doc_id", "source", "size").agg({"copies": "sum"}).withColumnRenamed("sum(copies)", "n").collect()})
+        return out
+
+    monkeypatch.setattr(P.mixing, "mix", less)
+    got = P.mixing_stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    got = got.toPandas()
+    n = {"same": int((got["doc_id"] == 7).sum()), "null": int(got["doc_id"].isna().sum())}
+    assert 0 < chosen[7, "a", 3] < 100 and 0 < chosen[None, "a", 2] < 60
+    assert n == {"same": chosen[7, "a", 3], "null": chosen[None, "a", 2]} and len(got) == sum(chosen.values())
+    assert got[got["doc_id"].isna()].groupby("text").size().max() == 1
