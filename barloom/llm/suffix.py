@@ -14,8 +14,8 @@ doubling sorts a row for each byte in each round; here the same ranking runs ove
    is past the threshold, so the ranking ends: all but the earliest of a rank are repeated.
 
 Ranks are 64-bit fingerprints (a sum of byte codes times powers of an odd number). A batch of texts sorts its positions
-together, keeps the earliest of each rank, and sends the others to no one; what remains goes, as packed sorted arrays,
-to ranges of the ranks.
+together, keeps the earliest of each rank (of each text, where texts of one id share it), and sends the others to no
+one; what remains goes, as packed sorted arrays, to ranges of the ranks.
 """
 
 from __future__ import annotations
@@ -117,15 +117,22 @@ def runs_of(data: bytes, length: int, seed: int):
     return mixed(h[at[first]] ^ PRIME), whole, first, count
 
 
-def firsts(doc: np.ndarray, pos: np.ndarray, *ranks: np.ndarray):
-    """(order by rank, then document and place; whether each in this order is the first of its rank)."""
-    order = np.lexsort((pos, doc, *ranks[::-1]))
+def firsts(doc: np.ndarray, owner: np.ndarray, *ranks: np.ndarray):
+    """(order by rank, then document, owner and place, which come in order of owner and place; whether each in this order is not repeated).
+
+    A rank is repeated where it is in a document of smaller id, or earlier in the same text. Texts of one id (all of
+    null) are not earlier than each other, so each of them keeps one.
+    """
+    order = np.lexsort((doc, *ranks[::-1]))
     new = np.zeros(len(order), bool)
     new[:1] = True
     for r in ranks:
         s = r[order]
         new[1:] |= s[1:] != s[:-1]
-    return order, new
+    d, o = doc[order], owner[order]
+    kept = new.copy()
+    kept[1:] |= o[1:] != o[:-1]
+    return order, kept & (d == d[new][np.cumsum(new) - 1])
 
 
 def send(name: str, ranges: int, ids, hs, local: np.ndarray, rank, pair, doc, owner, pos, run):
@@ -172,7 +179,7 @@ def send_runs(batches, length: int, seed: int, ranges: int):
         rank, pair, pos, run = (np.concatenate([p[k] for p in parts]) for k in range(4))
         ids = np.array([d for d, _, _ in some], "int64")
         doc = ids[owner]
-        order, new = firsts(doc, pos, rank, pair)
+        order, new = firsts(doc, owner, rank, pair)
         again, kept = order[~new], order[new]
         local = np.zeros(len(again), RUN)
         local["owner"], local["pos"], local["run"], local["kind"] = owner[again], pos[again], run[again], 1
@@ -197,7 +204,7 @@ def send_windows(batches, length: int, ranges: int, part: int, parts: int):
         rank, pos = np.concatenate(hashes), np.concatenate(places)
         ids = np.array([d for d, *_ in some], "int64")
         doc = ids[owner]
-        order, new = firsts(doc, pos, rank)
+        order, new = firsts(doc, owner, rank)
         again, kept = order[~new], order[new]
         local = np.zeros(len(again), RUN)
         local["owner"], local["pos"], local["run"], local["kind"] = owner[again], pos[again], 1, 1

@@ -111,6 +111,42 @@ def test_suffix_removal_keeps_other_columns(docs, rows, empty):
     assert suffix.digest(empty).count() == 0
 
 
+@pytest.mark.parametrize("batch", [1, 3000, 8 << 20])
+@pytest.mark.parametrize("tasks", [1, 3])
+def test_suffix_dedup_of_texts_of_one_id_is_the_same_in_every_batch_size(spark, tmp_path, batch, tasks):
+    r = random.Random(11)
+    a, b = prose(40, r), prose(40, r)
+    rows = [(None, f"one {a}"), (None, f"two {a} end"), (None, f"two {a} end"), (5, f"three {b}"), (5, f"four {b}"), (6, f"{b} six {b}"), (None, f"{b} seven {a} {a}"), (None, prose(60, r))]
+    want = []
+    for i, t in rows:
+        data, gone, seen = t.encode(), np.zeros(len(t), bool), set()
+        earlier = {u.encode()[k : k + 100] for j, u in rows if (j if j is not None else 99) < (i if i is not None else 99) for k in range(len(u) - 99)}
+        for k in range(len(data) - 99):
+            s = data[k : k + 100]
+            if s in earlier or s in seen:
+                gone[k : k + 100] = True
+            seen.add(s)
+        want.append((i or -1, len(data), int(gone.sum())))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(tasks).mapInPandas(lambda pdfs: pdfs, "doc_id long, text string")
+    (tmp_path / "size").write_text(str(batch))
+    plain, where = suffix.send_runs, str(tmp_path / "size")
+
+    def small(f):
+        def run(*args):
+            suffix.BATCH = int(open(where).read())
+            return f(*args)
+
+        return run
+
+    windows = suffix.send_windows
+    suffix.send_runs, suffix.send_windows = small(plain), small(windows)
+    try:
+        got = [(x.doc_id or -1, x.n_bytes, x.n_removed) for x in suffix.digest(docs).collect()]
+    finally:
+        suffix.send_runs, suffix.send_windows = plain, windows
+    assert sorted(got) == sorted(want) and any(x[2] for x in want)
+
+
 def test_packing_is_whole_and_gapless(docs, rows, empty):
     from tokenizers import Tokenizer
 
