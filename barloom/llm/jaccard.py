@@ -246,8 +246,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("both", both).where(100 * F.col("both") >= threshold * (F.size("ma") + F.size("mb") - F.col("both"))).select("a", "b")
 
 
-def compare_blocks(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
-    """Links that join components among the sets of two blocks (or within one): every overlap is counted, none is written out."""
+def compare_blocks(pdf: pd.DataFrame, threshold: int, every: bool = False) -> pd.DataFrame:
+    """Links that join components among the sets of two blocks (or within one): every overlap is counted, none is written out. With ``every`` all links, a < b."""
     side = pdf["side"].to_numpy()
     pdf = pdf.drop_duplicates(["node", "side"]) if len(pdf) else pdf
     side, node, comp = pdf["side"].to_numpy(), pdf["node"].tolist(), pdf["c"].tolist()
@@ -283,6 +283,10 @@ def compare_blocks(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
         y[at_right[w][r], col[r]] = 1
         both += x @ y.T
     i, j = np.nonzero(100 * both >= threshold * (size[left][:, None] + size[right][None, :] - both))
+    if every:
+        name = np.array(node, "int64")
+        a, b = name[left[i]], name[right[j]]
+        return pd.DataFrame({"a": np.minimum(a, b)[a != b], "b": np.maximum(a, b)[a != b]}).drop_duplicates()
     out = []
     for u, v in zip(left[i].tolist(), right[j].tolist(), strict=True):
         p, q = top(comp[u]), top(comp[v])
@@ -292,8 +296,8 @@ def compare_blocks(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def all_apart(apart: DataFrame, leaders: DataFrame, packed: DataFrame, threshold: int, block_members: int = 100_000) -> DataFrame:
-    """Links (a, b) between sets of ``apart`` (key, node, n, c) that share a key and are in different components c."""
+def all_apart(apart: DataFrame, leaders: DataFrame, packed: DataFrame, threshold: int, block_members: int = 100_000, every: bool = False) -> DataFrame:
+    """Links (a, b) between sets of ``apart`` (key, node, n, c) that share a key and are in different components c; with ``every`` all of them."""
     nodes = apart.select("node", "n", "c").distinct().join(leaders, "node", "left").withColumn("family", F.coalesce("leader", "node"))
     parts = nodes.groupBy("family").agg(F.ceil(F.sum("n") / block_members).alias("parts"))
     blocks = nodes.join(parts, "family").select("node", "c", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
@@ -303,7 +307,7 @@ def all_apart(apart: DataFrame, leaders: DataFrame, packed: DataFrame, threshold
     full = blocks.join(packed, "node").select("block", "node", "c", "packed")
     one = pairs.join(full, "block").select("block", "to", F.lit(0).alias("side"), "node", "c", "packed")
     two = pairs.where("block <> to").join(full.withColumnRenamed("block", "to"), "to").select("block", "to", F.lit(1).alias("side"), "node", "c", "packed")
-    return one.unionByName(two).groupBy("block", "to").applyInPandas(lambda pdf: compare_blocks(pdf, threshold), "a long, b long")
+    return one.unionByName(two).groupBy("block", "to").applyInPandas(lambda pdf: compare_blocks(pdf, threshold, every), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 75) -> DataFrame:
@@ -315,8 +319,45 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 75) ->
     no id at all its component is null. Repeated rows are copies. Whole texts are read, however long; other columns
     are ignored; an empty table gives no rows. Sets are compared by 64-bit hashes of their shingles.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
+    meta, packed, kept, postings, leaders = candidates(docs, scratch, width, threshold)
+    links = scratch.save(verified(leaders.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")), kept, threshold))
+    # then what is still apart: of each list one set of each component against one of its largest component, then all
+    for exhaustive in (False, True):
+        comp = components(links, scratch)
+        named = postings.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        mixed_lists = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+        apart = scratch.save(named.join(mixed_lists, "key").select("key", "node", "n", "c"))
+        if exhaustive:
+            more = all_apart(apart, leaders, packed, threshold)
+        else:
+            rep = apart.groupBy("key", "c").agg(F.min("node").alias("node"), F.count("*").alias("size"))
+            top = rep.groupBy("key").agg(F.max_by(F.struct("node", "c"), F.struct("size", "c")).alias("t"))
+            tried = rep.join(top, "key").where("c <> t.c").groupBy(F.col("node").alias("a"), F.col("t.node").alias("b")).agg(F.count("*").alias("votes"))
+            more = verified(tried.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b")), kept, threshold)
+        links = links.unionByName(scratch.save(more))
+    comp = components(links, scratch).withColumnRenamed("node", "member")
+    named = meta.join(comp, F.col("node") == F.col("member"), "left").withColumn("c", F.coalesce("component", "node"))
+    smallest = named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("c", "of")
+    out = named.join(smallest, (F.col("c") == F.col("of")) & (F.col("n") > 0), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+
+
+def jaccard_links(docs: DataFrame, width: int = 5, threshold: int = 75) -> DataFrame:
+    """Every row of ``docs`` with the number of links of its set: doc_id, node, n_shingles, n_links (other distinct sets with 100 * intersection >= threshold * union).
+
+    All sets that share a key are compared, also those of one component; equal sets are one.
+    """
+    scratch = Scratch(docs.sparkSession)
+    meta, packed, _, postings, leaders = candidates(docs, scratch, width, threshold)
+    links = scratch.save(all_apart(postings.select("key", "node", "n", F.col("node").alias("c")), leaders, packed, threshold, every=True).distinct())
+    each = links.select(F.col("a").alias("of")).unionByName(links.select(F.col("b").alias("of"))).groupBy("of").agg(F.count("*").alias("n_links"))
+    out = meta.join(each, F.col("node") == F.col("of"), "left")
+    return out.select("doc_id", "node", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def candidates(docs: DataFrame, scratch: Scratch, width: int, threshold: int):
+    """(meta: doc_id, node, n, shared of each row; packed and kept: sets that may have a partner; postings: key, node, n, leader; leaders: node, leader)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(96, -(-size // (8 << 20)))
@@ -343,6 +384,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 75) ->
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["node", "packed"])
 
+    def new_sets(batches):
+        seen = set()
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                rows = {}
+                for text in b.slice(at, 256).column(0).to_pylist():
+                    s = shingles(text, width)
+                    if len(s) and (node := node_of(s)) not in seen:
+                        seen.add(node)
+                        rows[node] = s.tobytes()
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["node", "packed"])
+
     def unpacked(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1024):
@@ -356,7 +410,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 75) ->
     reps = scratch.save(meta.where(enough & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     small = reps.count() <= 1_000_000  # 16 bytes a row
     chosen = texts.join(F.broadcast(reps) if small else reps, "doc_id").select("node", "text")
-    sets = scratch.save(chosen.mapInArrow(to_sets, "node long, packed binary"))
+    found = chosen.mapInArrow(to_sets, "node long, packed binary")
+    # sets that only rows without doc_id have
+    nameless = scratch.save(meta.where(enough).groupBy("node").agg(F.count("doc_id").alias("ids")).where("ids = 0").select("node"))
+    if n := nameless.count():
+        more = texts.where("doc_id is null").select("text").mapInArrow(new_sets, "node long, packed binary")
+        found = found.unionByName(more.join(F.broadcast(nameless) if n <= 1_000_000 else nameless, "node", "left_semi"))
+    sets = scratch.save(found)
     # 2: again, among distinct sets only
     again = shared_counts(sets.mapInArrow(from_sets, PACKED)).where(enough).select("node").distinct()
     again = scratch.save(again)
@@ -373,23 +433,4 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 75) ->
     # 4: each set against the leader it shares most keys with
     votes = postings.groupBy("node", "leader").agg(F.count("*").alias("votes"))
     leaders = scratch.save(votes.groupBy("node").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader")))
-    links = scratch.save(verified(leaders.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")), kept, threshold))
-    # then what is still apart: of each list one set of each component against one of its largest component, then all
-    for exhaustive in (False, True):
-        comp = components(links, scratch)
-        named = postings.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        mixed_lists = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        apart = scratch.save(named.join(mixed_lists, "key").select("key", "node", "n", "c"))
-        if exhaustive:
-            more = all_apart(apart, leaders, packed, threshold)
-        else:
-            rep = apart.groupBy("key", "c").agg(F.min("node").alias("node"), F.count("*").alias("size"))
-            top = rep.groupBy("key").agg(F.max_by(F.struct("node", "c"), F.struct("size", "c")).alias("t"))
-            tried = rep.join(top, "key").where("c <> t.c").groupBy(F.col("node").alias("a"), F.col("t.node").alias("b")).agg(F.count("*").alias("votes"))
-            more = verified(tried.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b")), kept, threshold)
-        links = links.unionByName(scratch.save(more))
-    comp = components(links, scratch).withColumnRenamed("node", "member")
-    named = meta.join(comp, F.col("node") == F.col("member"), "left").withColumn("c", F.coalesce("component", "node"))
-    smallest = named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("c", "of")
-    out = named.join(smallest, (F.col("c") == F.col("of")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+    return meta, packed, kept, postings, leaders

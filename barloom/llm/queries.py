@@ -41,6 +41,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=5, threshold=75).drop("node")
 
 
+def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_links(table(spark, sf_dir, "documents"), width=5, threshold=75).drop("node")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(table(spark, sf_dir, "documents"), length=100)
 
@@ -67,7 +71,7 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "canonical_url", "ts", "resolution", "response_id", text.alias("headers"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_source_mixing, op5_chat_formatting, op8_exact_top_k, op9_jaccard_join, op10_suffix_dedup, op2_embedding_near_dedup, op4_quality_classifier, op6_stupid_backoff, op7_warc_revisits)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_source_mixing, op5_chat_formatting, op8_exact_top_k, op9_jaccard_join, op9_jaccard_links, op10_suffix_dedup, op2_embedding_near_dedup, op4_quality_classifier, op6_stupid_backoff, op7_warc_revisits)}
 
 OP8_SQL = """
 with e as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings

@@ -82,6 +82,33 @@ def test_jaccard_of_small_sets_and_of_no_rows(spark, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_joins_through_rows_without_doc_id_and_counts_links(spark):
+    r = random.Random(13)
+    w = prose(200, r).split()
+    at = lambda *places: " ".join("swapped" + str(i) if i in places else x for i, x in enumerate(w))
+    u = prose(100, r).split()
+    rows = [(1, at(20, 40, 60, 80)), (None, at()), (None, at()), (3, at(100, 120, 140, 160)), (5, " ".join(u)), (None, " ".join([*u[:-1], "last"])), (None, prose(80, r)), (None, None), (8, prose(70, r))]
+    shingle = lambda t: frozenset(tuple(x[k : k + 5]) for k in range(len(x) - 4)) if (x := (t or "").split()) else frozenset()
+    sets = [shingle(t) for _, t in rows]
+    linked = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b)
+    assert linked(sets[0], sets[1]) and linked(sets[1], sets[3]) and not linked(sets[0], sets[3])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda x: (x[0] is None, x)
+    got = sorted(((x.doc_id or 0, x.n_shingles, x.component_id or 0) for x in jaccard.jaccard_components(docs).collect()), key=key)
+    part = [1, 1, 1, 1, 5, 5, 0, 0, 8]
+    assert got == sorted(((i or 0, len(s), c) for (i, _), s, c in zip(rows, sets, part, strict=True)), key=key)
+    links = sorted((x.doc_id or 0, x.n_shingles, x.n_links) for x in jaccard.jaccard_links(docs).collect())
+    assert links == sorted((i or 0, len(s), sum(linked(s, o) for o in set(sets) - {s})) for (i, _), s in zip(rows, sets, strict=True))
+    assert jaccard.jaccard_links(docs.limit(0)).count() == 0
+
+
+def test_links_inside_a_component_are_counted_too(docs, rows):
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w := words(t)) >= 5 else frozenset([tuple(w)] if w else []) for i, t, *_ in rows}
+    want = {i: sum(100 * len(s & o) >= 75 * len(s | o) for o in set(sets.values()) - {s} if s and o) for i, s in sets.items()}
+    got = {x.doc_id: x.n_links for x in jaccard.jaccard_links(docs).collect()}
+    assert got == want and sum(want.values()) > 0
+
+
 def removed(rows, length=100):
     seen, out = set(), {}
     for i, t, *_ in sorted(rows, key=lambda r: r[0]):
