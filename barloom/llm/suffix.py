@@ -1,7 +1,7 @@
-"""Removal of repeated byte strings by sparse prefix doubling.
+"""Removal of repeated byte strings by fingerprints of sampled positions, in place of prefix doubling.
 
 A byte goes if a string of ``length`` bytes over it also starts earlier in the corpus. A suffix array by plain prefix
-doubling sorts a row for each byte in each round; here the same ranking runs over sampled positions:
+doubling sorts a row for each byte in each round; here nothing is doubled, and fingerprints rank sampled positions:
 
 1. of each window of ``length`` bytes the position with the least hash of ``seed`` bytes represents it. Which one that
    is depends on the window's bytes alone, so equal windows are represented by equal strings at equal places. Windows
