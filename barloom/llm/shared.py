@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
+    """The folder that the session names in spark.checkpoint.dir; where it is unset and all runs in one JVM (tests), a folder of our own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         named = sc.getCheckpointDir()
     return named
@@ -36,17 +39,18 @@ class Scratch:
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df``, in Arrow batches of few rows (texts are long), and let Spark's cleaner drop the shuffles that led to it."""
+        """Write ``df``, in Arrow batches of few rows (texts are long); the shuffles that led to it go when it is written."""
         self._n += 1
         path = f"{self.base}/{self._n}"
-        rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(rows)
-        self.spark.conf.set(rows, str(min(int(before), 1000) if int(before) > 0 else 1000))
+        rows, clean = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = {k: self.spark.conf.get(k) for k in (rows, clean)}
+        self.spark.conf.set(rows, str(min(int(before[rows]), 1000) if int(before[rows]) > 0 else 1000))
+        self.spark.conf.set(clean, "true")
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(rows, before)
-        self.spark.sparkContext._jvm.System.gc()  # the cleaner acts on what the driver has collected
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         if self._n == 1:
             p, fs = self._fs(self.base)
             fs.deleteOnExit(p)
@@ -61,6 +65,11 @@ class Scratch:
                 fs.delete(p, True)
 
 
+def small(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``table`` (saved, of a few numbers a row), to be broadcast if it has no more than ``rows`` rows."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b: long): a row (node, component) for each node with an edge.
 
