@@ -10,8 +10,8 @@ The sets are reduced before any pair is looked at, then joined by a size-aware h
    enumerate all 2-subsets of that prefix as keys (a key is shared by few sets); large sets, of which there are few,
    go into inverted lists of single shingles. The boundary is the size at which the estimated cost is least;
 4. sets of a list are verified against the list's leader first. Only where a list's sets are then in different
-   components are the rest compared, in blocks of sets with the same leader, all overlaps of two blocks at once; so a
-   group of n near copies costs about n verifications and no pair is written out.
+   components are the rest compared, in blocks of sets that are at home in the same list, all overlaps of two blocks at
+   once; so a group of n near copies costs about n verifications and no pair is written out.
 """
 
 from __future__ import annotations
@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, components
+from .shared import Scratch, components, small
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SPACE = b" \t\n\r\x0b\x0c"
 #: Words that a worker remembers the hashes of; words of one text hashed at a time, in bytes; shingles of one batch.
 REMEMBER, PART_BYTES, BATCH = 300_000, 4 << 20, 2_000_000
 MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
-PACKED = "range int, batch string, keys binary, owners binary, sets int, doc_ids array<long>, missing array<int>, set_of array<int>, nodes array<long>, sizes array<long>"
+PACKED = "range int, batch string, keys binary, owners binary, sets int, doc_ids array<long>, missing array<int>, hs array<long>, set_of array<int>, nodes array<long>, sizes array<long>"
 
 
 class Hashes(dict):
@@ -96,7 +96,7 @@ def node_of(s: np.ndarray) -> int:
 
 
 def _batch(rows) -> pa.RecordBatch:
-    t = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    t = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), t, strict=True)], names=[f.split()[0] for f in PACKED.split(", ")])
 
 
@@ -113,7 +113,7 @@ def from_planes(data: bytes) -> np.ndarray:
 
 
 def pack_sets(found, ranges: int):
-    """Rows of PACKED from (doc_id, node or None, set): of each batch a row for each range of hashes, and one that says whose they are.
+    """Rows of PACKED from (doc_id, h, node or None, set): of each batch a row for each range of hashes, and one that says whose they are.
 
     A batch's name is its place in the input, so a task that runs again makes the same rows. Only 48 bits of a hash are
     sent: two that agree there count as shared, which can keep a set but never lose one.
@@ -129,17 +129,17 @@ def pack_sets(found, ranges: int):
         step = np.uint64(2**64 // ranges + 1)
         edges = np.append(np.searchsorted(keys, np.arange(ranges, dtype=np.uint64) * step), len(keys))
         missing = [i for i, d in enumerate(doc_ids) if d is None]
-        yield [(ranges + zlib.crc32(name.encode()) % ranges, name, None, None, len(sets), [d or 0 for d in doc_ids], missing, set_of, nodes, sizes)]
+        yield [(ranges + zlib.crc32(name.encode()) % ranges, name, None, None, len(sets), [d or 0 for d in doc_ids], missing, hs, set_of, nodes, sizes)]
         rows = []
         for r in range(ranges):
             a, b = int(edges[r]), int(edges[r + 1])
             if a < b:
-                rows.append((r, name, planes(keys[a:b]), owner[a:b].tobytes(), len(sets), None, None, None, None, None))
+                rows.append((r, name, planes(keys[a:b]), owner[a:b].tobytes(), len(sets), None, None, None, None, None, None))
         if rows:
             yield rows
 
-    doc_ids, set_of, nodes, sizes, sets, seen, total = [], [], [], [], [], {}, 0
-    for doc, node, s in found:
+    doc_ids, hs, set_of, nodes, sizes, sets, seen, total = [], [], [], [], [], [], {}, 0
+    for doc, h, node, s in found:
         node = node_of(s) if node is None else node
         if node not in seen:
             seen[node] = len(sets)
@@ -148,23 +148,24 @@ def pack_sets(found, ranges: int):
             sizes.append(len(s))
             total += len(s)
         doc_ids.append(doc)
+        hs.append(h)
         set_of.append(seen[node])
         if total >= BATCH or len(doc_ids) >= 50_000:
             for rows in flush():
                 yield _batch(rows)
             serial += 1
-            doc_ids, set_of, nodes, sizes, sets, seen, total = [], [], [], [], [], {}, 0
+            doc_ids, hs, set_of, nodes, sizes, sets, seen, total = [], [], [], [], [], [], {}, 0
     if doc_ids:
         for rows in flush():
             yield _batch(rows)
 
 
-COUNTED = "batch string, sets int, doc_ids array<long>, missing array<int>, set_of array<int>, nodes array<long>, sizes array<long>, counts binary"
+COUNTED = "batch string, sets int, doc_ids array<long>, missing array<int>, hs array<long>, set_of array<int>, nodes array<long>, sizes array<long>, counts binary"
 
 
 def count_range(pdf: pd.DataFrame) -> pd.DataFrame:
     """For one range of hashes: for each batch, how many shingles of each of its sets are in another set too."""
-    named = ["batch", "sets", "doc_ids", "missing", "set_of", "nodes", "sizes"]
+    named = ["batch", "sets", "doc_ids", "missing", "hs", "set_of", "nodes", "sizes"]
     if pdf["keys"].isna().all():
         return pdf[named].assign(counts=None)
     keys = np.concatenate([from_planes(k) for k in pdf["keys"]])
@@ -189,13 +190,13 @@ def sum_batch(pdf: pd.DataFrame) -> pd.DataFrame:
     at = np.asarray(whose["set_of"], "int64")
     ids = pd.array(np.asarray(whose["doc_ids"], "int64"), "Int64")
     ids[np.asarray(whose["missing"], "int64")] = pd.NA
-    return pd.DataFrame({"doc_id": ids, "node": np.asarray(whose["nodes"], "int64")[at], "n": np.asarray(whose["sizes"], "int64")[at], "shared": total[at]})
+    return pd.DataFrame({"doc_id": ids, "h": np.asarray(whose["hs"], "int64"), "node": np.asarray(whose["nodes"], "int64")[at], "n": np.asarray(whose["sizes"], "int64")[at], "shared": total[at]})
 
 
 def shared_counts(packed: DataFrame) -> DataFrame:
-    """(doc_id, node, n, shared) from rows of PACKED."""
+    """(doc_id, h, node, n, shared) from rows of PACKED."""
     ranged = packed.groupBy("range").applyInPandas(count_range, COUNTED)
-    return ranged.groupBy("batch").applyInPandas(sum_batch, "doc_id long, node long, n long, shared long")
+    return ranged.groupBy("batch").applyInPandas(sum_batch, "doc_id long, h long, node long, n long, shared long")
 
 
 def prefix(n, k: int, tenths: int = 75):
@@ -247,21 +248,16 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def compare_blocks(pdf: pd.DataFrame, threshold: int, every: bool = False) -> pd.DataFrame:
-    """Links that join components among the sets of two blocks (or within one): every overlap is counted, none is written out. With ``every`` all links, a < b."""
-    side = pdf["side"].to_numpy()
-    pdf = pdf.drop_duplicates(["node", "side"]) if len(pdf) else pdf
-    side, node, comp = pdf["side"].to_numpy(), pdf["node"].tolist(), pdf["c"].tolist()
+    """Links that join components among the sets of two blocks (or within one): every overlap is counted, none is written out.
+
+    With ``every``: (set, number of its links here) instead.
+    """
+    pdf = pdf.drop_duplicates(["node", "side"])
+    side, node, comp = pdf["side"].to_numpy(), pdf["node"].to_numpy("int64"), pdf["c"].to_numpy("int64")
     sets = [np.frombuffer(m, np.uint64) for m in pdf["packed"]]
     size = np.array([len(s) for s in sets], np.int64)
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1) if (side == 1).any() else left
-    boss: dict[int, int] = {}
-
-    def top(v):
-        while boss.get(v, v) != v:
-            boss[v] = v = boss.get(boss[v], boss[v])
-        return v
-
+    left, within = np.flatnonzero(side == 0), not (side == 1).any()
+    right = left if within else np.flatnonzero(side == 1)
     keys, which = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     order = np.argsort(keys, kind="stable")
     keys, which = keys[order], which[order]
@@ -282,39 +278,52 @@ def compare_blocks(pdf: pd.DataFrame, threshold: int, every: bool = False) -> pd
         x[at_left[w][l], col[l]] = 1
         y[at_right[w][r], col[r]] = 1
         both += x @ y.T
-    i, j = np.nonzero(100 * both >= threshold * (size[left][:, None] + size[right][None, :] - both))
+    linked = 100 * both >= threshold * (size[left][:, None] + size[right][None, :] - both)
+    if within:
+        np.fill_diagonal(linked, False)
     if every:
-        name = np.array(node, "int64")
-        a, b = name[left[i]], name[right[j]]
-        return pd.DataFrame({"a": np.minimum(a, b)[a != b], "b": np.maximum(a, b)[a != b]}).drop_duplicates()
+        n, m = linked.sum(1), linked.sum(0)
+        return pd.DataFrame({"a": node[left] if within else np.append(node[left], node[right]), "b": n if within else np.append(n, m)})
+    i, j = np.nonzero(linked & (comp[left][:, None] != comp[right][None, :]))
+    boss: dict[int, int] = {}
+
+    def top(v):
+        while boss.get(v, v) != v:
+            boss[v] = v = boss.get(boss[v], boss[v])
+        return v
+
     out = []
     for u, v in zip(left[i].tolist(), right[j].tolist(), strict=True):
-        p, q = top(comp[u]), top(comp[v])
+        p, q = top(int(comp[u])), top(int(comp[v]))
         if p != q:
             boss[max(p, q)] = min(p, q)
-            out.append((node[u], node[v]))
+            out.append((int(node[u]), int(node[v])))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def all_apart(apart: DataFrame, leaders: DataFrame, packed: DataFrame, threshold: int, block_members: int = 100_000, every: bool = False) -> DataFrame:
-    """Links (a, b) between sets of ``apart`` (key, node, n, c) that share a key and are in different components c; with ``every`` all of them."""
-    nodes = apart.select("node", "n", "c").distinct().join(leaders, "node", "left").withColumn("family", F.coalesce("leader", "node"))
-    parts = nodes.groupBy("family").agg(F.ceil(F.sum("n") / block_members).alias("parts"))
-    blocks = nodes.join(parts, "family").select("node", "c", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
-    met = apart.select("key", "node").join(blocks, "node").groupBy("key", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    other = met.select("key", F.col("block").alias("to"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    pairs = met.join(other, "key").where((F.col("block") <= F.col("to")) & ((F.col("low") != F.col("high2")) | (F.col("high") != F.col("low2")))).select("block", "to").distinct()
-    full = blocks.join(packed, "node").select("block", "node", "c", "packed")
-    one = pairs.join(full, "block").select("block", "to", F.lit(0).alias("side"), "node", "c", "packed")
-    two = pairs.where("block <> to").join(full.withColumnRenamed("block", "to"), "to").select("block", "to", F.lit(1).alias("side"), "node", "c", "packed")
-    return one.unionByName(two).groupBy("block", "to").applyInPandas(lambda pdf: compare_blocks(pdf, threshold, every), "a long, b long")
+def all_apart(apart: DataFrame, packed: DataFrame, scratch: Scratch, threshold: int, block_members: int = 150_000, every: bool = False) -> DataFrame:
+    """Links (a, b) between sets of ``apart`` (key, node, n, c, in_list) that share a key and are in different components c; see ``compare_blocks``.
+
+    A set is at home in the longest of its lists, so near copies of each other, which share many lists, have one home;
+    a home is cut into blocks of bounded size. Two blocks of one home meet; blocks of different homes meet in those sets
+    that share a list across them. So each pair of sets is compared once, however many lists it is in.
+    """
+    home = apart.groupBy("node").agg(F.max_by("key", F.struct("in_list", "key")).alias("home"), F.first("n").alias("n"))
+    parts = home.groupBy("home").agg(F.ceil(F.sum(F.greatest("n", F.lit(100))) / block_members).alias("parts"))  # of few sets, however small they are
+    nodes = scratch.save(home.join(parts, "home").select("node", "home", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")))
+    each = scratch.save(apart.select("key", "node", "c").join(nodes, "node"))
+    met = each.groupBy("key", "home", "block").agg(F.min("c").alias("low"), F.max("c").alias("high")).withColumnsRenamed({"home": "to_home", "block": "to"})
+    meets = ((F.col("low") != F.col("c")) | (F.col("high") != F.col("c"))) & ((F.col("home") != F.col("to_home")) | (F.col("key") == F.col("home")))
+    pair = [F.least("block", "to").alias("block"), F.greatest("block", "to").alias("to"), (F.col("block") > F.col("to")).cast("int").alias("side")]
+    reach = scratch.save(each.join(met, "key").where(meets).select(*pair, "node", "c").distinct())
+    return reach.join(packed, "node").groupBy("block", "to").applyInPandas(lambda pdf: compare_blocks(pdf, threshold, every), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 75) -> DataFrame:
     """Classes of ``docs`` (doc_id, text) under 100 * intersection >= threshold * union of word shingles.
 
-    A row per document: doc_id, n_shingles, node (its set's name; equal sets have the same), component_id (smallest
-    doc_id reachable by links, itself included). Null and empty texts have an empty set and link with nothing: their
+    A row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), node (its
+    set's name; equal sets have the same), class_id (of its class: the least node) and h (xxhash64 of the text). Null and empty texts have an empty set and link with nothing: their
     component is their own doc_id. Rows without doc_id lend their set to their class but not their id; if a class has
     no id at all its component is null. Repeated rows are copies. Whole texts are read, however long; other columns
     are ignored; an empty table gives no rows. Sets are compared by 64-bit hashes of their shingles.
@@ -327,20 +336,21 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 75) ->
         comp = components(links, scratch)
         named = postings.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         mixed_lists = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        apart = scratch.save(named.join(mixed_lists, "key").select("key", "node", "n", "c"))
+        apart = scratch.save(named.join(mixed_lists, "key").select("key", "node", "n", "c", "in_list"))
         if exhaustive:
-            more = all_apart(apart, leaders, packed, threshold)
+            more = all_apart(apart, packed, scratch, threshold)
         else:
             rep = apart.groupBy("key", "c").agg(F.min("node").alias("node"), F.count("*").alias("size"))
             top = rep.groupBy("key").agg(F.max_by(F.struct("node", "c"), F.struct("size", "c")).alias("t"))
             tried = rep.join(top, "key").where("c <> t.c").groupBy(F.col("node").alias("a"), F.col("t.node").alias("b")).agg(F.count("*").alias("votes"))
             more = verified(tried.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b")), kept, threshold)
         links = links.unionByName(scratch.save(more))
-    comp = components(links, scratch).withColumnRenamed("node", "member")
-    named = meta.join(comp, F.col("node") == F.col("member"), "left").withColumn("c", F.coalesce("component", "node"))
-    smallest = named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("c", "of")
-    out = named.join(smallest, (F.col("c") == F.col("of")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+    comp = scratch.save(components(links, scratch).select(F.col("node").alias("member"), "component"))
+    named = meta.join(small(comp), F.col("node") == F.col("member"), "left").withColumn("class_id", F.coalesce("component", "node"))
+    classes = named.where("n > 0").groupBy(F.col("class_id").alias("of")).agg(F.min("doc_id").alias("smallest"), F.count("*").alias("rows"))
+    classes = scratch.save(classes.where("rows > 1").select("of", "smallest"))
+    out = named.join(small(classes), (F.col("class_id") == F.col("of")) & (F.col("n") > 0), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"), "node", "class_id", "h")
 
 
 def jaccard_links(docs: DataFrame, width: int = 5, threshold: int = 75) -> DataFrame:
@@ -350,15 +360,15 @@ def jaccard_links(docs: DataFrame, width: int = 5, threshold: int = 75) -> DataF
     """
     scratch = Scratch(docs.sparkSession)
     meta, packed, _, postings, leaders = candidates(docs, scratch, width, threshold)
-    links = scratch.save(all_apart(postings.select("key", "node", "n", F.col("node").alias("c")), leaders, packed, threshold, every=True).distinct())
-    each = links.select(F.col("a").alias("of")).unionByName(links.select(F.col("b").alias("of"))).groupBy("of").agg(F.count("*").alias("n_links"))
+    met = all_apart(postings.select("key", "node", "n", F.col("node").alias("c"), "in_list"), packed, scratch, threshold, every=True)
+    each = met.groupBy(F.col("a").alias("of")).agg(F.sum("b").alias("n_links"))
     out = meta.join(each, F.col("node") == F.col("of"), "left")
     return out.select("doc_id", "node", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def candidates(docs: DataFrame, scratch: Scratch, width: int, threshold: int):
-    """(meta: doc_id, node, n, shared of each row; packed and kept: sets that may have a partner; postings: key, node, n, leader; leaders: node, leader)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    """(meta: doc_id, h (hash of the text), node, n, shared of each row; packed and kept: sets that may have a partner; postings: key, node, n, leader, in_list; leaders: node, leader)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("h"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(96, -(-size // (8 << 20)))
 
@@ -367,13 +377,13 @@ def candidates(docs: DataFrame, scratch: Scratch, width: int, threshold: int):
             for b in batches:
                 for at in range(0, b.num_rows, 256):
                     part = b.slice(at, 256)
-                    for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                        yield doc, None, shingles(text, width)
+                    for doc, text, h in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                        yield doc, h, None, shingles(text, width)
 
         yield from pack_sets(rows(), ranges)
 
     def from_sets(batches):
-        rows = ((None, n, np.frombuffer(m, np.uint64)) for b in batches for n, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        rows = ((None, 0, n, np.frombuffer(m, np.uint64)) for b in batches for n, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         yield from pack_sets(rows, ranges)
 
     def to_sets(batches):
@@ -408,20 +418,18 @@ def candidates(docs: DataFrame, scratch: Scratch, width: int, threshold: int):
     meta = scratch.save(shared_counts(texts.mapInArrow(from_texts, PACKED)))
     enough = (F.col("n") > 0) & (100 * F.col("shared") >= threshold * F.col("n"))
     reps = scratch.save(meta.where(enough & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    small = reps.count() <= 1_000_000  # 16 bytes a row
-    chosen = texts.join(F.broadcast(reps) if small else reps, "doc_id").select("node", "text")
+    chosen = texts.join(small(reps), "doc_id").select("node", "text")
     found = chosen.mapInArrow(to_sets, "node long, packed binary")
     # sets that only rows without doc_id have
     nameless = scratch.save(meta.where(enough).groupBy("node").agg(F.count("doc_id").alias("ids")).where("ids = 0").select("node"))
-    if n := nameless.count():
+    if not nameless.isEmpty():
         more = texts.where("doc_id is null").select("text").mapInArrow(new_sets, "node long, packed binary")
-        found = found.unionByName(more.join(F.broadcast(nameless) if n <= 1_000_000 else nameless, "node", "left_semi"))
+        found = found.unionByName(more.join(small(nameless), "node", "left_semi"))
     sets = scratch.save(found)
     # 2: again, among distinct sets only
     again = shared_counts(sets.mapInArrow(from_sets, PACKED)).where(enough).select("node").distinct()
     again = scratch.save(again)
-    small = again.count() <= 1_000_000
-    left = sets.join(F.broadcast(again) if small else again, "node", "left_semi").dropDuplicates(["node"])
+    left = sets.join(small(again), "node", "left_semi").dropDuplicates(["node"])
     packed = scratch.save(left)
     kept = scratch.save(packed.mapInArrow(unpacked, "node long, n long, members array<long>"))
     scratch.drop(sets)
@@ -429,7 +437,7 @@ def candidates(docs: DataFrame, scratch: Scratch, width: int, threshold: int):
     places = scratch.save(ranked(kept).where(F.col("place") <= prefix(F.col("n"), 2, threshold)))
     keys = keys_of(places, boundary(places, threshold), threshold).distinct()
     lists = keys.groupBy("key").agg(F.count("*").alias("in_list"), F.min("node").alias("leader")).where("in_list > 1")
-    postings = scratch.save(keys.join(lists, "key").select("key", "node", "n", "leader"))
+    postings = scratch.save(keys.join(lists, "key").select("key", "node", "n", "leader", "in_list"))
     # 4: each set against the leader it shares most keys with
     votes = postings.groupBy("node", "leader").agg(F.count("*").alias("votes"))
     leaders = scratch.save(votes.groupBy("node").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader")))

@@ -165,12 +165,12 @@ def test_suffix_dedup_of_texts_of_one_id_is_the_same_in_every_batch_size(spark,
 
         return run
 
-    windows = suffix.send_windows
-    suffix.send_runs, suffix.send_windows = small(plain), small(windows)
+    doubled, windows = suffix.send_doubled, suffix.send_windows
+    suffix.send_runs, suffix.send_doubled, suffix.send_windows = small(plain), small(doubled), small(windows)
     try:
         got = [(x.doc_id or -1, x.n_bytes, x.n_removed) for x in suffix.digest(docs).collect()]
     finally:
-        suffix.send_runs, suffix.send_windows = plain, windows
+        suffix.send_runs, suffix.send_doubled, suffix.send_windows = plain, doubled, windows
     assert sorted(got) == sorted(want) and any(x[2] for x in want)
 
 
@@ -292,7 +292,7 @@ def test_topk_against_brute_force(spark):
     rows = [(i, [float(y) for y in x]) for i, x in enumerate(v)] + [(1000, None), (1001, [float("inf")] * 12)]
     q = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = defaultdict(list)
-    for x in topk.topk(q, q.where("vec_id % 50 = 0"), k=5, bucket_rows=40, block_rows=3).orderBy("query_id", "rank").collect():
+    for x in topk.topk(q, F.col("vec_id") % 50 == 0, k=5, bucket_rows=40, block_rows=3).orderBy("query_id", "rank").collect():
         got[x.query_id].append((x.vec_id, x.score))
     w = np.floor(256 * v).astype(int)
     for i in range(0, 300, 50):
@@ -314,7 +314,7 @@ def test_chat_round_trip_and_rewritten_history(spark):
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert not any(r.rewrites_history for r in f.collect())
     last_only = lambda turns: "".join(f"[{r}]" for r, _ in turns[:-1]) + "".join(f"[{r}]{t}" for r, t in turns[-1:])
-    assert chat.spans([("user", "a"), ("assistant", "b")], last_only)[2]
+    assert chat.spans([("user", "a"), ("assistant", "b")], last_only)[3]
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
