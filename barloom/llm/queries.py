@@ -34,11 +34,11 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = topk.quantised(table(spark, sf_dir, "embeddings"), 256.0)
-    return topk.topk(v, v.where(F.col("vec_id") % 50 == 0), k=5)
+    return topk.topk(v, F.col("vec_id") % 50 == 0, k=5)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=5, threshold=75).drop("node")
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=5, threshold=75).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
