@@ -42,34 +42,65 @@ chatml.turn_local = True
 
 
 def spans(turns, template=chatml, window: int = 256):
-    """(output, [(begin, end) of each turn], whether history was rewritten) by rendering successive prefixes.
+    """(output, [(begin, end) of each turn], [(begin, end) of each turn's text or None], whether history was rewritten) by rendering successive prefixes.
 
     A template marked ``turn_local`` (a turn's rendering depends on no other turn) is rendered over prefixes of
     ``window`` turns at most, so that a conversation of n turns costs n renderings of bounded length. Others are
-    rendered over whole prefixes. Where history was rewritten, spans are the last output's differences and may overlap.
+    rendered over whole prefixes. Where history was rewritten, spans are the last output's differences and may overlap,
+    and texts are looked for in renderings of the whole conversation. A text's span is found by rendering its turn with
+    two other texts that differ in their first and last characters: what their outputs have alike at both ends frames
+    the text. It is None where the real output has another frame (a template that counts characters, or leaves the turn out).
     """
-    out, done, base, found, rewritten = "", [], [], [], False
-    for turn in turns:
-        if len(done) >= window and getattr(template, "turn_local", False):
+    local = getattr(template, "turn_local", False)
+    out, done, base, at, found, texts, rewritten, known = "", [], [], 0, [], [], False, {}
+    for role, text in turns:
+        if len(done) >= window and local:
             base.append(out)
+            at += len(out)
             out, done = "", []
-        done.append(turn)
-        new = template(done)
-        at = sum(map(len, base)) if base else 0
+        new = template([*done, (role, text)])
         if new.startswith(out):
-            found.append((at + len(out), at + len(new)))
+            begin = len(out)
         else:
             rewritten = True
-            same = next((i for i, (x, y) in enumerate(zip(out, new, strict=False)) if x != y), min(len(out), len(new)))
-            found.append((at + same, at + len(new)))
+            begin = next((i for i, (x, y) in enumerate(zip(out, new, strict=False)) if x != y), min(len(out), len(new)))
+        found.append((at + begin, at + len(new)))
+        if local:
+            if role not in known:
+                known[role] = frame(template, [], role, [])
+            got = framed(new[begin:], known[role])
+            texts.append(got and (at + begin + got[0], at + begin + got[1]))
+        elif not rewritten:
+            texts.append(framed(new, frame(template, done, role, [])))
+        done.append((role, text))
         out = new
-    return "".join([*base, out]), found, rewritten
+    if rewritten and not local:
+        texts = [framed(out, frame(template, done[:i], role, done[i + 1 :])) for i, (role, _) in enumerate(turns)]
+    return "".join([*base, out]), found, texts, rewritten
+
+
+def frame(template, before, role, after):
+    """What a turn's text stands between in the output: the alike ends of two renderings with different texts."""
+    one, two = (template([*before, (role, t), *after]) for t in ("ABCA", "DBCD"))
+    head = next((i for i, (x, y) in enumerate(zip(one, two, strict=False)) if x != y), None)
+    if head is None:
+        return None
+    tail = next(i for i, (x, y) in enumerate(zip(reversed(one), reversed(two), strict=False)) if x != y)
+    return one[:head], one[len(one) - tail :]
+
+
+def framed(out: str, ends):
+    """The span of ``out`` between its ends, or None if it has others."""
+    if ends is None or len(out) < len(ends[0]) + len(ends[1]) or not (out.startswith(ends[0]) and out.endswith(ends[1])):
+        return None
+    return len(ends[0]), len(out) - len(ends[1])
 
 
 def _conversations(batches):
     """(conv_id, turns) from rows that come sorted; a conversation may go over many batches."""
     rows = (row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
-    for conv, group in itertools.groupby(rows, key=lambda r: r[0]):
+    single = itertools.count(1)  # a row without conv_id is a conversation of its own
+    for (conv, _), group in itertools.groupby(rows, key=lambda r: (r[0], next(single) if r[0] is None else 0)):
         yield conv, [(r[1] or "", r[2] or "") for r in group]
 
 
@@ -78,22 +109,20 @@ def format_chats(conversations: DataFrame, template=chatml, window: int = 256) -
 
     Columns: conv_id, formatted, turns (role, begin, end, text_begin, text_end: code points in ``formatted``),
     rewrites_history. Turns go by turn, then role and text (ties and repeats stay, nulls first); null role or text:
-    empty; rows without conv_id are one conversation. The text's span is the longest escaped text inside the turn's
-    span. An empty table gives no rows.
+    empty; a row without conv_id is a conversation of its own. Text spans are found by rendering (see ``spans``), null
+    where they can't be. An empty table gives no rows; other columns are ignored.
     """
 
     def run(batches):
         for conv, turns in _conversations(batches):
-            out, found, rewritten = spans(turns, template, window)
-            rows = []
-            for (role, text), (begin, end) in zip(turns, found, strict=True):
-                e = escape(text)
-                at = out.find(e, min(end, begin + len(head(role))) if out.startswith(head(role), begin) else begin, end)
-                rows.append({"role": role, "begin": begin, "end": end, "text_begin": at if at >= 0 else None, "text_end": at + len(e) if at >= 0 else None})
+            out, found, texts, rewritten = spans(turns, template, window)
+            rows = [{"role": role, "begin": b, "end": e, "text_begin": t and t[0], "text_end": t and t[1]} for (role, _), (b, e), t in zip(turns, found, texts, strict=True)]
             t = pa.struct([("role", pa.string()), *((k, pa.int64()) for k in ("begin", "end", "text_begin", "text_end"))])
             yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([out], pa.string()), pa.array([rows], pa.list_(t)), pa.array([rewritten])], names=["conv_id", "formatted", "turns", "rewrites_history"])
 
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", "turn").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", "turn")
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).otherwise(0)
+    rows = rows.repartition("conv_id", alone).sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.select("conv_id", "role", "text").mapInArrow(run, FORMATTED)
 
 
@@ -112,7 +141,7 @@ def digest(formatted: DataFrame, learn: str = "assistant") -> DataFrame:
                     n += 1
                     whole.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
                 for t in turns:
-                    if t["role"] == learn:
+                    if t["role"] == learn and t["text_begin"] is not None:
                         text = unescape(out[t["text_begin"] : t["text_end"]])
                         chars += len(text)
                         loss.update(text.encode())
