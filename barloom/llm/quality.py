@@ -85,7 +85,8 @@ def sampled(docs: DataFrame, ids: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["f"])
 
     some = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    got = docs.join(F.broadcast(some), "doc_id", "left_semi").select("text").mapInArrow(run, "f binary").collect()
+    rows = docs.join(F.broadcast(some), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))  # one of the rows that repeat an id
+    got = rows.select("text").mapInArrow(run, "f binary").collect()
     return np.stack([np.frombuffer(r.f, np.float32) for r in got]) if got else np.zeros((0, WIDTH), np.float32)
 
 
@@ -95,8 +96,9 @@ def score(docs: DataFrame, labels: DataFrame, fold=None, positives: int = 3000,
     ``labels`` (doc_id, quality) marks some documents. It learns from at most ``positives`` documents marked 1 and
     ``unlabelled`` others for which ``fold`` (a condition on doc_id) holds; the class prior is the share of 1 among the
     marks of the fold. Labels are the only thing taken from ``labels``; a document with two marks counts as good if
-    both say so. Null and empty texts score by their zero features. Without positives or unlabelled documents every
-    score is the prior (0.5 without marks). Repeated rows are scored alike; an empty table gives no rows; other columns
+    both say so. Where every document is labelled, those of the fold serve as the unlabelled mixture too. Null and empty
+    texts score by their zero features. Without positives every score is the prior (0.5 without marks). Of rows that
+    repeat a doc_id one (the least text) can be trained on; rows without doc_id are scored only. Repeated rows are scored alike; an empty table gives no rows; other columns
     are kept.
     """
     inside = F.lit(True) if fold is None else fold
@@ -107,6 +109,8 @@ def score(docs: DataFrame, labels: DataFrame, fold=None, positives: int = 3000,
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & inside)
     good = sampled(text, ids.join(marks.where("quality = 1"), "doc_id", "left_semi"), positives)
     other = sampled(text, ids.join(labels.select("doc_id"), "doc_id", "left_anti"), unlabelled)
+    if not len(other):  # every document is labelled: those of the fold are a mixture too, whatever their marks
+        other = sampled(text, ids, unlabelled)
     if len(good) and len(other):
         w, b, mean, scale = train(good, other, prior)
         w, b = w / scale, b - (mean * w / scale).sum()
