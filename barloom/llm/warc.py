@@ -28,7 +28,15 @@ def plain_tag(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), r"^W/", "")
 
 
-def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
+def one_case(headers: Column) -> Column:
+    """Header names in lower case; the values of names that differ in case only are joined by commas, in order of the names."""
+    entries = F.array_sort(F.map_entries(headers))
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    values = F.transform(names, lambda n: F.array_join(F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == n), lambda e: e["value"]), ", "))
+    return F.map_from_arrays(names, values)
+
+
+def resolve_revisits(records: DataFrame, bucket_seconds: int = 3_600) -> DataFrame:
     """Each revisit of ``records`` with the response it stands for.
 
     ``records``: record_id long, url, ts long (epoch seconds), kind ('response' or 'revisit'), etag, last_modified,
@@ -36,7 +44,8 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFr
     (merged; null unless resolved). resolution: 'resolved' (validators agree), 'mismatch' (they don't), 'unverified'
     (neither has one in common: response_id is given, headers are not merged) or 'missing' (no earlier full response).
     Earlier: smaller ts, or equal ts and smaller record_id. Other kinds are ignored. Revisits without url or ts are
-    missing; repeated rows are resolved each. An empty table gives no rows; other columns are ignored.
+    missing; repeated rows are resolved each. Header names are compared in lower case; see ``one_case`` for repeated ones,
+    null values are empty; a null map has no headers. Rows without record_id come before others of their ts. An empty table gives no rows; other columns are ignored.
 
     The as-of join runs in two steps so that one very common URL is spread over its time buckets: the latest response
     inside the bucket, else the last one of the latest earlier bucket, from a table of one row per URL and bucket.
@@ -56,9 +65,9 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFr
     times = F.col("last_modified").isNotNull() & F.col("to.last_modified").isNotNull()
     same = F.when(tags, plain_tag(F.col("etag")) == plain_tag(F.col("to.etag"))).when(times, F.col("last_modified") == F.col("to.last_modified"))
     resolution = F.when(F.col("canonical_url").isNull() | F.col("ts").isNull() | F.col("to").isNull(), "missing").when(same.isNull(), "unverified").when(same, "resolved").otherwise("mismatch")
-    lower = lambda m: F.map_from_entries(F.array_distinct(F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
-    new = F.map_filter(lower(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda k, v: ~k.isin(*NOT_MERGED))
-    old = lower(F.coalesce("to.headers", F.create_map().cast("map<string,string>")))
+    lower = lambda m: one_case(F.coalesce(m, F.create_map().cast("map<string,string>")))
+    new = F.map_filter(lower(F.col("headers")), lambda k, v: ~k.isin(*NOT_MERGED))
+    old = lower(F.col("to.headers"))
     merged = F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
     out = out.withColumn("resolution", resolution)
     return out.select("record_id", "canonical_url", "ts", "resolution", F.when(F.col("resolution") != "missing", F.col("to.record_id")).alias("response_id"), F.when(F.col("resolution") == "resolved", merged).alias("headers"))
