@@ -4,7 +4,8 @@ Each vector is projected on many random lines. Two vectors of cosine at least ``
 they fall into a window of fixed half-width around each other with a known probability; others do so less often. Pairs
 that collide on at least as many lines as all but a small share of linked pairs (the calibrated count) are verified by
 their cosine. Vectors are compared within their label only: a label's vectors are sorted along its first line and cut
-into tiles, and a tile meets the tiles within its window.
+into tiles, and a tile meets the tiles within its window. In a meeting, one tile is sorted along every line and each vector of
+the other counts those inside its window on the line.
 """
 
 from __future__ import annotations
@@ -65,11 +66,17 @@ def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: floa
             boss[x] = x = boss.get(boss[x], boss[x])
         return x
 
+    order = np.argsort(pb_, axis=0, kind="stable")  # the right tile sorted along each line
+    along = np.take_along_axis(pb_, order, 0)
     for at in range(0, len(a), rows):
-        count = np.zeros((min(rows, len(a) - at), len(b)), np.uint8)
-        for k in range(lines):
-            count += np.abs(pa_[at : at + rows, k, None] - pb_[None, :, k]) <= half
-        i, j = np.nonzero(count >= least)
+        m = min(rows, len(a) - at)
+        count, each = np.zeros((len(b), m), np.uint8), np.arange(m)
+        for k in range(lines):  # the window of half a width around each query: who enters and who leaves it, then who is inside
+            mark = np.zeros((len(b) + 1, m), np.int8)
+            mark[np.searchsorted(along[:, k], pa_[at : at + m, k] - half), each] += 1
+            mark[np.searchsorted(along[:, k], pa_[at : at + m, k] + half, "right"), each] -= 1
+            count[order[:, k]] += np.cumsum(mark[:-1], axis=0, dtype=np.int8).view(np.uint8)
+        j, i = np.nonzero(count >= least)
         if same:
             i, j = i[i + at < j], j[i + at < j]
         if not len(i):
@@ -87,7 +94,7 @@ def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: floa
     return ia, ib, na, nb, edges
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, lines: int = 32, width: float = 2.0, recall: float = 0.9999, tile_rows: int = 1024, seed: int = 11) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, lines: int = 32, width: float = 2.0, recall: float = 0.9999, tile_rows: int = 8192, seed: int = 11) -> DataFrame:
     """A row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     n_links: other vectors of the same label with cosine (double) at least ``threshold``; component_id: the smallest
