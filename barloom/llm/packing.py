@@ -13,101 +13,89 @@ The plan's rows say which ranks of which length go where; Spark numbers the piec
 from __future__ import annotations
 
 import functools
-import string
-import struct
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words that a worker remembers; beyond it the older half is forgotten.
-REMEMBER = 400_000
+#: Bytes of text whose distinct words are encoded together; words whose ids are put together at a time.
+BATCH, PART = 8 << 20, 200_000
+#: Words that are not safe to encode alone: empty ones, those with white space at an end, and those with a mark of special tokens.
+UNSAFE = r"^$|^[\s\x0b\x{85}\p{Z}]|[\s\x0b\x{85}\p{Z}]$|<\|"
 
 
 class WordEncoder:
-    """Token ids of whole texts, with the ids of words remembered.
+    """Token ids of whole texts from the ids of their distinct words.
 
     A byte-level BPE never merges across a single space between two non-space characters, so a text's ids are the ids
-    of its space-led words one after the other; a text with other spacing is encoded whole.
+    of its space-led words one after the other; a text with other spacing is encoded whole. The distinct words of some
+    texts are encoded as one text; a token that starts with a space begins the next word's ids.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-
-        self.model = self.tok.model
-        # the byte alphabet of byte-level BPE: printable Latin-1 bytes stand for themselves, the others for 256, 257, ...
-        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        rest = [b for b in range(256) if b not in set(plain)]
-        self.alphabet = {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
-        self.space = self.alphabet[32]
-        self.line_end = self.tok.token_to_id(self.alphabet[10])
+        space = chr(256 + 32)  # what stands for a space in the byte alphabet of byte-level BPE
+        self.leads = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.tok.get_vocab().items():
+            self.leads[i] = token.startswith(space)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece(self, piece: str, space: bool) -> list:
-        """Tokens of one pre-token, with or without a space before it."""
-        known = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
-        return self.model.tokenize(self.space + known if space else known)
-
-    def _part(self, part: str, space: bool) -> list[int]:
-        """Ids of letters, signs, or letters and signs, which are a pre-token each; others go through the whole tokenizer."""
-        core = part.rstrip(string.punctuation)
-        if core.isalpha():
-            tokens = self._piece(core, space)
-            if len(core) < len(part):
-                tokens += self._piece(part[len(core) :], False)
-        elif not core:
-            tokens = self._piece(part, space)
-        else:
-            return self.tok.encode(" " + part if space else part, add_special_tokens=False).ids
-        return [t.id for t in tokens]
-
-    def _word(self, word: str) -> bytes | None:
-        """Ids of a space and ``word``. Line ends inside it, between other characters, are pre-tokens of their own."""
-        if not word or word[0].isspace() or word[-1].isspace():
-            return None
-        parts = word.split("\n")
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts) or "<|" in word:
-            ids = self.tok.encode(" " + word, add_special_tokens=False).ids
-        else:
-            ids = self._part(parts[0], True)
-            for p in parts[1:]:
-                ids += [self.line_end, *self._part(p, False)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        if len(self.young) > REMEMBER:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        split = [t.split(" ") for t in texts]
-        for w in set().union(*split) - young.keys():
-            young[w] = old[w] if w in old else self._word(w)
-        firsts = self._ids([words[0] for words in split])
-        out, whole = [], []
-        for i, words in enumerate(split):
-            first = words[0]
-            try:
-                if len(words) > 1 and (not first or first[-1].isspace()):
-                    raise TypeError
-                rest = b"".join(map(young.__getitem__, words[1:]))  # a word that isn't safe to encode alone is None
-                out.append(firsts[i] + rest)
-            except TypeError:
-                out.append(b"")
-                whole.append(i)
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+    def _words(self, words: pa.Array):
+        """(which of the words are safe to encode alone, the ids of the safe ones together, where each one's start and how many there are)."""
+        safe = ~pc.match_substring_regex(words, UNSAFE).to_numpy(zero_copy_only=False)
+        size, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        some, ids = words.filter(pa.array(safe)).to_pylist(), [np.empty(0, "<u4")]
+        for at in range(0, len(some), 5000):
+            ids.append(np.frombuffer(self._ids([" " + " ".join(some[at : at + 5000])])[0], "<u4"))
+        ids = np.concatenate(ids)
+        first = np.flatnonzero(self.leads[ids])
+        if len(first) != len(some):
+            raise ValueError("not a byte-level tokenizer that keeps space-led words apart")
+        start[safe], size[safe] = first, np.diff(np.append(first, len(ids)))
+        return safe, ids, start, size
+
+    def encode(self, texts) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers, for a list or an Arrow array of texts.
+
+        Arrow splits the texts and numbers the distinct words, so only these go through Python.
+        """
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        parts = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        words, n = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(n):
+            return []
+        ends = np.cumsum(n)
+        coded = words.dictionary_encode()
+        index = coded.indices.to_numpy()
+        safe, ids, start, size = self._words(coded.dictionary)
+        later = np.ones(len(index), bool)
+        later[ends - n] = False  # a text's first word has no space before it
+        count = size[index] * later
+        rest = [np.empty(0, "<u4")]
+        for at in range(0, len(index), PART):
+            c = count[at : at + PART]
+            rest.append(ids[np.arange(c.sum()) + np.repeat(start[index[at : at + PART]] - np.cumsum(c) + c, c)])
+        rest, till = np.concatenate(rest), np.append(0, np.cumsum(count))
+        firsts = words.take(pa.array(ends - n)).to_pylist()
+        unsafe = ~safe[index] & later
+        whole = set(np.searchsorted(ends, np.flatnonzero(unsafe), "right").tolist())
+        whole |= {i for i, first in enumerate(firsts) if n[i] > 1 and (not first or first[-1].isspace())}
+        out = [b"" if i in whole else f + rest[till[e - m] : till[e]].tobytes() for i, (f, e, m) in enumerate(zip(self._ids(firsts), ends.tolist(), n.tolist(), strict=True))]
+        if whole:
+            some = sorted(whole)
+            for i, got in zip(some, self._ids([texts[i].as_py() for i in some]), strict=True):
+                out[i] = got
         return out
 
 
@@ -118,21 +106,34 @@ def encoder(path: str) -> WordEncoder:
 
 def cut(batches, path: str, capacity: int, end_id: int):
     enc, end = encoder(path), np.asarray([end_id], "<u4").tobytes()
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for at in range(0, len(ids), 512):
-            rows = []
-            some = [t or "" for t in texts.slice(at, 512).to_pylist()]
-            for doc, got in zip(ids[at : at + 512], enc.encode(some), strict=True):
-                data = memoryview(got + end)
-                total = len(data) // 4
-                start, length = 0, total % capacity or capacity
-                piece = 0
-                while start < total:
-                    rows.append((doc, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))
-                    start, piece, length = start + length, piece + 1, capacity
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+    for ids, texts in gathered(batches):
+        rows = []
+        for doc, got in zip(ids, enc.encode(texts), strict=True):
+            data = memoryview(got + end)
+            total = len(data) // 4
+            start, length = 0, total % capacity or capacity
+            piece = 0
+            while start < total:
+                rows.append((doc, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))
+                start, piece, length = start + length, piece + 1, capacity
+        cols = list(zip(*rows, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+
+def gathered(batches):
+    """(ids, texts) of about BATCH bytes from Arrow batches of any size."""
+    ids, texts, total = [], [], 0
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            ids += part.column(0).to_pylist()
+            texts.append(part.column(1).fill_null(""))
+            total += pc.sum(pc.binary_length(texts[-1])).as_py()
+            if total >= BATCH:
+                yield ids, pa.concat_arrays(texts)
+                ids, texts, total = [], [], 0
+    if ids:
+        yield ids, pa.concat_arrays(texts)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -184,12 +185,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    pieces = scratch.save(docs.select("doc_id", "text").mapInArrow(lambda b: cut(b, tokenizer_path, capacity, end_id), PIECES))
+    pieces = scratch.save(docs.select("doc_id", "text").mapInArrow(lambda b: cut(b, tokenizer_path, capacity, end_id), PIECES).withColumn("at", F.monotonically_increasing_id()))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     chunks = max(256, -(-sum(counts.values()) // chunk_rows))
-    pieces = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(chunks)))
+    pieces = pieces.withColumn("chunk", F.pmod(F.xxhash64("at"), F.lit(chunks)))
     before = pieces.groupBy("length", "chunk").agg(F.count("*").alias("n")).select("length", "chunk", (F.sum("n").over(Window.partitionBy("length").orderBy("chunk")) - F.col("n")).alias("before"))
-    in_chunk = Window.partitionBy("chunk").orderBy("length", "doc_id", "piece", "start", "ids_crc32")
+    in_chunk = Window.partitionBy("chunk").orderBy("length", "at")
     numbered = pieces.withColumn("row", F.row_number().over(in_chunk)).withColumn("nth", F.col("row") - F.min("row").over(Window.partitionBy("chunk", "length")))
     ranked = numbered.join(before, ["length", "chunk"]).withColumn("rank", F.col("before") + F.col("nth"))
     rows = [(*r, r[1] + r[2]) for r in plan(counts, capacity)]
