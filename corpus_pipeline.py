@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm import jaccard, mixing, packing, quality, queries, suffix
-from barloom.llm.shared import Scratch
+from barloom.llm.shared import Scratch, small
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +21,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest doc_id. Documents without doc_id stay."""
-    found = jaccard.jaccard_components(docs.select("doc_id", "text"), width=5, threshold=75)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each class of near duplicates one row: that of the smallest doc_id (null: after all others), then of the smallest hash of its text.
+
+    Rows are told apart by doc_id and text, so a row goes only with its own class, whatever shares its doc_id; of equal
+    rows one stays. Texts without words are in no class: all their rows stay.
+    """
+    scratch = Scratch(spark)
+    found = jaccard.jaccard_components(docs.select("doc_id", "text"), width=5, threshold=75).where("n_shingles > 0")
+    rows = scratch.save(found.groupBy("class_id", "doc_id", "h").agg(F.count("*").alias("copies")))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
+    classes = rows.groupBy(F.col("class_id").alias("of")).agg(F.min(key).alias("one"), F.count("*").alias("n")).where("n > 1")
+    classes = small(scratch.save(classes.select("of", F.col("one.doc_id").alias("first_id"), F.col("one.h").alias("first_h"))))
+    other = rows.join(classes, F.col("class_id") == F.col("of")).where(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))))
+    gone = small(scratch.save(other.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"))))
+    again = scratch.save(rows.where("copies > 1").select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")))
+    same = F.col("key_id").eqNullSafe(F.col("gone_id")) & (F.col("key_h") == F.col("gone_h"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("key_id"), F.xxhash64("text").alias("key_h"), F.struct(*docs.columns).alias("row"))  # whatever names docs has
+    left = keyed.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return left.select("row.*")
+    again = small(again)
+    one = left.join(again, same, "left_semi").groupBy("key_id", "key_h", F.col("row.text").alias("text")).agg(F.first("row").alias("row"))
+    return left.join(again, same, "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,21 +58,19 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     of = [F.col(c).alias(f"of_{c.removeprefix('doc_')}") for c in ("doc_id", "source", "size")]
     copies = mixed.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("all"), F.count("*").alias("rows")).where("all > 0")
     copies = scratch.save(copies.select(*of, F.floor(F.col("all") / F.col("rows")).cast("int").alias("copies"), (F.col("all") % F.col("rows")).alias("extra")))
-    small = copies.count() <= 500_000  # under 64 bytes a row
+    found = small(copies, 500_000)  # under 64 bytes a row
     size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
-
-    def taken(rows: DataFrame, copies: DataFrame) -> DataFrame:
-        found = F.broadcast(copies) if small else copies
-        return rows.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (size == F.col("of_size")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("source").alias("from"), size.alias("size"), F.struct(*docs.columns).alias("row"))  # whatever names docs has
+    match = F.col("id").eqNullSafe(F.col("of_id")) & F.col("from").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))
 
     def repeated(hit: DataFrame) -> DataFrame:
-        return hit.where("copies > 0").withColumn("of_id", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+        return hit.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
-    even, uneven = copies.where("extra = 0"), copies.where("extra > 0")
-    if uneven.isEmpty():
-        return repeated(taken(docs, even))
+    if copies.where("extra > 0").isEmpty():
+        return repeated(rows.join(found, match))
     # rows of a group are numbered by the task that read them and their place there: no task has to hold a whole group
-    hit = scratch.save(taken(docs, uneven).withColumn("of_task", F.spark_partition_id()).withColumn("of_place", F.monotonically_increasing_id()))
+    hit = rows.join(found.where("extra > 0"), match).withColumn("of_task", F.spark_partition_id()).withColumn("of_place", F.monotonically_increasing_id())
+    hit = scratch.save(hit.select("row", "of_id", "of_source", "of_size", "copies", "extra", "of_task", "of_place"))
     group = ["of_id", "of_source", "of_size"]
     before = hit.groupBy(*group, "of_task").agg(F.count("*").alias("of_rows"))
     before = before.withColumn("of_before", F.sum("of_rows").over(Window.partitionBy(*group).orderBy("of_task")) - F.col("of_rows"))
@@ -62,7 +78,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in (*group, "of_task")]
     more = place.alias("p").join(before.alias("q"), same).where("of_before + of_nth <= extra").select(F.col("p.of_place").alias("of_more"))
     odd = hit.join(more, F.col("of_place") == F.col("of_more"), "left").withColumn("copies", F.col("copies") + F.col("of_more").isNotNull().cast("int"))
-    return repeated(taken(docs, even)).unionByName(repeated(odd))
+    return repeated(rows.join(found.where("extra = 0"), match)).unionByName(repeated(odd))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
