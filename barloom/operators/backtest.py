@@ -137,3 +137,76 @@ def bootstrap_returns(trades: DataFrame, simulations: int = 1000, fraction: floa
     sims = sims.withColumn("nth", F.row_number().over(w.orderBy("r", "sim")) - 1)
     pick = lambda q: F.max(F.when(F.col("nth") == int(simulations * q), F.col("r")))
     return sims.groupBy("symbol").agg(*[pick(q / 100).alias(f"p{q}") for q in (5, 25, 50, 75, 95)], F.avg((F.col("r") > 0).cast("double")).alias("p_positive"), F.min("r").alias("worst"), F.max("r").alias("best"))
+
+
+KEY = "\x1f"  # between a symbol and the name of one of its runs
+
+
+def runs_of(bars: DataFrame, **parts) -> DataFrame:
+    """Bars of a run: the symbol with the run's ``parts`` behind it, so that every operator takes a run as a symbol of its own."""
+    return bars.withColumn("symbol", F.concat_ws(KEY, "symbol", *[p.cast("string") for p in parts.values()]))
+
+
+def of_runs(df: DataFrame, *names: str) -> DataFrame:
+    """The parts of ``runs_of`` as columns again; a symbol may hold anything but the mark between them."""
+    part = F.split("symbol", KEY)
+    return df.withColumns({n: part[i + 1] for i, n in enumerate(names)}).withColumn("symbol", part[0])
+
+
+def folds(bars: DataFrame, splits: int, test_splits: int, purge: int, minimum: int) -> DataFrame:
+    """Bars by (fold, role): the test part is ``test_splits`` of ``splits`` equal blocks, training the prefix that ends ``purge`` bars before it.
+
+    Folds with less than ``minimum`` training bars are left out. A bar goes to a few folds by its number, without a join.
+    """
+    w = Window.partitionBy("symbol")
+    b = bars.withColumn("idx", F.row_number().over(w.orderBy("ts")) - 1).withColumn("size", F.floor(F.count("*").over(w) / splits)).withColumn("bars", F.count("*").over(w))
+    roles = []
+    for i in range(splits - test_splits + 1):
+        start = F.col("size") * i
+        end = F.col("size") * (i + test_splits) if i + test_splits < splits else F.col("bars")
+        ok, idx = start - purge >= minimum, F.col("idx")
+        roles += [F.when(ok & (idx < start - purge), F.struct(F.lit(i).alias("fold"), F.lit("train").alias("role"))), F.when(ok & (idx >= start) & (idx < end), F.struct(F.lit(i).alias("fold"), F.lit("test").alias("role")))]
+    return b.withColumn("at", F.explode(F.filter(F.array(*roles), lambda x: x.isNotNull()))).select(*bars.columns, "at.fold", "at.role")
+
+
+def purged_cv_backtest(bars: DataFrame, splits: int = 5, test_splits: int = 2, purge: int = 10, horizon: int = 5, step: int = 5, **trade) -> tuple[DataFrame, DataFrame]:
+    """(a row per symbol and fold: Sharpe ratio, return, drawdown and verdict of its training and test part, and overfit, the difference of the ratios; a row per symbol: mean, deviation and consistency of the test ratios).
+
+    The training part is tested without purge and embargo, the test part with those of ``walk_forward`` and
+    ``simulate_trades``. Folds whose parts are too short for a cutoff are left out.
+    """
+    f = folds(bars, splits, test_splits, purge, 50)
+    got = None
+    for role, gaps in (("train", (0, 0)), ("test", (5, 2))):
+        rows = walk_forward(runs_of(f.where(F.col("role") == role), fold=F.col("fold")), horizon=horizon, step=step, purge=gaps[0])
+        m = of_runs(backtest_metrics(simulate_trades(rows, embargo=gaps[1], **trade), horizon=horizon), "fold")
+        m = m.select("symbol", F.col("fold").cast("int").alias("fold"), *[F.col(c).alias(f"{role}_{c}") for c in ("sharpe", "total_return", "max_drawdown", "trades", "verdict")])
+        got = m if got is None else got.join(m, ["symbol", "fold"])
+    got = got.withColumn("overfit", F.col("train_sharpe") - F.col("test_sharpe"))
+    sd = F.coalesce(F.stddev_samp("test_sharpe"), F.lit(0.0))
+    summary = got.groupBy("symbol").agg(F.count("*").alias("folds"), F.avg("test_sharpe").alias("mean_sharpe"), sd.alias("sd_sharpe"), F.count_if(F.col("test_sharpe") > 0).alias("positive"))
+    return got, summary.withColumn("consistency", F.when(F.col("sd_sharpe") > 0, F.col("mean_sharpe") / F.col("sd_sharpe")).otherwise(0.0))
+
+
+def regimes(bars: DataFrame, window: int = 63, step: int = 21) -> DataFrame:
+    """(symbol, idx, hurst, regime) at every ``step``-th bar: the forecast's Hurst exponent of the ``window`` bars before it."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+
+    def label(pdfs):
+        for pdf in pdfs:
+            h = [prefix_hurst(np.diff(np.log(np.asarray(c)))) for c in pdf["closes"]]
+            yield pdf[["symbol", "idx"]].assign(hurst=h)
+
+    b = bars.select("symbol", (F.row_number().over(w) - 1).cast("long").alias("idx"), F.collect_list("close").over(w.rowsBetween(-window, -1)).alias("closes"))
+    b = b.where((F.col("idx") >= window) & ((F.col("idx") - window) % step == 0)).mapInPandas(label, "symbol string, idx long, hurst double")
+    return b.withColumn("regime", F.when(F.col("hurst") > 0.55, "TREND").when(F.col("hurst") < 0.45, "MEAN_REVERSION").otherwise("RANDOM"))
+
+
+def regime_backtest(bars: DataFrame, window: int = 63, step: int = 21, horizon: int = 5, least: int = 3, **trade) -> DataFrame:
+    """A row per symbol and regime with ``least`` labels: their number and the metrics of a back-test on the bars up to its last label and ``horizon`` more."""
+    labels = regimes(bars, window, step).groupBy("symbol", "regime").agg(F.count("*").alias("observations"), F.max("idx").alias("last")).where(F.col("observations") >= least)
+    w = Window.partitionBy("symbol").orderBy("ts")
+    b = bars.withColumn("idx", F.row_number().over(w) - 1).join(labels.select("symbol", "regime", "last"), "symbol").where(F.col("idx") < F.col("last") + horizon)
+    rows = walk_forward(runs_of(b.select(*bars.columns, "regime"), regime=F.col("regime")), horizon=horizon, step=step)
+    m = of_runs(backtest_metrics(simulate_trades(rows, **trade), horizon=horizon), "regime")
+    return labels.drop("last").join(m.drop("observations"), ["symbol", "regime"])

@@ -153,6 +153,21 @@ def enrich_quotes(quotes: DataFrame, catalog: DataFrame) -> DataFrame:
     return quotes.join(catalog, "symbol", "left")
 
 
+def missing_symbols(wanted: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Those of ``wanted`` (symbol), trimmed and in upper case, that no quote has."""
+    return wanted.select(F.upper(F.trim("symbol")).alias("symbol")).distinct().join(quotes.select("symbol"), "symbol", "left_anti")
+
+
+def prefix_join(cutoffs: DataFrame, bars: DataFrame) -> DataFrame:
+    """Each of ``cutoffs`` (symbol, cutoff, train_end) with the symbol's bars numbered below train_end: its expanding training window.
+
+    The rows grow with the square of a series; running sums (``walk_forward``, ``factors``) need none of them. For models
+    that must see every training row.
+    """
+    b = bars.withColumn("idx", F.row_number().over(by_time()) - 1)
+    return cutoffs.join(b, "symbol").where(F.col("idx") < F.col("train_end"))
+
+
 def horizon_targets(bars: DataFrame, horizon: int = 5, purge: int = 5, step: int = 5, minimum: int = 50) -> DataFrame:
     """Per cutoff: the last training close (``purge`` + 1 bars before), the close ``horizon`` bars after, and the return between them."""
     w = by_time()
@@ -198,10 +213,16 @@ def covariance_pairs(returns: DataFrame, block_symbols: int = 256) -> DataFrame:
 
 
 def catalyst_events(announcements: DataFrame, symbols: DataFrame, positive: list[str], negative: list[str]) -> DataFrame:
-    """(doc_id, symbol, at, direction, excerpt): first mention of each symbol as a word of an announcement, by token join and position check."""
+    """(doc_id, symbol, at, direction, excerpt): first mention of each symbol as a word of an announcement, and the class of the excerpt around it.
+
+    Words are runs of letters and digits, so punctuation beside a symbol doesn't hide it.
+    """
     from ..functions.scalar import classify_text, collapse, text_excerpt
 
     up = F.upper(collapse(F.col("text")))
-    words = announcements.select("doc_id", F.explode(F.array_distinct(F.split(up, " "))).alias("symbol"))
+    plain = lambda text: F.regexp_replace(text, r"[^\p{L}\p{N}]", " ")
+    words = announcements.select("doc_id", F.explode(F.array_distinct(F.split(plain(up), " "))).alias("symbol"))
     hit = words.join(symbols.select("symbol"), "symbol").join(announcements.select("doc_id", up.alias("clean")), "doc_id")
-    return hit.withColumn("at", F.expr("instr(clean, symbol)")).where("at > 0").select("doc_id", "symbol", "at", classify_text(F.col("clean"), positive, negative).alias("direction"), text_excerpt(F.col("clean"), F.col("at")).alias("excerpt"))
+    at = F.instr(F.concat(F.lit(" "), plain(F.col("clean")), F.lit(" ")), F.concat(F.lit(" "), F.col("symbol"), F.lit(" ")))
+    hit = hit.withColumn("at", at).withColumn("excerpt", text_excerpt(F.col("clean"), F.col("at")))
+    return hit.select("doc_id", "symbol", "at", classify_text(F.col("excerpt"), positive, negative).alias("direction"), "excerpt")

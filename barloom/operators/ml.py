@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .backtest import folds, of_runs, prefix_forecast, runs_of
+from .forecast import return_probabilities
+from .models import solved
+
 
 def unpivot(df: DataFrame, names: list[str], keys: tuple = ("symbol", "ts")) -> DataFrame:
     return df.select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("x")) for n in names])))
@@ -68,3 +76,161 @@ def ml_dataset(bars: DataFrame, names: list[str], lookback: int = 100, horizon:
     w = by_time().rowsBetween(-lookback, -1)
     d = f.withColumn("rows", F.collect_list(F.array(*names)).over(w)).where((F.size("rows") == lookback) & F.col("y").isNotNull())
     return d.select("symbol", "ts", F.flatten("rows").alias("features"), "y")
+
+
+PREDICTED = "symbol string, cutoff long, train_end long, train_rows long, predicted_return double, actual_return double, expected_price double, actual_price double, volatility double, hurst double"
+
+
+class Pipeline:
+    """Robust scaling, selection of ``features`` columns by mutual information or F score, and least squares, fitted on training rows alone."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, features: int = 20, selection: str = "mutual_info", bins: int = 10):
+        s = np.sort(x, axis=0)
+        low, self.middle, high = (s[int(len(s) * q)] for q in (0.25, 0.5, 0.75))
+        self.spread = high - low
+        z = self.scaled(x)
+        score = mutual_info(z, y, bins) if selection == "mutual_info" else f_score(z, y)
+        self.chosen = np.argsort(-score, kind="stable")[:features]
+        a = np.column_stack([np.ones(len(z)), z[:, self.chosen]])
+        b = solved(a.T @ a, a.T @ y) if len(z) > a.shape[1] else None
+        self.b = np.zeros(a.shape[1]) if b is None else b
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.divide(x - self.middle, self.spread, out=np.zeros_like(x), where=self.spread > 0)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.b[0] + self.scaled(x)[:, self.chosen] @ self.b[1:]
+
+
+def binned(v: np.ndarray, bins: int) -> np.ndarray:
+    low, high = v.min(0), v.max(0)
+    width = np.where(high > low, high - low, 1)
+    return np.minimum(bins - 1, ((v - low) / width * bins).astype(int))
+
+
+def mutual_info(x: np.ndarray, y: np.ndarray, bins: int = 10) -> np.ndarray:
+    """Of each column with y, over grids of equal-width bins."""
+    bx, by = binned(x, bins), np.eye(bins)[binned(y, bins)]
+    joint = np.stack([(bx == k).T @ by for k in range(bins)]) / len(x)  # bin of x, column, bin of y
+    px, py = joint.sum(2, keepdims=True), joint.sum(0, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.nansum(np.where(joint > 0, joint * np.log(joint / (px * py)), 0), axis=(0, 2))
+
+
+def f_score(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    xc, yc = x - x.mean(0), y - y.mean()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r2 = (xc.T @ yc) ** 2 / ((xc**2).sum(0) * (yc**2).sum())
+        return np.nan_to_num(r2 * (len(x) - 2) / (1 - r2))
+
+
+def ml_frame(bars: DataFrame, names: list[str], lookback: int = 60, horizon: int = 5) -> DataFrame:
+    """Every bar with idx, its ``features`` (the ``lookback`` rows before it, flattened; null for the first bars) and y, the log return of the next ``horizon`` bars (null for the last)."""
+    from .features import by_time, compute_features, families
+
+    f = compute_features(bars, sorted(k for k, columns in families().items() if set(names) & set(columns))).select("symbol", "ts", "close", "idx", *names)
+    w = by_time()
+    rows = F.collect_list(F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names])).over(w.rowsBetween(-lookback, -1))
+    f = f.select("symbol", "ts", "close", F.col("idx").cast("long").alias("idx"), F.when(F.col("idx") >= lookback, F.flatten(rows)).alias("features"), F.log(F.lead("close", horizon).over(w) / F.col("close")).alias("y"))
+    return f.withColumn("bars", F.count("*").over(Window.partitionBy("symbol")))
+
+
+def walk_forward_ml(frame: DataFrame, horizon: int = 5, minimum: int = 100, step: int = 5, purge: int = 5, gap: int = 0, block: int = 16, **pipeline) -> DataFrame:
+    """Rows of PREDICTED: for every ``step``-th cutoff of each symbol of ``frame`` (see ``ml_frame``) the return that a model predicts for it.
+
+    The model is fitted on bars before cutoff - ``purge`` alone and asked at bar cutoff + ``gap``; fewer than ``minimum``
+    training bars give no row. A group is a symbol and ``block`` cutoffs with the bars before the last of them, so a long
+    series is spread over many tasks, and rows are sent once a block rather than once a cutoff.
+    """
+    cutoffs = F.floor((F.col("bars") - 1 - horizon - gap - minimum) / step) + 1
+    last = F.ceil(cutoffs / block) - 1
+    first = F.greatest(F.lit(0), F.floor(F.ceil((F.col("idx") - gap - horizon - minimum) / step) / block))  # the first block that needs the bar
+    sent = frame.where((cutoffs > 0) & (first <= last)).withColumn("part", F.explode(F.sequence(first, last)))
+    rows = sent.select("symbol", "part", "idx", "close", "features", "y", "bars")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        symbol, part, n = pdf["symbol"].iloc[0], int(pdf["part"].iloc[0]), int(pdf["bars"].iloc[0])
+        idx, close = pdf["idx"].to_numpy(), pdf["close"].to_numpy()
+        known = pdf["features"].notna().to_numpy()
+        if not known.any():
+            return pd.DataFrame(columns=[c.split()[0] for c in PREDICTED.split(", ")])
+        x = np.full((len(pdf), len(pdf["features"][pdf["features"].notna()].iloc[0])), np.nan)
+        x[known] = np.stack(pdf["features"][known].to_numpy())
+        y, at, out = pdf["y"].to_numpy(float), {int(i): k for k, i in enumerate(idx)}, []
+        for cutoff in range(minimum + part * block * step, min(minimum + (part + 1) * block * step, n - horizon - gap), step):
+            end = cutoff - purge
+            train = known & (idx < end) & (idx + horizon < cutoff) & np.isfinite(y)
+            ask = at.get(cutoff + gap)
+            if end < minimum or train.sum() < 2 or ask is None or not known[ask]:
+                continue
+            model = Pipeline(x[train], y[train], **pipeline)
+            got = float(model.predict(x[ask : ask + 1])[0])
+            start = close[at[end - 1]]
+            target = close[at[cutoff + gap + horizon]]
+            f = prefix_forecast(close[: at[end - 1] + 1], horizon)
+            actual = float(y[ask]) if gap == 0 else float(target / start - 1)
+            out.append((symbol, cutoff, end, int(train.sum()), got, actual, float(start * math.exp(got)), float(target), f["volatility"] * math.sqrt(horizon), f["hurst"]))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in PREDICTED.split(", ")])
+
+    return rows.groupBy("symbol", "part").applyInPandas(run, PREDICTED)
+
+
+def judged(predicted: DataFrame) -> DataFrame:
+    """Adds direction, its outcome, the interval's hit and the error to rows of PREDICTED."""
+    c = F.col
+    way = F.when(c("predicted_return") > c("volatility") * 0.3, "UP").when(c("predicted_return") < -c("volatility") * 0.3, "DOWN").otherwise("UNCERTAIN")
+    was = F.when(c("actual_return") > 0, "UP").when(c("actual_return") < 0, "DOWN").otherwise("FLAT")
+    d = predicted.withColumn("direction", way).withColumn("actual_direction", was).withColumn("error", c("predicted_return") - c("actual_return"))
+    d = d.withColumn("direction_correct", (c("direction") == c("actual_direction")) | ((c("direction") == "UNCERTAIN") & (c("actual_direction") == "FLAT")))
+    width = F.exp(1.96 * c("volatility"))
+    return d.withColumn("within", (c("actual_price") >= c("expected_price") / width) & (c("actual_price") <= c("expected_price") * width)).withColumns(return_probabilities(c("predicted_return"), c("volatility")))
+
+
+def ml_metrics(predicted: DataFrame) -> DataFrame:
+    """One row per symbol: observations, direction_accuracy, coverage, mae, rmse, precision, recall, f1 and verdict of rows of PREDICTED."""
+    c, right = F.col, F.col("direction_correct")
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    up, was = c("direction") == "UP", c("actual_direction") == "UP"
+    a = judged(predicted).groupBy("symbol").agg(
+        F.count("*").alias("observations"), F.avg(right.cast("double")).alias("direction_accuracy"), F.avg(c("within").cast("double")).alias("coverage"), F.avg(F.abs("error")).alias("mae"), F.sqrt(F.avg(c("error") * c("error"))).alias("rmse"),
+        ratio(F.count_if(up & right), F.count_if(up)).alias("precision"), ratio(F.count_if(was & right), F.count_if(was)).alias("recall"),
+    )
+    a = a.withColumn("f1", ratio(2 * c("precision") * c("recall"), c("precision") + c("recall")))
+    acc, cover = c("direction_accuracy"), c("coverage")
+    verdict = F.when(c("observations") < 10, "INSUFFICIENT_DATA").when((acc > 0.55) & (c("rmse") < 0.03) & (cover > 0.8), "EXCELLENT").when((acc > 0.52) & (c("rmse") < 0.05) & (cover > 0.7), "GOOD").when(acc > 0.5, "MARGINAL").otherwise("POOR")
+    return a.withColumn("verdict", verdict)
+
+
+def embargo_validation(frame: DataFrame, embargo: int = 5, horizon: int = 5, **options) -> DataFrame:
+    """Rows of PREDICTED of models trained up to the cutoff and asked ``embargo`` bars after it; the return counts from the last training close."""
+    return walk_forward_ml(frame, horizon, purge=0, gap=embargo, **options)
+
+
+def purged_kfold_ml(bars: DataFrame, names: list[str], splits: int = 5, test_splits: int = 1, purge: int = 10, horizon: int = 5, minimum: int = 100, lookback: int = 60, **options) -> DataFrame:
+    """A row per symbol and fold (see ``backtest.folds``): the metrics of walk-forward models inside its training and inside its test part, and their gaps."""
+    f = folds(bars, splits, test_splits, purge, minimum)
+    got = None
+    for role in ("train", "test"):
+        frame = ml_frame(runs_of(f.where(F.col("role") == role).drop("role"), fold=F.col("fold")).drop("fold"), names, lookback, horizon)
+        m = of_runs(ml_metrics(walk_forward_ml(frame, horizon, minimum, purge=0, **options)), "fold")
+        m = m.select("symbol", F.col("fold").cast("int").alias("fold"), *[F.col(c).alias(f"{role}_{c}") for c in ("observations", "direction_accuracy", "rmse", "coverage", "verdict")])
+        got = m if got is None else got.join(m, ["symbol", "fold"])
+    for c in ("direction_accuracy", "rmse", "coverage"):
+        got = got.withColumn(f"{c}_gap", F.col(f"train_{c}") - F.col(f"test_{c}"))
+    return got
+
+
+def comprehensive_validation(bars: DataFrame, names: list[str], horizons: tuple = (1, 3, 5, 10, 20), lookback: int = 60, embargo: int = 2, **options) -> tuple[DataFrame, DataFrame]:
+    """(a row per symbol, horizon and kind: metrics of walk-forward and embargo models; a row per symbol: their averages over the horizons of the walk-forward ones and how many horizons are right more than half the time)."""
+    parts = []
+    for h in horizons:
+        frame = ml_frame(bars, names, lookback, h)
+        for kind, rows in (("walk_forward", walk_forward_ml(frame, h, **options)), ("embargo", embargo_validation(frame, embargo * 3, h, **options))):
+            parts.append(ml_metrics(rows).withColumn("horizon", F.lit(h)).withColumn("kind", F.lit(kind)))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    acc = F.col("direction_accuracy")
+    walk = every.where("kind = 'walk_forward' and observations > 0").groupBy("symbol").agg(F.avg(acc).alias("direction_accuracy"), F.avg("rmse").alias("rmse"), F.avg("coverage").alias("coverage"), F.count_if(acc > 0.5).alias("consistent"), F.count("*").alias("horizons"))
+    return every, walk

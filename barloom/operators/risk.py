@@ -29,14 +29,15 @@ def garch_sum(alpha: float = 0.1, beta: float = 0.85) -> Column:
     return F.when(n < 10, s2).otherwise(F.greatest(F.pow(F.lit(beta), n) * s2 + terms, F.lit(1e-10)))
 
 
-def ewma_variance_sum(keep: float = 0.94) -> Column:
-    """Recursive variance from 0, without the first return: an aggregate over ``numbered`` rows."""
-    return F.coalesce(F.sum(F.when(F.col("k") >= 1, (1 - keep) * F.pow(F.lit(keep), F.col("n") - 1 - F.col("k")) * F.pow(F.col("ret") - F.col("m"), 2))), F.lit(0.0))
+def ewma_variance_sum(keep: float = 0.94, value: Column | None = None, n: Column | None = None, k: Column | None = None) -> Column:
+    """Recursive variance from 0, without the first return: an aggregate over ``numbered`` rows, or over deviations with other numbers (null: left out)."""
+    n, k, value = F.col("n") if n is None else n, F.col("k") if k is None else k, F.col("ret") - F.col("m") if value is None else value
+    return F.coalesce(F.sum(F.when(k >= 1, (1 - keep) * F.pow(F.lit(keep), n - 1 - k) * F.pow(value, 2))), F.lit(0.0))
 
 
-def ewma_mean_sum(keep: float = 0.94) -> Column:
-    weight = F.when(F.col("k") == 0, 1.0).otherwise(1 - keep) * F.pow(F.lit(keep), F.col("n") - 1 - F.col("k"))
-    return F.sum(weight * F.col("ret"))
+def ewma_mean_sum(keep: float = 0.94, value: Column | None = None, n: Column | None = None, k: Column | None = None) -> Column:
+    n, k, value = F.col("n") if n is None else n, F.col("k") if k is None else k, F.col("ret") if value is None else value
+    return F.sum(F.when(k == 0, 1.0).otherwise(1 - keep) * F.pow(F.lit(keep), n - 1 - k) * value)
 
 
 def drawdown(r: DataFrame) -> DataFrame:
@@ -72,10 +73,11 @@ def risk_profile(bars: DataFrame, confidence: float = 0.99, horizon: int = 1, ca
     return a.withColumn("authorized", (c("sharpe") > 0.15) & (c("sortino") > 0.15) & (c("calmar") > 0.15) & (c("allocation") > 0.005)).withColumn("capital_at_risk", capital * c("allocation"))
 
 
-def stress_test(bars: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Each symbol under each scenario (scenario, mean_shift, vol_multiple)."""
+def stress_test(bars: DataFrame, scenarios: list = SCENARIOS) -> DataFrame:
+    """Each symbol under each of the scenarios (name, shift of the mean, multiple of the volatility)."""
     base = log_returns(bars).where("ret is not null").groupBy("symbol").agg(F.avg("ret").alias("mean"), F.coalesce(F.stddev_samp("ret"), F.lit(0.0)).alias("vol"))
-    x = base.join(F.broadcast(scenarios), how="cross").withColumn("expected_return", F.col("mean") + F.col("mean_shift")).withColumn("volatility", F.col("vol") * F.col("vol_multiple"))
+    x = base.select("*", F.inline(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(float(m)).alias("mean_shift"), F.lit(float(v)).alias("vol_multiple")) for n, m, v in scenarios])))
+    x = x.withColumn("expected_return", F.col("mean") + F.col("mean_shift")).withColumn("volatility", F.col("vol") * F.col("vol_multiple"))
     x = x.withColumn("var99", F.abs(F.col("expected_return") - 2.33 * F.col("volatility"))).withColumn("cvar99", F.abs(F.col("expected_return") - 3.0 * F.col("volatility")))
     return x.withColumn("max_drawdown", 5 * F.col("cvar99")).select("symbol", "scenario", "expected_return", "volatility", "var99", "cvar99", "max_drawdown")
 
@@ -105,5 +107,6 @@ def portfolio_risk(returns: DataFrame, weights: DataFrame, confidence: float = 0
         (F.sum(F.col("ret") * F.col("off")) / (t - 1)).alias("cw"), (F.greatest(F.lit(0.0), F.sum(F.col("ret") * F.col("ret")) - F.sum("ret") * F.sum("ret") / t) / (t - 1)).alias("own")
     )
     spread = rows.agg(F.sum(F.abs("w") * F.sqrt("own")).alias("apart"))
-    out = rows.join(F.broadcast(tail), how="cross").join(F.broadcast(spread), how="cross").withColumn("marginal", F.col("cw") / F.col("portfolio_vol")).withColumn("diversification", F.col("apart") / F.col("portfolio_vol"))
+    one = lambda d: F.broadcast(d.withColumn("one", F.lit(1)))  # noqa: E731  aggregates without keys: a row each
+    out = rows.withColumn("one", F.lit(1)).join(one(tail), "one").join(one(spread), "one").withColumn("marginal", F.col("cw") / F.col("portfolio_vol")).withColumn("diversification", F.col("apart") / F.col("portfolio_vol"))
     return out.select("symbol", "w", "marginal", (F.col("w") * F.col("marginal")).alias("component"), "portfolio_vol", "portfolio_var", "portfolio_cvar", "diversification")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import add_trading_days
@@ -14,15 +14,20 @@ def store_predictions(forecasts: DataFrame, model: str = "ENSEMBLE") -> DataFram
     return f.select("id", "symbol", F.col("last_ts").alias("ts"), "horizon", F.col("last_price").alias("anchor_price"), "expected_return", "expected_price", "lower", "upper", add_trading_days(F.col("last_ts"), F.col("horizon")).alias("expiry"), F.lit("PENDING").alias("status"))
 
 
-def resolve_outcomes(predictions: DataFrame, bars: DataFrame) -> DataFrame:
-    """Each pending prediction with the first bar at or after its expiry: a forward as-of join on one ordered stream of events."""
+def resolve_outcomes(predictions: DataFrame, bars: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Each pending prediction with the first bar at or after its expiry: a forward as-of join on one ordered stream of events.
+
+    ``as_of`` (now, if not given): predictions that expire later stay PENDING, and later bars are not looked at.
+    """
+    as_of = F.current_timestamp() if as_of is None else as_of
+    bars = bars.where(F.col("ts") <= as_of)
     p = predictions.where("status = 'PENDING'").select("symbol", F.col("expiry").alias("at"), F.struct(*predictions.columns).alias("p"))
     b = bars.select("symbol", F.col("ts").alias("at"), F.struct("ts", "close").alias("b"))
     events = p.withColumn("b", F.lit(None).cast(b.schema["b"].dataType)).unionByName(b.withColumn("p", F.lit(None).cast(p.schema["p"].dataType)))
     ahead = Window.partitionBy("symbol").orderBy("at", F.col("p").isNull()).rowsBetween(0, Window.unboundedFollowing)
     r = events.withColumn("first_bar", F.first("b", True).over(ahead)).where("p is not null").select("p.*", F.col("first_bar.ts").alias("actual_ts"), F.col("first_bar.close").alias("actual_price"))
     found = F.col("actual_price").isNotNull()
-    r = r.withColumn("actual_return", F.col("actual_price") / F.col("anchor_price") - 1).withColumn("status", F.when(found, "RESOLVED").otherwise("EXPIRED_NO_DATA"))
+    r = r.withColumn("actual_return", F.col("actual_price") / F.col("anchor_price") - 1).withColumn("status", F.when(found, "RESOLVED").when(F.col("expiry") <= as_of, "EXPIRED_NO_DATA").otherwise("PENDING"))
     r = r.withColumn("direction_correct", F.signum("expected_return") == F.signum("actual_return")).withColumn("in_interval", (F.col("actual_price") >= F.col("lower")) & (F.col("actual_price") <= F.col("upper")))
     return r.withColumn("absolute_error", F.abs(F.col("actual_return") - F.col("expected_return")))
 

@@ -200,7 +200,7 @@ def risk_profile(spark, sf):
 
 
 def stress_test(spark, sf):
-    return rounded(K.stress_test(bars(spark, sf), spark.createDataFrame(K.SCENARIOS, "scenario string, mean_shift double, vol_multiple double")), "symbol", "scenario", **c("expected_return", "volatility", "var99", "cvar99", "max_drawdown"))
+    return rounded(K.stress_test(bars(spark, sf)), "symbol", "scenario", **c("expected_return", "volatility", "var99", "cvar99", "max_drawdown"))
 
 
 def position_sizing(spark, sf):

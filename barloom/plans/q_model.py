@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import forecast as M
+from ..operators import models as L
 from ..operators import risk as K
 from ..operators import signals as G
 from ..operators import tracking as R
@@ -48,8 +49,8 @@ def spread_bps(spark, sf):
 
 def signals(spark, sf):
     b = bars(spark, sf)
-    f = M.forecast_prices(b, 5).join(K.risk_profile(b).select("symbol", "authorized"), "symbol").join(G.liquidity_gate(b), "symbol")
-    return G.generate_signal(f.withColumn("stationary", F.lit(False)).withColumn("catalyst", F.lit(None).cast("string")), threshold=0.02, min_conviction=0.3, min_quality=0.02)
+    f = M.forecast_prices(b, 5).join(K.risk_profile(b).select("symbol", "authorized"), "symbol").join(G.liquidity_gate(b), "symbol").join(L.adf_test(b, max_lag=0).select("symbol", "stationary"), "symbol", "left")
+    return G.generate_signal(f.withColumn("stationary", F.coalesce("stationary", F.lit(False))).withColumn("catalyst", F.lit(None).cast("string")), threshold=0.02, min_conviction=0.3, min_quality=0.02)
 
 
 def generate_signal(spark, sf):
@@ -85,7 +86,7 @@ def predicted(spark, sf):
 PRED = NUM.split(",\nn0")[0] + """,
 v as (select symbol, idx as seq, avg(ret) over (partition by symbol order by ts rows between 5 preceding and 1 preceding) as predicted, ret as actual, stddev_samp(ret) over (partition by symbol order by ts rows between 20 preceding and 1 preceding) as sd from r qualify idx >= 21),
 u as (select *, predicted - actual as e, predicted - 1.96 * sd as lower, predicted + 1.96 * sd as upper, actual - predicted as res, case when seq < 300 then 'ref' else 'cur' end as part from v)"""
-VALID = ("mae", "mse", "mape", "direction_accuracy", "corr", "bias", "over_rate", "rmse", "precision", "recall", "f1", "r2")
+VALID = ("mae", "mse", "mape", "direction_accuracy", "corr", "bias", "over_rate", "under_rate", "rmse", "theil_u", "precision", "recall", "f1", "r2")
 
 
 def validate_model(spark, sf):
@@ -113,22 +114,24 @@ def interval_coverage(spark, sf):
 
 
 def stored(spark, sf):
-    from ..operators.features import by_time
-
-    early = bars(spark, sf).withColumn("idx", F.row_number().over(by_time()) - 1).where("idx < 400").drop("idx")
+    """Predictions made 20 bars before the end of each symbol."""
+    early = bars(spark, sf).withColumn("later", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).where("later > 20").drop("later")
     return R.store_predictions(M.forecast_multi_horizon(early))
 
 
+AS_OF = "2001-08-05"
+
+
 def store_predictions(spark, sf):
-    return rounded(stored(spark, sf), "symbol", F.col("horizon").cast("long").alias("horizon"), F.unix_millis("expiry").alias("expiry_ms"), "status", **c("anchor_price"), digits=4)
+    return rounded(R.store_predictions(M.forecast_multi_horizon(bars(spark, sf))), "symbol", F.col("horizon").cast("long").alias("horizon"), F.unix_millis("expiry").alias("expiry_ms"), "status", **c("anchor_price"), digits=4)
 
 
 def outcomes(spark, sf):
-    return R.resolve_outcomes(stored(spark, sf), bars(spark, sf))
+    return R.resolve_outcomes(stored(spark, sf), bars(spark, sf), F.lit(AS_OF).cast("timestamp"))
 
 
 def resolve_outcomes(spark, sf):
-    return rounded(outcomes(spark, sf), "symbol", F.col("horizon").cast("long").alias("horizon"), "status", F.unix_millis("actual_ts").alias("actual_ms"), "direction_correct", "in_interval", **c("actual_price", "actual_return", "absolute_error"))
+    return rounded(outcomes(spark, sf), "symbol", F.col("horizon").cast("long").alias("horizon"), "status", F.unix_millis("actual_ts").alias("actual_ms"), *[F.coalesce(x, F.lit(False)).alias(x) for x in ("direction_correct", "in_interval")], **c("actual_price", "actual_return", "absolute_error"))
 
 
 def prediction_stats(spark, sf):
@@ -194,11 +197,18 @@ def cdf(e: str) -> str:
 
 
 FC = BARS + "," + forecast_ctes()
-SIG = RP + "," + forecast_ctes() + """,
+#: The unit-root test without lags: the regression of a return on the one before.
+ADF = """
+ax as (select symbol, k, ret as y, lag(ret) over (partition by symbol order by k) as x from n0),
+ay as (select symbol, count(*) as m, regr_slope(y, x) as b, regr_intercept(y, x) as a, var_pop(x) * count(*) as sxx from ax where x is not null group by symbol),
+az as (select symbol, ay.m, b, sxx, sum((ax.y - a - b * x) ** 2) as rss from ax join ay using (symbol) where x is not null group by symbol, ay.m, b, sxx),
+adf as (select symbol, b / (sqrt(rss / (m - 2)) / sqrt(sxx)) as statistic, -2.86 + 0.3 / sqrt(m) as cv5, -3.43 + 0.5 / sqrt(m) as cv1, -2.57 + 0.2 / sqrt(m) as cv10 from az)"""
+SIG = RP + "," + forecast_ctes() + "," + ADF + """,
+ad as (select symbol, statistic < cv5 as stationary from adf),
 lq as (select symbol, volume as median_volume, volume >= 100000 as liquid from (select symbol, volume, row_number() over (partition by symbol order by volume) - 1 as nth, count(*) over (partition by symbol) as n from bars) where nth = n // 2),
 g0 as (select f3.*, sharpe > 0.15 and sortino > 0.15 and calmar > 0.15 and allocation > 0.005 as authorized, liquid, case when hurst > 0.58 then 'STRONG_TREND' when hurst > 0.52 then 'WEAK_TREND' when hurst < 0.42 then 'STRONG_MEAN_REVERSION' when hurst < 0.48 then 'WEAK_MEAN_REVERSION' else 'RANDOM_WALK' end as regime,
-       expected_return / f3.volatility as edge_score from f3 join a using (symbol) join lq using (symbol) where horizon = 5),
-g1 as (select *, least(1, abs(edge_score) / 0.5) * 0.2 + case when (p_trend > 0.4 and regime like '%TREND') or (p_reversion > 0.4 and regime like '%REVERSION') then 1 else 0.4 end * 0.18 + 0.4 * 0.15 + authorized::int * 0.12 + (not is_extreme)::int * 0.1 + 0.5 * 0.1 + confidence * 0.05 as conviction,
+       expected_return / f3.volatility as edge_score, stationary from f3 join a using (symbol) join lq using (symbol) join ad using (symbol) where horizon = 5),
+g1 as (select *, least(1, abs(edge_score) / 0.5) * 0.2 + case when (p_trend > 0.4 and regime like '%TREND') or (p_reversion > 0.4 and regime like '%REVERSION') then 1 else 0.4 end * 0.18 + case when stationary then 0.8 else 0.4 end * 0.15 + authorized::int * 0.12 + (not is_extreme)::int * 0.1 + 0.5 * 0.1 + confidence * 0.05 as conviction,
        least(1, abs(edge_score) / 0.5 + case when direction = 'UNCERTAIN' then 0 when regime = 'STRONG_TREND' then 0.15 when regime = 'STRONG_MEAN_REVERSION' then 0.08 when regime = 'WEAK_TREND' then 0.05 when regime = 'WEAK_MEAN_REVERSION' then 0.03 else 0 end) as quality from g0),
 g2 as (select *, case when is_extreme then 'NO_TRADE' when edge_score >= 0.02 and (hurst > 0.45 or p_trend > 0.4 or (p_trend > 0.3 and hurst > 0.4)) then 'BUY' when abs(edge_score) < 0.02 and edge_score >= 0.01 and (p_trend > 0.6 or p_reversion > 0.6) then 'BUY' else 'NO_TRADE' end as wish from g1),
 g3 as (select *, case when authorized and liquid and conviction >= 0.3 and quality >= 0.02 and not is_extreme then wish else 'NO_TRADE' end as signal,
@@ -207,12 +217,13 @@ g3 as (select *, case when authorized and liquid and conviction >= 0.3 and quali
        case when direction = 'DOWN' then 0 else least(0.1, least(0.15 / (volatility * sqrt(252)), abs(edge_score) * 0.25 * conviction, 0.02 / (volatility * sqrt(252)))) end as size from g2),
 g as (select *, case when signal = 'BUY' then last_price end as entry, case when signal = 'BUY' then last_price - 1.5 * volatility * sqrt(5) * last_price end as stop, case when signal = 'BUY' then last_price + 2.5 * volatility * sqrt(5) * last_price end as target from g3)"""
 RANK = SIG + ", rk as (select symbol, signal, edge_score * 0.5 as score, rank() over (order by round(edge_score * 0.5, 9) desc) as rank from g)"
-TRACK = BASE + ", early as (select symbol, ts, open, high, low, close, volume from b0 where idx < 400)," + forecast_ctes("early") + """,
+TRACK = BASE + ", early as (select symbol, ts, open, high, low, close, volume from bars qualify row_number() over (partition by symbol order by ts desc) > 20)," + forecast_ctes("early") + """,
 st as (select symbol, horizon, last_ts, last_price as anchor_price, expected_return, lower, upper, (select list_filter(range(1, 40), lambda d: isodow(last_ts + to_days(d::int)) <= 5)[horizon]) as days from f3),
 sp as (select *, last_ts + to_days(days::int) as expiry from st),
-oc as (select sp.*, b.ts as actual_ts, b.close as actual_price from sp asof left join bars b on sp.symbol = b.symbol and sp.expiry <= b.ts),
-o as (select *, actual_price / anchor_price - 1 as actual_return, case when actual_price is null then 'EXPIRED_NO_DATA' else 'RESOLVED' end as status, sign(expected_return) = sign(actual_price / anchor_price - 1) as direction_correct,
+oc as (select sp.*, b.ts as actual_ts, b.close as actual_price from sp asof left join (select * from bars where ts <= timestamp '2001-08-05') b on sp.symbol = b.symbol and sp.expiry <= b.ts),
+o as (select *, actual_price / anchor_price - 1 as actual_return, case when actual_price is not null then 'RESOLVED' when expiry <= timestamp '2001-08-05' then 'EXPIRED_NO_DATA' else 'PENDING' end as status, sign(expected_return) = sign(actual_price / anchor_price - 1) as direction_correct,
       actual_price between lower and upper as in_interval, abs(actual_price / anchor_price - 1 - expected_return) as absolute_error from oc)"""
+STORE = TRACK.replace("> 20)", "> 0)").split("\noc as")[0].rstrip(",")
 STATS = "count(*) as total, count(*) filter (status = 'RESOLVED') as resolved, count(*) filter (status = 'EXPIRED_NO_DATA') as expired, " + sql_rounded({"direction_accuracy": "avg(direction_correct::int)", "coverage": "avg(in_interval::int)", "mae": "avg(absolute_error)", "rmse": "sqrt(avg(absolute_error ** 2))"})
 LB = ", ".join(f"sum(d * lag{k}) as p{k}" for k in range(1, 11))
 
@@ -230,7 +241,7 @@ ORACLES = {
     "strongest_buy": f"with {RANK} select symbol, signal, rank, {sql_rounded({'score': 'score'}, 9)} from rk where signal = 'BUY' order by rk.score desc, symbol limit 1",
     "best_blocked": f"with {RANK} select symbol, signal, rank, {sql_rounded({'score': 'score'}, 9)} from rk where signal <> 'BUY' and rk.score > 0 order by rk.score desc, symbol limit 1",
     "validate_model": f"""with {PRED}, y as (select symbol, count(*) as n, avg(abs(e)) as mae, avg(e * e) as mse, avg(case when actual <> 0 then abs(e / actual) else 0 end) as mape, avg((sign(predicted) = sign(actual))::int) as direction_accuracy,
-        count(*) filter (predicted > 0 and actual > 0) as tp, count(*) filter (predicted > 0 and actual <= 0) as fp, count(*) filter (predicted <= 0 and actual > 0) as fn, corr(predicted, actual) as corr, avg(e) as bias, avg((e > 0)::int) as over_rate, 1 - sum(e * e) / (var_pop(actual) * count(*)) as r2 from u group by 1),
+        count(*) filter (predicted > 0 and actual > 0) as tp, count(*) filter (predicted > 0 and actual <= 0) as fp, count(*) filter (predicted <= 0 and actual > 0) as fn, corr(predicted, actual) as corr, avg(e) as bias, avg((e > 0)::int) as over_rate, avg((e < 0)::int) as under_rate, corr(predicted, actual) ** 2 as r2, sqrt(avg(e * e)) / (sqrt(avg(predicted ** 2)) + sqrt(avg(actual ** 2))) as theil_u from u group by 1),
         w as (select *, sqrt(mse) as rmse, tp / (tp + fp) as precision, tp / (tp + fn) as recall, 2 * tp / (2 * tp + fp + fn) as f1 from y where n >= 10) select symbol, n, {sql_rounded({x: x for x in VALID})} from w""",
     "ljung_box": f"""with {PRED}, l0 as (select symbol, seq, res - avg(res) over (partition by symbol) as d, count(*) over (partition by symbol) as n from u), l1 as (select *, {', '.join(f'lag(d, {k}) over (partition by symbol order by seq) as lag{k}' for k in range(1, 11))} from l0),
         l2 as (select symbol, max(n) as n, sum(d * d) as dd, {LB} from l1 group by 1), l3 as (select symbol, n * (n + 2) * ({' + '.join(f'(p{k} / dd) ** 2 / (n - {k})' for k in range(1, 11))}) as stat from l2)
@@ -243,8 +254,8 @@ ORACLES = {
         w as (select symbol, max(gap) as d, count(*) filter (part = 'ref') as n, count(*) filter (part = 'cur') as m from y group by 1), z as (select symbol, d, d * sqrt(n * m / (n + m)) as stat from w) select symbol, {sql_rounded({'d': 'd', 'stat': 'stat', 'p_value': 'least(1, 2 * exp(-2 * stat ** 2))'})} from z""",
     "interval_coverage": f"""with {PRED}, y as (select symbol, seq, (actual between lower and upper)::int as hit, upper - lower as width from u), w as (select *, lag(hit) over (partition by symbol order by seq) as b from y)
         select symbol, {sql_rounded({'coverage': 'avg(hit)', 'width': 'avg(width)', 'width_sd': 'stddev_samp(width)', 'conditional': 'avg((hit = b)::int)', 'gap': 'avg(hit) - 0.95'})} from w group by 1""",
-    "store_predictions": f"with {TRACK} select symbol, horizon, epoch_us(expiry) // 1000 as expiry_ms, 'PENDING' as status, {sql_rounded({'anchor_price': 'anchor_price'}, 4)} from sp",
-    "resolve_outcomes": f"with {TRACK} select symbol, horizon, status, epoch_us(actual_ts) // 1000 as actual_ms, direction_correct, in_interval, {sql_rounded({x: x for x in ('actual_price', 'actual_return', 'absolute_error')})} from o",
+    "store_predictions": f"with {STORE} select symbol, horizon, epoch_us(expiry) // 1000 as expiry_ms, 'PENDING' as status, {sql_rounded({'anchor_price': 'anchor_price'}, 4)} from sp",
+    "resolve_outcomes": f"with {TRACK} select symbol, horizon, status, epoch_us(actual_ts) // 1000 as actual_ms, coalesce(direction_correct, false) as direction_correct, coalesce(in_interval, false) as in_interval, {sql_rounded({x: x for x in ('actual_price', 'actual_return', 'absolute_error')})} from o",
     "prediction_stats": f"with {TRACK} select symbol, horizon, grouping(symbol, horizon) as level, {STATS} from o group by grouping sets ((symbol), (symbol, horizon))",
     "global_prediction_stats": f"with {TRACK} select symbol, horizon, grouping(symbol, horizon) as level, {STATS} from o group by grouping sets ((), (symbol), (horizon))",
     "store_stats": f"with {TRACK} select count(*) as total, count(*) filter (status = 'RESOLVED') as resolved, count(*) filter (status = 'EXPIRED_NO_DATA') as expired, count(distinct symbol) as symbols from o",

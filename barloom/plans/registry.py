@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_backtest, q_data, q_features, q_market, q_model, q_more
+from . import q_backtest, q_data, q_features, q_market, q_model, q_models, q_more
 
-MODULES = [q_features, q_market, q_model, q_data, q_backtest, q_more]
+MODULES = [q_features, q_market, q_model, q_data, q_backtest, q_more, q_models]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

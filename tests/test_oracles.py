@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -14,7 +15,7 @@ KEYS = ["risk_profile", "macd", "adx_14", "reconcile_streams", "apply_corporate_
 
 def rows(df):
     df = df.reindex(sorted(df.columns), axis=1)
-    cell = lambda v: None if v is None or v != v else float(v) if isinstance(v, int | float) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)
+    cell = lambda v: None if v is None or v is pd.NA or v != v else float(v) if isinstance(v, int | float) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)
     return sorted((tuple(map(cell, r)) for r in df.itertuples(index=False)), key=repr)
 
 
