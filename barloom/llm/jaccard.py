@@ -301,7 +301,7 @@ def compare_blocks(pdf: pd.DataFrame, threshold: int, every: bool = False) -> pd
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def all_apart(apart: DataFrame, packed: DataFrame, scratch: Scratch, threshold: int, block_members: int = 150_000, every: bool = False) -> DataFrame:
+def all_apart(apart: DataFrame, packed: DataFrame, scratch: Scratch, threshold: int, block_members: int = 40_000, every: bool = False) -> DataFrame:
     """Links (a, b) between sets of ``apart`` (key, node, n, c, in_list) that share a key and are in different components c; see ``compare_blocks``.
 
     A set is at home in the longest of its lists, so near copies of each other, which share many lists, have one home;
