@@ -310,12 +310,13 @@ def all_apart(apart: DataFrame, packed: DataFrame, scratch: Scratch, threshold:
     """
     home = apart.groupBy("node").agg(F.max_by("key", F.struct("in_list", "key")).alias("home"), F.first("n").alias("n"))
     parts = home.groupBy("home").agg(F.ceil(F.sum(F.greatest("n", F.lit(100))) / block_members).alias("parts"))  # of few sets, however small they are
-    nodes = scratch.save(home.join(parts, "home").select("node", "home", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")))
-    each = scratch.save(apart.select("key", "node", "c").join(nodes, "node"))
+    rows = apart.count()
+    nodes = scratch.save(home.join(parts, "home").select("node", "home", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), rows // 4)
+    each = scratch.save(apart.select("key", "node", "c").join(nodes, "node"), rows)
     met = each.groupBy("key", "home", "block").agg(F.min("c").alias("low"), F.max("c").alias("high")).withColumnsRenamed({"home": "to_home", "block": "to"})
     meets = ((F.col("low") != F.col("c")) | (F.col("high") != F.col("c"))) & ((F.col("home") != F.col("to_home")) | (F.col("key") == F.col("home")))
     pair = [F.least("block", "to").alias("block"), F.greatest("block", "to").alias("to"), (F.col("block") > F.col("to")).cast("int").alias("side")]
-    reach = scratch.save(each.join(met, "key").where(meets).select(*pair, "node", "c").distinct())
+    reach = scratch.save(each.join(met, "key").where(meets).select(*pair, "node", "c").distinct(), rows)
     return reach.join(packed, "node").groupBy("block", "to").applyInPandas(lambda pdf: compare_blocks(pdf, threshold, every), "a long, b long")
 
 
@@ -330,25 +331,26 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: int = 75) ->
     """
     scratch = Scratch(docs.sparkSession)
     meta, packed, kept, postings, leaders = candidates(docs, scratch, width, threshold)
-    links = scratch.save(verified(leaders.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")), kept, threshold))
+    sets, entries = leaders.count(), postings.count()
+    links = scratch.save(verified(leaders.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")), kept, threshold), sets)
     # then what is still apart: of each list one set of each component against one of its largest component, then all
     for exhaustive in (False, True):
-        comp = components(links, scratch)
+        comp = components(links, scratch, sets)
         named = postings.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         mixed_lists = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        apart = scratch.save(named.join(mixed_lists, "key").select("key", "node", "n", "c", "in_list"))
+        apart = scratch.save(named.join(mixed_lists, "key").select("key", "node", "n", "c", "in_list"), entries)
         if exhaustive:
-            more = all_apart(apart, packed, scratch, threshold)
+            more = scratch.save(all_apart(apart, packed, scratch, threshold))
         else:
             rep = apart.groupBy("key", "c").agg(F.min("node").alias("node"), F.count("*").alias("size"))
             top = rep.groupBy("key").agg(F.max_by(F.struct("node", "c"), F.struct("size", "c")).alias("t"))
             tried = rep.join(top, "key").where("c <> t.c").groupBy(F.col("node").alias("a"), F.col("t.node").alias("b")).agg(F.count("*").alias("votes"))
-            more = verified(tried.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b")), kept, threshold)
-        links = links.unionByName(scratch.save(more))
-    comp = scratch.save(components(links, scratch).select(F.col("node").alias("member"), "component"))
+            more = scratch.save(verified(tried.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b")), kept, threshold), sets)
+        links = links.unionByName(more)
+    comp = scratch.save(components(links, scratch, sets).select(F.col("node").alias("member"), "component"), sets)
     named = meta.join(small(comp), F.col("node") == F.col("member"), "left").withColumn("class_id", F.coalesce("component", "node"))
     classes = named.where("n > 0").groupBy(F.col("class_id").alias("of")).agg(F.min("doc_id").alias("smallest"), F.count("*").alias("rows"))
-    classes = scratch.save(classes.where("rows > 1").select("of", "smallest"))
+    classes = scratch.save(classes.where("rows > 1").select("of", "smallest"), meta.count() // 2)
     out = named.join(small(classes), (F.col("class_id") == F.col("of")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"), "node", "class_id", "h")
 
@@ -417,28 +419,29 @@ def candidates(docs: DataFrame, scratch: Scratch, width: int, threshold: int):
     # 1: sets with enough shared shingles
     meta = scratch.save(shared_counts(texts.mapInArrow(from_texts, PACKED)))
     enough = (F.col("n") > 0) & (100 * F.col("shared") >= threshold * F.col("n"))
-    reps = scratch.save(meta.where(enough & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    reps = scratch.save(meta.where(enough & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")), meta.count())
     chosen = texts.join(small(reps), "doc_id").select("node", "text")
     found = chosen.mapInArrow(to_sets, "node long, packed binary")
     # sets that only rows without doc_id have
-    nameless = scratch.save(meta.where(enough).groupBy("node").agg(F.count("doc_id").alias("ids")).where("ids = 0").select("node"))
+    nameless = scratch.save(meta.where(enough).groupBy("node").agg(F.count("doc_id").alias("ids")).where("ids = 0").select("node"), meta.count())
     if not nameless.isEmpty():
         more = texts.where("doc_id is null").select("text").mapInArrow(new_sets, "node long, packed binary")
         found = found.unionByName(more.join(small(nameless), "node", "left_semi"))
     sets = scratch.save(found)
     # 2: again, among distinct sets only
-    again = shared_counts(sets.mapInArrow(from_sets, PACKED)).where(enough).select("node").distinct()
-    again = scratch.save(again)
-    left = sets.join(small(again), "node", "left_semi").dropDuplicates(["node"])
-    packed = scratch.save(left)
-    kept = scratch.save(packed.mapInArrow(unpacked, "node long, n long, members array<long>"))
+    again = shared_counts(sets.mapInArrow(from_sets, PACKED)).where(enough).select("node", "n").distinct()
+    again = scratch.save(again, meta.count())
+    members = again.agg(F.sum("n")).first()[0] or 0
+    left = sets.join(small(again.select("node")), "node", "left_semi").dropDuplicates(["node"])
+    packed = scratch.save(left, members // 5)
+    kept = scratch.save(packed.mapInArrow(unpacked, "node long, n long, members array<long>"), members // 5)
     scratch.drop(sets)
     # 3: keys
-    places = scratch.save(ranked(kept).where(F.col("place") <= prefix(F.col("n"), 2, threshold)))
+    places = scratch.save(ranked(kept).where(F.col("place") <= prefix(F.col("n"), 2, threshold)), members // 3)
     keys = keys_of(places, boundary(places, threshold), threshold).distinct()
     lists = keys.groupBy("key").agg(F.count("*").alias("in_list"), F.min("node").alias("leader")).where("in_list > 1")
-    postings = scratch.save(keys.join(lists, "key").select("key", "node", "n", "leader", "in_list"))
+    postings = scratch.save(keys.join(lists, "key").select("key", "node", "n", "leader", "in_list"), members // 3)
     # 4: each set against the leader it shares most keys with
     votes = postings.groupBy("node", "leader").agg(F.count("*").alias("votes"))
-    leaders = scratch.save(votes.groupBy("node").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader")))
+    leaders = scratch.save(votes.groupBy("node").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader")), members // 50)
     return meta, packed, kept, postings, leaders

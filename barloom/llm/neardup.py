@@ -152,7 +152,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, lines: int = 32
     keys = ["label", "dim", "tile", "to"]
     met = scratch.save(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "kind long, a long, b long"))
     links = met.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("far"))
-    comp = components(met.where("kind = 1").select("a", "b"), scratch)
+    comp = components(met.where("kind = 1").select("a", "b"), scratch, nodes.count())
     named = nodes.join(links, "node", "left").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
     smallest = named.groupBy("c").agg(F.min("first").alias("component_id"))
     named = named.join(smallest, "c").select(F.col("node").alias("is"), (F.coalesce("far", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id", F.col("label").alias("of"), F.col("embedding").alias("like"))

@@ -38,13 +38,18 @@ class Scratch:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df``, in Arrow batches of few rows (texts are long); the shuffles that led to it go when it is written."""
+    def save(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Write ``df``, in Arrow batches of few rows (texts are long); the shuffles that led to it go when it is written.
+
+        Where about ``rows`` rows of a few numbers are known to come, they are written in files of some size rather than
+        one for each partition: every file costs its task some processes or requests.
+        """
+        df = df if rows is None else df.coalesce(max(6, -(-rows // 100_000)))
         self._n += 1
         path = f"{self.base}/{self._n}"
-        rows, clean = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = {k: self.spark.conf.get(k) for k in (rows, clean)}
-        self.spark.conf.set(rows, str(min(int(before[rows]), 1000) if int(before[rows]) > 0 else 1000))
+        batch, clean = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = {k: self.spark.conf.get(k) for k in (batch, clean)}
+        self.spark.conf.set(batch, str(min(int(before[batch]), 1000) if int(before[batch]) > 0 else 1000))
         self.spark.conf.set(clean, "true")
         try:
             df.write.parquet(path)
@@ -70,15 +75,15 @@ def small(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rows: int | None = None, rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b: long): a row (node, component) for each node with an edge.
 
     ``component`` is the smallest node reachable. Alternating large-star and small-star steps: the edges shrink to
     stars in a logarithmic number of rounds; each round's edges are written to the shared folder. Self-loops and
-    repeated edges do no harm; no edges give no rows.
+    repeated edges do no harm; no edges give no rows. ``rows``: about how many edges there are, if that is known.
     """
-    e = scratch.save(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    e = scratch.save(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), rows)
+    state, rows = None, e.count()
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -86,7 +91,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         # small star: every edge now points from the larger node to the smaller
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        new = scratch.save(small)
+        new = scratch.save(small, rows)
         now = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         scratch.drop(e)
         e = new
