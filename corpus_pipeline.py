@@ -29,12 +29,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     scratch = Scratch(spark)
     found = jaccard.jaccard_components(docs.select("doc_id", "text"), width=5, threshold=75).where("n_shingles > 0")
     rows = scratch.save(found.groupBy("class_id", "doc_id", "h").agg(F.count("*").alias("copies")))
+    n = rows.count() // 2
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
     classes = rows.groupBy(F.col("class_id").alias("of")).agg(F.min(key).alias("one"), F.count("*").alias("n")).where("n > 1")
-    classes = small(scratch.save(classes.select("of", F.col("one.doc_id").alias("first_id"), F.col("one.h").alias("first_h"))))
+    classes = small(scratch.save(classes.select("of", F.col("one.doc_id").alias("first_id"), F.col("one.h").alias("first_h")), n))
     other = rows.join(classes, F.col("class_id") == F.col("of")).where(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))))
-    gone = small(scratch.save(other.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h"))))
-    again = scratch.save(rows.where("copies > 1").select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")))
+    gone = small(scratch.save(other.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")), n))
+    again = scratch.save(rows.where("copies > 1").select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")), n)
     same = F.col("key_id").eqNullSafe(F.col("gone_id")) & (F.col("key_h") == F.col("gone_h"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("key_id"), F.xxhash64("text").alias("key_h"), F.struct(*docs.columns).alias("row"))  # whatever names docs has
     left = keyed.join(gone, same, "left_anti")
