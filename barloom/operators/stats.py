@@ -80,24 +80,28 @@ def half_life(bars: DataFrame) -> DataFrame:
     return f.select("symbol", "alpha", "beta", F.when(F.col("beta") > 0, math.log(2) / F.col("beta")).otherwise(float("inf")).alias("half_life"), (F.col("alpha") / (1 - F.col("beta"))).alias("long_run_mean"))
 
 
-def kalman(close: np.ndarray, volume: np.ndarray, q: float = 1e-5, r: float = 1e-2, low: float = 1e-8, high: float = 1e-3):
-    """(filtered, innovation, covariance, noise after each bar, smoothed) of one symbol: the noise adapts to recent innovations."""
-    n = len(close)
+def kalman_step(state, close: float, volume: float, r: float = 1e-2, low: float = 1e-8, high: float = 1e-3):
+    """(state, innovation) after one more bar; the noise adapts to recent innovations.
+
+    ``state``: (bars so far, estimate, covariance, noise, covariance ahead of the last bar, last 10 innovations), or None at first.
+    """
+    n, estimate, p, q, before, recent = state or (0, close, 1.0, 1e-5, 0.0, [])
+    ahead = p + q * max(1.0, volume or 1.0)
+    gain = ahead / (ahead + r)
+    innovation = close - estimate
+    p = (1 - gain) * ahead
+    if n > 10 and before > 0:
+        q = max(low, min(high, q * float(np.var(recent, ddof=1)) / (before / 10)))
+    return (n + 1, estimate + gain * innovation, p, q, ahead, [*recent, innovation][-10:]), innovation
+
+
+def kalman(close: np.ndarray, volume: np.ndarray):
+    """(filtered, innovation, covariance, noise after each bar, smoothed) of one symbol."""
+    n, state = len(close), None
     filtered, innov, cov, noise = (np.zeros(n) for _ in range(4))
-    estimate, p = (float(close[0]), 1.0) if n else (0.0, 1.0)
-    before = 0.0
-    for i in range(n):
-        ahead = p + q * max(1.0, volume[i] or 1.0)
-        gain = ahead / (ahead + r)
-        innov[i] = close[i] - estimate
-        estimate += gain * innov[i]
-        p = (1 - gain) * ahead
-        if i > 10:
-            predicted = before / min(10, i)
-            if predicted > 0:
-                q = max(low, min(high, q * np.var(innov[i - 10 : i], ddof=1) / predicted))
-        before = ahead
-        filtered[i], cov[i], noise[i] = estimate, p, q
+    for i, (c, v) in enumerate(zip(close.tolist(), volume.tolist(), strict=True)):
+        state, innov[i] = kalman_step(state, c, v)
+        filtered[i], cov[i], noise[i] = state[1:4]
     smooth = filtered.copy()
     for i in range(n - 2, -1, -1):
         smooth[i] = filtered[i] + cov[i] / (cov[i] + noise[i]) * (smooth[i + 1] - filtered[i])

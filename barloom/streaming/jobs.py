@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stats import kalman_step
+
 BAR = "symbol string, ts timestamp, close double, volume double"
 
 
@@ -56,3 +58,74 @@ def stream_bad_prints(bars: DataFrame, window: int = 5, volume_window: int = 20,
         yield rows[["symbol", "ts", "close", "volume"]].assign(rejected=flags)
 
     return bars.groupBy("symbol").applyInPandasWithState(step, BAR + ", rejected boolean", "accepted array<double>, volumes array<double>", "append", "NoTimeout")
+
+
+def stream_kalman(bars: DataFrame) -> DataFrame:
+    """``kalman_track`` without the smoothed column on a stream of bars (BAR) that comes in order per symbol; state: that of ``kalman_step``."""
+
+    def step(key, batches, state):
+        now = None
+        if state.exists:
+            *numbers, recent = state.get
+            now = (*numbers, list(recent))
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        out = []
+        for c, v in zip(rows["close"].tolist(), rows["volume"].tolist(), strict=True):
+            now, innovation = kalman_step(now, c, v)
+            out.append((now[1], innovation, now[2], now[3]))
+        state.update(tuple(now))
+        yield rows[["symbol", "ts", "close"]].reset_index(drop=True).join(pd.DataFrame(out, columns=["filtered", "innovation", "covariance", "noise"]))
+
+    schema = "symbol string, ts timestamp, close double, filtered double, innovation double, covariance double, noise double"
+    return bars.groupBy("symbol").applyInPandasWithState(step, schema, "n long, estimate double, p double, q double, ahead double, recent array<double>", "append", "NoTimeout")
+
+
+PENDING = "id string, symbol string, ts timestamp, expiry timestamp, anchor_price double, expected_return double, lower double, upper double"
+
+
+def stream_resolve(predictions: DataFrame, bars: DataFrame, tolerance_days: int = 7, delay: str = "1 day") -> DataFrame:
+    """``resolve_outcomes`` on streams of predictions (PENDING) and bars (BAR) that come in order per symbol.
+
+    A prediction is resolved by the first bar from its expiry to ``tolerance_days`` later; once the watermark has passed
+    that time without a bar it goes out as EXPIRED_NO_DATA. State: a symbol's predictions that wait.
+    """
+    names = ["id", "expiry", "anchor_price", "expected_return", "lower", "upper"]
+    p = predictions.select("symbol", "ts", *names, F.lit(None).cast("double").alias("close"))
+    b = bars.select("symbol", "ts", *[F.lit(None).cast(predictions.schema[n].dataType).alias(n) for n in names], "close")
+    events = p.unionByName(b).withWatermark("ts", delay)
+    columns = ["id", "symbol", "expiry", "status", "actual_ts", "actual_price", "actual_return", "in_interval"]
+
+    def step(key, batches, state):
+        waiting = [list(w) for w in zip(*state.get, strict=True)] if state.exists else []
+        last, out = pd.Timedelta(days=tolerance_days), []
+
+        def leave(w, ts=None, close=None):
+            ok = close is not None
+            out.append((w[0], key[0], pd.Timestamp(w[1], unit="us"), "RESOLVED" if ok else "EXPIRED_NO_DATA", ts, close, close / w[2] - 1 if ok else None, bool(w[4] <= close <= w[5]) if ok else None))
+
+        if state.hasTimedOut:
+            passed = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+            for w in [w for w in waiting if pd.Timestamp(w[1], unit="us") + last <= passed]:
+                leave(w)
+                waiting.remove(w)
+        else:
+            rows = pd.concat(list(batches)).sort_values(["ts", "id"], kind="stable")
+            for r in rows.itertuples(index=False):
+                if isinstance(r.id, str):
+                    waiting.append([r.id, int(pd.Timestamp(r.expiry).value // 1000), r.anchor_price, r.expected_return, r.lower, r.upper])
+                    continue
+                for w in [w for w in waiting if pd.Timestamp(w[1], unit="us") <= r.ts]:
+                    hit = r.ts <= pd.Timestamp(w[1], unit="us") + last
+                    leave(w, r.ts if hit else None, r.close if hit else None)
+                    waiting.remove(w)
+        if waiting:
+            state.update(tuple(list(x) for x in zip(*waiting, strict=True)))
+            first = min(w[1] for w in waiting) // 1000 + tolerance_days * 86_400_000
+            state.setTimeoutTimestamp(max(first, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=columns)
+
+    schema = "id string, symbol string, expiry timestamp, status string, actual_ts timestamp, actual_price double, actual_return double, in_interval boolean"
+    kept = "id array<string>, expiry array<long>, anchor array<double>, expected array<double>, lower array<double>, upper array<double>"
+    return events.groupBy("symbol").applyInPandasWithState(step, schema, kept, "append", "EventTimeTimeout")

@@ -1,8 +1,11 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
 from test_market import DAY, frame
 
 from barloom.operators import cleaning as C
+from barloom.operators import stats as T
+from barloom.operators import tracking as R
 from barloom.streaming import jobs as J
 
 BAR = "symbol string, ts timestamp, close double, volume double"
@@ -15,7 +18,7 @@ def run(spark, tmp_path, name, job, *frames):
         at = str(tmp_path / f"{name}{k}")
         for part in f:
             part.coalesce(1).write.mode("append").parquet(at)
-        streams.append(spark.readStream.schema(BAR).option("maxFilesPerTrigger", 1).parquet(at))
+        streams.append(spark.readStream.schema(f[0].schema).option("maxFilesPerTrigger", 1).parquet(at))
     q = job(*streams).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"c{name}")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     return spark.table(name)
@@ -48,3 +51,21 @@ def test_dedupe_and_windows(spark, tmp_path):
     assert got.count() == 3
     bars = run(spark, tmp_path, "windows", lambda s: J.stream_quote_bars(s, "7 days"), parts(q)).where("symbol <> 'END'")
     assert bars.agg({"volume": "sum"}).first()[0] == 300_000.0 and bars.agg({"high": "max"}).first()[0] == 3.0
+
+
+def test_kalman_as_in_batch(spark, tmp_path):
+    b = frame(spark, [100 + (i * 37 % 11) for i in range(40)], [1.0 + i % 3 for i in range(40)])
+    got = run(spark, tmp_path, "tracked", J.stream_kalman, parts(b)).where("symbol <> 'END'").orderBy("ts").collect()
+    want = T.kalman_track(b).orderBy("ts").collect()
+    assert len(got) == 40 and all(abs(g.filtered - w.filtered) < 1e-9 and abs(g.noise - w.noise) < 1e-12 for g, w in zip(got, want, strict=True))
+
+
+def test_resolve_as_in_batch(spark, tmp_path):
+    b = frame(spark, [100.0 + i for i in range(20)]).where("day(ts) <> 24 and day(ts) <> 25")
+    day = lambda i: DAY + dt.timedelta(days=i)
+    rows = [("a", "A", day(1), day(5), 100.0, 0.1, 90.0, 120.0), ("b", "A", day(2), day(10), 100.0, 0.1, 90.0, 105.0), ("c", "A", day(3), day(100), 100.0, 0.1, 90.0, 120.0)]
+    p = spark.createDataFrame(rows, J.PENDING)
+    end = spark.createDataFrame([("END", "END", day(400), day(500), 1.0, 0.0, 0.0, 1.0)], J.PENDING)
+    got = run(spark, tmp_path, "resolved", J.stream_resolve, [p, p.limit(0), end], parts(b)).where("symbol <> 'END'")
+    want = R.resolve_outcomes(p.withColumn("status", F.lit("PENDING")), b, F.lit(day(400)).cast("timestamp"))
+    assert sorted((x.id, x.status, x.actual_price or 0) for x in got.collect()) == sorted((x.id, x.status, x.actual_price or 0) for x in want.collect())
