@@ -360,19 +360,19 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, scratch: Scratch, length: int = 100, seed: int = 24) -> DataFrame:
     """(id, h, runs, windows) of the documents of ``keyed`` docs with a repeated string, or that are the source of some."""
     texts = docs.where(F.octet_length("text") >= length).select("id", "h", "text")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(96, -(-size // (16 << 20)))
-    runs = scratch.save(ranked(texts.mapInArrow(lambda b: send_runs(b, length, seed, ranges), PACKED)))
+    n, size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    ranges = max(96, -(-(size or 0) // (16 << 20)))
+    runs = scratch.save(ranked(texts.mapInArrow(lambda b: send_runs(b, length, seed, ranges), PACKED)), n)
 
     def with_runs(texts: DataFrame, runs: DataFrame) -> DataFrame:
         ids = small(runs.select("id", "h"))  # the runs stay out of the broadcast
         return texts.join(ids, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).join(runs, ["id", "h"]).select("id", "h", "text", "runs")
 
-    chosen = scratch.save(with_runs(texts, runs.where("split")))
-    doubled = scratch.save(ranked(chosen.mapInArrow(lambda b: send_doubled(b, length, seed, ranges), PACKED), unique, trim(length, seed)))
+    chosen = scratch.save(with_runs(texts, runs.where("split")), max(n, (size or 0) // 200))
+    doubled = scratch.save(ranked(chosen.mapInArrow(lambda b: send_doubled(b, length, seed, ranges), PACKED), unique, trim(length, seed)), n)
     left = with_runs(chosen.select("id", "h", "text"), doubled)
     windows = ranked(left.mapInArrow(lambda b: send_windows(b, length, ranges), PACKED)).select("id", "h", F.col("runs").alias("windows"))
-    found = scratch.save(runs.drop("split").join(windows, ["id", "h"], "left"))
+    found = scratch.save(runs.drop("split").join(windows, ["id", "h"], "left"), n)
     scratch.drop(chosen)
     return found
 
