@@ -54,7 +54,7 @@ def test_dedupe_and_windows(spark, tmp_path):
 
 
 def test_kalman_as_in_batch(spark, tmp_path):
-    b = frame(spark, [100 + (i * 37 % 11) for i in range(40)], [1.0 + i % 3 for i in range(40)])
+    b = frame(spark, [100.0 + (i * 37 % 11) for i in range(40)], [1.0 + i % 3 for i in range(40)])
     got = run(spark, tmp_path, "tracked", J.stream_kalman, parts(b)).where("symbol <> 'END'").orderBy("ts").collect()
     want = T.kalman_track(b).orderBy("ts").collect()
     assert len(got) == 40 and all(abs(g.filtered - w.filtered) < 1e-9 and abs(g.noise - w.noise) < 1e-12 for g, w in zip(got, want, strict=True))
