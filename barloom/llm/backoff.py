@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard import mixed, word_hashes
-from .shared import Scratch
+from .shared import Scratch, tidy
 from .suffix import from_planes, planes
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -61,6 +61,7 @@ def widened(data: bytes) -> np.ndarray:
     return from_planes(data[1:], f"<u{data[0]}").astype(np.int64)
 
 
+@tidy
 def folded(batches):
     """(doc_id as text, text, copies): equal rows near each other in a task's input are one."""
 
@@ -99,6 +100,7 @@ def scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: int
     some = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
 
     def send(n: int):
+        @tidy
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             grams, length = exploded(pdf["text"], n)
             h, ok = grams[-1]
@@ -113,6 +115,7 @@ def scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: int
         return run
 
     def total(n: int):
+        @tidy
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             parts = [from_planes(k, "<u8") for k in pdf["keys"]]
             _, which = np.unique(np.concatenate(parts), return_inverse=True)

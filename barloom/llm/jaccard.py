@@ -26,12 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, components, small
+from .shared import Scratch, components, small, tidy
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SPACE = b" \t\n\r\x0b\x0c"
 #: Words that a worker remembers the hashes of; words of one text hashed at a time, in bytes; shingles of one batch.
-REMEMBER, PART_BYTES, BATCH = 300_000, 4 << 20, 2_000_000
+REMEMBER, PART_BYTES, BATCH = 60_000, 4 << 20, 1_500_000
 MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
 PACKED = "range int, batch string, keys binary, owners binary, sets int, doc_ids array<long>, missing array<int>, hs array<long>, set_of array<int>, nodes array<long>, sizes array<long>"
 
@@ -163,6 +163,7 @@ def pack_sets(found, ranges: int):
 COUNTED = "batch string, sets int, doc_ids array<long>, missing array<int>, hs array<long>, set_of array<int>, nodes array<long>, sizes array<long>, counts binary"
 
 
+@tidy
 def count_range(pdf: pd.DataFrame) -> pd.DataFrame:
     """For one range of hashes: for each batch, how many shingles of each of its sets are in another set too."""
     named = ["batch", "sets", "doc_ids", "missing", "hs", "set_of", "nodes", "sizes"]
@@ -182,6 +183,7 @@ def count_range(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[named].assign(counts=out)
 
 
+@tidy
 def sum_batch(pdf: pd.DataFrame) -> pd.DataFrame:
     whose = pdf[pdf["nodes"].notna()].iloc[0]
     total = np.zeros(int(whose["sets"]), "int64")
@@ -363,8 +365,8 @@ def jaccard_links(docs: DataFrame, width: int = 5, threshold: int = 75) -> DataF
     scratch = Scratch(docs.sparkSession)
     meta, packed, _, postings, leaders = candidates(docs, scratch, width, threshold)
     met = all_apart(postings.select("key", "node", "n", F.col("node").alias("c"), "in_list"), packed, scratch, threshold, every=True)
-    each = met.groupBy(F.col("a").alias("of")).agg(F.sum("b").alias("n_links"))
-    out = meta.join(each, F.col("node") == F.col("of"), "left")
+    each = scratch.save(met.groupBy(F.col("a").alias("of")).agg(F.sum("b").alias("n_links")), leaders.count())
+    out = meta.join(small(each), F.col("node") == F.col("of"), "left")
     return out.select("doc_id", "node", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -374,6 +376,7 @@ def candidates(docs: DataFrame, scratch: Scratch, width: int, threshold: int):
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(96, -(-size // (8 << 20)))
 
+    @tidy
     def from_texts(batches):
         def rows():
             for b in batches:
@@ -384,10 +387,12 @@ def candidates(docs: DataFrame, scratch: Scratch, width: int, threshold: int):
 
         yield from pack_sets(rows(), ranges)
 
+    @tidy
     def from_sets(batches):
         rows = ((None, 0, n, np.frombuffer(m, np.uint64)) for b in batches for n, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         yield from pack_sets(rows, ranges)
 
+    @tidy
     def to_sets(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -396,6 +401,7 @@ def candidates(docs: DataFrame, scratch: Scratch, width: int, threshold: int):
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["node", "packed"])
 
+    @tidy
     def new_sets(batches):
         seen = set()
         for b in batches:
@@ -409,6 +415,7 @@ def candidates(docs: DataFrame, scratch: Scratch, width: int, threshold: int):
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["node", "packed"])
 
+    @tidy
     def unpacked(batches):
         for b in batches:
             for at in range(0, b.num_rows, 1024):
@@ -433,14 +440,14 @@ def candidates(docs: DataFrame, scratch: Scratch, width: int, threshold: int):
     again = scratch.save(again, meta.count())
     members = again.agg(F.sum("n")).first()[0] or 0
     left = sets.join(small(again.select("node")), "node", "left_semi").dropDuplicates(["node"])
-    packed = scratch.save(left, members // 5)
-    kept = scratch.save(packed.mapInArrow(unpacked, "node long, n long, members array<long>"), members // 5)
+    packed = scratch.save(left)
+    kept = scratch.save(packed.mapInArrow(unpacked, "node long, n long, members array<long>"))
     scratch.drop(sets)
     # 3: keys
-    places = scratch.save(ranked(kept).where(F.col("place") <= prefix(F.col("n"), 2, threshold)), members // 3)
+    places = scratch.save(ranked(kept).where(F.col("place") <= prefix(F.col("n"), 2, threshold)))
     keys = keys_of(places, boundary(places, threshold), threshold).distinct()
     lists = keys.groupBy("key").agg(F.count("*").alias("in_list"), F.min("node").alias("leader")).where("in_list > 1")
-    postings = scratch.save(keys.join(lists, "key").select("key", "node", "n", "leader", "in_list"), members // 3)
+    postings = scratch.save(keys.join(lists, "key").select("key", "node", "n", "leader", "in_list"))
     # 4: each set against the leader it shares most keys with
     votes = postings.groupBy("node", "leader").agg(F.count("*").alias("votes"))
     leaders = scratch.save(votes.groupBy("node").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader")), members // 50)

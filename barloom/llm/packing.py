@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Bytes of text whose distinct words are encoded together; words whose ids are put together at a time.
@@ -104,6 +104,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+@tidy
 def cut(batches, path: str, capacity: int, end_id: int):
     enc, end = encoder(path), np.asarray([end_id], "<u4").tobytes()
     for ids, texts in gathered(batches):

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import tidy
+
 #: Classes of bytes: lower case and bytes beyond ASCII, upper case, digit, space, line end, then kinds of signs.
 CLASS = np.full(256, 15, np.uint8)
 for _i, _set in enumerate((bytes(range(97, 123)) + bytes(range(128, 256)), bytes(range(65, 91)), b"0123456789", b" \t", b"\n\r", b".,", b"'\"", b"!", b"?", b"-_", b"|", b"%&$#*@", b"<>{}[]()=", b"/\\:;")):
@@ -79,6 +81,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
 def sampled(docs: DataFrame, ids: DataFrame, n: int) -> np.ndarray:
     """The features of those of docs (doc_id, text) with the ``n`` of ``ids`` (doc_id) of least hash, or with all if fewer."""
 
+    @tidy
     def run(batches):
         for b in batches:
             rows = [features(t).tobytes() for t in b.column(0).to_pylist()]
@@ -120,6 +123,7 @@ def score(docs: DataFrame, labels: DataFrame, fold=None, positives: int = 3000,
         w, b = np.zeros(WIDTH, np.float32), float(np.log(prior / (1 - prior)))
     names, at = docs.columns, docs.columns.index("text")
 
+    @tidy
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):

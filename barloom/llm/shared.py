@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +73,28 @@ class Scratch:
                 fs.delete(p, True)
 
 
+def tidy(make):
+    """A function of Arrow batches (a generator) or of one pandas group that gives back what Arrow keeps for reuse: workers outlive their tasks."""
+    if inspect.isgeneratorfunction(make):
+
+        @functools.wraps(make)
+        def batches(*args):
+            try:
+                yield from make(*args)
+            finally:
+                pa.default_memory_pool().release_unused()
+
+        return batches
+
+    def group(pdf):
+        try:
+            return make(pdf)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return group
+
+
 def small(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """``table`` (saved, of a few numbers a row), to be broadcast if it has no more than ``rows`` rows."""
     return F.broadcast(table) if table.count() <= rows else table

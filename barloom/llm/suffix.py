@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, small
+from .shared import Scratch, small, tidy
 
 #: Bytes of text, and windows, that are hashed together; texts over it make a batch of their own.
 BATCH, WINDOWS = 8 << 20, 1_000_000
@@ -193,6 +193,7 @@ def named(runs: np.ndarray, owner, kind: int) -> np.ndarray:
     return out
 
 
+@tidy
 def send_runs(batches, length: int, seed: int, ranges: int):
     task = TaskContext.get().partitionId()
     for serial, some in enumerate(batches_of(columns(batches, 0, 1, 2))):
@@ -208,6 +209,7 @@ def send_runs(batches, length: int, seed: int, ranges: int):
         yield send(f"{task}-{serial}", ranges, ids.tolist(), [h for _, h, _ in some], local, **{k: v[kept] for k, v in parts.items()})
 
 
+@tidy
 def send_doubled(batches, length: int, seed: int, ranges: int):
     """Of each run to be ranked on, the ranks of twice the seed's length to the right (even places) and to the left (odd places) of its representative."""
     task = TaskContext.get().partitionId()
@@ -229,6 +231,7 @@ def send_doubled(batches, length: int, seed: int, ranges: int):
         yield send(f"{task}-{serial}", ranges, [d for d, *_ in some], [h for _, h, *_ in some], np.concatenate(local), rank=rank[order], owner=owner[order], pos=place[order])
 
 
+@tidy
 def send_windows(batches, length: int, ranges: int):
     task = TaskContext.get().partitionId()
     for serial, some in enumerate(batches_of(columns(batches, 0, 1, 2, 3))):
@@ -267,6 +270,7 @@ def answers(pdf: pd.DataFrame, meta: pd.DataFrame, source: np.ndarray, found: np
     return pd.concat([meta[["batch", "ids", "hs"]].assign(runs=meta["local"]), out]) if len(meta) else out
 
 
+@tidy
 def rerank(pdf: pd.DataFrame) -> pd.DataFrame:
     """For one range of ranks: each batch's runs that occur earlier elsewhere, or whose rank has several pairs."""
     meta, pdf = pdf[pdf["rank"].isna()], pdf[pdf["rank"].notna()]
@@ -289,6 +293,7 @@ def rerank(pdf: pd.DataFrame) -> pd.DataFrame:
     return answers(pdf, meta, source[at], found)
 
 
+@tidy
 def unique(pdf: pd.DataFrame) -> pd.DataFrame:
     """For one range of ranks: the places of each batch whose rank no other place has."""
     meta, pdf = pdf[pdf["rank"].isna()], pdf[pdf["rank"].notna()]
@@ -399,6 +404,7 @@ def digest(docs: DataFrame, length: int = 100, seed: int = 24) -> DataFrame:
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
+    @tidy
     def touched(batches):
         for b in batches:
             rows = []
@@ -426,6 +432,7 @@ def remove(docs: DataFrame, length: int = 100, seed: int = 24) -> DataFrame:
     schema = docs.schema
     arrow = None
 
+    @tidy
     def touched(batches):
         for b in batches:
             texts = []

@@ -41,3 +41,40 @@ def test_repeated_rows_share_all_their_copies(spark, monkeypatch):
     assert 0 < chosen[7, "a", 3] < 100 and 0 < chosen[None, "a", 2] < 60
     assert n == {"same": chosen[7, "a", 3], "null": chosen[None, "a", 2]} and len(got) == sum(chosen.values())
     assert got[got["doc_id"].isna()].groupby("text").size().max() == 1
+
+
+def test_stages_against_brute_force(spark):
+    """The stages that decide by rule, each on its predecessor's rows; the classifier and the mix are tested by accuracy and by targets."""
+    docs = P.quality_stage(spark, queries.table(spark, SF, "documents"), SF).cache()
+    rows = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    words = {i: [w.decode() for w in t.encode().translate(jaccard.LOWER).split()] for i, t in rows.items()}
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for i, w in words.items()}
+    boss = {i: i for i in rows}
+
+    def top(i):
+        while boss[i] != i:
+            i = boss[i]
+        return i
+
+    for a in rows:
+        for b in rows:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                p, q = top(a), top(b)
+                boss[max(p, q)] = min(p, q)
+    kept = sorted(i for i in rows if top(i) == i)
+    left = P.near_duplicate_stage(spark, docs, SF).cache()
+    assert sorted(r.doc_id for r in left.select("doc_id").collect()) == kept and len(kept) < len(rows)
+
+    seen, want = set(), {}
+    for i in kept:
+        data = rows[i].encode()
+        gone = bytearray(len(data))
+        for k in range(len(data) - 99):
+            if data[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(data[k : k + 100])
+        want[i] = bytes(c for c, g in zip(data, gone, strict=True) if not g)
+    got = {r.doc_id: r for r in P.repeated_string_stage(spark, left, SF).collect()}
+    # a character that loses some of its bytes goes as a whole
+    assert all(got[i].text.encode() == t or len(t) - 8 <= len(got[i].text.encode()) < len(t) for i, t in want.items() if rows[i])
+    assert all(got[i].n_chars == len(got[i].text or "") for i in kept) and any(len(t) < len(rows[i].encode()) for i, t in want.items())
