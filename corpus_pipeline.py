@@ -1,7 +1,8 @@
 """A training corpus from raw documents: five stages, each one operator of ``barloom.llm``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and rereads as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents, whatever other columns there are. An empty table gives
+no rows in any stage.
 """
 
 from __future__ import annotations
@@ -14,7 +15,11 @@ from barloom.llm.shared import Scratch, small
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be good."""
+    """Documents that the quality classifier predicts to be good.
+
+    Null and empty texts are scored like others, by their lack of words; repeated rows share a score and stay or go
+    together; rows without doc_id are scored, but not learned from.
+    """
     fold = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
     scored = quality.score(docs, queries.table(spark, sf_dir, "labels"), fold=fold)
     return scored.where("predicted = 1").select(*docs.columns)
@@ -47,13 +52,21 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 100 bytes that occur earlier; n_chars follows."""
+    """Texts without the strings of 100 bytes that occur earlier; n_chars follows.
+
+    Rows without doc_id come after all others; rows of one doc_id are not earlier than each other, so equal rows lose the
+    same bytes. Null texts stay null, and short ones as they are; a text that loses all its bytes stays as an empty one.
+    """
     out = suffix.remove(docs, length=100)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it. Rows alike in doc_id, source and size share all their copies: some get one more than the others."""
+    """Each document as many times as the mix takes it.
+
+    Rows alike in doc_id, source and size share all their copies: some get one more than the others. Null is a source and
+    a doc_id like others; null and empty texts have size 0 and cost the mix nothing.
+    """
     scratch = Scratch(spark)
     mixed = mixing.mix(docs.select("doc_id", "text", "source"), weights=(3, 1, 2), share=1.5, cap=2.0)
     of = [F.col(c).alias(f"of_{c.removeprefix('doc_')}") for c in ("doc_id", "source", "size")]
@@ -83,7 +96,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences of 1024 tokens."""
+    """Pieces of the documents, packed into sequences of 1024 tokens. A null or empty text is the end token alone; repeated rows are packed each."""
     return packing.pack(docs.select("doc_id", "text"), queries.tokenizer(), capacity=1024, end_id=2)
 
 
