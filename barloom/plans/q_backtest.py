@@ -1,4 +1,4 @@
-"""Back-test queries. The forecasts come from a helper per symbol; what follows them is checked against SQL in tests."""
+"""Back-test queries. The forecasts come from a helper per symbol; what follows them is tested on small fixtures."""
 
 from __future__ import annotations
 
