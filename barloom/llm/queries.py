@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, chat, jaccard, mixing, neardup, packing, quality, suffix, topk, warc
+from . import backoff, chat, exact, jaccard, mixing, neardup, packing, quality, suffix, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +71,11 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "canonical_url", "ts", "resolution", "response_id", text.alias("headers"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_source_mixing, op5_chat_formatting, op8_exact_top_k, op9_jaccard_join, op9_jaccard_links, op10_suffix_dedup, op2_embedding_near_dedup, op4_quality_classifier, op6_stupid_backoff, op7_warc_revisits)}
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_source_mixing, op5_chat_formatting, op8_exact_top_k, op9_jaccard_join, op9_jaccard_links, op10_suffix_dedup, op2_embedding_near_dedup, op4_quality_classifier, op6_stupid_backoff, op7_warc_revisits, op13_exact_dedup)}
 
 OP8_SQL = """
 with e as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
@@ -137,4 +141,10 @@ select record_id, curl as canonical_url, ts, resolution, r.id as response_id,
 from b
 """
 
-ORACLES = {"op6_stupid_backoff": OP6_SQL, "op7_warc_revisits": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op8_exact_top_k": OP8_SQL}
+OP13_SQL = r"""
+with t as (select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as k from documents)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by k) as group_size, doc_id = first_value(doc_id) over w as kept, sha256(k) as text_sha256
+from t window w as (partition by k order by n desc, doc_id)
+"""
+
+ORACLES = {"op13_exact_dedup": OP13_SQL, "op6_stupid_backoff": OP6_SQL, "op7_warc_revisits": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op8_exact_top_k": OP8_SQL}

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -100,6 +100,42 @@ def small(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
+def hot_join(scratch: Scratch, left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: int = 10_000) -> DataFrame:
+    """``left`` joined with ``right``, which has at most one row for each value of ``keys``, however often ``left`` repeats one.
+
+    Keys of more than 1 / ``share`` of ``left``'s rows are fewer than ``share``: their rows of ``right`` are broadcast.
+    The others go by a shuffle in which no key has more rows than that. Keys are not null. ``left`` is read twice, so it
+    is a saved table. ``how``: 'inner' or 'left'.
+    """
+    n = left.count()
+    hot = scratch.save(left.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") * share > n).select(*keys, F.lit(True).alias("__hot")), share)
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    marked = left.join(F.broadcast(hot), keys, "left")
+    few = F.broadcast(right.join(F.broadcast(hot), keys, "left_semi"))
+    return marked.where("__hot").drop("__hot").join(few, keys, how).unionByName(marked.where("__hot is null").drop("__hot").join(right, keys, how))
+
+
+def numbered(scratch: Scratch, rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``pos`` (long, from 0 in each group, by ``order``; nulls first) and ``total`` (long, rows of the group).
+
+    No group has to fit in a task: rows are dealt out by ranges of (group, order), numbered where they lie, and each
+    range's start comes from the counts of the ranges before it, a row for each range and group. Rows alike in ``order``
+    go to one range; where there may be many, the last column of ``order`` tells them apart. ``rows`` is read twice.
+    """
+    lain = rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    lain = scratch.save(lain.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = lain.groupBy("__part", *group).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    w = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    names = {k: f"__g{i}" for i, k in enumerate(group)}
+    starts = small(scratch.save(counts.select(F.col("__part").alias("__p"), *(F.col(k).alias(n) for k, n in names.items()), (before - F.col("__first")).alias("__start"), F.sum("__n").over(w).alias("total"))))
+    on = F.col("__part") == F.col("__p")
+    for k, n in names.items():
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    return lain.join(starts, on).withColumn("pos", F.col("__at") + F.col("__start")).drop("__p", *names.values(), "__start", "__part", "__at")
+
+
 def components(edges: DataFrame, scratch: Scratch, rows: int | None = None, rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b: long): a row (node, component) for each node with an edge.
 
