@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, chat, exact, jaccard, mixing, neardup, packing, quality, suffix, topk, warc
+from . import backoff, chat, exact, jaccard, merkle, mixing, neardup, packing, quality, suffix, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,11 +71,22 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "canonical_url", "ts", "resolution", "response_id", text.alias("headers"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    touched = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    again = merkle.leaf(*fields[:3], touched, fields[4])
+    found = merkle.manifest(docs, merkle.leaf(*fields), F.col("lang"), ["doc_id"], [F.col("doc_id"), again.alias("again")]).proofs()
+    proof = F.sha2(F.array_join(merkle.siblings(F.col("path")), ""), 256)
+    out = found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), merkle.fold(F.col("again"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_source_mixing, op5_chat_formatting, op8_exact_top_k, op9_jaccard_join, op9_jaccard_links, op10_suffix_dedup, op2_embedding_near_dedup, op4_quality_classifier, op6_stupid_backoff, op7_warc_revisits, op13_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_source_mixing, op5_chat_formatting, op8_exact_top_k, op9_jaccard_join, op9_jaccard_links, op10_suffix_dedup, op2_embedding_near_dedup, op4_quality_classifier, op6_stupid_backoff, op7_warc_revisits, op12_merkle_manifest, op13_exact_dedup)}
 
 OP8_SQL = """
 with e as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
@@ -141,10 +152,37 @@ select record_id, curl as canonical_url, ts, resolution, r.id as response_id,
 from b
 """
 
+#: CRC-32 of a decimal number, bit by bit.
+CRC32 = "xor(list_reduce(flatten(list_transform(string_split({0}::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, b: case when b >= 0 then xor(a, b) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, 4294967295::bigint), 4294967295)"
+
+OP12_SQL = f"""
+with recursive d as (select *, case when n_chars is not null and {CRC32.format("doc_id")} % 7 = 0 then n_chars + 1 else n_chars end as touched from documents),
+     s as (select *, list_transform([doc_id::varchar, source, lang], lambda x: coalesce(strlen(x) || ':' || x, '-')) as a,
+                  coalesce(strlen(text) || ':' || text, '-') as b from d),
+     l as (select doc_id, coalesce('+' || lang, '') as tree, sha256(array_to_string(a, '') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || b) as leaf,
+                  sha256(array_to_string(a, '') || coalesce(strlen(touched::varchar) || ':' || touched, '-') || b) as again from s),
+     p as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by tree) as n from l),
+     t(tree, h, i, n, node) as (select tree, 0, i, n, leaf from p
+           union all select tree, h + 1, i // 2, (n + 1) // 2, sha256(string_agg(node, '' order by i)) from t where n > 1 group by tree, h, i // 2, n),
+     r as (select tree, node as subroot, h as top, row_number() over (order by tree) - 1 as i, count(*) over () as n from t where n = 1),
+     u(h, i, n, node) as (select 0, i, n, subroot from r union all select h + 1, i // 2, (n + 1) // 2, sha256(string_agg(node, '' order by i)) from u where n > 1 group by h, i // 2, n),
+     w as (select p.doc_id, p.tree, p.i, p.leaf, p.again, r.subroot, r.top, r.i as g, (select node from u where n = 1) as root from p join r on p.tree = r.tree),
+     k(tree, i, h, node, proof) as (
+        select w.tree, w.i, 0, w.again, '' from w
+        union all
+        select k.tree, k.i, k.h + 1, sha256(case when b.node is null then k.node when (case when k.h < w.top then k.i >> k.h else w.g >> (k.h - w.top) end) & 1 = 1 then b.node || k.node else k.node || b.node end), k.proof || coalesce(b.node, '')
+        from k join w on k.tree = w.tree and k.i = w.i
+        left join (select t.tree, t.h, t.i, t.node from t join r on t.tree = r.tree and t.h < r.top union all select r.tree, r.top + u.h, u.i, u.node from u, r) b
+               on b.tree = k.tree and b.h = k.h and b.i = xor(case when k.h < w.top then k.i >> k.h else w.g >> (k.h - w.top) end, 1)
+        where k.h < w.top + (select max(h) from u))
+select w.doc_id, w.leaf, w.subroot, w.root, sha256(k.proof) as proof_sha256, k.node as folded_root, k.node = w.root as verified
+from w join k on k.tree = w.tree and k.i = w.i and k.h = w.top + (select max(h) from u)
+"""
+
 OP13_SQL = r"""
 with t as (select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as k from documents)
 select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by k) as group_size, doc_id = first_value(doc_id) over w as kept, sha256(k) as text_sha256
 from t window w as (partition by k order by n desc, doc_id)
 """
 
-ORACLES = {"op13_exact_dedup": OP13_SQL, "op6_stupid_backoff": OP6_SQL, "op7_warc_revisits": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op8_exact_top_k": OP8_SQL}
+ORACLES = {"op12_merkle_manifest": OP12_SQL, "op13_exact_dedup": OP13_SQL, "op6_stupid_backoff": OP6_SQL, "op7_warc_revisits": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op8_exact_top_k": OP8_SQL}
