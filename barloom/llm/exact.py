@@ -52,7 +52,7 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
     def result(rows: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
         keep = F.when(F.col("best.has"), F.bitwise_not("best.low"))
-        return hot_join(scratch, rows, of, keys).select("doc_id", keep.alias("keep_id"), "group_size", (F.col("row") == F.bitwise_not("best.row")).alias("kept"), "text_sha256")
+        return hot_join(rows, of, keys).select("doc_id", keep.alias("keep_id"), "group_size", (F.col("row") == F.bitwise_not("best.row")).alias("kept"), "text_sha256")
 
     if apart.isEmpty():
         return result(thin, classes, ["h"])

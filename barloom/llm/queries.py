@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, chat, exact, jaccard, merkle, mixing, neardup, packing, quality, suffix, topk, warc
+from . import backoff, chat, exact, jaccard, merkle, mixing, neardup, packing, quality, suffix, topk, trie, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "canonical_url", "ts", "resolution", "response_id", text.alias("headers"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
@@ -86,7 +90,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_source_mixing, op5_chat_formatting, op8_exact_top_k, op9_jaccard_join, op9_jaccard_links, op10_suffix_dedup, op2_embedding_near_dedup, op4_quality_classifier, op6_stupid_backoff, op7_warc_revisits, op12_merkle_manifest, op13_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_source_mixing, op5_chat_formatting, op8_exact_top_k, op9_jaccard_join, op9_jaccard_links, op10_suffix_dedup, op2_embedding_near_dedup, op4_quality_classifier, op6_stupid_backoff, op7_warc_revisits, op11_prefix_trie, op12_merkle_manifest, op13_exact_dedup)}
 
 OP8_SQL = """
 with e as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
@@ -155,6 +159,22 @@ from b
 #: CRC-32 of a decimal number, bit by bit.
 CRC32 = "xor(list_reduce(flatten(list_transform(string_split({0}::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, b: case when b >= 0 then xor(a, b) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, 4294967295::bigint), 4294967295)"
 
+OP11_SQL = f"""
+with o as (select conv_id, row_number() over (partition by conv_id order by turn nulls first) as i, coalesce(role, '') as role, coalesce(text, '') as t from conversations where conv_id is not null),
+     n as (select conv_id, count(*) as n, {CRC32.format("conv_id")} % 6 as h, conv_id - conv_id % 100 as base from o group by conv_id),
+     m as (select n.*, least(n.h, coalesce(b.n, 0)) as taken, least(n.h, coalesce(b.n, 0)) + greatest(n.n - n.h, 0) as size from n left join n b on b.conv_id = n.base),
+     r as (select m.conv_id, m.size, o.i as d, role, t from m join o on o.conv_id = m.base and o.i <= m.taken
+           union all select m.conv_id, m.size, taken + i - h, role, t from m join o on o.conv_id = m.conv_id where i > h),
+     k as (select conv_id, size, d, length(t) as chars, string_agg(strlen(role) || ':' || role || strlen(t) || ':' || t, '') over (partition by conv_id order by d) as key from r),
+     x as (select conv_id, size, d, chars, key, coalesce(lag(key) over (partition by conv_id order by d), '') as up from k union all select conv_id, size, 0, 0, '', null from m),
+     g as (select key, d, min(conv_id) as conv_id, count(*) as n, any_value(chars) as chars, any_value(up) as up, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (d = size), '')) as ends from x group by key, d),
+     c as (select up as key, count(*) as kids from g where up is not null group by up),
+     w as (select g.*, coalesce(kids, 0) as kids from g left join c on g.key = c.key),
+     s as (select x.key, count(*) filter (w.kids = 0) as leaves, sum((w.n - 1) * w.chars)::bigint as saved from w join x on x.conv_id = w.conv_id and x.d <= w.d group by x.key)
+select w.conv_id, w.d as depth, p.conv_id as parent_conv_id, w.n as n_convs, w.kids as n_children, s.leaves as n_leaves, s.saved as saved_tokens, w.ends as ends_sha256
+from w join s on w.key = s.key left join g p on p.key = w.up
+"""
+
 OP12_SQL = f"""
 with recursive d as (select *, case when n_chars is not null and {CRC32.format("doc_id")} % 7 = 0 then n_chars + 1 else n_chars end as touched from documents),
      s as (select *, list_transform([doc_id::varchar, source, lang], lambda x: coalesce(strlen(x) || ':' || x, '-')) as a,
@@ -185,4 +205,4 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
 from t window w as (partition by k order by n desc, doc_id)
 """
 
-ORACLES = {"op12_merkle_manifest": OP12_SQL, "op13_exact_dedup": OP13_SQL, "op6_stupid_backoff": OP6_SQL, "op7_warc_revisits": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op8_exact_top_k": OP8_SQL}
+ORACLES = {"op11_prefix_trie": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_exact_dedup": OP13_SQL, "op6_stupid_backoff": OP6_SQL, "op7_warc_revisits": OP7_SQL, "op9_jaccard_join": OP9_SQL, "op8_exact_top_k": OP8_SQL}

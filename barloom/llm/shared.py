@@ -100,17 +100,17 @@ def small(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
-def hot_join(scratch: Scratch, left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: int = 10_000) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: int = 10_000, few: int = 100_000) -> DataFrame:
     """``left`` joined with ``right``, which has at most one row for each value of ``keys``, however often ``left`` repeats one.
 
-    Keys of more than 1 / ``share`` of ``left``'s rows are fewer than ``share``: their rows of ``right`` are broadcast.
-    The others go by a shuffle in which no key has more rows than that. Keys are not null. ``left`` is read twice, so it
-    is a saved table. ``how``: 'inner' or 'left'.
+    A ``right`` of no more than ``few`` rows is broadcast. Else, keys of more than 1 / ``share`` of ``left``'s rows are
+    fewer than ``share``, and their rows of ``right`` are broadcast; the others go by a shuffle in which no key has more
+    rows than that. Keys are not null. Both are read twice, so they are saved tables. ``how``: 'inner' or 'left'.
     """
+    if right.count() <= few:
+        return left.join(F.broadcast(right), keys, how)
     n = left.count()
-    hot = scratch.save(left.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") * share > n).select(*keys, F.lit(True).alias("__hot")), share)
-    if hot.isEmpty():
-        return left.join(right, keys, how)
+    hot = left.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") * share > n).select(*keys, F.lit(True).alias("__hot"))
     marked = left.join(F.broadcast(hot), keys, "left")
     few = F.broadcast(right.join(F.broadcast(hot), keys, "left_semi"))
     return marked.where("__hot").drop("__hot").join(few, keys, how).unionByName(marked.where("__hot is null").drop("__hot").join(right, keys, how))
