@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import BUCKET_DAYS, rows_of, speculative
+
 
 def by_time():
     return Window.partitionBy("symbol").orderBy("ts")
@@ -86,33 +88,34 @@ def apply_corporate_actions(bars: DataFrame, actions: DataFrame, adjust_ohlc: bo
     return out.withColumn("volume", F.col("volume") * F.col("product")).drop("lf", "bar", "product")
 
 
-def bad_print_flags(close: np.ndarray, volume: np.ndarray, window: int = 5, volume_window: int = 20, sigma: float = 3.0) -> np.ndarray:
-    """For one symbol in order of time: 1 where a close is far from the last accepted ones and volume doesn't confirm it."""
-    flags, accepted = np.zeros(len(close), bool), []
-    sums = np.append(0.0, np.cumsum(volume))
-    for i, (c, v) in enumerate(zip(close.tolist(), volume.tolist(), strict=True)):
-        recent = accepted[-window:]
-        if len(recent) >= 2:
-            m = sum(recent) / len(recent)
-            s = (sum((x - m) ** 2 for x in recent) / len(recent)) ** 0.5
-            n = min(i, volume_window)
-            base = (sums[i] - sums[i - n]) / n if n else 0.0
-            if s > 0 and abs(c - m) > sigma * s and (v / base if base > 0 else float("inf")) < 2:
-                flags[i] = True
-                continue
-        accepted.append(c)
-    return flags
-
-
-def flag_bad_prints(bars: DataFrame, window: int = 5, volume_window: int = 20, sigma: float = 3.0) -> DataFrame:
-    """``bars`` (symbol, ts, close, volume) with ``rejected``: whether a bar depends on which bars before it were rejected, so a symbol is one group."""
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        return pdf.assign(rejected=bad_print_flags(pdf["close"].to_numpy(), pdf["volume"].to_numpy(), window, volume_window, sigma))
-
-    b = bars.select("symbol", "ts", "close", "volume")
-    return b.groupBy("symbol").applyInPandas(scan, "symbol string, ts timestamp, close double, volume double, rejected boolean")
+def bad_print_step(window: int = 5, volume_window: int = 20, sigma: float = 3.0):
+    """A step over a symbol's bars: state (how many accepted closes, these, the last volumes) or None at first, and whether the bar is rejected.
+
+    A close is a bad print if it is more than ``sigma`` deviations from the last accepted ones and its volume is less
+    than twice the mean of the volumes before it.
+    """
+
+    def step(state, close, volume):
+        k = int(state[0]) if state else 0
+        accepted, volumes = (state[1 : 1 + k], state[1 + k :]) if state else ([], [])
+        bad = False
+        if k >= 2:
+            m = sum(accepted) / k
+            s = (sum((x - m) ** 2 for x in accepted) / k) ** 0.5
+            if s > 0 and abs(close - m) > sigma * s:
+                base = sum(volumes) / len(volumes) if volumes else 0.0
+                bad = (volume / base if base > 0 else float("inf")) < 2
+        if not bad:
+            accepted = [*accepted, close][-window:]
+        return [float(len(accepted)), *accepted, *[*volumes, volume][-volume_window:]], (bad,)
+
+    return step
+
+
+def flag_bad_prints(bars: DataFrame, window: int = 5, volume_window: int = 20, sigma: float = 3.0, bucket_days: float = BUCKET_DAYS) -> DataFrame:
+    """``bars`` (symbol, ts, close, volume) with ``rejected``. Whether a bar is depends on which bars before it were: chunks of a series run speculatively (see ``series``)."""
+    chunks = speculative(bars, bad_print_step(window, volume_window, sigma), "rejected boolean", 3 * volume_window, bucket_days)
+    return rows_of(chunks, "close", "volume", "rejected")
 
 
 def clean_history(bars: DataFrame) -> DataFrame:

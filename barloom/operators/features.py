@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import BUCKET_DAYS, affine_scan, bucketed, in_bucket
+
 WINDOWS, RETURN_WINDOWS, VOLUME_WINDOWS = (5, 10, 20, 50, 100), (1, 2, 5, 10, 20), (5, 10, 20, 50)
 
 
@@ -49,14 +51,25 @@ def std(col: str, n: int) -> Column:
 
 
 def frame_ewma(col: str, n: int, keep: float) -> Column:
-    """Over the frame's n values: start with the first, then keep * before + (1 - keep) * next."""
-    values = F.collect_list(col).over(last(n))
-    return F.aggregate(F.slice(values, 2, n), values[0], lambda acc, x: keep * acc + (1 - keep) * x)
+    """Over the frame's n values: start with the first, then keep * before + (1 - keep) * next.
+
+    That is a sum of the frame's values with the weights of the recursion, newest first; values whose weights are below
+    the rounding of a double are left out, so that a long frame costs no more than its weights reach.
+    """
+    reach = min(n - 1, math.ceil(math.log(1e-18) / math.log(keep)))
+    at = lambda i: F.lag(col, i).over(by_time()) if i else F.col(col)
+    value = (1 - keep) * at(0)
+    for i in range(1, reach + 1):
+        value = value + (keep**i if i == n - 1 else (1 - keep) * keep**i) * at(i)
+    return value
 
 
 def ewma_vol(n: int = 20, keep: float = 0.94) -> Column:
-    values, m = F.collect_list("ret").over(last(n)), F.avg("ret").over(last(n))
-    return F.sqrt(F.aggregate(F.slice(values, 2, n), F.lit(0.0), lambda acc, x: keep * acc + (1 - keep) * (x - m) * (x - m)))
+    m, value = F.avg("ret").over(last(n)), F.lit(0.0)
+    for i in range(n - 1):
+        x = (F.lag("ret", i).over(by_time()) if i else F.col("ret")) - m
+        value = value + (1 - keep) * keep**i * x * x
+    return F.sqrt(value)
 
 
 def returns_block() -> dict[str, dict[str, Column]]:
@@ -165,24 +178,26 @@ def feature_matrix(bars: DataFrame, minimum_bars: int = 110) -> DataFrame:
     return f.select("symbol", "ts", "idx", *[F.coalesce(F.nanvl(F.col(n).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(n) for n in names])
 
 
-def garch_vol(bars: DataFrame, alpha: float = 0.1, beta: float = 0.85, expanding: bool = False) -> DataFrame:
-    """(symbol, ts, garch_vol): a recursion, so a symbol is one group. Mean and starting variance are of the whole series, or of the past only if ``expanding``."""
-    import numpy as np
-
-    def run(pdf):
-        pdf = pdf.sort_values("ts", kind="stable")
-        r = np.diff(np.log(pdf["close"].to_numpy()))
-        n, out = len(r), np.full(len(pdf), np.nan)
-        count = np.arange(1, n + 1)
-        mean = np.cumsum(r) / count if expanding else np.full(n, r.mean() if n else 0.0)
-        var = np.maximum(0, (np.cumsum(r * r) - count * mean**2) / np.maximum(1, count - 1)) if expanding else np.full(n, r.var(ddof=1) if n > 1 else 0.0)
-        h = var[0] if n else 0.0
-        for i in range(n):
-            h = var[i] * (1 - alpha - beta) + alpha * (r[i] - mean[i]) ** 2 + beta * h
-            out[i + 1] = np.sqrt(max(h, 1e-10))
-        return pdf[["symbol", "ts"]].assign(garch_vol=out)
-
-    return bars.select("symbol", "ts", "close").groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, garch_vol double").withColumn("garch_vol", F.when(~F.isnan("garch_vol"), F.col("garch_vol")))
+def garch_vol(bars: DataFrame, alpha: float = 0.1, beta: float = 0.85, expanding: bool = False, bucket_days: float = BUCKET_DAYS) -> DataFrame:
+    """(symbol, ts, garch_vol): the conditional volatility from the sample variance on. Mean and variance are of the whole series, or of the past only if ``expanding``.
+
+    h = alpha * deviation ** 2 + beta * h before + (1 - alpha - beta) * variance is an affine recursion: a scan over
+    chunks (see ``series``), so a long series is many tasks. Sums of the buckets before come from a row for each bucket.
+    """
+    r = bucketed(bars.select("symbol", "ts", "close"), bucket_days)
+    sums = r.groupBy("symbol", "bucket").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("ss"))
+    past = Window.partitionBy("symbol").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("symbol", "bucket", *(F.coalesce(F.sum(c).over(past if expanding else whole()), F.lit(0)).alias(c) for c in ("n", "s", "ss")))
+    r = r.join(sums, ["symbol", "bucket"])
+    if expanding:
+        w = in_bucket().orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+        r = r.withColumns({"n": F.col("n") + F.count("ret").over(w), "s": F.col("s") + F.coalesce(F.sum("ret").over(w), F.lit(0.0)), "ss": F.col("ss") + F.coalesce(F.sum(F.col("ret") * F.col("ret")).over(w), F.lit(0.0))})
+    mean = F.col("s") / F.col("n")
+    var = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), (F.col("ss") - F.col("n") * mean * mean) / (F.col("n") - 1))).otherwise(0.0)
+    step = var * (1 - alpha - beta) + alpha * (F.col("ret") - mean) ** 2
+    # the variance before the first return is that of the first step
+    h = affine_scan(r, beta, step + F.when(F.col("idx") == 1, beta * var).otherwise(0.0))
+    return h.select("symbol", "ts", F.when(F.col("ret").isNotNull(), F.sqrt(F.greatest("h", F.lit(1e-10)))).alias("garch_vol"))
 
 
 def rolling_hurst(bars: DataFrame, window: int = 100) -> DataFrame:

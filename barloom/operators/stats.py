@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import normal_cdf
 from .risk import numbered
+from .series import BUCKET_DAYS, kept, rows_of, speculative
 
 
 def rescaled_range(bars: DataFrame, minimum_scale: int = 8, segments: int = 3, values: int = 2, least_sd: float = 1e-10) -> DataFrame:
@@ -95,25 +96,59 @@ def kalman_step(state, close: float, volume: float, r: float = 1e-2, low: float
     return (n + 1, estimate + gain * innovation, p, q, ahead, [*recent, innovation][-10:]), innovation
 
 
-def kalman(close: np.ndarray, volume: np.ndarray):
-    """(filtered, innovation, covariance, noise after each bar, smoothed) of one symbol."""
-    n, state = len(close), None
-    filtered, innov, cov, noise = (np.zeros(n) for _ in range(4))
-    for i, (c, v) in enumerate(zip(close.tolist(), volume.tolist(), strict=True)):
-        state, innov[i] = kalman_step(state, c, v)
-        filtered[i], cov[i], noise[i] = state[1:4]
-    smooth = filtered.copy()
-    for i in range(n - 2, -1, -1):
-        smooth[i] = filtered[i] + cov[i] / (cov[i] + noise[i]) * (smooth[i + 1] - filtered[i])
-    return filtered, innov, cov, noise, smooth
+def kalman_chunk_step(state, close, volume):
+    """``kalman_step`` with its state as a list of numbers; the count of bars matters up to 11 only."""
+    now = (int(state[0]), *state[1:5], state[5:]) if state else None
+    (n, estimate, p, q, ahead, recent), innovation = kalman_step(now, close, volume)
+    return [float(min(n, 11)), estimate, p, q, ahead, *recent], (estimate, innovation, p, q)
 
 
-def kalman_track(bars: DataFrame) -> DataFrame:
-    """(symbol, ts, close, filtered, innovation, covariance, noise, smoothed); a recursion, so a symbol is one group."""
+def smoothed_back(filtered, cov, noise, after: float | None) -> tuple[list[float], float, float]:
+    """(smoothed values of a chunk, a, b): each is g times the next one plus 1 - g times the filtered one, g = cov / (cov + noise).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        f, i, c, q, s = kalman(pdf["close"].to_numpy(), pdf["volume"].to_numpy())
-        return pdf[["symbol", "ts", "close"]].assign(filtered=f, innovation=i, covariance=c, noise=q, smoothed=s)
-
-    return bars.select("symbol", "ts", "close", "volume").groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, close double, filtered double, innovation double, covariance double, noise double, smoothed double")
+    ``after``: the first smoothed value of the chunk after; None at the end of the series, where the last filtered one
+    stands as it is. The chunk's first value is a * after + b.
+    """
+    out, a, b = [], 1.0, 0.0
+    value = after
+    for i in range(len(filtered) - 1, -1, -1):
+        g = cov[i] / (cov[i] + noise[i])
+        value = filtered[i] if value is None else filtered[i] + g * (value - filtered[i])
+        a, b = g * a, g * b + (1 - g) * filtered[i]
+        out.append(value)
+    return out[::-1], a, b
+
+
+def kalman_track(bars: DataFrame, bucket_days: float = BUCKET_DAYS) -> DataFrame:
+    """(symbol, ts, close, filtered, innovation, covariance, noise, smoothed).
+
+    The filter adapts to its own innovations, so chunks of a series run speculatively (see ``series``). Smoothing is an
+    affine recursion from the end: each chunk is one map, maps are composed over a row for each chunk, and each chunk gets
+    the first smoothed value of the one after it.
+    """
+    chunks = speculative(bars, kalman_chunk_step, "filtered double, innovation double, covariance double, noise double", 64, bucket_days)
+    own = ["filtered", "covariance", "noise"]
+
+    def maps(pdfs):
+        for pdf in pdfs:
+            yield pd.DataFrame([(r.symbol, r.bucket, *smoothed_back(r.filtered, r.covariance, r.noise, None)[1:], float(r.filtered[-1])) for r in pdf.itertuples(index=False)], columns=["symbol", "bucket", "a", "b", "last"])
+
+    s = Window.partitionBy("symbol").orderBy(F.desc("bucket"))
+    each = chunks.select("symbol", "bucket", *own).mapInPandas(maps, "symbol string, bucket long, a double, b double, last double").withColumn("n", F.row_number().over(s))
+    # the last chunk's first value comes from its own last filtered one
+    each = kept(each.withColumn("b", F.when(F.col("n") == 1, F.col("a") * F.col("last") + F.col("b")).otherwise(F.col("b"))))
+    longest, r = each.agg(F.max("n")).first()[0] or 1, 1
+    while r < longest:
+        a0, b0 = F.lag("a", r).over(s), F.lag("b", r).over(s)
+        each = each.select("symbol", "bucket", (F.col("a") * F.coalesce(a0, F.lit(1.0))).alias("a"), (F.col("a") * F.coalesce(b0, F.lit(0.0)) + F.col("b")).alias("b"))
+        r *= 2
+    after = each.select("symbol", "bucket", F.lag("b").over(s).alias("after"))
+
+    def smooth(pdfs):
+        for pdf in pdfs:
+            yield pdf.drop(columns="after").assign(smoothed=[smoothed_back(f, c, q, None if a is None or a != a else a)[0] for f, c, q, a in zip(pdf["filtered"], pdf["covariance"], pdf["noise"], pdf["after"], strict=True)])
+
+    names = ["close", "filtered", "innovation", "covariance", "noise"]
+    out = chunks.select("symbol", "bucket", "ts", *names).join(after, ["symbol", "bucket"])
+    out = out.mapInPandas(smooth, "symbol string, bucket long, ts array<timestamp>, " + ", ".join(f"{n} array<double>" for n in [*names, "smoothed"]))
+    return rows_of(out, *names, "smoothed")
