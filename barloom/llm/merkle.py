@@ -78,45 +78,50 @@ def steps(leaves: int, levels: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-@tidy
-def build(batches):
-    for b in batches:
-        logs, tops = [], []
-        for total, digests in zip(b.column("total").to_pylist(), b.column("digests").to_pylist(), strict=True):
-            log, _ = append([d.encode() for d in digests], min(LEVELS, height(total)))
-            logs.append(bytes.fromhex(b"".join(log).decode()))
-            tops.append(log[-1].decode())
-        kept = {n: b.column(n) for n in b.schema.names if n != "digests"}
-        yield pa.RecordBatch.from_pydict(kept | {"log": pa.array(logs, pa.binary()), "top": pa.array(tops, pa.string())})
-
-
-def blocks(nodes: DataFrame, scratch: Scratch, payload: list[str]) -> DataFrame:
+def build(levels: int) -> Callable:
+    """Of each block's digests, the log and the top."""
+
+    @tidy
+    def run(batches):
+        for b in batches:
+            logs, tops = [], []
+            for total, digests in zip(b.column("total").to_pylist(), b.column("digests").to_pylist(), strict=True):
+                log, _ = append([d.encode() for d in digests], min(levels, height(total)))
+                logs.append(bytes.fromhex(b"".join(log).decode()))
+                tops.append(log[-1].decode())
+            kept = {n: b.column(n) for n in b.schema.names if n != "digests"}
+            yield pa.RecordBatch.from_pydict(kept | {"log": pa.array(logs, pa.binary()), "top": pa.array(tops, pa.string())})
+
+    return run
+
+
+def blocks(nodes: DataFrame, scratch: Scratch, payload: list[str], levels: int) -> DataFrame:
     """The blocks of ``nodes`` (tree, pos, total, leaves, digest and payload), each built by one call, in a saved table.
 
     A row: tree, total (the tier's nodes), block (its number), leaves (of the whole tree), own (what each node carries),
     log (the digests of 32 bytes, one after the other), top (hex).
     """
     packed = F.sort_array(F.collect_list(F.struct("pos", "digest", F.struct(F.col("pos").alias("__pos"), *payload).alias("own")))).alias("all")
-    grouped = nodes.groupBy("tree", F.shiftright("pos", LEVELS).alias("block")).agg(F.first("total").alias("total"), F.first("leaves").alias("leaves"), packed)
+    grouped = nodes.groupBy("tree", F.shiftright("pos", levels).alias("block")).agg(F.first("total").alias("total"), F.first("leaves").alias("leaves"), packed)
     grouped = grouped.select("tree", "total", "block", "leaves", F.col("all.own").alias("own"), F.col("all.digest").alias("digests"))
     kind = grouped.schema["own"].dataType.simpleString()
-    return scratch.save(grouped.mapInArrow(build, f"tree string, total long, block long, leaves long, own {kind}, log binary, top string"))
+    return scratch.save(grouped.mapInArrow(build(levels), f"tree string, total long, block long, leaves long, own {kind}, log binary, top string"))
 
 
-def grow(nodes: DataFrame, scratch: Scratch, payload: list[str]) -> tuple[list[DataFrame], DataFrame]:
+def grow(nodes: DataFrame, scratch: Scratch, payload: list[str], levels: int) -> tuple[list[DataFrame], DataFrame]:
     """The tiers of every tree of ``nodes`` (tree, pos, total, digest), lowest first, and a row (tree, top, leaves) for each tree."""
-    tiers = [blocks(nodes.withColumn("leaves", F.col("total")), scratch, payload)]
-    while not (rest := tiers[-1].where(F.col("total") > 1 << LEVELS)).isEmpty():
-        up = rest.select("tree", F.col("block").alias("pos"), F.ceil(F.col("total") / (1 << LEVELS)).alias("total"), "leaves", F.col("top").alias("digest"))
-        tiers.append(blocks(up, scratch, []))
-    tops = [t.where(F.col("total") <= 1 << LEVELS).select("tree", "top", "leaves") for t in tiers]
+    tiers = [blocks(nodes.withColumn("leaves", F.col("total")), scratch, payload, levels)]
+    while not (rest := tiers[-1].where(F.col("total") > 1 << levels)).isEmpty():
+        up = rest.select("tree", F.col("block").alias("pos"), F.ceil(F.col("total") / (1 << levels)).alias("total"), "leaves", F.col("top").alias("digest"))
+        tiers.append(blocks(up, scratch, [], levels))
+    tops = [t.where(F.col("total") <= 1 << levels).select("tree", "top", "leaves") for t in tiers]
     out = tops[0]
     for t in tops[1:]:
         out = out.unionByName(t)
     return tiers, out
 
 
-def paths_of(names: list[str]) -> Callable:
+def paths_of(names: list[str], levels: int) -> Callable:
     """Of each block (with ``up``, the path of its top) a row for each of its leaves: what the block's row names, its own columns, its path."""
 
     @tidy
@@ -126,16 +131,16 @@ def paths_of(names: list[str]) -> Callable:
             for r in range(b.num_rows):
                 at = lambda n: b.column(n)[r]  # noqa: E731, B023
                 own = at("own").values
-                levels = min(LEVELS, height(at("total").as_py()))
-                if (len(own), levels) not in known:
-                    known[len(own), levels] = steps(len(own), levels)
+                up_by = min(levels, height(at("total").as_py()))
+                if (len(own), up_by) not in known:
+                    known[len(own), up_by] = steps(len(own), up_by)
                 log = np.frombuffer(at("log").as_buffer(), np.uint8).reshape(-1, STEP - 1)
                 up = np.frombuffer(at("up").as_buffer() or b"", np.uint8)
-                path = np.empty((len(own), levels * STEP + len(up)), np.uint8)
-                for h, (side, where) in enumerate(known[len(own), levels]):
+                path = np.empty((len(own), up_by * STEP + len(up)), np.uint8)
+                for h, (side, where) in enumerate(known[len(own), up_by]):
                     path[:, h * STEP] = side
                     path[:, h * STEP + 1 : (h + 1) * STEP] = log[where]
-                path[:, levels * STEP :] = up
+                path[:, up_by * STEP :] = up
                 ends = np.arange(len(own) + 1, dtype=np.int32) * path.shape[1]
                 cols = {n: pa.array([at(n).as_py()] * len(own), b.schema.field(n).type) for n in names}
                 cols |= {f.name: own.field(f.name) for f in own.type if f.name != "__pos"}
@@ -146,7 +151,7 @@ def paths_of(names: list[str]) -> Callable:
     return run
 
 
-def paths(tiers: list[DataFrame], tops: DataFrame) -> DataFrame:
+def paths(tiers: list[DataFrame], tops: DataFrame, levels: int) -> DataFrame:
     """A row for each leaf of the trees: tree, place (its number), its own columns, those of ``tops`` and its path to the root.
 
     ``tops``: tree, up (path of the tree's top) and more columns, a row for each tree. Blocks meet their tops' paths one
@@ -155,12 +160,12 @@ def paths(tiers: list[DataFrame], tops: DataFrame) -> DataFrame:
     more = [c for c in tops.columns if c not in ("tree", "up")]
     above = None
     for k, tier in reversed(list(enumerate(tiers))):
-        rows = tier.where(F.col("total") <= 1 << LEVELS).join(tops, "tree")
+        rows = tier.where(F.col("total") <= 1 << levels).join(tops, "tree")
         if above is not None:
-            rows = rows.unionByName(tier.where(F.col("total") > 1 << LEVELS).join(above, ["tree", "block"]))
+            rows = rows.unionByName(tier.where(F.col("total") > 1 << levels).join(above, ["tree", "block"]))
         own = tier.schema["own"].dataType.elementType
         kinds = StructType([StructField("tree", StringType()), *(tops.schema[c] for c in more), *(f for f in own if f.name != "__pos"), StructField("place", LongType()), StructField("path", BinaryType())])
-        out = rows.mapInArrow(paths_of(["tree", *more]), kinds)
+        out = rows.mapInArrow(paths_of(["tree", *more], levels), kinds)
         above = out.select("tree", F.col("place").alias("block"), F.col("path").alias("up"), *more)
     return out
 
@@ -193,30 +198,31 @@ class Manifest:
     top_tiers: list[DataFrame]
     roots: DataFrame
     root: DataFrame
+    levels: int
 
     def proofs(self) -> DataFrame:
         """A row for each row of the dataset: its own columns, leaf, subroot, root and path (see ``siblings`` and ``fold``)."""
         root = self.root.select("tree", F.lit(bytearray()).alias("up"), F.col("top").alias("root"))
-        groups = paths(self.top_tiers, root).select(F.col("group").alias("tree"), F.col("path").alias("up"), "root", F.col("top").alias("subroot"))
-        return paths(self.tiers, groups).drop("tree", "place")
+        groups = paths(self.top_tiers, root, self.levels).select(F.col("group").alias("tree"), F.col("path").alias("up"), "root", F.col("top").alias("subroot"))
+        return paths(self.tiers, groups, self.levels).drop("tree", "place")
 
     def log(self) -> DataFrame:
         """The log: tree, position (gapless from 0 in each tree), height, digest (hex)."""
         out = None
         for k, tier in enumerate(self.tiers):
-            rows = tier.select("tree", "total", "block", "leaves", "log").mapInArrow(_log_of(k), "tree string, position long, height int, digest string")
+            rows = tier.select("tree", "total", "block", "leaves", "log").mapInArrow(_log_of(k, self.levels), "tree string, position long, height int, digest string")
             out = rows if out is None else out.unionByName(rows)
         return out
 
 
-def _log_of(tier: int) -> Callable:
+def _log_of(tier: int, levels: int) -> Callable:
     @tidy
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                lowest, unit = r["block"] << LEVELS, tier * LEVELS
-                count = min(1 << LEVELS, r["total"] - lowest)
-                _, places = append([b""] * count, min(LEVELS, height(r["total"])))
+                lowest, unit = r["block"] << levels, tier * levels
+                count = min(1 << levels, r["total"] - lowest)
+                _, places = append([b""] * count, min(levels, height(r["total"])))
                 rows = [(h + unit, (lowest >> h) + i, r["log"][k * 32 : k * 32 + 32].hex()) for k, (h, i) in enumerate(places) if h or not tier]
                 at = [position(i << h, min(1 << h, r["leaves"] - (i << h)), h) for h, i, _ in rows]
                 yield pa.RecordBatch.from_pydict({"tree": pa.array([r["tree"]] * len(rows), pa.string()), "position": pa.array(at, pa.int64()), "height": pa.array([h for h, _, _ in rows], pa.int32()), "digest": pa.array([d for _, _, d in rows], pa.string())})
@@ -224,24 +230,24 @@ def _log_of(tier: int) -> Callable:
     return run
 
 
-def manifest(rows: DataFrame, digest: Column, group: Column, order: list[str], keep: list[Column]) -> Manifest:
+def manifest(rows: DataFrame, digest: Column, group: Column, order: list[str], keep: list[Column], levels: int | None = None) -> Manifest:
     """The trees of ``rows``: one for each value of ``group`` (string, null is a group of its own), and one of their roots.
 
     Leaves ascend by ``order`` (nulls first) inside a group; rows alike in it come by digest, and rows alike in that too
     have places of their own. Roots of groups ascend by the group's UTF-8 bytes, null first. ``keep``: columns that a
     leaf carries to its proof. An empty table has no tree and no root. Other columns are ignored.
 
-    Positions need no group in one task (``numbered``); a builder sees 256 nodes at most, and each tier has a 256th of
-    the nodes of the one below.
+    Positions need no group in one task (``numbered``); a builder sees 2 ** ``levels`` nodes at most (256 by
+    default), and each tier has that much fewer nodes than the one below.
     """
-    scratch = Scratch(rows.sparkSession)
+    scratch, levels = Scratch(rows.sparkSession), LEVELS if levels is None else levels
     tree = F.coalesce(F.concat(F.lit("+"), group), F.lit("")).alias("tree")
     own = [f"__k{i}" for i in range(len(order))]
     names = [rows.select(c).columns[0] for c in keep]
     base = scratch.save(rows.select(tree, *(F.col(o).alias(n) for o, n in zip(order, own, strict=True)), digest.alias("digest"), *keep).withColumn("leaf", F.col("digest")).withColumn("__row", F.monotonically_increasing_id()))
     placed = numbered(scratch, base, ["tree"], [*own, "digest", "__row"])
-    tiers, roots = grow(placed, scratch, [*names, "leaf"])
+    tiers, roots = grow(placed, scratch, [*names, "leaf"], levels)
     roots = scratch.save(roots)
     groups = numbered(scratch, roots.select(F.lit("").alias("tree"), F.col("tree").alias("group"), "top", F.col("top").alias("digest")), ["tree"], ["group"])
-    top_tiers, root = grow(groups, scratch, ["group", "top"])
-    return Manifest(tiers, top_tiers, roots, root)
+    top_tiers, root = grow(groups, scratch, ["group", "top"], levels)
+    return Manifest(tiers, top_tiers, roots, root, levels)

@@ -100,15 +100,17 @@ def small(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: int = 10_000, few: int = 100_000) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", scratch: Scratch | None = None, rows: int | None = None, share: int = 10_000, few: int = 100_000) -> DataFrame:
     """``left`` joined with ``right``, which has at most one row for each value of ``keys``, however often ``left`` repeats one.
 
     A ``right`` of no more than ``few`` rows is broadcast. Else, keys of more than 1 / ``share`` of ``left``'s rows are
     fewer than ``share``, and their rows of ``right`` are broadcast; the others go by a shuffle in which no key has more
-    rows than that. Keys are not null. Both are read twice, so they are saved tables. ``how``: 'inner' or 'left'.
+    rows than that. Keys are not null. ``right`` is a saved table (of ``rows`` rows, if that is known); ``left`` is one, or
+    is saved by ``scratch`` where it has to be read twice. ``how``: 'inner' or 'left'.
     """
-    if right.count() <= few:
+    if (right.count() if rows is None else rows) <= few:
         return left.join(F.broadcast(right), keys, how)
+    left = left if scratch is None else scratch.save(left)
     n = left.count()
     hot = left.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") * share > n).select(*keys, F.lit(True).alias("__hot"))
     marked = left.join(F.broadcast(hot), keys, "left")

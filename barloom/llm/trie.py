@@ -91,26 +91,28 @@ def with_handles(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     return n.join(at("f", "f"), ["rep", "f"]).join(at("g", "c"), ["rep", "g"]).selectExpr(*(x.split()[0] for x in NODE.split(", ")))
 
 
-def locate(strings: DataFrame, nodes: DataFrame, paths: DataFrame, scratch: Scratch) -> DataFrame:
+def locate(strings: DataFrame, nodes: DataFrame, paths: DataFrame, all_paths: DataFrame, scratch: Scratch) -> DataFrame:
     """Where each of ``strings`` (sid, size) leaves the trie: base node on its path (p, p1, p2, pc), depth m up to which it follows the trie, and the node (x1, x2, xe) in whose edge it leaves (null: at the base).
 
     Rounds of fat binary search: the handle of the fattest length between what has been found and what can't be is
-    looked up; if it is there, the search goes on below that node, else above the handle.
+    looked up; if it is there, the search goes on below that node, else above the handle. ``paths``: prefixes of
+    ``strings``; ``all_paths``: also those of the strings that are in the trie.
     """
     none = F.lit(None).cast("long")
     state = scratch.save(strings.select("sid", "size", F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi"), none.alias("n1"), none.alias("n2")))
-    handles = scratch.save(nodes.select("f1", "f2", "e", F.col("k1").alias("h1"), F.col("k2").alias("h2")))
+    handles = nodes.select("f1", "f2", "e", F.col("k1").alias("h1"), F.col("k2").alias("h2"))
     at = paths.select("sid", F.col("d").alias("f"), F.col("k1").alias("f1"), F.col("k2").alias("f2"))
+    n = nodes.count()
     while not (open_ := state.where("lo < hi")).isEmpty():
-        asked = scratch.save(open_.withColumn("f", fattest("lo", "hi")).join(at, ["sid", "f"]))
+        asked = open_.withColumn("f", fattest("lo", "hi")).join(at, ["sid", "f"])
         met = F.col("e").isNotNull()
-        found = hot_join(asked, handles, ["f1", "f2"], "left").select("sid", "size", F.when(met, F.col("e")).otherwise(F.col("lo")).alias("lo"), F.when(met, F.col("hi")).otherwise(F.col("f") - 1).alias("hi"), F.when(met, F.col("h1")).otherwise(F.col("n1")).alias("n1"), F.when(met, F.col("h2")).otherwise(F.col("n2")).alias("n2"))
+        found = hot_join(asked, handles, ["f1", "f2"], "left", scratch, n).select("sid", "size", F.when(met, F.col("e")).otherwise(F.col("lo")).alias("lo"), F.when(met, F.col("hi")).otherwise(F.col("f") - 1).alias("hi"), F.when(met, F.col("h1")).otherwise(F.col("n1")).alias("n1"), F.when(met, F.col("h2")).otherwise(F.col("n2")).alias("n2"))
         new = scratch.save(found.unionByName(state.where("lo >= hi")))
-        scratch.drop(asked, state)
+        scratch.drop(state)
         state = new
     # the last node found is on the string's path, or the string leaves in its edge
-    known = scratch.save(nodes.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), "e", "c", "p", "p1", "p2", "pc", "rep"))
-    last = hot_join(scratch.save(state.where("n1 is not null").drop("lo", "hi")), known, ["n1", "n2"])
+    known = nodes.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), "e", "c", "p", "p1", "p2", "pc", "rep")
+    last = hot_join(state.where("n1 is not null").drop("lo", "hi"), known, ["n1", "n2"], rows=n)
     last = last.join(paths.select("sid", F.col("d").alias("e"), F.col("k1").alias("o1"), F.col("k2").alias("o2")), ["sid", "e"], "left")
     last = scratch.save(last.withColumn("full", F.coalesce((F.col("o1") == F.col("n1")) & (F.col("o2") == F.col("n2")), F.lit(False))))
     inside = last.where("not full").select("sid", "size", "p", "p1", "p2", "pc", F.col("n1").alias("x1"), F.col("n2").alias("x2"), F.col("e").alias("xe"), "rep")
@@ -118,16 +120,16 @@ def locate(strings: DataFrame, nodes: DataFrame, paths: DataFrame, scratch: Scra
     base = last.where("full").select("sid", "size", F.col("e").alias("p"), F.col("n1").alias("p1"), F.col("n2").alias("p2"), F.col("c").alias("pc"))
     base = base.unionByName(state.where("n1 is null").select("sid", "size", zero.alias("p"), zero.alias("p1"), zero.alias("p2"), zero.alias("pc")))
     # below a node on the path: the child whose edge begins as the string goes on
-    child = scratch.save(nodes.select("c1", "c2", F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("e").alias("xe"), "rep"))
-    following = scratch.save(base.where("p < size").withColumn("g", F.col("p") + 1).join(paths.select("sid", F.col("d").alias("g"), F.col("k1").alias("c1"), F.col("k2").alias("c2")), ["sid", "g"]).drop("g"))
-    below = hot_join(following, child, ["c1", "c2"], "left").drop("c1", "c2")
+    child = nodes.select("c1", "c2", F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("e").alias("xe"), "rep")
+    following = base.where("p < size").withColumn("g", F.col("p") + 1).join(paths.select("sid", F.col("d").alias("g"), F.col("k1").alias("c1"), F.col("k2").alias("c2")), ["sid", "g"]).drop("g")
+    below = hot_join(following, child, ["c1", "c2"], "left", scratch, n).drop("c1", "c2")
     exits = scratch.save(inside.unionByName(below).unionByName(base.where("p = size").select("*", *(F.lit(None).cast("long").alias(c) for c in ("x1", "x2", "xe", "rep")))))
     # how far the string follows the edge: prefixes of the string and of the edge's own string, side by side
     edges = scratch.save(exits.where("x1 is not null").select("sid", "p", "xe", "rep"))
-    mine = scratch.save(hot_join(paths.select("sid", "d", "k1", "k2"), edges, ["sid"]).where("d > p and d <= xe").select("sid", F.struct("rep", "d").alias("at"), "k1", "k2"))
-    theirs = paths.select(F.col("sid").alias("rep"), "d", F.col("k1").alias("o1"), F.col("k2").alias("o2"))
+    mine = hot_join(paths.select("sid", "d", "k1", "k2"), edges, ["sid"]).where("d > p and d <= xe").select("sid", F.struct("rep", "d").alias("at"), "k1", "k2")
+    theirs = all_paths.select(F.col("sid").alias("rep"), "d", F.col("k1").alias("o1"), F.col("k2").alias("o2"))
     theirs = scratch.save(theirs.join(edges.select("rep").distinct(), "rep", "left_semi").select(F.struct("rep", "d").alias("at"), "o1", "o2"))
-    same = hot_join(mine, theirs, ["at"]).where("k1 = o1 and k2 = o2").groupBy("sid").agg(F.max("at.d").alias("m"))
+    same = hot_join(mine, theirs, ["at"], scratch=scratch).where("k1 = o1 and k2 = o2").groupBy("sid").agg(F.max("at.d").alias("m"))
     return scratch.save(exits.drop("rep").join(same, "sid", "left").withColumn("m", F.coalesce("m", "p")))
 
 
@@ -137,7 +139,7 @@ def insert(strings: DataFrame, nodes: DataFrame | None, paths: DataFrame, all_pa
         zero = F.lit(0).cast("long")
         found = scratch.save(strings.select("sid", "size", *(zero.alias(c) for c in ("p", "p1", "p2", "pc", "m")), *(F.lit(None).cast("long").alias(c) for c in ("x1", "x2", "xe"))))
     else:
-        found = locate(strings, nodes, paths, scratch)
+        found = locate(strings, nodes, paths, all_paths, scratch)
     tails = scratch.save(hot_join(paths, found, ["sid"]).where("d > p"))
     key = ["k1", "k2"]
     ends = tails.where("d = size").select(*key)
