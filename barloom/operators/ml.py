@@ -6,12 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .backtest import folds, of_runs, prefix_forecast, runs_of
+from .backtest import folds, of_runs, runs_of, walk_forward
 from .forecast import return_probabilities
 from .models import solved
+from .running_ml import ASKED, predictions
+from .series import kept
 
 
 def unpivot(df: DataFrame, names: list[str], keys: tuple = ("symbol", "ts")) -> DataFrame:
@@ -59,20 +61,28 @@ def top_features(scores: DataFrame, k: int = 20) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def targets(bars: DataFrame, horizon: int = 5) -> DataFrame:
-    """Adds y: the sum of the next ``horizon`` log returns; rows without all of them go."""
-    from .features import by_time, log_returns
+def target(horizon: int, kind: str = "return") -> Column:
+    """Of rows with ret in order of time: the sum of the next ``horizon`` log returns, whether it is above 0, or their deviation; null without all of them."""
+    from .features import by_time
 
     w = by_time().rowsBetween(1, horizon)
-    r = log_returns(bars)
-    return r.withColumn("y", F.when(F.count("ret").over(w) == horizon, F.sum("ret").over(w))).where("y is not null")
+    total = F.sum("ret").over(w)
+    value = {"return": total, "direction": (total > 0).cast("double"), "volatility": F.stddev_samp("ret").over(w) if horizon > 1 else F.lit(0.0)}[kind]
+    return F.when(F.count("ret").over(w) == horizon, value)
 
 
-def ml_dataset(bars: DataFrame, names: list[str], lookback: int = 100, horizon: int = 5) -> DataFrame:
-    """(symbol, ts, features array, y): the ``lookback`` rows of features before a bar, flattened, and the return after it."""
+def targets(bars: DataFrame, horizon: int = 5, kind: str = "return") -> DataFrame:
+    """Adds y, see ``target``; rows without it go."""
+    from .features import log_returns
+
+    return log_returns(bars).withColumn("y", target(horizon, kind)).where("y is not null")
+
+
+def ml_dataset(bars: DataFrame, names: list[str], lookback: int = 100, horizon: int = 5, kind: str = "return") -> DataFrame:
+    """(symbol, ts, features array, y): the ``lookback`` rows of features before a bar, flattened, and the target after it."""
     from .features import by_time, feature_matrix
 
-    f = feature_matrix(bars).join(targets(bars, horizon).select("symbol", "ts", "y"), ["symbol", "ts"], "left")
+    f = feature_matrix(bars).join(targets(bars, horizon, kind).select("symbol", "ts", "y"), ["symbol", "ts"], "left")
     w = by_time().rowsBetween(-lookback, -1)
     d = f.withColumn("rows", F.collect_list(F.array(*names)).over(w)).where((F.size("rows") == lookback) & F.col("y").isNotNull())
     return d.select("symbol", "ts", F.flatten("rows").alias("features"), "y")
@@ -82,15 +92,27 @@ PREDICTED = "symbol string, cutoff long, train_end long, train_rows long, predic
 
 
 class Pipeline:
-    """Robust scaling, selection of ``features`` columns by mutual information or F score, and least squares, fitted on training rows alone."""
+    """Robust scaling, principal components or the ``features`` columns of highest mutual information or F score, and least squares, fitted on training rows alone.
+
+    With ``components`` (and more columns than that) the fewest components with ``share`` of the variance take the columns'
+    place, ``components`` at most; columns are chosen where more than ``features`` are left.
+    """
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, features: int = 20, selection: str = "mutual_info", bins: int = 10):
+    def __init__(self, x: np.ndarray, y: np.ndarray, features: int = 20, selection: str = "mutual_info", bins: int = 10, components: int | None = None, share: float = 0.95):
         s = np.sort(x, axis=0)
         low, self.middle, high = (s[int(len(s) * q)] for q in (0.25, 0.5, 0.75))
-        self.spread = high - low
+        self.spread, self.turn = high - low, None
         z = self.scaled(x)
-        score = mutual_info(z, y, bins) if selection == "mutual_info" else f_score(z, y)
-        self.chosen = np.argsort(-score, kind="stable")[:features]
+        if components and z.shape[1] > components:
+            self.centre = z.mean(0)
+            value, vector = np.linalg.eigh((z - self.centre).T @ (z - self.centre) / max(1, len(z) - 1))
+            value = np.maximum(value[::-1], 0)
+            part = value / value.sum() if value.sum() > 0 else value
+            self.turn = vector[:, ::-1][:, : min(components, int(np.searchsorted(np.cumsum(part), share - 1e-12) + 1))]
+            z = (z - self.centre) @ self.turn
+        self.chosen = np.arange(z.shape[1])
+        if z.shape[1] > features:
+            self.chosen = np.argsort(-(mutual_info(z, y, bins) if selection == "mutual_info" else f_score(z, y)), kind="stable")[:features]
         a = np.column_stack([np.ones(len(z)), z[:, self.chosen]])
         b = solved(a.T @ a, a.T @ y) if len(z) > a.shape[1] else None
         self.b = np.zeros(a.shape[1]) if b is None else b
@@ -99,7 +121,9 @@ class Pipeline:
         return np.divide(x - self.middle, self.spread, out=np.zeros_like(x), where=self.spread > 0)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return self.b[0] + self.scaled(x)[:, self.chosen] @ self.b[1:]
+        z = self.scaled(x)
+        z = z if self.turn is None else (z - self.centre) @ self.turn
+        return self.b[0] + z[:, self.chosen] @ self.b[1:]
 
 
 def binned(v: np.ndarray, bins: int) -> np.ndarray:
@@ -124,56 +148,81 @@ def f_score(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.nan_to_num(r2 * (len(x) - 2) / (1 - r2))
 
 
-def ml_frame(bars: DataFrame, names: list[str], lookback: int = 60, horizon: int = 5) -> DataFrame:
-    """Every bar with idx, its ``features`` (the ``lookback`` rows before it, flattened; null for the first bars) and y, the log return of the next ``horizon`` bars (null for the last)."""
-    from .features import by_time, compute_features, families
+def ml_rows(bars: DataFrame, names: list[str]) -> DataFrame:
+    """Every bar with idx, ret, bars (of its symbol) and ``x``, the values of the features ``names`` (0 where there is none)."""
+    from .features import compute_features, families
 
-    f = compute_features(bars, sorted(k for k, columns in families().items() if set(names) & set(columns))).select("symbol", "ts", "close", "idx", *names)
-    w = by_time()
-    rows = F.collect_list(F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names])).over(w.rowsBetween(-lookback, -1))
-    f = f.select("symbol", "ts", "close", F.col("idx").cast("long").alias("idx"), F.when(F.col("idx") >= lookback, F.flatten(rows)).alias("features"), F.log(F.lead("close", horizon).over(w) / F.col("close")).alias("y"))
-    return f.withColumn("bars", F.count("*").over(Window.partitionBy("symbol")))
+    f = compute_features(bars, ["log_returns", *sorted(k for k, columns in families().items() if set(names) & set(columns))])
+    x = F.array(*[F.coalesce(F.nanvl(F.col(n).cast("double"), F.lit(0.0)), F.lit(0.0)) for n in names])
+    return f.select("symbol", "ts", "close", F.col("idx").cast("long").alias("idx"), "ret", x.alias("x"), F.count("*").over(Window.partitionBy("symbol")).alias("bars"))
 
 
-def walk_forward_ml(frame: DataFrame, horizon: int = 5, minimum: int = 100, step: int = 5, purge: int = 5, gap: int = 0, block: int = 16, **pipeline) -> DataFrame:
-    """Rows of PREDICTED: for every ``step``-th cutoff of each symbol of ``frame`` (see ``ml_frame``) the return that a model predicts for it.
+def with_target(rows: DataFrame, lookback: int = 60, horizon: int = 5, kind: str = "return") -> DataFrame:
+    """Adds y (see ``target``) to ``ml_rows``; lookback, horizon and kind of target are known by the column."""
+    y = target(horizon, kind)
+    return rows.withColumn("y", y.alias("y", metadata={"lookback": lookback, "horizon": horizon, "kind": kind}))
+
+
+def ml_frame(bars: DataFrame, names: list[str], lookback: int = 60, horizon: int = 5, kind: str = "return") -> DataFrame:
+    """Rows that ``walk_forward_ml`` takes: a model's features are the values of ``names`` at the ``lookback`` bars before a bar."""
+    return with_target(ml_rows(bars, names), lookback, horizon, kind)
 
-    The model is fitted on bars before cutoff - ``purge`` alone and asked at bar cutoff + ``gap``; fewer than ``minimum``
-    training bars give no row. A group is a symbol and ``block`` cutoffs with the bars before the last of them, so a long
-    series is spread over many tasks, and rows are sent once a block rather than once a cutoff.
+
+def refitted(frame: DataFrame, lookback: int, horizon: int, minimum: int, step: int, purge: int, gap: int, block: int, **pipeline) -> DataFrame:
+    """Rows of ``running_ml.ASKED`` from a ``Pipeline`` fitted anew on all training rows of each cutoff.
+
+    Mutual information needs the training rows themselves, as its bins move with their range: work grows with the square
+    of a series. A group is a symbol and ``block`` cutoffs with the bars before the last of them.
     """
     cutoffs = F.floor((F.col("bars") - 1 - horizon - gap - minimum) / step) + 1
     last = F.ceil(cutoffs / block) - 1
     first = F.greatest(F.lit(0), F.floor(F.ceil((F.col("idx") - gap - horizon - minimum) / step) / block))  # the first block that needs the bar
     sent = frame.where((cutoffs > 0) & (first <= last)).withColumn("part", F.explode(F.sequence(first, last)))
-    rows = sent.select("symbol", "part", "idx", "close", "features", "y", "bars")
+    rows = sent.select("symbol", "part", "idx", "close", "x", "y", "bars")
+    names = [c.split()[0] for c in ASKED.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         symbol, part, n = pdf["symbol"].iloc[0], int(pdf["part"].iloc[0]), int(pdf["bars"].iloc[0])
-        idx, close = pdf["idx"].to_numpy(), pdf["close"].to_numpy()
-        known = pdf["features"].notna().to_numpy()
-        if not known.any():
-            return pd.DataFrame(columns=[c.split()[0] for c in PREDICTED.split(", ")])
-        x = np.full((len(pdf), len(pdf["features"][pdf["features"].notna()].iloc[0])), np.nan)
-        x[known] = np.stack(pdf["features"][known].to_numpy())
-        y, at, out = pdf["y"].to_numpy(float), {int(i): k for k, i in enumerate(idx)}, []
+        close, y, series = pdf["close"].to_numpy(), pdf["y"].to_numpy(float), np.stack(pdf["x"].to_numpy())
+        if len(pdf) <= lookback:
+            return pd.DataFrame(columns=names)
+        # row i: the bars before it; bars are numbered from 0 without gaps
+        x = np.lib.stride_tricks.sliding_window_view(series, lookback, axis=0).transpose(0, 2, 1).reshape(len(series) - lookback + 1, -1)
+        out = []
         for cutoff in range(minimum + part * block * step, min(minimum + (part + 1) * block * step, n - horizon - gap), step):
-            end = cutoff - purge
-            train = known & (idx < end) & (idx + horizon < cutoff) & np.isfinite(y)
-            ask = at.get(cutoff + gap)
-            if end < minimum or train.sum() < 2 or ask is None or not known[ask]:
+            end, t, ask = cutoff - purge, min(cutoff - purge, cutoff - horizon), cutoff + gap
+            if end < minimum or t - lookback < 2 or ask < lookback:
                 continue
-            model = Pipeline(x[train], y[train], **pipeline)
-            got = float(model.predict(x[ask : ask + 1])[0])
-            start = close[at[end - 1]]
-            target = close[at[cutoff + gap + horizon]]
-            f = prefix_forecast(close[: at[end - 1] + 1], horizon)
-            actual = float(y[ask]) if gap == 0 else float(target / start - 1)
-            out.append((symbol, cutoff, end, int(train.sum()), got, actual, float(start * math.exp(got)), float(target), f["volatility"] * math.sqrt(horizon), f["hurst"]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PREDICTED.split(", ")])
+            model = Pipeline(x[: t - lookback], y[lookback:t], **pipeline)
+            got = float(model.predict(x[ask - lookback][None])[0])
+            start, goal = float(close[end - 1]), float(close[cutoff + gap + horizon])
+            out.append((symbol, cutoff, end, t - lookback, got, float(y[ask]) if gap == 0 else goal / start - 1, start, goal))
+        return pd.DataFrame(out, columns=names)
 
-    return rows.groupBy("symbol", "part").applyInPandas(run, PREDICTED)
+    return rows.groupBy("symbol", "part").applyInPandas(run, ASKED)
+
+
+def walk_forward_ml(frame: DataFrame, minimum: int = 100, step: int = 5, purge: int = 5, gap: int = 0, block: int = 16, features: int = 20, selection: str = "mutual_info", components: int | None = None, share: float = 0.95, bins: int = 10) -> DataFrame:
+    """Rows of PREDICTED: for every ``step``-th cutoff of each symbol of ``frame`` (see ``ml_frame``) the return that a model predicts for it.
+
+    The model is fitted on bars before cutoff - ``purge`` alone, whose targets lie before the cutoff, and asked at bar
+    cutoff + ``gap``; fewer than ``minimum`` training bars give no row. With ``components`` its columns are principal
+    components of the training rows. Models of components or F scores come from running sums (``running_ml``), those by
+    mutual information are fitted anew (``refitted``). Volatility and Hurst exponent are the forecast's.
+    """
+    known = frame.schema["y"].metadata
+    lookback, horizon, kind = known["lookback"], known["horizon"], known["kind"]
+    summed = (components and components <= features) or selection == "f_regression" and not components
+    if summed:
+        asked = predictions(frame, lookback, horizon, minimum, step, purge, gap, block, features, components, share)
+    else:
+        asked = refitted(frame, lookback, horizon, minimum, step, purge, gap, block, features=features, selection=selection, bins=bins, components=components, share=share)
+    said = F.col("predicted_return")
+    said = {"return": said, "direction": F.when(said > 0.5, 0.01).otherwise(-0.01), "volatility": F.lit(0.0)}[kind]
+    risk = walk_forward(frame.select("symbol", "ts", "close"), horizon=horizon, minimum=minimum, step=step, purge=purge).select("symbol", "cutoff", "volatility", "hurst")
+    out = asked.withColumn("predicted_return", said).join(risk, ["symbol", "cutoff"])
+    return out.select("symbol", "cutoff", "train_end", "train_rows", "predicted_return", "actual_return", (F.col("start_price") * F.exp("predicted_return")).alias("expected_price"), "actual_price", (F.col("volatility") * math.sqrt(horizon)).alias("volatility"), "hurst")
 
 
 def judged(predicted: DataFrame) -> DataFrame:
@@ -202,35 +251,44 @@ def ml_metrics(predicted: DataFrame) -> DataFrame:
     return a.withColumn("verdict", verdict)
 
 
-def embargo_validation(frame: DataFrame, embargo: int = 5, horizon: int = 5, **options) -> DataFrame:
+def embargo_validation(frame: DataFrame, embargo: int = 5, **options) -> DataFrame:
     """Rows of PREDICTED of models trained up to the cutoff and asked ``embargo`` bars after it; the return counts from the last training close."""
-    return walk_forward_ml(frame, horizon, purge=0, gap=embargo, **options)
+    return walk_forward_ml(frame, purge=0, gap=embargo, **options)
 
 
-def purged_kfold_ml(bars: DataFrame, names: list[str], splits: int = 5, test_splits: int = 1, purge: int = 10, horizon: int = 5, minimum: int = 100, lookback: int = 60, **options) -> DataFrame:
-    """A row per symbol and fold (see ``backtest.folds``): the metrics of walk-forward models inside its training and inside its test part, and their gaps."""
+def purged_kfold_ml(bars: DataFrame, names: list[str], splits: int = 5, test_splits: int = 1, purge: int = 10, horizon: int = 5, minimum: int = 100, lookback: int = 60, kind: str = "return", **options) -> tuple[DataFrame, DataFrame]:
+    """(a row per symbol and fold, see ``backtest.folds``: the metrics of walk-forward models inside its training and inside its test part, and their gaps; a row per symbol: means and deviations of the test metrics, folds right more than half the time, consistency)."""
     f = folds(bars, splits, test_splits, purge, minimum)
-    got = None
-    for role in ("train", "test"):
-        frame = ml_frame(runs_of(f.where(F.col("role") == role).drop("role"), fold=F.col("fold")).drop("fold"), names, lookback, horizon)
-        m = of_runs(ml_metrics(walk_forward_ml(frame, horizon, minimum, purge=0, **options)), "fold")
-        m = m.select("symbol", F.col("fold").cast("int").alias("fold"), *[F.col(c).alias(f"{role}_{c}") for c in ("observations", "direction_accuracy", "rmse", "coverage", "verdict")])
-        got = m if got is None else got.join(m, ["symbol", "fold"])
-    for c in ("direction_accuracy", "rmse", "coverage"):
+    runs = kept(runs_of(f.withColumn("run", F.concat_ws("-", "fold", "role")).drop("fold", "role"), run=F.col("run")).drop("run"))
+    m = of_runs(ml_metrics(walk_forward_ml(ml_frame(runs, names, lookback, horizon, kind), minimum=minimum, purge=0, **options)), "run")
+    m = kept(m.withColumn("fold", F.split("run", "-")[0].cast("int")).withColumn("role", F.split("run", "-")[1]))
+    side = lambda role: m.where(F.col("role") == role).select("symbol", "fold", *[F.col(c).alias(f"{role}_{c}") for c in ("observations", "direction_accuracy", "rmse", "coverage", "verdict")])
+    got = side("train").join(side("test"), ["symbol", "fold"])
+    measures = ("direction_accuracy", "rmse", "coverage")
+    for c in measures:
         got = got.withColumn(f"{c}_gap", F.col(f"train_{c}") - F.col(f"test_{c}"))
-    return got
+    sd = {c: F.coalesce(F.stddev_samp(f"test_{c}"), F.lit(0.0)) for c in measures}
+    a = got.groupBy("symbol").agg(F.count("*").alias("folds"), *[F.avg(f"test_{c}").alias(f"mean_{c}") for c in measures], *[s.alias(f"sd_{c}") for c, s in sd.items()], F.count_if(F.col("test_direction_accuracy") > 0.5).alias("positive"))
+    return got, a.withColumn("consistency", F.when(F.col("sd_direction_accuracy") > 0, F.col("mean_direction_accuracy") / F.col("sd_direction_accuracy")).otherwise(0.0))
 
 
-def comprehensive_validation(bars: DataFrame, names: list[str], horizons: tuple = (1, 3, 5, 10, 20), lookback: int = 60, embargo: int = 2, **options) -> tuple[DataFrame, DataFrame]:
-    """(a row per symbol, horizon and kind: metrics of walk-forward and embargo models; a row per symbol: their averages over the horizons of the walk-forward ones and how many horizons are right more than half the time)."""
-    parts = []
+def comprehensive_validation(bars: DataFrame, names: list[str], horizons: tuple = (1, 3, 5, 10, 20), lookback: int = 60, purge: int = 5, embargo: int = 2, splits: int = 5, kind: str = "return", components: int | None = 10, **options) -> tuple[DataFrame, DataFrame]:
+    """(a row per symbol, horizon and kind of validation: metrics of walk-forward, embargo and k-fold models; a row per symbol: their averages over the horizons of the walk-forward ones and how many horizons are right more than half the time).
+
+    K-fold: two of ``splits`` blocks are the test part, the purge is doubled, a row has the means over the test parts
+    (observations: their sum). Features are computed once for all horizons.
+    """
+    rows = kept(ml_rows(bars, names))
+    every = None
     for h in horizons:
-        frame = ml_frame(bars, names, lookback, h)
-        for kind, rows in (("walk_forward", walk_forward_ml(frame, h, **options)), ("embargo", embargo_validation(frame, embargo * 3, h, **options))):
-            parts.append(ml_metrics(rows).withColumn("horizon", F.lit(h)).withColumn("kind", F.lit(kind)))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+        frame = with_target(rows, lookback, h, kind)
+        wf = ml_metrics(walk_forward_ml(frame, purge=purge, components=components, **options)).withColumn("validation", F.lit("walk_forward"))
+        em = ml_metrics(embargo_validation(frame, embargo * 3, components=components, **options)).withColumn("validation", F.lit("embargo"))
+        cv = purged_kfold_ml(bars, names, splits, 2, purge * 2, h, lookback=lookback, kind=kind, components=components, **options)[0]
+        cv = cv.groupBy("symbol").agg(F.sum("test_observations").alias("observations"), *[F.avg(f"test_{c}").alias(c) for c in ("direction_accuracy", "rmse", "coverage")]).withColumn("validation", F.lit("purged_kfold"))
+        part = wf.unionByName(em).unionByName(cv, allowMissingColumns=True).withColumn("horizon", F.lit(h))
+        every = part if every is None else every.unionByName(part)
+    every = kept(every)
     acc = F.col("direction_accuracy")
-    walk = every.where("kind = 'walk_forward' and observations > 0").groupBy("symbol").agg(F.avg(acc).alias("direction_accuracy"), F.avg("rmse").alias("rmse"), F.avg("coverage").alias("coverage"), F.count_if(acc > 0.5).alias("consistent"), F.count("*").alias("horizons"))
+    walk = every.where("validation = 'walk_forward' and observations > 0").groupBy("symbol").agg(F.avg(acc).alias("direction_accuracy"), F.avg("rmse").alias("rmse"), F.avg("coverage").alias("coverage"), F.count_if(acc > 0.5).alias("consistent"), F.count("*").alias("horizons"))
     return every, walk

@@ -106,14 +106,33 @@ def ml_rounded(d):
     return rounded(d, "symbol", "observations", "verdict", **c("direction_accuracy", "coverage", "mae", "rmse", "precision", "recall", "f1"))
 
 
+def walk_forward_pca(spark, sf):
+    """Models of principal components of the 300 columns of each cutoff's training rows."""
+    d = L.judged(L.walk_forward_ml(L.ml_frame(bars(spark, sf), NAMES), components=10))
+    return rounded(d, "symbol", "cutoff", "train_rows", "direction", "direction_correct", "within", **c("predicted_return", "actual_return", "expected_price", "actual_price"))
+
+
+def walk_forward_direction(spark, sf):
+    """Whether the next five returns add up to a gain, by F scores."""
+    return ml_rounded(L.ml_metrics(L.walk_forward_ml(L.ml_frame(bars(spark, sf), NAMES, kind="direction"), selection="f_regression")))
+
+
+def kfold(spark, sf):
+    return L.purged_kfold_ml(bars(spark, sf), NAMES)
+
+
 def purged_kfold_ml(spark, sf):
-    d = L.purged_kfold_ml(bars(spark, sf), NAMES, selection="f_regression")
-    return rounded(d, "symbol", F.col("fold").cast("long").alias("fold"), "train_verdict", "test_verdict", **c("train_rmse", "test_rmse", "direction_accuracy_gap", "rmse_gap", "coverage_gap"))
+    return rounded(kfold(spark, sf)[0], "symbol", F.col("fold").cast("long").alias("fold"), "train_verdict", "test_verdict", **c("train_rmse", "test_rmse", "direction_accuracy_gap", "rmse_gap", "coverage_gap"))
+
+
+def purged_kfold_summary(spark, sf):
+    return rounded(kfold(spark, sf)[1], "symbol", "folds", "positive", **c("mean_direction_accuracy", "sd_direction_accuracy", "mean_rmse", "sd_rmse", "mean_coverage", "sd_coverage", "consistency"))
 
 
 def comprehensive_validation(spark, sf):
-    d = L.comprehensive_validation(bars(spark, sf), NAMES, selection="f_regression")[1]
-    return rounded(d, "symbol", "horizons", "consistent", **c("direction_accuracy", "rmse", "coverage"))
+    """Each horizon's walk-forward, embargo and k-fold metrics, of models of principal components."""
+    d = L.comprehensive_validation(bars(spark, sf), NAMES)[0]
+    return rounded(d, "symbol", F.col("horizon").cast("long").alias("horizon"), "validation", "observations", **c("direction_accuracy", "rmse", "coverage"))
 
 
 def model_drift(spark, sf):
@@ -161,7 +180,7 @@ def prefix_join(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     adf_test, adf_test_without_lags, fit_ar, forecast_with_ar, forecast_anchored, linear_model, pca_features, pca_transform, purged_cv_backtest, purged_cv_summary, regime_backtest, walk_forward_ml, walk_forward_ml_metrics,
-    embargo_validation, purged_kfold_ml, comprehensive_validation, model_drift, performance_report, backtest_validation, backtest_intervals, rank_predictions, missing_symbols, prefix_join,
+    walk_forward_pca, walk_forward_direction, embargo_validation, purged_kfold_ml, purged_kfold_summary, comprehensive_validation, model_drift, performance_report, backtest_validation, backtest_intervals, rank_predictions, missing_symbols, prefix_join,
 )}
 
 N0 = RET + """,

@@ -12,6 +12,7 @@ from barloom.operators import cleaning as C
 from barloom.operators import forecast as M
 from barloom.operators import ml as L
 from barloom.operators import models as P
+from barloom.operators import running_ml as R_
 from barloom.operators import tracking as R
 from barloom.operators import validation as V
 
@@ -107,6 +108,36 @@ def test_models_see_no_later_bar_and_blocks_don_t_matter(spark, bars):
     assert e and all(abs(x.actual_return - (CLOSE[x.cutoff + 10] / CLOSE[x.cutoff - 1] - 1)) < 1e-9 for x in e)
 
 
+@pytest.mark.parametrize("how", [{"selection": "f_regression"}, {"components": 3}, {"components": 3, "gap": 4, "purge": 0}, {"selection": "f_regression", "purge": 12}])
+@pytest.mark.parametrize("horizon", [1, 7])
+def test_models_from_running_sums_equal_those_fitted_anew(spark, bars, how, horizon):
+    names = ["rsi_14", "hl_spread", "volume_z_20"]  # the last is mostly 0: no spread
+    flat = bars.withColumn("volume", F.when(F.rand(1) < 0.2, 5.0).otherwise(100.0))
+    frame = L.ml_frame(flat, names, lookback=6, horizon=horizon).cache()
+    options = {"features": 4, "purge": 5, "gap": 0, **how}
+    got = {x.cutoff: x for x in R_.predictions(frame, 6, horizon, 40, 5, options["purge"], options["gap"], 3, 4, options.get("components"), 0.95).collect()}
+    want = {x.cutoff: x for x in L.refitted(frame, 6, horizon, 40, 5, options["purge"], options["gap"], 16, features=4, selection="f_regression", components=options.get("components")).collect()}
+    assert set(got) == set(want) and len(got) > 20
+    for k, w in want.items():
+        g = got[k]
+        assert (g.train_end, g.train_rows, g.actual_return, g.start_price, g.actual_price) == (w.train_end, w.train_rows, w.actual_return, w.start_price, w.actual_price)
+        assert abs(g.predicted_return - w.predicted_return) < 1e-7, k
+
+
+def test_quartiles_of_every_lag(spark):
+    v = np.round(r.normal(size=400), 1)
+    p = R_.Plan(9, 3, 30, 5, 5, 0, 4)
+    near = {}
+    for part, q, low, around in R_.neighbours(v, p, len(v)):
+        near.setdefault(part, {})[q] = (low, around)
+    for part in near:
+        for t in range(max(p.start(part), 12), min(p.start(part + 1), len(v))):
+            cut = R_.quartiles([near[part][q] for q in range(3)], t - 9, v[max(0, p.start(part) - 9) : t - 9], v[:9], v[t - 9 : t])
+            for lag in range(9):
+                s = np.sort(v[lag : t - 9 + lag])
+                assert [cut[q, lag] for q in range(3)] == [s[int(len(s) * x)] for x in (0.25, 0.5, 0.75)]
+
+
 def test_folds_train_before_they_test(spark, bars):
     numbered = bars.withColumn("i", F.row_number().over(C.by_time()) - 1)
     got = {(x.fold, x.role): (x.low, x.high, x.n) for x in B.folds(numbered, 5, 2, 10, 50).groupBy("fold", "role").agg(F.min("i").alias("low"), F.max("i").alias("high"), F.count("*").alias("n")).collect()}
