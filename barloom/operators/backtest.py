@@ -65,10 +65,14 @@ def walk_forward(bars: DataFrame, forecast=prefix_forecast, horizon: int = 5, mi
     """One row per symbol and cutoff: trained on the bars before cutoff - purge, tested on the close ``horizon`` bars after the cutoff.
 
     ``forecast`` takes the training closes and the horizon and returns a dict with forecast_return, volatility, hurst,
-    is_extreme and edge_score; it never sees a later bar. A symbol is one group, so its closes are sent once.
+    is_extreme and edge_score; it never sees a later bar. A symbol is one group, so its closes are sent once. Columns
+    ``horizon`` and ``purge`` of ``bars``, if there, are a symbol's own.
     """
+    given = {"horizon": horizon, "purge": purge}
+    named = [c for c in given if c in bars.columns]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        horizon, purge = (int(pdf[c].iloc[0]) if c in pdf else v for c, v in given.items())
         pdf = pdf.sort_values("ts", kind="stable")
         close, ts, rows = pdf["close"].to_numpy(), pdf["ts"].tolist(), []
         for cutoff in range(minimum, len(close) - horizon, step):
@@ -79,7 +83,7 @@ def walk_forward(bars: DataFrame, forecast=prefix_forecast, horizon: int = 5, mi
         return pd.DataFrame(rows, columns=["symbol", "cutoff", "train_end", "target_ts", "actual_price", "actual_return", "forecast_return", "volatility", "hurst", "is_extreme", "edge_score"])
 
     schema = "symbol string, cutoff long, train_end timestamp, target_ts timestamp, actual_price double, actual_return double, forecast_return double, volatility double, hurst double, is_extreme boolean, edge_score double"
-    return bars.select("symbol", "ts", "close").groupBy("symbol").applyInPandas(run, schema)
+    return bars.select("symbol", "ts", "close", *named).groupBy("symbol").applyInPandas(run, schema)
 
 
 def simulate_trades(rows: DataFrame, capital: float = 1e6, fraction: float = 0.05, cost_bps: float = 20.0, edge: float = 0.5, embargo: int = 2, short: bool = False) -> DataFrame:

@@ -157,33 +157,35 @@ def ml_rows(bars: DataFrame, names: list[str]) -> DataFrame:
     return f.select("symbol", "ts", "close", F.col("idx").cast("long").alias("idx"), "ret", x.alias("x"), F.count("*").over(Window.partitionBy("symbol")).alias("bars"))
 
 
-def with_target(rows: DataFrame, lookback: int = 60, horizon: int = 5, kind: str = "return") -> DataFrame:
-    """Adds y (see ``target``) to ``ml_rows``; lookback, horizon and kind of target are known by the column."""
-    y = target(horizon, kind)
-    return rows.withColumn("y", y.alias("y", metadata={"lookback": lookback, "horizon": horizon, "kind": kind}))
+def with_target(rows: DataFrame, lookback: int = 60, horizons: tuple = (5,), kind: str = "return") -> DataFrame:
+    """``ml_rows`` once for each of ``horizons``, with horizon and y (see ``target``); lookback and kind of target are known by the column."""
+    wide = rows.withColumns({f"y{h}": target(h, kind) for h in horizons})
+    d = wide.select(*rows.columns, F.inline(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"y{h}").alias("y")) for h in horizons])))
+    return d.withColumn("y", F.col("y").alias("y", metadata={"lookback": lookback, "kind": kind}))
 
 
 def ml_frame(bars: DataFrame, names: list[str], lookback: int = 60, horizon: int = 5, kind: str = "return") -> DataFrame:
     """Rows that ``walk_forward_ml`` takes: a model's features are the values of ``names`` at the ``lookback`` bars before a bar."""
-    return with_target(ml_rows(bars, names), lookback, horizon, kind)
+    return with_target(ml_rows(bars, names), lookback, (horizon,), kind)
 
 
-def refitted(frame: DataFrame, lookback: int, horizon: int, minimum: int, step: int, purge: int, gap: int, block: int, **pipeline) -> DataFrame:
+def refitted(frame: DataFrame, lookback: int, minimum: int, step: int, block: int, **pipeline) -> DataFrame:
     """Rows of ``running_ml.ASKED`` from a ``Pipeline`` fitted anew on all training rows of each cutoff.
 
     Mutual information needs the training rows themselves, as its bins move with their range: work grows with the square
     of a series. A group is a symbol and ``block`` cutoffs with the bars before the last of them.
     """
-    cutoffs = F.floor((F.col("bars") - 1 - horizon - gap - minimum) / step) + 1
+    ahead = F.col("gap") + F.col("horizon")
+    cutoffs = F.floor((F.col("bars") - 1 - ahead - minimum) / step) + 1
     last = F.ceil(cutoffs / block) - 1
-    first = F.greatest(F.lit(0), F.floor(F.ceil((F.col("idx") - gap - horizon - minimum) / step) / block))  # the first block that needs the bar
+    first = F.greatest(F.lit(0), F.floor(F.ceil((F.col("idx") - ahead - minimum) / step) / block))  # the first block that needs the bar
     sent = frame.where((cutoffs > 0) & (first <= last)).withColumn("part", F.explode(F.sequence(first, last)))
-    rows = sent.select("symbol", "part", "idx", "close", "x", "y", "bars")
+    rows = sent.select("symbol", "part", "idx", "close", "x", "y", "bars", "horizon", "purge", "gap")
     names = [c.split()[0] for c in ASKED.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        symbol, part, n = pdf["symbol"].iloc[0], int(pdf["part"].iloc[0]), int(pdf["bars"].iloc[0])
+        symbol, part, n, horizon, purge, gap = pdf["symbol"].iloc[0], *(int(pdf[c].iloc[0]) for c in ("part", "bars", "horizon", "purge", "gap"))
         close, y, series = pdf["close"].to_numpy(), pdf["y"].to_numpy(float), np.stack(pdf["x"].to_numpy())
         if len(pdf) <= lookback:
             return pd.DataFrame(columns=names)
@@ -208,21 +210,22 @@ def walk_forward_ml(frame: DataFrame, minimum: int = 100, step: int = 5, purge:
 
     The model is fitted on bars before cutoff - ``purge`` alone, whose targets lie before the cutoff, and asked at bar
     cutoff + ``gap``; fewer than ``minimum`` training bars give no row. With ``components`` its columns are principal
-    components of the training rows. Models of components or F scores come from running sums (``running_ml``), those by
+    components of the training rows. ``frame`` may have ``purge`` and ``gap`` as columns, the same in all rows of a symbol. Models of components or F scores come from running sums (``running_ml``), those by
     mutual information are fitted anew (``refitted``). Volatility and Hurst exponent are the forecast's.
     """
     known = frame.schema["y"].metadata
-    lookback, horizon, kind = known["lookback"], known["horizon"], known["kind"]
-    summed = (components and components <= features) or selection == "f_regression" and not components
-    if summed:
-        asked = predictions(frame, lookback, horizon, minimum, step, purge, gap, block, features, components, share)
+    lookback, kind = known["lookback"], known["kind"]
+    frame = frame.withColumns({n: F.lit(v) for n, v in (("purge", purge), ("gap", gap)) if n not in frame.columns})
+    if (components and components <= features) or (selection == "f_regression" and not components):
+        asked = predictions(frame, lookback, minimum, step, block, features, components, share)
     else:
-        asked = refitted(frame, lookback, horizon, minimum, step, purge, gap, block, features=features, selection=selection, bins=bins, components=components, share=share)
+        asked = refitted(frame, lookback, minimum, step, block, features=features, selection=selection, bins=bins, components=components, share=share)
     said = F.col("predicted_return")
     said = {"return": said, "direction": F.when(said > 0.5, 0.01).otherwise(-0.01), "volatility": F.lit(0.0)}[kind]
-    risk = walk_forward(frame.select("symbol", "ts", "close"), horizon=horizon, minimum=minimum, step=step, purge=purge).select("symbol", "cutoff", "volatility", "hurst")
-    out = asked.withColumn("predicted_return", said).join(risk, ["symbol", "cutoff"])
-    return out.select("symbol", "cutoff", "train_end", "train_rows", "predicted_return", "actual_return", (F.col("start_price") * F.exp("predicted_return")).alias("expected_price"), "actual_price", (F.col("volatility") * math.sqrt(horizon)).alias("volatility"), "hurst")
+    risk = walk_forward(frame.select("symbol", "ts", "close", "horizon", "purge"), minimum=minimum, step=step).select("symbol", "cutoff", "volatility", "hurst")
+    ahead = frame.groupBy("symbol").agg(F.first("horizon").alias("horizon"))
+    out = asked.withColumn("predicted_return", said).join(risk, ["symbol", "cutoff"]).join(ahead, "symbol")
+    return out.select("symbol", "cutoff", "train_end", "train_rows", "predicted_return", "actual_return", (F.col("start_price") * F.exp("predicted_return")).alias("expected_price"), "actual_price", (F.col("volatility") * F.sqrt("horizon")).alias("volatility"), "hurst")
 
 
 def judged(predicted: DataFrame) -> DataFrame:
@@ -256,39 +259,49 @@ def embargo_validation(frame: DataFrame, embargo: int = 5, **options) -> DataFra
     return walk_forward_ml(frame, purge=0, gap=embargo, **options)
 
 
-def purged_kfold_ml(bars: DataFrame, names: list[str], splits: int = 5, test_splits: int = 1, purge: int = 10, horizon: int = 5, minimum: int = 100, lookback: int = 60, kind: str = "return", **options) -> tuple[DataFrame, DataFrame]:
-    """(a row per symbol and fold, see ``backtest.folds``: the metrics of walk-forward models inside its training and inside its test part, and their gaps; a row per symbol: means and deviations of the test metrics, folds right more than half the time, consistency)."""
+def fold_runs(bars: DataFrame, splits: int, test_splits: int, purge: int, minimum: int) -> DataFrame:
+    """Training and test parts of every fold (see ``backtest.folds``) as runs of their own."""
     f = folds(bars, splits, test_splits, purge, minimum)
-    runs = kept(runs_of(f.withColumn("run", F.concat_ws("-", "fold", "role")).drop("fold", "role"), run=F.col("run")).drop("run"))
-    m = of_runs(ml_metrics(walk_forward_ml(ml_frame(runs, names, lookback, horizon, kind), minimum=minimum, purge=0, **options)), "run")
-    m = kept(m.withColumn("fold", F.split("run", "-")[0].cast("int")).withColumn("role", F.split("run", "-")[1]))
-    side = lambda role: m.where(F.col("role") == role).select("symbol", "fold", *[F.col(c).alias(f"{role}_{c}") for c in ("observations", "direction_accuracy", "rmse", "coverage", "verdict")])
-    got = side("train").join(side("test"), ["symbol", "fold"])
-    measures = ("direction_accuracy", "rmse", "coverage")
+    return runs_of(f, fold=F.col("fold"), role=F.col("role")).drop("fold", "role")
+
+
+def by_fold(metrics: DataFrame, keys: tuple = ("symbol",)) -> tuple[DataFrame, DataFrame]:
+    """(a row per fold, test beside training, with their gaps; a row per ``keys``: what the folds come to) of ``metrics`` with fold and role."""
+    m, measures = metrics.withColumn("fold", F.col("fold").cast("int")), ("direction_accuracy", "rmse", "coverage")
+    side = lambda role: m.where(F.col("role") == role).select(*keys, "fold", *[F.col(c).alias(f"{role}_{c}") for c in ("observations", *measures, "verdict")])
+    got = side("train").join(side("test"), [*keys, "fold"])
     for c in measures:
         got = got.withColumn(f"{c}_gap", F.col(f"train_{c}") - F.col(f"test_{c}"))
     sd = {c: F.coalesce(F.stddev_samp(f"test_{c}"), F.lit(0.0)) for c in measures}
-    a = got.groupBy("symbol").agg(F.count("*").alias("folds"), *[F.avg(f"test_{c}").alias(f"mean_{c}") for c in measures], *[s.alias(f"sd_{c}") for c, s in sd.items()], F.count_if(F.col("test_direction_accuracy") > 0.5).alias("positive"))
+    a = got.groupBy(*keys).agg(F.count("*").alias("folds"), F.sum("test_observations").alias("observations"), *[F.avg(f"test_{c}").alias(f"mean_{c}") for c in measures], *[s.alias(f"sd_{c}") for c, s in sd.items()], F.count_if(F.col("test_direction_accuracy") > 0.5).alias("positive"))
     return got, a.withColumn("consistency", F.when(F.col("sd_direction_accuracy") > 0, F.col("mean_direction_accuracy") / F.col("sd_direction_accuracy")).otherwise(0.0))
 
 
-def comprehensive_validation(bars: DataFrame, names: list[str], horizons: tuple = (1, 3, 5, 10, 20), lookback: int = 60, purge: int = 5, embargo: int = 2, splits: int = 5, kind: str = "return", components: int | None = 10, **options) -> tuple[DataFrame, DataFrame]:
-    """(a row per symbol, horizon and kind of validation: metrics of walk-forward, embargo and k-fold models; a row per symbol: their averages over the horizons of the walk-forward ones and how many horizons are right more than half the time).
+def purged_kfold_ml(bars: DataFrame, names: list[str], splits: int = 5, test_splits: int = 1, purge: int = 10, horizon: int = 5, minimum: int = 100, lookback: int = 60, kind: str = "return", **options) -> tuple[DataFrame, DataFrame]:
+    """(a row per symbol and fold: the metrics of walk-forward models inside its training and inside its test part, and their gaps; a row per symbol: means and deviations of the test metrics, folds right more than half the time, consistency)."""
+    frame = ml_frame(fold_runs(bars, splits, test_splits, purge, minimum), names, lookback, horizon, kind)
+    return by_fold(kept(of_runs(ml_metrics(walk_forward_ml(frame, minimum=minimum, purge=0, **options)), "fold", "role")))
+
+
+def comprehensive_validation(bars: DataFrame, names: list[str], horizons: tuple = (1, 3, 5, 10, 20), lookback: int = 60, purge: int = 5, embargo: int = 2, splits: int = 5, minimum: int = 100, kind: str = "return", components: int | None = 10, **options) -> tuple[DataFrame, DataFrame]:
+    """(a row per symbol, horizon and validation: metrics of walk-forward, embargo and k-fold models; a row per symbol: their averages over the horizons of the walk-forward ones and how many horizons are right more than half the time).
 
     K-fold: two of ``splits`` blocks are the test part, the purge is doubled, a row has the means over the test parts
-    (observations: their sum). Features are computed once for all horizons.
+    (observations: their sum). Features are computed once for all horizons, and every model of every horizon and
+    validation is a run of one pass.
     """
+    named = lambda rows, name, gaps: with_target(rows, lookback, horizons, kind).withColumns({"validation": F.lit(name), "purge": F.lit(gaps[0]), "gap": F.lit(gaps[1])})
     rows = kept(ml_rows(bars, names))
-    every = None
-    for h in horizons:
-        frame = with_target(rows, lookback, h, kind)
-        wf = ml_metrics(walk_forward_ml(frame, purge=purge, components=components, **options)).withColumn("validation", F.lit("walk_forward"))
-        em = ml_metrics(embargo_validation(frame, embargo * 3, components=components, **options)).withColumn("validation", F.lit("embargo"))
-        cv = purged_kfold_ml(bars, names, splits, 2, purge * 2, h, lookback=lookback, kind=kind, components=components, **options)[0]
-        cv = cv.groupBy("symbol").agg(F.sum("test_observations").alias("observations"), *[F.avg(f"test_{c}").alias(c) for c in ("direction_accuracy", "rmse", "coverage")]).withColumn("validation", F.lit("purged_kfold"))
-        part = wf.unionByName(em).unionByName(cv, allowMissingColumns=True).withColumn("horizon", F.lit(h))
-        every = part if every is None else every.unionByName(part)
-    every = kept(every)
+    frame = named(rows, "walk_forward", (purge, 0)).unionByName(named(rows, "embargo", (0, embargo * 3)))
+    # runs have the parts of a fold's run, so that all are told apart in one way
+    frame = runs_of(frame, fold=F.lit(0), role=F.lit("test"), validation=F.col("validation"), horizon=F.col("horizon"))
+    cv = named(ml_rows(fold_runs(bars, splits, 2, purge * 2, minimum), names), "purged_kfold", (0, 0))
+    frame = frame.unionByName(runs_of(cv, validation=F.col("validation"), horizon=F.col("horizon"))).drop("validation")
+    frame = frame.withColumn("y", F.col("y").alias("y", metadata={"lookback": lookback, "kind": kind}))
+    m = kept(of_runs(ml_metrics(walk_forward_ml(frame, minimum=minimum, components=components, **options)), "fold", "role", "validation", "horizon").withColumn("horizon", F.col("horizon").cast("int")))
+    cv = by_fold(m.where("validation = 'purged_kfold'"), ("symbol", "horizon"))[1]
+    cv = cv.select("symbol", "horizon", F.lit("purged_kfold").alias("validation"), "observations", *[F.col(f"mean_{c}").alias(c) for c in ("direction_accuracy", "rmse", "coverage")])
+    every = m.where("validation <> 'purged_kfold'").drop("fold", "role").unionByName(cv, allowMissingColumns=True)
     acc = F.col("direction_accuracy")
     walk = every.where("validation = 'walk_forward' and observations > 0").groupBy("symbol").agg(F.avg(acc).alias("direction_accuracy"), F.avg("rmse").alias("rmse"), F.avg("coverage").alias("coverage"), F.count_if(acc > 0.5).alias("consistent"), F.count("*").alias("horizons"))
     return every, walk

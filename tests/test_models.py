@@ -114,9 +114,9 @@ def test_models_from_running_sums_equal_those_fitted_anew(spark, bars, how, hori
     names = ["rsi_14", "hl_spread", "volume_z_20"]  # the last is mostly 0: no spread
     flat = bars.withColumn("volume", F.when(F.rand(1) < 0.2, 5.0).otherwise(100.0))
     frame = L.ml_frame(flat, names, lookback=6, horizon=horizon).cache()
-    options = {"features": 4, "purge": 5, "gap": 0, **how}
-    got = {x.cutoff: x for x in R_.predictions(frame, 6, horizon, 40, 5, options["purge"], options["gap"], 3, 4, options.get("components"), 0.95).collect()}
-    want = {x.cutoff: x for x in L.refitted(frame, 6, horizon, 40, 5, options["purge"], options["gap"], 16, features=4, selection="f_regression", components=options.get("components")).collect()}
+    frame = frame.withColumn("purge", F.lit(how.get("purge", 5))).withColumn("gap", F.lit(how.get("gap", 0)))
+    got = {x.cutoff: x for x in R_.predictions(frame, 6, 40, 5, 3, 4, how.get("components"), 0.95).collect()}
+    want = {x.cutoff: x for x in L.refitted(frame, 6, 40, 5, 16, features=4, selection="f_regression", components=how.get("components")).collect()}
     assert set(got) == set(want) and len(got) > 20
     for k, w in want.items():
         g = got[k]
@@ -124,6 +124,22 @@ def test_models_from_running_sums_equal_those_fitted_anew(spark, bars, how, hori
         assert abs(g.predicted_return - w.predicted_return) < 1e-7, k
 
 
+def test_every_horizon_and_validation_in_one_pass_equals_its_own(spark, bars):
+    names = ["rsi_14", "hl_spread"]
+    every, walk = L.comprehensive_validation(bars, names, (1, 5), lookback=4, minimum=40, components=3)
+    got = {(x.horizon, x.validation): (x.observations, x.direction_accuracy, x.rmse) for x in every.collect()}
+    for h in (1, 5):
+        frame = L.ml_frame(bars, names, lookback=4, horizon=h)
+        wf, em = (L.ml_metrics(d).first() for d in (L.walk_forward_ml(frame, minimum=40, components=3), L.embargo_validation(frame, 6, minimum=40, components=3)))
+        folds, summary = L.purged_kfold_ml(bars, names, 5, 2, 10, h, 40, 4, components=3)
+        s, f = summary.first(), folds.collect()
+        assert s.folds == len(f) and abs(s.mean_rmse - np.mean([x.test_rmse for x in f])) < 1e-12 and s.positive == sum(x.test_direction_accuracy > 0.5 for x in f)
+        want = {"walk_forward": (wf.observations, wf.direction_accuracy, wf.rmse), "embargo": (em.observations, em.direction_accuracy, em.rmse), "purged_kfold": (s.observations, s.mean_direction_accuracy, s.mean_rmse)}
+        for k, v in want.items():
+            np.testing.assert_allclose(got[h, k], v, rtol=1e-9)
+    assert len(got) == 6 and walk.first().horizons == 2
+
+
 def test_quartiles_of_every_lag(spark):
     v = np.round(r.normal(size=400), 1)
     p = R_.Plan(9, 3, 30, 5, 5, 0, 4)
