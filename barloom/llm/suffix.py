@@ -116,7 +116,8 @@ def runs_of(data: bytes, length: int, seed: int):
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     count = np.diff(np.append(first, len(at)))
     back = (at[first] - first).astype(np.uint64)  # windows differ where the representative's place in them does
-    whole = mixed(prints.at(first, first + count - 1 + length) ^ (back * PRIME) ^ (count.astype(np.uint64) << np.uint64(48)))
+    # of the other kind, as the seed's fingerprint is part of this one's kind: together 128 bits
+    whole = mixed(Prints(data, 1).at(first, first + count - 1 + length) ^ (back * PRIME) ^ (count.astype(np.uint64) << np.uint64(48)))
     # the least of many hashes is small: another mix spreads the ranks evenly over the ranges
     return mixed(h[at[first]] ^ PRIME), whole, first, count, at[first] - first
 
