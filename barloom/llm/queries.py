@@ -142,7 +142,8 @@ with p as (select page_id, url, '"' || substr(md5(html), 1, 16) || '"' as tag, s
                   regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as u from p),
      d as (select record_id, ts, kind, size,
                   regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
-                  || regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '^[^/?]*', ''), '([?&])ref=[^&]*&?', '\1', 'g'), '[?&]$', ''), '/$', '') as curl,
+                  || regexp_replace(regexp_replace(regexp_replace(u, '^[^/?]*', ''), '\?.*$', '')
+                     || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: not starts_with(x, 'ref=') and x <> ''), '&'), ''), ''), '/$', '') as curl,
                   case when kind = 'revisit' and k = 3 and page_id % 5 = 0 then '"stale"' when kind = 'revisit' and page_id % 7 = 0 then null
                        when changed then tag || '-2' else tag end as etag,
                   case when page_id % 13 = 0 then null else page_id || '-' || (case when changed then '2' else '1' end) end as lm from c),

@@ -13,15 +13,19 @@ from pyspark.sql import functions as F
 #: Header fields that a 304 answer does not update (hop-by-hop fields and those of the content itself).
 NOT_MERGED = ["connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade", "content-length", "content-encoding", "content-type", "content-range", "content-md5"]
 
+#: Header fields that hold lists, so that repeated ones may be joined by commas; of others the last one counts.
+LISTS = ["accept-ranges", "access-control-allow-headers", "access-control-allow-methods", "access-control-expose-headers", "allow", "cache-control", "connection", "content-encoding", "content-language", "link", "pragma", "proxy-authenticate", "trailer", "transfer-encoding", "upgrade", "vary", "via", "warning", "www-authenticate"]
+
 
 def canonical_url(url: Column) -> Column:
-    """Host in lower case without www, no scheme, default port, fragment, trailing slash or tracking parameter ``ref``."""
+    """Host in lower case without www, no scheme, default port, fragment, trailing slash, empty or tracking (``ref``) parameters."""
     u = F.regexp_replace(F.trim(url), r"#.*$", "")
     u = F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(u, r"^([^/?]*)", 1)), r"^www\.", ""), r":(80|443)$", "")
     rest = F.regexp_replace(u, r"^[^/?]*", "")
-    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, r"([?&])ref=[^&]*&?", "$1"), r"[?&]$", ""), r"/$", "")
-    return F.concat(host, rest)
+    query = F.filter(F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&"), lambda x: ~x.startswith("ref=") & (x != ""))
+    rest = F.concat(F.regexp_replace(rest, r"\?.*$", ""), F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
+    return F.concat(host, F.regexp_replace(rest, r"/$", ""))
 
 
 def plain_tag(tag: Column) -> Column:
@@ -29,11 +33,11 @@ def plain_tag(tag: Column) -> Column:
 
 
 def one_case(headers: Column) -> Column:
-    """Header names in lower case; the values of names that differ in case only are joined by commas, in order of the names."""
+    """Header names in lower case. Of names that differ in case only, in order of the names: the values of a field that holds a list are joined by commas, of any other field the last one stays."""
     entries = F.array_sort(F.map_entries(headers))
     names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
-    values = F.transform(names, lambda n: F.array_join(F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == n), lambda e: e["value"]), ", "))
-    return F.map_from_arrays(names, values)
+    of = lambda n: F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == n), lambda e: F.coalesce(e["value"], F.lit("")))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.when(n.isin(*LISTS), F.array_join(of(n), ", ")).otherwise(F.element_at(of(n), -1))))
 
 
 def resolve_revisits(records: DataFrame, bucket_seconds: int = 3_600) -> DataFrame:
