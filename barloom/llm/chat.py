@@ -41,20 +41,28 @@ def chatml(turns: list[tuple[str, str]]) -> str:
 chatml.turn_local = True
 
 
-def spans(turns, template=chatml, window: int = 256):
+def apart(template, turn, following) -> bool:
+    """Whether two turns render side by side as they do alone."""
+    return template([turn, following]) == template([turn]) + template([following])
+
+
+def spans(turns, template=chatml, window: int = 256, believe: bool = True):
     """(output, [(begin, end) of each turn], [(begin, end) of each turn's text or None], whether history was rewritten) by rendering successive prefixes.
 
     A template marked ``turn_local`` (a turn's rendering depends on no other turn) is rendered over prefixes of
-    ``window`` turns at most, so that a conversation of n turns costs n renderings of bounded length. Others are
-    rendered over whole prefixes. Where history was rewritten, spans are the last output's differences and may overlap,
+    ``window`` turns at most, so that a conversation of n turns costs n renderings of bounded length; at each cut the
+    two turns beside it are rendered together and apart, and a template whose output differs there is taken for one
+    without the mark. Others are rendered over whole prefixes. Where history was rewritten, spans are the last output's differences and may overlap,
     and texts are looked for in renderings of the whole conversation. A text's span is found by rendering its turn with
     two other texts that differ in their first and last characters: what their outputs have alike at both ends frames
     the text. It is None where the real output has another frame (a template that counts characters, or leaves the turn out).
     """
-    local = getattr(template, "turn_local", False)
+    local = believe and getattr(template, "turn_local", False)
     out, done, base, at, found, texts, rewritten, known = "", [], [], 0, [], [], False, {}
     for role, text in turns:
         if len(done) >= window and local:
+            if not apart(template, done[-1], (role, text)):
+                return spans(turns, template, window, believe=False)
             base.append(out)
             at += len(out)
             out, done = "", []

@@ -105,6 +105,17 @@ def test_text_spans_of_any_template(spark):
     assert chat.format_chats(df).where("conv_id is null").count() == 2  # conversations of their own
 
 
+def test_a_template_that_wrongly_calls_itself_local_is_compared_over_its_whole_history():
+    def first_only(turns):
+        return "".join(f"[{'' if i else '#'}{r}]{t}" for i, (r, t) in enumerate(turns))
+
+    first_only.turn_local = True
+    turns = [("user" if i % 2 else "assistant", f"t{i}") for i in range(9)]
+    out, found, texts, rewritten = chat.spans(turns, first_only, window=3)
+    assert out == first_only(turns) and not rewritten and [out[a:b] for a, b in texts] == [t for _, t in turns]
+    assert chat.spans(turns, window=3)[0] == chat.chatml(turns)
+
+
 def test_a_very_long_conversation_text(spark):
     long = "word \\ <|im_end|> " * 60_000
     got = chat.digest(chat.format_chats(spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string"))).first()
@@ -133,7 +144,11 @@ def test_revisits_of_headers_that_differ_in_case_and_of_repeated_rows(spark):
     df = spark.createDataFrame([(*r, "a", 1) for r in rows], "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>, full string, bucket int")
     got = warc.resolve_revisits(df).collect()
     assert sorted((r.record_id or 0, r.resolution) for r in got) == [(0, "missing"), (2, "resolved"), (2, "resolved")]
-    assert all(r.headers == {"date": "1, 2", "via": "", "etag": "x, y"} for r in got if r.record_id)
+    assert all(r.headers == {"date": "2", "via": "", "etag": "y"} for r in got if r.record_id)
+    urls = spark.createDataFrame([("http://www.A.org:80/p/?ref=1&ref=2",), ("https://a.org/p?ref=3&x=1&ref=4&y=2&#f",), ("a.org",), ("a.org/?&ref=5",), ("a.org/p?xref=1",)], "u string")
+    assert [r[0] for r in urls.select(warc.canonical_url(F.col("u"))).collect()] == ["a.org/p", "a.org/p?x=1&y=2", "a.org", "a.org", "a.org/p?xref=1"]
+    joined = spark.sql("select map('Via', 'a', 'via', 'b', 'Vary', 'x', 'DATE', '1', 'Date', '2') as m")
+    assert joined.select(warc.one_case(F.col("m"))).first()[0] == {"date": "2", "vary": "x", "via": "a, b"}
 
 
 # op8
