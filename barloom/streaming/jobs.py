@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.stats import kalman_step
+from ..operators.cleaning import bad_print_step
+from ..operators.stats import kalman_chunk_step
 
 BAR = "symbol string, ts timestamp, close double, volume double"
 
@@ -36,96 +39,97 @@ def stream_reconcile(primary: DataFrame, baseline: DataFrame, tolerance: float =
     return j.select("symbol", "ts", F.when(anomaly, F.col("base_close")).otherwise(F.col("close")).alias("close"), gap.alias("divergence_score"), anomaly.alias("anomaly"))
 
 
-def stream_bad_prints(bars: DataFrame, window: int = 5, volume_window: int = 20, sigma: float = 3.0) -> DataFrame:
-    """``flag_bad_prints`` on a stream of bars (BAR) that comes in order per symbol; state: the last accepted closes and the last volumes."""
-
-    def step(key, batches, state):
-        accepted, volumes = state.get if state.exists else ([], [])
-        accepted, volumes = list(accepted), list(volumes)
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        flags = []
-        for c, v in zip(rows["close"], rows["volume"], strict=True):
-            bad = False
-            if len(accepted) >= 2:
-                m, s = float(np.mean(accepted)), float(np.std(accepted))
-                base = float(np.mean(volumes)) if volumes else 0.0
-                bad = s > 0 and abs(c - m) > sigma * s and (v / base if base > 0 else float("inf")) < 2
-            flags.append(bad)
-            volumes = [*volumes, float(v)][-volume_window:]
-            if not bad:
-                accepted = [*accepted, float(c)][-window:]
-        state.update((accepted, volumes))
-        yield rows[["symbol", "ts", "close", "volume"]].assign(rejected=flags)
-
-    return bars.groupBy("symbol").applyInPandasWithState(step, BAR + ", rejected boolean", "accepted array<double>, volumes array<double>", "append", "NoTimeout")
-
-
-def stream_kalman(bars: DataFrame) -> DataFrame:
-    """``kalman_track`` without the smoothed column on a stream of bars (BAR) that comes in order per symbol; state: that of ``kalman_step``."""
-
-    def step(key, batches, state):
-        now = None
-        if state.exists:
-            *numbers, recent = state.get
-            now = (*numbers, list(recent))
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        out = []
-        for c, v in zip(rows["close"].tolist(), rows["volume"].tolist(), strict=True):
-            now, innovation = kalman_step(now, c, v)
-            out.append((now[1], innovation, now[2], now[3]))
-        state.update(tuple(now))
-        yield rows[["symbol", "ts", "close"]].reset_index(drop=True).join(pd.DataFrame(out, columns=["filtered", "innovation", "covariance", "noise"]))
-
-    schema = "symbol string, ts timestamp, close double, filtered double, innovation double, covariance double, noise double"
-    return bars.groupBy("symbol").applyInPandasWithState(step, schema, "n long, estimate double, p double, q double, ahead double, recent array<double>", "append", "NoTimeout")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Track(StatefulProcessor):
+    """A step over each symbol's bars in order of event time, whatever the order in which they come.
+
+    State on the RocksDB store: ``waiting``, bars that the watermark has not passed, by time and arrival; ``seen``, how many
+    have come; ``now``, what the step keeps. A timer at the first waiting bar takes all that the watermark has passed
+    through the step; what is later than the watermark allows is dropped by Spark before it gets here.
+    """
+
+    def __init__(self, step: Callable, columns: list[str]):
+        self.step, self.columns = step, columns
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ts long, nth long", "close double, volume double")
+        self.seen = handle.getValueState("seen", "n long")
+        self.now = handle.getValueState("now", "numbers array<double>")
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["symbol", "ts", "close", "volume", *self.columns])
+        return out.astype({"symbol": "object"}).assign(ts=pd.to_datetime(out["ts"], unit="us"))
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        n = self.seen.get()[0] if self.seen.exists() else 0
+        first = None
+        for pdf in rows:
+            for at, c, v in zip(pdf["ts"].astype("datetime64[us]").astype("int64").tolist(), pdf["close"].tolist(), pdf["volume"].tolist(), strict=True):
+                self.waiting.updateValue((at, n), (c, v))
+                n, first = n + 1, at if first is None else min(first, at)
+        self.seen.update((n,))
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
+        yield self.frame([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        bars = sorted((*k, *v) for k, v in self.waiting.iterator())
+        state, out = list(self.now.get()[0]) if self.now.exists() else None, []
+        for at, nth, close, volume in bars:
+            if at > passed:
+                self.handle.registerTimer(-(-at // 1000))
+                break
+            state, made = self.step(state, close, volume)
+            out.append((key[0], at, close, volume, *made))
+            self.waiting.removeKey((at, nth))
+        if out:
+            self.now.update((state,))
+        yield self.frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def tracked(bars: DataFrame, step: Callable, out: str, delay: str) -> DataFrame:
+    bars.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    b = bars.select("symbol", "ts", "close", "volume").withWatermark("ts", delay)
+    return b.groupBy("symbol").transformWithStateInPandas(Track(step, [c.split()[0] for c in out.split(", ")]), f"{BAR}, {out}", "Append", "eventTime")
+
+
+def stream_bad_prints(bars: DataFrame, window: int = 5, volume_window: int = 20, sigma: float = 3.0, delay: str = "1 day") -> DataFrame:
+    """``flag_bad_prints`` on a stream of bars (BAR), sent out once the watermark has passed them; bars up to ``delay`` late are put in their place."""
+    return tracked(bars, bad_print_step(window, volume_window, sigma), "rejected boolean", delay)
+
+
+def stream_kalman(bars: DataFrame, delay: str = "1 day") -> DataFrame:
+    """``kalman_track`` without the smoothed column on a stream of bars (BAR), sent out once the watermark has passed them."""
+    return tracked(bars, kalman_chunk_step, "filtered double, innovation double, covariance double, noise double", delay).drop("volume")
 
 
 PENDING = "id string, symbol string, ts timestamp, expiry timestamp, anchor_price double, expected_return double, lower double, upper double"
 
 
 def stream_resolve(predictions: DataFrame, bars: DataFrame, tolerance_days: int = 7, delay: str = "1 day") -> DataFrame:
-    """``resolve_outcomes`` on streams of predictions (PENDING) and bars (BAR) that come in order per symbol.
+    """``resolve_outcomes`` on streams of predictions (PENDING) and bars (BAR), in any order inside ``delay``.
 
-    A prediction is resolved by the first bar from its expiry to ``tolerance_days`` later; once the watermark has passed
-    that time without a bar it goes out as EXPIRED_NO_DATA. State: a symbol's predictions that wait.
+    A left outer interval join: a prediction meets the symbol's bars from its expiry to ``tolerance_days`` later, and goes
+    out alone once the watermark says that none can come. Of its bars the earliest resolves it: an aggregate that is
+    final when the watermark has passed the interval, so a bar that comes late still counts. State holds the predictions
+    and bars of the open intervals, by symbol and time.
     """
-    names = ["id", "expiry", "anchor_price", "expected_return", "lower", "upper"]
-    p = predictions.select("symbol", "ts", *names, F.lit(None).cast("double").alias("close"))
-    b = bars.select("symbol", "ts", *[F.lit(None).cast(predictions.schema[n].dataType).alias(n) for n in names], "close")
-    events = p.unionByName(b).withWatermark("ts", delay)
-    columns = ["id", "symbol", "expiry", "status", "actual_ts", "actual_price", "actual_return", "in_interval"]
-
-    def step(key, batches, state):
-        waiting = [list(w) for w in zip(*state.get, strict=True)] if state.exists else []
-        last, out = pd.Timedelta(days=tolerance_days), []
-
-        def leave(w, ts=None, close=None):
-            ok = close is not None
-            out.append((w[0], key[0], pd.Timestamp(w[1], unit="us"), "RESOLVED" if ok else "EXPIRED_NO_DATA", ts, close, close / w[2] - 1 if ok else None, bool(w[4] <= close <= w[5]) if ok else None))
-
-        if state.hasTimedOut:
-            passed = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-            for w in [w for w in waiting if pd.Timestamp(w[1], unit="us") + last <= passed]:
-                leave(w)
-                waiting.remove(w)
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "id"], kind="stable")
-            for r in rows.itertuples(index=False):
-                if isinstance(r.id, str):
-                    waiting.append([r.id, int(pd.Timestamp(r.expiry).value // 1000), r.anchor_price, r.expected_return, r.lower, r.upper])
-                    continue
-                for w in [w for w in waiting if pd.Timestamp(w[1], unit="us") <= r.ts]:
-                    hit = r.ts <= pd.Timestamp(w[1], unit="us") + last
-                    leave(w, r.ts if hit else None, r.close if hit else None)
-                    waiting.remove(w)
-        if waiting:
-            state.update(tuple(list(x) for x in zip(*waiting, strict=True)))
-            first = min(w[1] for w in waiting) // 1000 + tolerance_days * 86_400_000
-            state.setTimeoutTimestamp(max(first, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=columns)
-
-    schema = "id string, symbol string, expiry timestamp, status string, actual_ts timestamp, actual_price double, actual_return double, in_interval boolean"
-    kept = "id array<string>, expiry array<long>, anchor array<double>, expected array<double>, lower array<double>, upper array<double>"
-    return events.groupBy("symbol").applyInPandasWithState(step, schema, kept, "append", "EventTimeTimeout")
+    p = predictions.withWatermark("expiry", delay)
+    b = bars.select(F.col("symbol").alias("b_symbol"), F.col("ts").alias("b_ts"), F.col("close").alias("b_close")).withWatermark("b_ts", delay)
+    inside = (F.col("b_ts") >= F.col("expiry")) & (F.col("b_ts") <= F.col("expiry") + F.expr(f"interval {tolerance_days} days"))
+    j = p.join(b, (F.col("symbol") == F.col("b_symbol")) & inside, "leftOuter")
+    # one event time goes on: that of the expiry
+    j = j.select("id", "symbol", "expiry", "anchor_price", "lower", "upper", F.unix_micros("b_ts").alias("at"), "b_close")
+    g = j.groupBy("id", "symbol", "expiry", "anchor_price", "lower", "upper").agg(F.min("at").alias("at"), F.min_by("b_close", "at").alias("actual_price"))
+    price = F.col("actual_price")
+    return g.select(
+        "id", "symbol", "expiry", F.when(F.col("at").isNotNull(), "RESOLVED").otherwise("EXPIRED_NO_DATA").alias("status"), F.timestamp_micros("at").alias("actual_ts"), "actual_price",
+        (price / F.col("anchor_price") - 1).alias("actual_return"), price.between(F.col("lower"), F.col("upper")).alias("in_interval"),
+    )
