@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .series import BUCKET_DAYS, rows_of, speculative
 
@@ -215,17 +216,39 @@ def covariance_pairs(returns: DataFrame, block_symbols: int = 256) -> DataFrame:
     return pairs.groupBy("x", "y").applyInPandas(products, "a string, b string, n long, cov double").withColumn("cov", F.when(F.col("n") > 1, F.col("cov")))
 
 
-def catalyst_events(announcements: DataFrame, symbols: DataFrame, positive: list[str], negative: list[str]) -> DataFrame:
-    """(doc_id, symbol, at, direction, excerpt): first mention of each symbol as a word of an announcement, and the class of the excerpt around it.
+def catalyst_events(announcements: DataFrame, symbols: DataFrame, positive: list[str], negative: list[str], at_once: int = 200_000) -> DataFrame:
+    """(doc_id, symbol, at, direction, excerpt): the first place of each symbol in an announcement's text in upper case, wherever it is part of it, and the class of the excerpt around it.
 
-    Words are runs of letters and digits, so punctuation beside a symbol doesn't hide it.
+    An automaton of all symbols (at most ``at_once`` of them; more take a pass for each so many) goes over each text once,
+    so the work doesn't grow with the number of symbols. Empty and null symbols and null texts match nothing.
     """
-    from ..functions.scalar import classify_text, collapse, text_excerpt
-
-    up = F.upper(collapse(F.col("text")))
-    plain = lambda text: F.regexp_replace(text, r"[^\p{L}\p{N}]", " ")
-    words = announcements.select("doc_id", F.explode(F.array_distinct(F.split(plain(up), " "))).alias("symbol"))
-    hit = words.join(symbols.select("symbol"), "symbol").join(announcements.select("doc_id", up.alias("clean")), "doc_id")
-    at = F.instr(F.concat(F.lit(" "), plain(F.col("clean")), F.lit(" ")), F.concat(F.lit(" "), F.col("symbol"), F.lit(" ")))
-    hit = hit.withColumn("at", at).withColumn("excerpt", text_excerpt(F.col("clean"), F.col("at")))
-    return hit.select("doc_id", "symbol", "at", classify_text(F.col("excerpt"), positive, negative).alias("direction"), "excerpt")
+    import ahocorasick
+
+    from ..functions.scalar import classify_text, collapse
+
+    texts = announcements.select("doc_id", F.upper(collapse(F.col("text"))).alias("clean")).where("clean is not null")
+    wanted = symbols.select("symbol").where("symbol <> ''").distinct()
+    parts = max(1, -(-wanted.count() // at_once))
+    schema = StructType([texts.schema["doc_id"], StructField("symbol", StringType()), StructField("at", IntegerType()), StructField("excerpt", StringType())])
+    out = None
+    for part in range(parts):
+        words = [r.symbol for r in wanted.where(F.pmod(F.xxhash64("symbol"), F.lit(parts)) == part).collect()]
+
+        def scan(pdfs, words=words):
+            found = ahocorasick.Automaton()
+            for w in words:
+                found.add_word(w, w)
+            if words:
+                found.make_automaton()
+            for pdf in pdfs:
+                rows = []
+                for doc, text in zip(pdf["doc_id"], pdf["clean"], strict=True):
+                    first = {}
+                    for end, w in found.iter(text) if words else ():
+                        first.setdefault(w, end - len(w) + 1)
+                    rows += [(doc, w, at + 1, text[max(at - 250, 0) : at + 1500]) for w, at in first.items()]
+                yield pd.DataFrame(rows, columns=schema.names)
+
+        hits = texts.mapInPandas(scan, schema)
+        out = hits if out is None else out.unionByName(hits)
+    return out.select("doc_id", "symbol", "at", classify_text(F.col("excerpt"), positive, negative).alias("direction"), "excerpt")

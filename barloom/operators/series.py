@@ -13,7 +13,7 @@ import tempfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Days of a bucket: at daily bars as many rows as a task sorts with ease. Shorter for bars of minutes.
@@ -70,14 +70,20 @@ def affine_scan(rows: DataFrame, keep: float, b: Column, name: str = "h") -> Dat
     return d.withColumn(name, F.col("alone") + F.pow(kept, F.col("at") + 1) * F.col("starts")[F.col("chunk")]).drop("chunk", "at", "alone", "starts")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df``, computed once and written to the checkpoint folder of the session (one of our own where all runs in one JVM and none is set)."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; one of our own where all runs in one JVM and none is set."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, computed once and written to the checkpoint folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -57,7 +57,8 @@ def write_audit(spark, sf):
 
 def catalyst_events(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    symbols = table(spark, sf, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, "THE").otherwise("DER").alias("symbol")).distinct()
+    kinds = F.array(*map(F.lit, ("THE", "TH", "S.", "E-", "DER")))
+    symbols = table(spark, sf, "nation").select(kinds[(F.col("n_nationkey") % 5).cast("int")].alias("symbol"))
     e = C.catalyst_events(d, symbols, ["ANTION", "OUEA"], ["ERTI", "UNG"])
     return e.select("doc_id", "symbol", F.col("at").cast("long").alias("at"), "direction", "excerpt")
 
@@ -112,7 +113,7 @@ ORACLES = {
     "normalize_chart_json": f"with {BARS} select symbol, {MS}, {sql_rounded({n: n for n in OHLCV}, 4)} from bars where day(ts) % 7 <> 0",
     "write_audit": f"with {BARS}, i as (select symbol, (row_number() over (partition by symbol order by ts) - 1) % 50 = 7 as bad from bars) select symbol, count(*) as fetched, count(*) filter (not bad) as accepted, count(*) filter (bad) as rejected, 'official' as source from i group by 1",
     "catalyst_events": """with c as (select doc_id, replace(replace(upper(trim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ', 'g'))), 'ß', 'SS'), 'ẞ', 'SS') as t from documents),
-        h as (select doc_id, s as symbol, instr(' ' || regexp_replace(t, '[^\\p{L}\\p{N}]', ' ', 'g') || ' ', ' ' || s || ' ') as pos, t from c, (values ('THE'), ('DER')) v(s)),
+        h as (select doc_id, s as symbol, instr(t, s) as pos, t from c, (values ('THE'), ('TH'), ('S.'), ('E-'), ('DER')) v(s)),
         x as (select doc_id, symbol, pos, substr(t, greatest(pos - 250, 1), pos + 1500 - greatest(pos - 250, 1)) as excerpt from h where pos > 0)
         select doc_id, symbol, pos as "at", case when regexp_matches(excerpt, 'ANTION|OUEA') then 'POSITIVE' when regexp_matches(excerpt, 'ERTI|UNG') then 'NEGATIVE' else 'NEUTRAL' end as direction, excerpt from x""",
     "normalize_standard": f"with {LONG} select symbol, {MS}, name, {sql_rounded({'z': 'coalesce((x - avg(x) over (partition by symbol, name)) / nullif(stddev_samp(x) over (partition by symbol, name), 0), 0)'})} from lo",

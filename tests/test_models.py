@@ -174,10 +174,19 @@ def test_ratings_let_the_later_rule_decide(spark):
     assert {(x.symbol, x.window): x.n for x in v[0].collect()} == {("a|b", 0): 60, ("a|b", 20): 20, ("a|b", 50): 50} and v[1].first().coverage == 1
 
 
-def test_mentions_beside_punctuation_and_the_class_of_the_excerpt(spark):
-    docs = spark.createDataFrame([(1, "(ogdc), gains"), (2, "XOGDC and OGDC"), (3, "OGDC " + "x " * 2000 + "LOSS"), (4, "nothing")], "doc_id long, text string")
-    got = {x.doc_id: (x.at, x.direction) for x in C.catalyst_events(docs, spark.createDataFrame([("OGDC",)], "symbol string"), ["GAIN"], ["LOSS"]).collect()}
-    assert got == {1: (2, "POSITIVE"), 2: (11, "NEUTRAL"), 3: (1, "NEUTRAL")}
+def test_first_places_of_overlapping_symbols_and_the_class_of_the_excerpt(spark):
+    docs = spark.createDataFrame([(1, "(ogdc), gains"), (2, "XOGDC and OGDC"), (3, "OGDC " + "x " * 2000 + "LOSS"), (4, "nothing"), (5, "News of ABC-X and (OGDC), A.B  LOSS"), (6, None), (7, "")], "doc_id long, text string")
+    symbols = ["OGDC", "ABC-X", "A.B", "X", "GDC", "OG", "ABC", "", None]
+    for at_once in (200_000, 3):
+        got = sorted((x.doc_id, x.symbol, x.at, x.direction, x.excerpt) for x in C.catalyst_events(docs, spark.createDataFrame([(s,) for s in symbols], "symbol string"), ["GAIN"], ["LOSS"], at_once).collect())
+        want = []
+        for d, text in [(r.doc_id, r.text) for r in docs.collect()]:
+            clean = " ".join((text or "").upper().split())
+            for s in filter(None, symbols):
+                if (at := clean.find(s)) >= 0:
+                    e = clean[max(at - 250, 0) : at + 1500]
+                    want.append((d, s, at + 1, "POSITIVE" if "GAIN" in e else "NEGATIVE" if "LOSS" in e else "NEUTRAL", e))
+        assert got == sorted(want) and len(want) > 12
 
 
 def test_predictions_stay_pending_until_they_expire(spark):
