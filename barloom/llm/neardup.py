@@ -49,7 +49,68 @@ def projections(dim: int, lines: int, seed: int) -> np.ndarray:
     return r / np.sqrt((r * r).sum(0))
 
 
-def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: float, lines: int, width: float, recall: float, seed: int, rows: int = 256):
+class Counter:
+    """Counts of bits, place by place, kept as binary digits in arrays of their own: two arrays of bits and a digit make the digit and one carry."""
+
+    def __init__(self, shape: tuple, most: int):
+        self.digit = [np.zeros(shape, np.uint64) for _ in range(most.bit_length())]
+        self.waiting: list[np.ndarray | None] = [None] * (most.bit_length() + 1)
+
+    def add(self, bits: np.ndarray, at: int = 0) -> None:
+        if self.waiting[at] is None:
+            self.waiting[at] = bits
+            return
+        other, self.waiting[at] = self.waiting[at], None
+        one = self.digit[at] ^ other
+        carry = (self.digit[at] & other) | (one & bits)
+        self.digit[at] = one ^ bits
+        if at + 1 < len(self.digit):
+            self.add(carry, at + 1)
+
+    def at_least(self, least: int) -> np.ndarray:
+        """Bits of the places with such a count."""
+        for at in range(len(self.digit)):
+            if self.waiting[at] is not None:
+                rest, self.waiting[at] = self.waiting[at], None
+                carry = self.digit[at] & rest
+                self.digit[at] = self.digit[at] ^ rest
+                if at + 1 < len(self.digit):
+                    self.add(carry, at + 1)
+        more, same = np.zeros_like(self.digit[0]), np.full_like(self.digit[0], ~np.uint64(0))
+        for at in range(len(self.digit) - 1, -1, -1):
+            if least >> at & 1:
+                same &= self.digit[at]
+            else:
+                more |= same & self.digit[at]
+                same &= ~self.digit[at]
+        return more | same
+
+
+def colliding(queries: np.ndarray, along: np.ndarray, rank: np.ndarray, half: np.float32, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vector, query) of the pairs that lie within ``half`` of each other on at least ``least`` lines.
+
+    ``queries``: places of the queries on each line; ``along``: the vectors' places on each line, sorted; ``rank``: each
+    vector's number in that order. On a line a query's window is a run of that order: its bit is turned at the run's
+    both ends, and carried along it. So a pair costs a bit a line rather than a number.
+    """
+    n, lines = along.shape
+    q = np.arange(len(queries))
+    words = -(-len(queries) // 64)
+    word, bit = q // 64, np.uint64(1) << (q % 64).astype(np.uint64)
+    counter = Counter((n, words), lines)
+    for k in range(lines):
+        turn = np.zeros((n + 1, words), np.uint64)
+        np.bitwise_xor.at(turn, (np.searchsorted(along[:, k], queries[:, k] - half), word), bit)
+        np.bitwise_xor.at(turn, (np.searchsorted(along[:, k], queries[:, k] + half, "right"), word), bit)
+        counter.add(np.bitwise_xor.accumulate(turn[:-1], axis=0)[rank[:, k]])
+    found = counter.at_least(least)
+    some = np.flatnonzero(found.any(1))
+    bits = np.unpackbits(found[some].astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, : len(queries)]
+    j, i = np.nonzero(bits)
+    return some[j], i
+
+
+def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: float, lines: int, width: float, recall: float, seed: int, rows: int = 512):
     """(ids, links of each, edges of a spanning forest between them) of the pairs of a tile and another, each once."""
     a, b = (unit(np.stack(t["embedding"].to_numpy()).astype(np.float64)) for t in (left, right))
     ia, ib = left["node"].to_numpy("int64"), right["node"].to_numpy("int64")
@@ -67,16 +128,9 @@ def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: floa
         return x
 
     order = np.argsort(pb_, axis=0, kind="stable")  # the right tile sorted along each line
-    along = np.take_along_axis(pb_, order, 0)
+    along, rank = np.take_along_axis(pb_, order, 0), np.argsort(order, axis=0, kind="stable")
     for at in range(0, len(a), rows):
-        m = min(rows, len(a) - at)
-        count, each = np.zeros((len(b), m), np.uint8), np.arange(m)
-        for k in range(lines):  # the window of half a width around each query: who enters and who leaves it, then who is inside
-            mark = np.zeros((len(b) + 1, m), np.int8)
-            mark[np.searchsorted(along[:, k], pa_[at : at + m, k] - half), each] += 1
-            mark[np.searchsorted(along[:, k], pa_[at : at + m, k] + half, "right"), each] -= 1
-            count[order[:, k]] += np.cumsum(mark[:-1], axis=0, dtype=np.int8).view(np.uint8)
-        j, i = np.nonzero(count >= least)
+        j, i = colliding(pa_[at : at + rows], along, rank, half, least)
         if same:
             i, j = i[i + at < j], j[i + at < j]
         if not len(i):
