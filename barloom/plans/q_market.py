@@ -279,7 +279,14 @@ rs as (select symbol, points, least(1, greatest(0, slope)) as hurst, least(1, gr
 REGIME = "case when hurst > 0.58 then 'STRONG_TREND' when hurst > 0.52 then 'WEAK_TREND' when hurst < 0.42 then 'STRONG_MEAN_REVERSION' when hurst < 0.48 then 'WEAK_MEAN_REVERSION' else 'RANDOM_WALK' end as regime"
 ERF = "(1 - (((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z))"
 
+#: Monthly returns of every symbol, as ``monthly_returns``.
+ALL_MONTHS = BARS + """,
+u0 as (select symbol, date_trunc('month', ts) as mon, arg_max(close, ts) as close from bars group by 1, 2),
+u1 as (select symbol, mon, ln(close / lag(close) over (partition by symbol order by mon)) as ret from u0),
+u as (select * from u1 where ret is not null)"""
+
 ORACLES = {
+    "covariance_pairs_universe": f"with {ALL_MONTHS} select x.symbol as a, y.symbol as b, count(*) as n, {sql_rounded({'cov': 'case when count(*) > 1 then covar_samp(x.ret, y.ret) end'}, 9)} from u x join u y on x.mon = y.mon and x.symbol <= y.symbol group by 1, 2",
     "read_bars": f"with {BARS} select symbol, {MS}, {sql_rounded({x: x for x in ('open', 'high', 'low', 'close', 'volume')}, 4)} from bars",
     "dedupe_bars": f"with {BARS} select symbol, {MS}, case when volume > 300000 then 2 else 1 end::bigint as seq, round(case when volume > 300000 then close + 1 else close end, 4) as close from bars",
     "latest_n_bars": f"with {BARS} select symbol, {MS}, close from bars qualify row_number() over (partition by symbol order by ts desc) <= 40",

@@ -169,7 +169,7 @@ fb as (select *, row_number() over (partition by symbol order by ts desc) - 1 as
 fp as (select symbol, count(*) as nb, max(case when back = 0 then close end) as last_price, max(ts) as last_ts, ln(max(case when back = 0 then close end) / max(case when back = 5 then close end)) / 5 as momentum5, ln(max(case when back = 0 then close end) / max(case when back = 20 then close end)) / 20 as momentum20, avg(case when back < 20 then close end) as mean20 from fb group by 1),
 fn as (select symbol, ret, idx - 1 as k, count(*) over (partition by symbol) as n, avg(ret) over (partition by symbol) as m, var_samp(ret) over (partition by symbol) as s2 from fb where ret is not null),
 fg as (select symbol, sqrt({GARCH}) as volatility from fn group by 1),
-fv as (select symbol, sqrt(sum(case when k60 >= 1 then 0.06 * 0.94 ** (59 - k60) * (ret - m60) ** 2 end)) as ewma_vol from (select symbol, ret, 59 - back as k60, avg(ret) over (partition by symbol) as m60 from fb where back < 60) group by 1),
+fv as (select symbol, sqrt(sum(case when k60 >= 1 then 0.06 * 0.94 ** back * (ret - m60) ** 2 end)) as ewma_vol from (select symbol, ret, back, count(ret) over (partition by symbol) - 1 - back as k60, avg(ret) over (partition by symbol) as m60 from fb where back < 60) group by 1),
 fd as (select symbol, sum(case when back = 19 then 1 else 0.1 end * 0.9 ** back * ret) as drift from fb where back < 20 group by 1),
 ff as (select fp.*, volatility, ewma_vol, drift, greatest(-3, least(3, (last_price - mean20) / (ewma_vol * sqrt(20)))) as z, -greatest(-3, least(3, (last_price - mean20) / (ewma_vol * sqrt(20)))) * ewma_vol * 0.3 as reversion, drift * 0.5 + momentum5 * 0.3 + momentum20 * 0.2 as trend
        from fp join fg using (symbol) join fv using (symbol) join fd using (symbol) where nb >= 50),

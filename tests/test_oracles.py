@@ -31,14 +31,3 @@ def test_same_rows_as_sql(spark, key):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-
-
-def test_matrix_rows_as_sql(spark):
-    from barloom.plans import q_features
-
-    con = duckdb.connect()
-    con.execute(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
-    want, got = (d.sort_values(["symbol", "ts_ms"]).reset_index(drop=True) for d in (con.execute(q_features.MATRIX_ROWS_SQL).df(), entry.queries()["feature_matrix_rows"](spark, SF).toPandas()))
-    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want) > 0
-    assert (got[["symbol", "ts_ms"]] == want[["symbol", "ts_ms"]]).all().all()
-    assert all((abs(got[c] - want[c]) <= 2e-4 if c == "vpt" or c.startswith("volume_") else abs(got[c] - want[c]) <= 2e-6).all() for c in got.columns if c not in ("symbol", "ts_ms"))
