@@ -93,7 +93,8 @@ def bad_print_step(window: int = 5, volume_window: int = 20, sigma: float = 3.0)
     """A step over a symbol's bars: state (how many accepted closes, these, the last volumes) or None at first, and whether the bar is rejected.
 
     A close is a bad print if it is more than ``sigma`` deviations from the last accepted ones and its volume is less
-    than twice the mean of the volumes before it.
+    than twice the mean of the volumes before it (to nine decimals: volumes of adjusted bars are products, and a ratio
+    of two must not hang on their last digit).
     """
 
     def step(state, close, volume):
@@ -105,7 +106,7 @@ def bad_print_step(window: int = 5, volume_window: int = 20, sigma: float = 3.0)
             s = (sum((x - m) ** 2 for x in accepted) / k) ** 0.5
             if s > 0 and abs(close - m) > sigma * s:
                 base = sum(volumes) / len(volumes) if volumes else 0.0
-                bad = (volume / base if base > 0 else float("inf")) < 2
+                bad = (round(volume / base, 9) if base > 0 else float("inf")) < 2
         if not bad:
             accepted = [*accepted, close][-window:]
         return [float(len(accepted)), *accepted, *[*volumes, volume][-volume_window:]], (bad,)

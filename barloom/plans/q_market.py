@@ -286,6 +286,11 @@ u1 as (select symbol, mon, ln(close / lag(close) over (partition by symbol order
 u as (select * from u1 where ret is not null)"""
 
 ORACLES = {
+    "portfolio_risk_universe": f"""with {ALL_MONTHS}, vw as (select symbol, sum(close * volume) as v from bars where symbol in (select symbol from u) group by 1), ww as (select symbol, v / sum(v) over () as w from vw),
+        hd as (select u.symbol, mon, ret, w from u join ww using (symbol)), po as (select mon, sum(ret * w) as pr from hd group by 1), pz as (select mon, pr, pr - avg(pr) over () as off, count(*) over () as t, row_number() over (order by pr) - 1 as nth from po),
+        tl as (select stddev_samp(pr) as vol, abs(max(case when nth = floor((1.0::double - 0.99::double) * t) then pr end)) as v, abs(avg(case when nth <= floor((1.0::double - 0.99::double) * t) then pr end)) as cv from pz),
+        g as (select symbol, w, sum(ret * off) / (max(t) - 1) as cw, greatest(0, sum(ret * ret) - sum(ret) ** 2 / max(t)) / (max(t) - 1) as own from hd join pz using (mon) group by 1, 2), sp as (select sum(abs(w) * sqrt(own)) as apart from g)
+        select symbol, {sql_rounded({'w': 'w', 'marginal': 'cw / vol', 'component': 'w * cw / vol', 'portfolio_vol': 'vol', 'portfolio_var': 'tl.v', 'portfolio_cvar': 'tl.cv', 'diversification': 'apart / vol'}, 8)} from g, tl, sp""",
     "covariance_pairs_universe": f"with {ALL_MONTHS} select x.symbol as a, y.symbol as b, count(*) as n, {sql_rounded({'cov': 'case when count(*) > 1 then covar_samp(x.ret, y.ret) end'}, 9)} from u x join u y on x.mon = y.mon and x.symbol <= y.symbol group by 1, 2",
     "read_bars": f"with {BARS} select symbol, {MS}, {sql_rounded({x: x for x in ('open', 'high', 'low', 'close', 'volume')}, 4)} from bars",
     "dedupe_bars": f"with {BARS} select symbol, {MS}, case when volume > 300000 then 2 else 1 end::bigint as seq, round(case when volume > 300000 then close + 1 else close end, 4) as close from bars",

@@ -6,12 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import backtest as B
 from ..operators import forecast as M
 from ..operators import models as L
 from ..operators import risk as K
 from ..operators import signals as G
 from ..operators import tracking as R
 from ..operators import validation as V
+from .least_squares_sql import ADF_LAGS
 from .q_market import BASE, EWMV, GARCH, NUM, RSQ, RP, c, quotes
 from .testbed import BARS, bars, rounded, sql_rounded, table
 
@@ -49,7 +51,7 @@ def spread_bps(spark, sf):
 
 def signals(spark, sf):
     b = bars(spark, sf)
-    f = M.forecast_prices(b, 5).join(K.risk_profile(b).select("symbol", "authorized"), "symbol").join(G.liquidity_gate(b), "symbol").join(L.adf_test(b, max_lag=0).select("symbol", "stationary"), "symbol", "left")
+    f = M.forecast_prices(b, 5).join(K.risk_profile(b).select("symbol", "authorized"), "symbol").join(G.liquidity_gate(b), "symbol").join(L.adf_test(b).select("symbol", "stationary"), "symbol", "left")
     return G.generate_signal(f.withColumn("stationary", F.coalesce("stationary", F.lit(False))).withColumn("catalyst", F.lit(None).cast("string")), threshold=0.02, min_conviction=0.3, min_quality=0.02)
 
 
@@ -62,8 +64,10 @@ def signal_to_order(spark, sf):
 
 
 def rank_universe(spark, sf):
-    s = signals(spark, sf).select("symbol", "signal", (F.col("edge_score") * 0.5).alias("score"))
-    return rounded(s.withColumn("rank", F.rank().over(Window.orderBy(F.desc(F.round("score", 9))))), "symbol", "signal", F.col("rank").cast("long").alias("rank"), **c("score"), digits=9)
+    """By edge times the accuracy of the symbol's back-test."""
+    tested = B.backtest_metrics(B.simulate_trades(B.walk_forward(bars(spark, sf)), edge=0.02)).select("symbol", "accuracy")
+    ranked = G.rank_universe(signals(spark, sf).select("symbol", "signal", "edge_score"), tested)
+    return rounded(ranked, "symbol", "signal", F.col("rank").cast("long").alias("rank"), **c("score"), digits=9)
 
 
 def strongest_buy(spark, sf):
@@ -203,7 +207,7 @@ ax as (select symbol, k, ret as y, lag(ret) over (partition by symbol order by k
 ay as (select symbol, count(*) as m, regr_slope(y, x) as b, regr_intercept(y, x) as a, var_pop(x) * count(*) as sxx from ax where x is not null group by symbol),
 az as (select symbol, ay.m, b, sxx, sum((ax.y - a - b * x) ** 2) as rss from ax join ay using (symbol) where x is not null group by symbol, ay.m, b, sxx),
 adf as (select symbol, b / (sqrt(rss / (m - 2)) / sqrt(sxx)) as statistic, -2.86 + 0.3 / sqrt(m) as cv5, -3.43 + 0.5 / sqrt(m) as cv1, -2.57 + 0.2 / sqrt(m) as cv10 from az)"""
-SIG = RP + "," + forecast_ctes() + "," + ADF + """,
+SIG = RP + "," + forecast_ctes() + "," + ADF_LAGS + """,
 ad as (select symbol, statistic < cv5 as stationary from adf),
 lq as (select symbol, volume as median_volume, volume >= 100000 as liquid from (select symbol, volume, row_number() over (partition by symbol order by volume) - 1 as nth, count(*) over (partition by symbol) as n from bars) where nth = n // 2),
 g0 as (select f3.*, sharpe > 0.15 and sortino > 0.15 and calmar > 0.15 and allocation > 0.005 as authorized, liquid, case when hurst > 0.58 then 'STRONG_TREND' when hurst > 0.52 then 'WEAK_TREND' when hurst < 0.42 then 'STRONG_MEAN_REVERSION' when hurst < 0.48 then 'WEAK_MEAN_REVERSION' else 'RANDOM_WALK' end as regime,
@@ -216,7 +220,7 @@ g3 as (select *, case when authorized and liquid and conviction >= 0.3 and quali
          case when not liquid then 'median volume below minimum' end, case when conviction < 0.3 then 'conviction below minimum' end, case when quality < 0.02 then 'signal quality below minimum' end], lambda x: x is not null), '; ') as reasons,
        case when direction = 'DOWN' then 0 else least(0.1, least(0.15 / (volatility * sqrt(252)), abs(edge_score) * 0.25 * conviction, 0.02 / (volatility * sqrt(252)))) end as size from g2),
 g as (select *, case when signal = 'BUY' then last_price end as entry, case when signal = 'BUY' then last_price - 1.5 * volatility * sqrt(5) * last_price end as stop, case when signal = 'BUY' then last_price + 2.5 * volatility * sqrt(5) * last_price end as target from g3)"""
-RANK = SIG + ", rk as (select symbol, signal, edge_score * 0.5 as score, rank() over (order by round(edge_score * 0.5, 9) desc) as rank from g)"
+RANK = SIG + ", {tested}, rk as (select g.symbol, signal, edge_score * coalesce(km.accuracy, 0.5) as score, rank() over (order by round(edge_score * coalesce(km.accuracy, 0.5), 9) desc) as rank from g left join km on g.symbol = km.symbol)"
 TRACK = BASE + ", early as (select symbol, ts, open, high, low, close, volume from bars qualify row_number() over (partition by symbol order by ts desc) > 20)," + forecast_ctes("early") + """,
 st as (select symbol, horizon, last_ts, last_price as anchor_price, expected_return, lower, upper, (select list_filter(range(1, 40), lambda d: isodow(last_ts + to_days(d::int)) <= 5)[horizon]) as days from f3),
 sp as (select *, last_ts + to_days(days::int) as expiry from st),
@@ -235,11 +239,8 @@ ORACLES = {
     "forecast_prices": f"with {FC} select symbol, direction, is_extreme, actionable, {sql_rounded({x: x for x in FORECAST})} from f3 where horizon = 5",
     "liquidity_gate": f"with {BARS} select symbol, volume as median_volume, volume >= 280000 as liquid from (select symbol, volume, row_number() over (partition by symbol order by volume) - 1 as nth, count(*) over (partition by symbol) as n from bars) where nth = n // 2",
     "spread_bps": f"select event_id, {sql_rounded({'spread_bps': chr(39).join(['case when event_id % 4 <> 0 then (json_extract_string(props, ', '$.k', ')::double / 1000) / value * 10000 end'])})} from events where value > 0",
-    "generate_signal": f"with {SIG} select symbol, signal, wish, reasons, {sql_rounded({x: x for x in ('conviction', 'quality', 'edge_score', 'size', 'entry', 'stop', 'target')}, 5)} from g",
-    "signal_to_order": f"with {SIG} select symbol, signal as side, floor(1e6 * size / entry)::bigint as quantity, {sql_rounded({'limit_price': 'entry', 'stop': 'stop', 'target': 'target'}, 4)} from g where signal <> 'NO_TRADE'",
-    "rank_universe": f"with {RANK} select symbol, signal, rank, {sql_rounded({'score': 'score'}, 9)} from rk",
-    "strongest_buy": f"with {RANK} select symbol, signal, rank, {sql_rounded({'score': 'score'}, 9)} from rk where signal = 'BUY' order by rk.score desc, symbol limit 1",
-    "best_blocked": f"with {RANK} select symbol, signal, rank, {sql_rounded({'score': 'score'}, 9)} from rk where signal <> 'BUY' and rk.score > 0 order by rk.score desc, symbol limit 1",
+    "generate_signal": f"with recursive {SIG} select symbol, signal, wish, reasons, {sql_rounded({x: x for x in ('conviction', 'quality', 'edge_score', 'size', 'entry', 'stop', 'target')}, 5)} from g",
+    "signal_to_order": f"with recursive {SIG} select symbol, signal as side, floor(1e6 * size / entry)::bigint as quantity, {sql_rounded({'limit_price': 'entry', 'stop': 'stop', 'target': 'target'}, 4)} from g where signal <> 'NO_TRADE'",
     "validate_model": f"""with {PRED}, y as (select symbol, count(*) as n, avg(abs(e)) as mae, avg(e * e) as mse, avg(case when actual <> 0 then abs(e / actual) else 0 end) as mape, avg((sign(predicted) = sign(actual))::int) as direction_accuracy,
         count(*) filter (predicted > 0 and actual > 0) as tp, count(*) filter (predicted > 0 and actual <= 0) as fp, count(*) filter (predicted <= 0 and actual > 0) as fn, corr(predicted, actual) as corr, avg(e) as bias, avg((e > 0)::int) as over_rate, avg((e < 0)::int) as under_rate, corr(predicted, actual) ** 2 as r2, sqrt(avg(e * e)) / (sqrt(avg(predicted ** 2)) + sqrt(avg(actual ** 2))) as theil_u from u group by 1),
         w as (select *, sqrt(mse) as rmse, tp / (tp + fp) as precision, tp / (tp + fn) as recall, 2 * tp / (2 * tp + fp + fn) as f1 from y where n >= 10) select symbol, n, {sql_rounded({x: x for x in VALID})} from w""",

@@ -15,7 +15,8 @@ from ..operators import validation as V
 from .q_data import LONG
 from .q_data import NAMES as FIVE
 from .q_market import c, quotes, QUOTES
-from .q_model import ADF, PRED, RANK, forecast_ctes, predicted, signals
+from .least_squares_sql import ADF_LAGS, AR
+from .q_model import ADF, PRED, SIG, forecast_ctes, predicted, signals
 from .testbed import BARS, RET, bars, rounded, sql_rounded, table
 
 NAMES = [*FIVE]
@@ -32,7 +33,7 @@ def adf_test_without_lags(spark, sf):
 
 
 def fit_ar(spark, sf):
-    return rounded(P.fit_ar(bars(spark, sf)), "symbol", F.col("ar_order").cast("long").alias("ar_order"), **c("intercept", "aic"), digits=9).withColumn("n_coefficients", F.col("ar_order"))
+    return rounded(P.fit_ar(bars(spark, sf)), "symbol", F.col("ar_order").cast("long").alias("ar_order"), **c("intercept", "aic")).withColumn("n_coefficients", F.col("ar_order"))
 
 
 def forecast_with_ar(spark, sf):
@@ -184,10 +185,13 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 N0 = RET + """,
-n0 as (select symbol, ret, idx - 1 as k from r where ret is not null)"""
+n0 as (select symbol, ret, idx - 1 as k, count(*) over (partition by symbol) as n from r where ret is not null)"""
 VM = """y as (select symbol, avg(abs(e)) as mae, sqrt(avg(e * e)) as rmse, avg(case when actual <> 0 then abs(e / actual) else 0 end) as mape, avg((sign(predicted) = sign(actual))::int) as acc, corr(predicted, actual) as cr,
     sqrt(avg(e * e)) / (sqrt(avg(predicted ** 2)) + sqrt(avg(actual ** 2))) as tu from u group by 1 having count(*) >= 10)"""
+P_VALUE = "case when statistic < cv1 then 0.001 when statistic < cv5 then 0.025 when statistic < cv10 then 0.075 else 0.5 end"
 ORACLES = {
+    "adf_test": f"with recursive {N0}, {ADF_LAGS} select symbol, lags, {P_VALUE} < 0.05 as stationary, {sql_rounded({'statistic': 'statistic', 'p_value': P_VALUE})} from adf",
+    "fit_ar": f"with recursive {N0}, {AR} select symbol, ar_order, ar_order as n_coefficients, {sql_rounded({'intercept': 'intercept', 'aic': 'aic'})} from fit",
     "adf_test_without_lags": f"with {N0}, {ADF} select symbol, statistic < cv5 as stationary, {sql_rounded({'statistic': 'statistic', 'p_value': 'case when statistic < cv1 then 0.001 when statistic < cv5 then 0.025 when statistic < cv10 then 0.075 else 0.5 end'})} from adf",
     "forecast_anchored": f"""with {BARS}, {forecast_ctes()}, g0 as (select *, case when symbol::bigint % 2 = 0 then last_price * 1.01 else last_price end as p, symbol::bigint % 2 = 0 as anchored from f3)
         select symbol, horizon, anchored, greatest(0, floor((epoch_us(timestamp '2002-01-02') - epoch_us(last_ts)) / 86400000000 + 0.5))::bigint as staleness_days,
@@ -207,7 +211,7 @@ ORACLES = {
     "performance_report": f"""with {PRED}, {VM} select symbol, case when acc < 0.5 or cr < 0.1 or tu > 1.2 then 'FAILING' when acc > 0.6 and cr > 0.5 and tu < 0.6 then 'EXCELLENT' when acc > 0.55 and cr > 0.3 and tu < 0.8 then 'GOOD' else 'POOR' end as rating,
         case when acc > 0.55 then 'Better than random' else 'No better than random' end as reading_direction, case when cr > 0.3 then 'Meaningful linear relationship' else 'Weak linear relationship' end as reading_corr, case when tu < 1 then 'Better than naive forecast' else 'Worse than naive forecast' end as reading_theil_u,
         array_to_string(list_filter([case when acc < 0.55 then 'Consider regime-specific models' end, case when cr < 0.3 then 'Add more predictive features' end, case when tu > 1 then 'Reduce forecast variance, increase shrinkage' end, case when mape > 0.05 then 'High percentage errors - check for outliers' end], lambda x: x is not null), '; ') as recommendations from y""",
-    "rank_predictions": f"with {RANK} select symbol, signal, rank() over (order by round(edge_score, 9) desc) as rank, {sql_rounded({'score': 'edge_score'}, 9)} from g",
+    "rank_predictions": f"with recursive {SIG} select symbol, signal, rank() over (order by round(edge_score, 9) desc) as rank, {sql_rounded({'score': 'edge_score'}, 9)} from g",
     "missing_symbols": f"with {QUOTES} select c_custkey::varchar as symbol from customer where c_custkey::varchar not in (select symbol from q)",
     "prefix_join": f"""with {BARS}, i as (select *, row_number() over (partition by symbol order by ts) - 1 as idx from bars), k as (select symbol, idx as cutoff from i where idx >= 50 and idx % 50 = 0)
         select k.symbol, k.cutoff, count(*) as rows, epoch_us(max(ts)) // 1000 as train_ms, {sql_rounded({'mean_close': 'avg(close)'})} from k join i on k.symbol = i.symbol and i.idx < k.cutoff - 5 group by 1, 2""",

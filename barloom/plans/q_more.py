@@ -72,7 +72,7 @@ ORACLES = {
         select r.symbol, {MS.replace('(ts)', '(r.ts)')}, {sql_rounded({'garch_vol': 'h.v'}, 8)} from r left join h on r.symbol = h.symbol and r.ts = h.ts""",
     "return_probabilities": f"with {Q.FC} select symbol, horizon, {sql_rounded({x: x for x in ('p_positive', 'p_gain', 'p_loss')})} from f3",
     "forecast_confidence": f"with {Q.FC} select symbol, horizon, {sql_rounded({'confidence': 'confidence'})} from f3",
-    "conviction_score": f"with {Q.SIG} select symbol, {sql_rounded({'conviction': 'conviction'})} from g",
-    "signal_quality": f"with {Q.SIG} select symbol, {sql_rounded({'quality': 'quality'})} from g",
-    "entry_exit": f"with {Q.SIG} select symbol, {sql_rounded({x: x for x in ('entry', 'stop', 'target')}, 5)} from g",
+    "conviction_score": f"with recursive {Q.SIG} select symbol, {sql_rounded({'conviction': 'conviction'})} from g",
+    "signal_quality": f"with recursive {Q.SIG} select symbol, {sql_rounded({'quality': 'quality'})} from g",
+    "entry_exit": f"with recursive {Q.SIG} select symbol, {sql_rounded({x: x for x in ('entry', 'stop', 'target')}, 5)} from g",
 }

@@ -14,7 +14,7 @@ walked(symbol, idx, acc, rejected) as (
     select symbol, idx, [close], false from pv where idx = 0
     union all
     select symbol, idx, case when bad then acc else list_append(acc, close)[-5:] end, bad
-    from (select v.symbol, v.idx, v.close, w.acc, len(w.acc) >= 2 and list_stddev_pop(w.acc) > 0 and abs(v.close - list_avg(w.acc)) > 3 * list_stddev_pop(w.acc) and coalesce(v.volume / nullif(v.base, 0), 'infinity'::double) < 2 as bad
+    from (select v.symbol, v.idx, v.close, w.acc, len(w.acc) >= 2 and list_stddev_pop(w.acc) > 0 and abs(v.close - list_avg(w.acc)) > 3 * list_stddev_pop(w.acc) and coalesce(round(v.volume / nullif(v.base, 0), 9), 'infinity'::double) < 2 as bad
           from walked w join pv v on v.symbol = w.symbol and v.idx = w.idx + 1)),
 flagged as (select pv.*, rejected from pv join walked using (symbol, idx))"""
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .q_market import P
-from .q_model import forecast_ctes
+from .q_model import RANK, forecast_ctes
 from .testbed import BARS, sql_rounded
 
 
@@ -51,6 +51,13 @@ ORACLES = {
     "equity_drawdown": f"with {TRADES}{DOWN} select symbol, duration, {sql_rounded({'max_drawdown': 'max_drawdown'})} from dd",
     "backtest_metrics": f"with {METRICS} select symbol, observations, trades, {sql_rounded(_NAMES)} from km",
 }
+#: The back-test's own CTEs beside those of the signals: a query inside the query keeps their names apart.
+_RANKED = "with recursive " + RANK.replace("{tested}", f"km as materialized (select symbol, accuracy from (with {METRICS} select * from km))")
+ORACLES |= {
+    "rank_universe": f"{_RANKED} select symbol, signal, rank, {sql_rounded({'score': 'score'}, 9)} from rk",
+    "strongest_buy": f"{_RANKED} select symbol, signal, rank, {sql_rounded({'score': 'score'}, 9)} from rk where signal = 'BUY' order by rk.score desc, symbol limit 1",
+    "best_blocked": f"{_RANKED} select symbol, signal, rank, {sql_rounded({'score': 'score'}, 9)} from rk where signal <> 'BUY' and rk.score > 0 order by rk.score desc, symbol limit 1",
+}
 _WHY = ["when annual <= 0 then 'no annualized return'", "when s <= 0.5 then 'Sharpe below 0.5'", "when max_drawdown >= 0.25 then 'drawdown exceeds 25%'", "when win_rate < 0.45 and trades > 5 then 'win rate below 45%'", "when profit_factor < 1 and trades > 0 then 'profit factor below 1'", "when max_drawdown < 0.1 then 'drawdown contained below 10%'", "when trades < 10 then 'insufficient sample of trades'"]
 ORACLES |= {
     "backtest_verdict": f"with {METRICS} select symbol, verdict, array_to_string(list_filter([{', '.join(f'case {w} end' for w in _WHY)}], lambda x: x is not null), '; ') as reasons from km",
