@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-KEYS = ["risk_profile", "macd", "adx_14", "reconcile_streams", "apply_corporate_actions", "hurst_dfa", "forecast_multi_horizon", "generate_signal", "resolve_outcomes", "ks_two_sample", "scalar_functions", "adf_test_without_lags", "linear_model", "model_drift", "performance_report", "catalyst_events", "prediction_stats", "forecast_anchored", "prefix_join", "missing_symbols", "rank_predictions", "validate_model", "store_predictions"]
+KEYS = ["risk_profile", "macd", "adx_14", "reconcile_streams", "apply_corporate_actions", "hurst_dfa", "forecast_multi_horizon", "generate_signal", "resolve_outcomes", "ks_two_sample", "scalar_functions", "adf_test_without_lags", "linear_model", "model_drift", "performance_report", "catalyst_events", "prediction_stats", "forecast_anchored", "prefix_join", "missing_symbols", "rank_predictions", "validate_model", "store_predictions", "adf_test", "fit_ar", "filter_bad_prints", "prepare_verified_matrix", "kalman_track", "rolling_hurst_100", "garch_vol", "ewma_vol_20", "ema_w", "walk_forward_forecasts", "backtest_metrics", "backtest_verdict", "backtest_validation", "covariance_pairs_universe", "portfolio_risk_universe", "rank_universe", "stream_bad_prints", "stream_resolve"]
 
 
 def rows(df):
