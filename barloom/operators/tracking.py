@@ -34,7 +34,7 @@ def resolve_outcomes(predictions: DataFrame, bars: DataFrame, as_of: Column | No
 
 def statistics(outcomes: DataFrame, sets: str) -> DataFrame:
     """Counts and accuracy by grouping sets, e.g. ``((symbol), (symbol, horizon))``; ``level`` tells the sets apart."""
-    name = "outcomes_" + str(abs(hash(sets)))
+    name = "outcomes_by_sets"
     return outcomes.sparkSession.sql(
         f"""select symbol, horizon, cast(grouping_id(symbol, horizon) as bigint) as level, count(*) as total, count_if(status = 'RESOLVED') as resolved, count_if(status = 'EXPIRED_NO_DATA') as expired,
             avg(cast(direction_correct as int)) as direction_accuracy, avg(cast(in_interval as int)) as coverage, avg(absolute_error) as mae, sqrt(avg(absolute_error * absolute_error)) as rmse

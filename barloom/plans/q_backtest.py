@@ -36,7 +36,7 @@ def backtest_verdict(spark, sf):
 
 
 def bootstrap_returns(spark, sf):
-    return rounded(B.bootstrap_returns(trades(spark, sf), simulations=200), "symbol", **c("p5", "p25", "p50", "p75", "p95", "p_positive", "worst", "best"))
+    return rounded(B.bootstrap_returns(trades(spark, sf)), "symbol", **c("p5", "p25", "p50", "p75", "p95", "p_positive", "worst", "best"))
 
 
 QUERIES = {f.__name__: f for f in (walk_forward_forecasts, simulate_trades, equity_drawdown, backtest_metrics, backtest_verdict, bootstrap_returns)}

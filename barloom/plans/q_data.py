@@ -99,8 +99,13 @@ def top_features(spark, sf):
 
 
 def ml_dataset(spark, sf):
-    d = L.ml_dataset(bars(spark, sf), ["ret", "rsi_14", "hl_spread"], lookback=20)
-    return rounded(d, "symbol", ms(), F.size("features").cast("long").alias("width"), **c("y"))
+    """A hundred bars of three features before each bar (their sum, the oldest and the newest value), and the three targets after it."""
+    b = bars(spark, sf)
+    d = L.ml_dataset(b, ["ret", "rsi_14", "hl_spread"])
+    for kind in ("direction", "volatility"):
+        d = d.join(L.targets(b, kind=kind).select("symbol", "ts", F.col("y").alias(kind)), ["symbol", "ts"])
+    x = F.col("features")
+    return rounded(d, "symbol", ms(), F.size(x).cast("long").alias("width"), total=F.aggregate(x, F.lit(0.0), lambda s, v: s + v), oldest=F.element_at(x, 1), newest=F.element_at(x, -1), **c("y", "direction", "volatility"))
 
 
 QUERIES = {f.__name__: f for f in (parse_history_pages, parse_quote_pages, normalize_vendor_json, normalize_chart_json, write_audit, catalyst_events, normalize_standard, normalize_robust, select_f_regression, select_mutual_info, top_features, ml_dataset)}
@@ -125,5 +130,8 @@ ORACLES = {
     "select_mutual_info": f"""with {LONG}, b as (select symbol, name, least(9, floor((x - min(x) over w) / (max(x) over w - min(x) over w) * 10)) as bx, least(9, floor((y - min(y) over w) / (max(y) over w - min(y) over w) * 10)) as byy from lo window w as (partition by symbol, name)),
         n as (select symbol, name, bx, byy, count(*) as n from b group by all), m as (select *, sum(n) over (partition by symbol, name) as t, sum(n) over (partition by symbol, name, bx) as nx, sum(n) over (partition by symbol, name, byy) as ny from n)
         select symbol, name, {sql_rounded({'score': 'sum(n / t * ln(n * t / (nx * ny)))'})} from m group by 1, 2""",
-    "ml_dataset": f"with {LONG}, z as (select symbol, ts, idx, y from y0 where y is not null and idx >= 21) select symbol, {MS}, 60::bigint as width, {sql_rounded({'y': 'y'})} from z",
+    "ml_dataset": f"""with {PARTS}, z0 as (select symbol, ts, idx, ret, coalesce(rsi, 0) as rsi, (high - low) / close as hl, count(*) over (partition by symbol) as bars_, count(ret) over w as n, sum(ret) over w as y, stddev_samp(ret) over w as vol from p where idx >= 1
+            window w as (partition by symbol order by ts rows between 1 following and 5 following)),
+        z as (select *, sum(ret + rsi + hl) over (partition by symbol order by ts rows between 100 preceding and 1 preceding) as total, lag(ret, 100) over (partition by symbol order by ts) as oldest, lag(hl, 1) over (partition by symbol order by ts) as newest from z0)
+        select symbol, {MS}, 300::bigint as width, {sql_rounded({'total': 'total', 'oldest': 'oldest', 'newest': 'newest', 'y': 'y', 'direction': '(y > 0)::int', 'volatility': 'vol'})} from z where idx >= 101 and n = 5 and bars_ >= 109""",
 }
