@@ -84,6 +84,7 @@ def model_drift(df: DataFrame, window: int = 50, psi_limit: float = 0.2, ks_limi
     x = d.select("symbol", "part", c("predicted").alias("x"))
     a = a.join(psi(x), "symbol").join(ks_two_sample(x).select("symbol", c("d").alias("ks"), "p_value"), "symbol")
     a = a.withColumn("mae_ratio", F.when(c("ref_mae") > 0, c("cur_mae") / c("ref_mae")).otherwise(1.0)).withColumn("direction_ratio", c("cur_right") / F.greatest(F.lit(0.001), c("ref_right")))
+    # fixed values: the texts of the alerts
     over = {"PSI exceeds threshold": c("psi") > psi_limit, "KS test p-value below threshold": c("p_value") < ks_limit, "MAE ratio exceeds threshold": c("mae_ratio") > mae_limit}
     a = a.withColumn("alerts", F.filter(F.array(*[F.when(hit, text) for text, hit in over.items()]), lambda x: x.isNotNull()))
     return a.withColumn("drift", F.size("alerts") > 0)
@@ -93,6 +94,7 @@ def performance_report(validation: DataFrame) -> DataFrame:
     """Adds rating, three readings and recommendations to rows of ``validate_model``; the later rule of two that hold decides."""
     acc, corr, u = F.col("direction_accuracy"), F.col("corr"), F.col("theil_u")
     rating = F.when((acc < 0.5) | (corr < 0.1) | (u > 1.2), "FAILING").when((acc > 0.6) & (corr > 0.5) & (u < 0.6), "EXCELLENT").when((acc > 0.55) & (corr > 0.3) & (u < 0.8), "GOOD").otherwise("POOR")
+    # fixed values: ratings, readings and the texts of the advice
     advice = [F.when(acc < 0.55, "Consider regime-specific models"), F.when(corr < 0.3, "Add more predictive features"), F.when(u > 1, "Reduce forecast variance, increase shrinkage"), F.when(F.col("mape") > 0.05, "High percentage errors - check for outliers")]
     return validation.withColumns({
         "rating": rating,
