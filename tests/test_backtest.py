@@ -49,3 +49,24 @@ def test_bootstrap_is_finite_and_repeats(spark, rising):
     a, b = (B.bootstrap_returns(t, 100).first() for _ in range(2))
     np.testing.assert_allclose(a[1:], b[1:], rtol=1e-12)
     assert math.isfinite(a.p50) and a.worst <= a.p5 <= a.p50 <= a.p95 <= a.best and 0 <= a.p_positive <= 1
+
+
+@pytest.mark.parametrize("horizon", [1, 5, 70])
+def test_forecasts_of_all_windows_at_once_are_those_of_each_window(horizon):
+    g = np.random.default_rng(1)
+    for n, still in ((40, 0), (62, 0), (113, 20), (533, 80), (2000, 300)):
+        r = 0.01 * g.normal(size=n)
+        r[n // 3 : n // 3 + still] = 0
+        close = 100 * np.exp(np.cumsum(r))
+        ends = np.arange(45, n, 5)
+        got, want = B.prefix_forecasts(close, ends, horizon), [B.prefix_forecast(close[:e], horizon) for e in ends]
+        for k, v in got.items():
+            assert len(v) == len(ends)
+            np.testing.assert_allclose(v.astype(float), [float(f[k]) for f in want], rtol=1e-8, atol=1e-12)
+
+
+def test_a_forecast_of_ones_own_is_asked_for_each_window(spark, rising):
+    own = lambda close, horizon: B.prefix_forecast(close, horizon)
+    a, b = (B.walk_forward(rising, f, minimum=80).orderBy("cutoff").toPandas() for f in (own, B.prefix_forecast))
+    assert len(a) == len(b) > 10 and (a[["cutoff", "train_end", "target_ts"]] == b[["cutoff", "train_end", "target_ts"]]).all().all()
+    np.testing.assert_allclose(a["forecast_return"], b["forecast_return"], rtol=1e-8)
