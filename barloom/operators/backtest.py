@@ -210,15 +210,18 @@ def backtest_metrics(trades: DataFrame, capital: float = 1e6, horizon: int = 5)
 
 
 def bootstrap_returns(trades: DataFrame, simulations: int = 1000, fraction: float = 0.05, seed: int = 1, minimum: int = 10) -> DataFrame:
-    """Percentiles of the compounded return of resampled trades, per symbol with ``minimum`` trades. Draws are hashes, so they don't depend on the partitioning."""
-    w = Window.partitionBy("symbol")
-    t = trades.where(F.col("signal").isin("BUY", "SELL")).withColumn("i", F.row_number().over(w.orderBy("cutoff")) - 1).withColumn("n", F.count("*").over(w)).where(F.col("n") >= minimum)
-    draws = t.groupBy("symbol").agg(F.max("n").alias("n")).withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(simulations)))).withColumn("draw", F.explode(F.expr("sequence(1, int(n))")))
-    draws = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "symbol", "sim", "draw"), F.col("n")))
-    sims = draws.join(t.select("symbol", "i", "trade_return"), ["symbol", "i"]).groupBy("symbol", "sim").agg((F.exp(F.sum(F.log1p(fraction * F.col("trade_return")))) - 1).alias("r"))
-    sims = sims.withColumn("nth", F.row_number().over(w.orderBy("r", "sim")) - 1)
-    pick = lambda q: F.max(F.when(F.col("nth") == int(simulations * q), F.col("r")))
-    return sims.groupBy("symbol").agg(*[pick(q / 100).alias(f"p{q}") for q in (5, 25, 50, 75, 95)], F.avg((F.col("r") > 0).cast("double")).alias("p_positive"), F.min("r").alias("worst"), F.max("r").alias("best"))
+    """Percentiles of the compounded return of resampled trades, per symbol with ``minimum`` trades. Draws are hashes, so they don't depend on the partitioning.
+
+    A symbol's trades are one row of logarithms in order of the cutoffs; a simulation adds up the drawn ones in that row,
+    so draws are never rows and only trades are shuffled.
+    """
+    of = F.sort_array(F.collect_list(F.struct("cutoff", F.log1p(fraction * F.col("trade_return")).alias("x"))))
+    t = trades.where(F.col("signal").isin("BUY", "SELL")).groupBy("symbol").agg(F.count("*").alias("n"), of["x"].alias("x")).where(F.col("n") >= minimum)
+    drawn = lambda sim: F.aggregate(F.expr("sequence(1, int(n))"), F.lit(0.0), lambda s, draw: s + F.get("x", F.pmod(F.xxhash64(F.lit(seed), "symbol", sim, draw), F.col("n")).cast("int")))
+    t = t.withColumn("r", F.sort_array(F.transform(F.sequence(F.lit(1), F.lit(simulations)), lambda sim: F.exp(drawn(sim)) - 1)))
+    pick = lambda i: F.element_at("r", i)
+    gains = F.size(F.filter("r", lambda r: r > 0)) / simulations
+    return t.select("symbol", *[pick(int(simulations * (q / 100)) + 1).alias(f"p{q}") for q in (5, 25, 50, 75, 95)], gains.alias("p_positive"), pick(1).alias("worst"), pick(-1).alias("best"))
 
 
 KEY = "\x1f"  # between a symbol and the name of one of its runs

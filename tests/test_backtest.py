@@ -70,3 +70,16 @@ def test_a_forecast_of_ones_own_is_asked_for_each_window(spark, rising):
     a, b = (B.walk_forward(rising, f, minimum=80).orderBy("cutoff").toPandas() for f in (own, B.prefix_forecast))
     assert len(a) == len(b) > 10 and (a[["cutoff", "train_end", "target_ts"]] == b[["cutoff", "train_end", "target_ts"]]).all().all()
     np.testing.assert_allclose(a["forecast_return"], b["forecast_return"], rtol=1e-8)
+
+
+def test_bootstrap_draws_are_hashes_into_the_trades_in_order(spark):
+    trades = [("A", 7 * i % 60, "BUY" if i % 4 else "NO_TRADE", 0.01 * math.sin(i) if i % 4 else 0.0) for i in range(40)] + [("few", i, "BUY", 0.1) for i in range(9)]
+    t = spark.createDataFrame(trades, "symbol string, cutoff long, signal string, trade_return double")
+    got = B.bootstrap_returns(t.repartition(3), 40)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan  # draws are not rows
+    mine = [x[3] for x in sorted(trades) if x[0] == "A" and x[2] == "BUY"]
+    draws = spark.range(1).selectExpr("explode(sequence(1, 40)) as sim").selectExpr("sim", f"explode(sequence(1, {len(mine)})) as draw").selectExpr("sim", f"pmod(xxhash64(1, 'A', sim, draw), {len(mine)}L) as i").collect()
+    r = sorted(math.expm1(sum(math.log1p(0.05 * mine[d.i]) for d in draws if d.sim == k)) for k in range(1, 41))
+    (row,) = got.collect()
+    np.testing.assert_allclose([row.p5, row.p25, row.p50, row.p75, row.p95, row.worst, row.best, row.p_positive], [r[2], r[10], r[20], r[30], r[38], r[0], r[-1], sum(x > 0 for x in r) / 40], atol=1e-12)
