@@ -195,3 +195,15 @@ def test_predictions_stay_pending_until_they_expire(spark):
     b = spark.sql("select 'a' as symbol, timestamp '2024-01-11' as ts, 110.0D as close union all select 'a', timestamp '2024-04-01', 200.0D")
     got = sorted((str(x.expiry.date()), x.status) for x in R.resolve_outcomes(p, b, F.lit("2024-03-15").cast("timestamp")).collect())
     assert got == [("2024-01-10", "RESOLVED"), ("2024-03-01", "EXPIRED_NO_DATA"), ("2030-01-01", "PENDING")]
+
+
+def test_long_rows_of_the_dataset_are_not_shuffled(spark, bars):
+    d = L.ml_dataset(bars, ["ret", "hl_spread"], lookback=20, kind=("return", "direction"))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    rows = d.orderBy("ts").collect()
+    assert len(rows) == len(CLOSE) - 21 - 5  # the first bar has no return; 20 rows before, five returns after
+    first = rows[0]
+    np.testing.assert_allclose(first.features[::2], RET[:20], rtol=1e-9)
+    assert abs(first["return"] - RET[21:26].sum()) < 1e-9 and first.direction == float(RET[21:26].sum() > 0)
+    assert d.count() == L.ml_dataset(bars, ["ret", "hl_spread"], lookback=20).where("y is not null").count()
