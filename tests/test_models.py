@@ -207,3 +207,25 @@ def test_long_rows_of_the_dataset_are_not_shuffled(spark, bars):
     np.testing.assert_allclose(first.features[::2], RET[:20], rtol=1e-9)
     assert abs(first["return"] - RET[21:26].sum()) < 1e-9 and first.direction == float(RET[21:26].sum() > 0)
     assert d.count() == L.ml_dataset(bars, ["ret", "hl_spread"], lookback=20).where("y is not null").count()
+
+
+def test_counts_kept_over_growing_rows_give_the_mutual_information_of_each():
+    g = np.random.default_rng(5)
+    x = np.cumsum(g.normal(size=(200, 6)), 0)  # ranges move
+    x[:, 4], x[:, 5] = 2.0, np.round(x[:, 5])
+    y = g.normal(size=200)
+    grids = L.Grids(x, y)
+    for n in (30, 35, 35, 90, 95, 200):
+        np.testing.assert_allclose(grids.scores(n), L.mutual_info(x[:n], y[:n]), atol=1e-10)
+
+
+def test_models_by_kept_counts_are_those_of_whole_pipelines(spark, bars):
+    f = L.ml_frame(bars, ["ret", "rsi_14"], lookback=20)
+    rows = f.orderBy("idx").toPandas()
+    got = L.walk_forward_ml(f, block=3).orderBy("cutoff").toPandas()
+    series, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(float)
+    x = np.lib.stride_tricks.sliding_window_view(series, 20, axis=0).transpose(0, 2, 1).reshape(len(series) - 19, -1)
+    assert len(got) > 20
+    for r in got.itertuples():
+        t = r.cutoff - 5
+        assert abs(L.Pipeline(x[: t - 20], y[20:t]).predict(x[r.cutoff - 20][None])[0] - r.predicted_return) < 1e-9
