@@ -14,17 +14,24 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+def once(df: DataFrame, **values: Column) -> DataFrame:
+    """Adds columns that are computed once a row: a plain column is put into every expression that reads it, and a regular expression run again in each."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))
+
+
 def html_rows(pages: DataFrame) -> DataFrame:
     """Each table row of ``html`` with its position and its cells."""
-    rows = pages.select(*[c for c in pages.columns if c != "html"], F.posexplode(F.regexp_extract_all("html", F.lit(ROW), F.lit(1))).alias("at", "row"))
-    return rows.withColumn("cells", F.regexp_extract_all("row", F.lit(CELL), F.lit(1)))
+    found = once(pages, rows=F.regexp_extract_all("html", F.lit(ROW), F.lit(1))).drop("html")
+    rows = found.select(*[c for c in found.columns if c != "rows"], F.posexplode("rows").alias("at", "row"))
+    return once(rows, cells=F.regexp_extract_all("row", F.lit(CELL), F.lit(1)))
 
 
 def parse_history_pages(pages: DataFrame) -> DataFrame:
     """Bars of history tables (symbol, html): epoch seconds in ``data-order`` of the first cell, then open, high, low, close, volume. Rows with any bad cell go."""
-    r = html_rows(pages.select("symbol", "html")).withColumn("sec", F.regexp_extract("row", r'data-order="(\d+)"', 1).try_cast("long"))
     names = ("open", "high", "low", "close", "volume")
-    r = r.select("symbol", F.timestamp_seconds("sec").alias("ts"), *[number_from_cell(F.get("cells", F.lit(i + 1))).alias(n) for i, n in enumerate(names)])
+    sec = F.regexp_extract("row", r'data-order="(\d+)"', 1).try_cast("long")
+    r = once(html_rows(pages.select("symbol", "html")), sec=sec, **{n: number_from_cell(F.get("cells", F.lit(i + 1))) for i, n in enumerate(names)})
+    r = r.select("symbol", F.timestamp_seconds("sec").alias("ts"), *names)
     ok = F.col("ts").isNotNull()
     for n in names:
         ok = ok & finite(F.col(n))
@@ -33,7 +40,8 @@ def parse_history_pages(pages: DataFrame) -> DataFrame:
 
 def parse_quote_pages(pages: DataFrame) -> DataFrame:
     """Quotes of market tables (page_id, html): symbol, close, volume; the first row of a symbol on a page wins."""
-    r = html_rows(pages.select("page_id", "html")).withColumn("symbol", normalize_symbol(F.get("cells", F.lit(0)))).withColumn("close", number_from_cell(F.get("cells", F.lit(1)))).withColumn("volume", number_from_cell(F.get("cells", F.lit(2))))
+    cell = lambda i: F.get("cells", F.lit(i))
+    r = once(html_rows(pages.select("page_id", "html")), symbol=normalize_symbol(cell(0)), close=number_from_cell(cell(1)), volume=number_from_cell(cell(2)))
     r = r.where(valid_symbol(F.col("symbol")) & finite(F.col("close")) & finite(F.col("volume")))
     return r.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "symbol").orderBy("at"))).where("nth = 1").select("page_id", "symbol", "close", "volume")
 
