@@ -1,5 +1,8 @@
 """Work that a query does once: what is derived is not derived again for each reader."""
 
+from test_market import frame
+
+from barloom.operators import backtest as B
 from barloom.sources import pages as P
 
 
@@ -12,3 +15,9 @@ def test_a_page_and_its_rows_are_searched_once(spark):
     d = P.parse_history_pages(spark.createDataFrame([("A", html), ("B", None)], "symbol string, html string"))
     assert plan(d).count("regexp_extract_all") == 2
     assert [(r.symbol, r.ts.day, r.open, r.high, r.volume) for r in d.collect()] == [("A", 2, 1.0, 1200.0, 5.0)]
+
+
+def test_metrics_run_the_forecasts_once(spark):
+    b = frame(spark, [100.0 + i + i * 37 % 11 for i in range(90)])
+    m = B.backtest_metrics(B.simulate_trades(B.walk_forward(b), edge=0.0))
+    assert plan(m).count("FlatMapGroupsInPandas") == 1
