@@ -3,6 +3,7 @@
 from test_market import frame
 
 from barloom.operators import backtest as B
+from barloom.plans.testbed import bars
 from barloom.sources import pages as P
 
 
@@ -21,3 +22,8 @@ def test_metrics_run_the_forecasts_once(spark):
     b = frame(spark, [100.0 + i + i * 37 % 11 for i in range(90)])
     m = B.backtest_metrics(B.simulate_trades(B.walk_forward(b), edge=0.0))
     assert plan(m).count("FlatMapGroupsInPandas") == 1
+
+
+def test_bars_are_dealt_once(spark):
+    d = bars(spark, "/root/testdata/sf0.001")
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
