@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import by_time
-from ..operators.series import shared_dir
+from ..operators.series import kept, shared_dir
 from ..streaming import jobs as J
 from . import q_model as Q
 from . import recursive_sql as R
@@ -17,7 +17,10 @@ from .testbed import BARS, MS, bars, ms, rounded, sql_rounded
 
 #: After all of the tables' times, so that the watermark passes every row.
 END = "2030-01-01"
-FILES = 4
+#: Rows of a file at least, so that a batch is as many files as a trigger takes and none of them is empty.
+FILE_ROWS = 1_000
+#: Batches of a stream before the one that ends it.
+BATCHES = 3
 
 
 def streamed(job, *inputs: DataFrame, time: str = "ts", late: int = 0) -> DataFrame:
@@ -29,15 +32,18 @@ def streamed(job, *inputs: DataFrame, time: str = "ts", late: int = 0) -> DataFr
     at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     streams = []
     for k, df in enumerate(inputs):
+        df = kept(df)  # a table is derived once, not again for its range and every batch
         low, high = df.agg(F.min(time), F.max(time)).first()
         came = F.col(time) + F.when(F.pmod(F.xxhash64(time), F.lit(3)) == 0, F.expr(f"interval {late} days")).otherwise(F.expr("interval 0 days"))
-        n = F.least(F.lit(2), F.floor(3 * (F.unix_micros(came) - F.unix_micros(F.lit(low))) / (F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)) + 1)))
+        n = F.least(F.lit(BATCHES - 1), F.floor(BATCHES * (F.unix_micros(came) - F.unix_micros(F.lit(low))) / (F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)) + 1)))
         end = df.limit(1).withColumns({x: F.lit(END).cast("timestamp") for x, kind in df.dtypes if kind == "timestamp"}).withColumn("symbol", F.lit("END"))
         df = df.withColumn("batch", n)
-        for b in range(3):
-            df.where(F.col("batch") == b).drop("batch").repartition(FILES).write.mode("append").parquet(f"{at}/in{k}")
-        end.select(*inputs[k].columns).repartition(FILES, F.rand()).write.mode("append").parquet(f"{at}/in{k}")
-        streams.append(spark.readStream.schema(inputs[k].schema).option("maxFilesPerTrigger", FILES).parquet(f"{at}/in{k}"))
+        rows = {r.batch: r.rows for r in df.groupBy("batch").agg(F.count("*").alias("rows")).collect()}  # a row for each batch
+        files = max(1, min(spark.sparkContext.defaultParallelism, min(rows.values(), default=0) // FILE_ROWS))
+        for b in sorted(rows):
+            df.where(F.col("batch") == b).drop("batch").repartition(files).write.mode("append").parquet(f"{at}/in{k}")
+        end.select(*inputs[k].columns).coalesce(1).write.mode("append").parquet(f"{at}/in{k}")
+        streams.append(spark.readStream.schema(inputs[k].schema).option("maxFilesPerTrigger", files).parquet(f"{at}/in{k}"))
     out = job(*streams)
     run = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -45,9 +45,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class Track(StatefulProcessor):
     """A step over each symbol's bars in order of event time, whatever the order in which they come.
 
-    State on the RocksDB store: ``waiting``, bars that the watermark has not passed, by time and arrival; ``seen``, how many
-    have come; ``now``, what the step keeps. A timer at the first waiting bar takes all that the watermark has passed
-    through the step; what is later than the watermark allows is dropped by Spark before it gets here.
+    State on the RocksDB store: ``waiting``, the bars that the watermark has not passed, as one value of arrays in the
+    order in which they came, so that a batch reads and writes it once however many bars it has (each access goes from
+    Python to the JVM and back); ``now``, what the step keeps. A timer at the first waiting bar takes all that the
+    watermark has passed through the step; what is later than the watermark allows is dropped by Spark before it gets here.
     """
 
     def __init__(self, step: Callable, columns: list[str]):
@@ -55,39 +56,47 @@ class Track(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ts long, nth long", "close double, volume double")
-        self.seen = handle.getValueState("seen", "n long")
+        self.waiting = handle.getValueState("waiting", "ts array<long>, close array<double>, volume array<double>")
         self.now = handle.getValueState("now", "numbers array<double>")
 
     def frame(self, rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=["symbol", "ts", "close", "volume", *self.columns])
         return out.astype({"symbol": "object"}).assign(ts=pd.to_datetime(out["ts"], unit="us"))
 
+    def held(self) -> list[list]:
+        got = self.waiting.get() if self.waiting.exists() else None
+        return [list(x) for x in got] if got else [[], [], []]
+
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-        n = self.seen.get()[0] if self.seen.exists() else 0
-        first = None
+        bars, first = self.held(), None
         for pdf in rows:
-            for at, c, v in zip(pdf["ts"].astype("datetime64[us]").astype("int64").tolist(), pdf["close"].tolist(), pdf["volume"].tolist(), strict=True):
-                self.waiting.updateValue((at, n), (c, v))
-                n, first = n + 1, at if first is None else min(first, at)
-        self.seen.update((n,))
+            came = pdf["ts"].astype("datetime64[us]").astype("int64").tolist(), pdf["close"].tolist(), pdf["volume"].tolist()
+            for have, new in zip(bars, came, strict=True):
+                have += new
+            first = min([*came[0], *([] if first is None else [first])], default=None)
         if first is not None:
+            self.waiting.update(tuple(bars))
             self.handle.registerTimer(-(-first // 1000))
         yield self.frame([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        bars = sorted((*k, *v) for k, v in self.waiting.iterator())
-        state, out = list(self.now.get()[0]) if self.now.exists() else None, []
-        for at, nth, close, volume in bars:
-            if at > passed:
-                self.handle.registerTimer(-(-at // 1000))
-                break
-            state, made = self.step(state, close, volume)
-            out.append((key[0], at, close, volume, *made))
-            self.waiting.removeKey((at, nth))
+        ts, closes, volumes = self.held()
+        order = sorted(range(len(ts)), key=ts.__getitem__)  # stable: of one time, in order of arrival
+        n = sum(at <= passed for at in ts)
+        state, out = list(self.now.get()[0]) if n and self.now.exists() else None, []
+        for i in order[:n]:
+            state, made = self.step(state, closes[i], volumes[i])
+            out.append((key[0], ts[i], closes[i], volumes[i], *made))
         if out:
             self.now.update((state,))
+            left = order[n:]
+            if left:
+                self.waiting.update(tuple([x[i] for i in left] for x in (ts, closes, volumes)))
+            else:
+                self.waiting.clear()
+        if n < len(order):
+            self.handle.registerTimer(-(-ts[order[n]] // 1000))
         yield self.frame(out)
 
     def close(self) -> None:

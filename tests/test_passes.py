@@ -5,6 +5,7 @@ from test_market import frame
 from barloom.operators import backtest as B
 from barloom.plans.testbed import bars
 from barloom.sources import pages as P
+from barloom.streaming.jobs import Track
 
 
 def plan(df):
@@ -27,3 +28,49 @@ def test_metrics_run_the_forecasts_once(spark):
 def test_bars_are_dealt_once(spark):
     d = bars(spark, "/root/testdata/sf0.001")
     assert d._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+class Value:
+    def __init__(self):
+        self.v, self.calls = None, 0
+
+    def exists(self):
+        self.calls += 1
+        return self.v is not None
+
+    def get(self):
+        self.calls += 1
+        return self.v
+
+    def update(self, v):
+        self.calls += 1
+        self.v = v
+
+    def clear(self):
+        self.v = None
+
+
+def test_a_batch_of_a_stream_touches_its_state_a_few_times():
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.states = {}
+
+        def getValueState(self, name, _):  # noqa: N802
+            return self.states.setdefault(name, Value())
+
+        def registerTimer(self, _):  # noqa: N802
+            pass
+
+    class Times:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 50 * 86_400_000
+
+    h, t = Handle(), Track(lambda s, c, v: ([c + (s[0] if s else 0)], (c,)), ["made"])
+    t.init(h)
+    ts = pd.to_datetime([d * 86_400_000_000 for d in reversed(range(100))], unit="us")
+    list(t.handleInputRows(("A",), iter([pd.DataFrame({"ts": ts, "close": range(100), "volume": 1.0})]), None))
+    (out,) = t.handleExpiredTimer(("A",), Times(), None)
+    assert out["close"].tolist() == list(range(99, 48, -1)) and len(h.states["waiting"].v[0]) == 49
+    assert sum(s.calls for s in h.states.values()) < 12
