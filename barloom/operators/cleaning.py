@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from .series import BUCKET_DAYS, rows_of, speculative
+from .series import BUCKET_DAYS, speculative
 
 
 def by_time():
@@ -116,8 +116,8 @@ def bad_print_step(window: int = 5, volume_window: int = 20, sigma: float = 3.0)
 
 def flag_bad_prints(bars: DataFrame, window: int = 5, volume_window: int = 20, sigma: float = 3.0, bucket_days: float = BUCKET_DAYS) -> DataFrame:
     """``bars`` (symbol, ts, close, volume) with ``rejected``. Whether a bar is depends on which bars before it were: chunks of a series run speculatively (see ``series``)."""
-    chunks = speculative(bars, bad_print_step(window, volume_window, sigma), "rejected boolean", 3 * volume_window, bucket_days)
-    return rows_of(chunks, "close", "volume", "rejected")
+    rows = speculative(bars, bad_print_step(window, volume_window, sigma), "rejected boolean", 3 * volume_window, bucket_days)
+    return rows.select("symbol", "ts", "close", "volume", "rejected")
 
 
 def clean_history(bars: DataFrame) -> DataFrame:

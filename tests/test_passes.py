@@ -74,3 +74,11 @@ def test_a_batch_of_a_stream_touches_its_state_a_few_times():
     (out,) = t.handleExpiredTimer(("A",), Times(), None)
     assert out["close"].tolist() == list(range(99, 48, -1)) and len(h.states["waiting"].v[0]) == 49
     assert sum(s.calls for s in h.states.values()) < 12
+
+
+def test_chunks_come_as_bars_not_as_arrays_of_them(spark):
+    from barloom.operators.cleaning import bad_print_step
+    from barloom.operators.series import speculative
+
+    d = speculative(frame(spark, [100.0 + i for i in range(30)]), bad_print_step(), "rejected boolean", 60)
+    assert dict(d.dtypes)["ts"] == "timestamp" and dict(d.dtypes)["rejected"] == "boolean" and d.count() == 30
