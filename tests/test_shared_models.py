@@ -47,3 +47,24 @@ def test_tasks_of_bars_grow_with_the_lines(spark, monkeypatch):
     d = testbed.bars(spark, "/root/testdata/sf0.001")
     lines = testbed.table(spark, "/root/testdata/sf0.001", "lineitem").count()
     assert d.rdd.getNumPartitions() == lines // 500 + 1 > 10
+
+
+def test_moments_of_returns_are_arithmetic_on_a_row(spark):
+    from test_market import frame
+
+    from barloom.operators import features as X
+
+    g = np.random.default_rng(7)
+    ret = np.concatenate([g.normal(size=40) * 0.02 + 0.5, np.full(25, np.log(2.0)), g.normal(size=30) * 1e-4])
+    close = 100 * np.exp(np.cumsum(np.concatenate([[0.0], ret - 0.5])))
+    got = X.compute_features(frame(spark, close.tolist()), ["ret_skew_kurt_w"])
+    assert "skewness" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows, r = got.orderBy("ts").collect(), np.diff(np.log(close))
+    for w in (5, 10, 20):
+        assert rows[w - 1][f"ret_skew_{w}"] is None
+        for row in [x for x in rows if x.idx >= w and not 41 <= x.idx <= 65]:
+            d = r[row.idx - w : row.idx] - r[row.idx - w : row.idx].mean()
+            s = d.std(ddof=1)
+            np.testing.assert_allclose([row[f"ret_skew_{w}"], row[f"ret_kurt_{w}"]], [(d**3).mean() / s**3, (d**4).mean() / s**4 - 3], atol=1e-8)
+    still = X.compute_features(frame(spark, [100.0] * 30), ["ret_skew_kurt_w"]).orderBy("ts").collect()[-1]
+    assert still.ret_skew_20 == 0 and still.ret_kurt_20 == 0
