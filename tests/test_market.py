@@ -186,6 +186,63 @@ def test_covariance_covers_symbols_beyond_the_tenth(spark):
             assert got[a, b][0] == len(common) and abs(got[a, b][1] - want) < 1e-12
 
 
+def test_covariance_reads_returns_once_and_leaves_out_null_symbols(spark):
+    days = [DAY + dt.timedelta(days=i) for i in range(6)]
+    rows = [(s, d, float(np.sin(i * k))) for i, s in enumerate(["S1", None, "S2", "S3"], 1) for k, d in enumerate(days)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    f = spark.createDataFrame(rows, "symbol string, ts timestamp, ret double").mapInArrow(counted, "symbol string, ts timestamp, ret double")
+    got = C.covariance_pairs(f).orderBy("a", "b").collect()
+    assert read.value == len(rows)
+    assert [(x.a, x.b, x.n) for x in got] == [(a, b, 6) for a, b in [("S1", "S1"), ("S1", "S2"), ("S1", "S3"), ("S2", "S2"), ("S2", "S3"), ("S3", "S3")]]
+
+
+def test_covariance_tiles_and_slices_of_time_add_up(monkeypatch):
+    import pyarrow as pa
+
+    r, cells = np.random.default_rng(5), {}
+    for i in range(23):
+        for t in np.flatnonzero(r.random(40) < 0.3):
+            cells.setdefault(f"S{i:02}", {})[int(t)] = float(r.normal())
+    monkeypatch.setattr(C, "TILE", (5, 7))
+    monkeypatch.setattr(C, "SLICE", 6)
+    monkeypatch.setattr(C, "ROW", 2)
+    for half in (23, 11):  # one block with itself, then two blocks
+        block = lambda i: int(i >= half)  # noqa: B023, E731
+        rows = [{"x": 0, "y": block(22), "block": block(i), "symbol": s, "t": list(c), "ret": list(c.values())} for i, (s, c) in enumerate(sorted(cells.items()))]
+        got = {}
+        for b in C.covariance_tiles(iter([pa.RecordBatch.from_pylist(rows[:9]), pa.RecordBatch.from_pylist(rows[9:])])):
+            for x in b.to_pylist():
+                assert len(x["left"]) <= 2 and len(x["n"]) == len(x["cov"]) == len(x["left"]) * x["width"]
+                for k, (n, cov) in enumerate(zip(x["n"], x["cov"], strict=True)):
+                    pair = tuple(sorted((x["left"][k // x["width"]], x["right"][k % x["width"]])))
+                    assert n == 0 or pair not in got
+                    if n:
+                        got[pair] = n, cov
+        want = {}
+        for i, a in enumerate(sorted(cells)):
+            for j, b in enumerate(sorted(cells)):
+                common = sorted(cells[a].keys() & cells[b].keys())
+                if common and (i <= j if half == 23 else block(i) < block(j)):
+                    want[a, b] = len(common), np.cov([cells[a][t] for t in common], [cells[b][t] for t in common])[0, 1] if len(common) > 1 else None
+        assert got.keys() == want.keys()
+        for k, (n, cov) in want.items():
+            assert got[k][0] == n and (n == 1 or abs(got[k][1] - cov) < 1e-12)
+
+
+def test_rounded_off_is_rounding_half_away_from_zero(spark):
+    from barloom.plans.testbed import rounded_off
+
+    values = [0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, -0.2, 1e300, float("inf"), None, 0.1 + 0.2]
+    got = [x.v for x in rounded_off(spark.createDataFrame([(v,) for v in values], "v double"), digits=0, v=F.col("v")).collect()]
+    assert got == [1.0, -1.0, 2.0, 3.0, -3.0, 0.0, 0.0, 1e300, float("inf"), None, 0.0] and math.copysign(1, got[6]) == 1
+
+
 def test_verified_matrix_adjusts_splits_and_drops_bad_prints(spark):
     closes = [100.0 + i % 3 for i in range(60)]
     truth = list(closes)
