@@ -116,8 +116,8 @@ def matrix(spark, sf_dir):
 
 def matrix_rows(spark, sf_dir):
     """The matrix itself, every column of every row; ``feature_matrix`` sums five of its columns up."""
-    f = X.feature_matrix(bars(spark, sf_dir))
-    return f.select("symbol", ms(), *[(F.round(F.col(n), FEWER.get(k, DIGITS.get(k, 6))) + 0.0).alias(n) for k, names in X.families().items() for n in names])
+    f = X.feature_matrix(bars(spark, sf_dir), digits={n: FEWER.get(k, DIGITS.get(k, 6)) for k, names in X.families().items() for n in names})
+    return f.select("symbol", ms(), *[n for names in X.families().values() for n in names])
 
 
 QUERIES = {k: feature_query(k) for k in SQL} | {"feature_matrix": matrix, "feature_matrix_rows": matrix_rows}
