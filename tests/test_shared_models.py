@@ -68,3 +68,29 @@ def test_moments_of_returns_are_arithmetic_on_a_row(spark):
             np.testing.assert_allclose([row[f"ret_skew_{w}"], row[f"ret_kurt_{w}"]], [(d**3).mean() / s**3, (d**4).mean() / s**4 - 3], atol=1e-8)
     still = X.compute_features(frame(spark, [100.0] * 30), ["ret_skew_kurt_w"]).orderBy("ts").collect()[-1]
     assert still.ret_skew_20 == 0 and still.ret_kurt_20 == 0
+
+
+def shuffled(spark):
+    """Rows written to shuffles so far."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_a_series_of_one_block_sends_no_sums(spark):
+    from pyspark.sql import functions as F
+
+    from test_market import frame
+
+    from barloom.operators import ml as L
+    from barloom.operators.series import kept
+
+    b = frame(spark, [100.0 + i % 17 + i % 5 for i in range(200)], [1000.0 + i * 37 % 11 for i in range(200)])
+    f = kept(L.ml_frame(b, ["rsi_14", "hl_spread"], lookback=6).withColumns({"purge": F.lit(5), "gap": F.lit(0)}))
+    cut = sorted(R.predictions(f, 6, 40, 5, 4, 4, None, 0.95).collect())
+    before = shuffled(spark)
+    whole = sorted(R.predictions(f, 6, 40, 5, 128, 4, None, 0.95).collect())
+    assert shuffled(spark) - before <= 210  # the bars and a count, no sums
+    assert len(whole) == len(cut) > 20
+    assert all(x[:4] == y[:4] and abs(x.predicted_return - y.predicted_return) < 1e-9 for x, y in zip(whole, cut, strict=True))
