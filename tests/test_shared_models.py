@@ -94,3 +94,13 @@ def test_a_series_of_one_block_sends_no_sums(spark):
     assert shuffled(spark) - before <= 210  # the bars and a count, no sums
     assert len(whole) == len(cut) > 20
     assert all(x[:4] == y[:4] and abs(x.predicted_return - y.predicted_return) < 1e-9 for x, y in zip(whole, cut, strict=True))
+
+
+def test_runs_of_folds_are_tasks_of_their_own(spark, monkeypatch):
+    from test_market import frame
+
+    from barloom.operators import ml as L
+
+    monkeypatch.setattr(L, "TASK_BARS", 60)
+    d = L.fold_runs(frame(spark, [100.0 + i % 17 for i in range(600)]), 5, 1, 10, 100)
+    assert d.rdd.getNumPartitions() == 11
