@@ -104,3 +104,22 @@ def test_runs_of_folds_are_tasks_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(L, "TASK_BARS", 60)
     d = L.fold_runs(frame(spark, [100.0 + i % 17 for i in range(600)]), 5, 1, 10, 100)
     assert d.rdd.getNumPartitions() == 11
+
+
+def test_training_parts_of_folds_come_from_one_series(spark, monkeypatch):
+    from test_market import frame
+
+    from barloom.operators import ml as L
+
+    close = 100 * np.exp(np.cumsum(np.random.default_rng(2).normal(0, 0.02, 330)))
+    bars = frame(spark, close.tolist())
+    made, whole = [], L.walk_forward_ml
+    monkeypatch.setattr(L, "walk_forward_ml", lambda *a, **o: made.append(whole(*a, **o)) or made[-1])
+    options = {"lookback": 4, "minimum": 50, "features": 4}
+    digits = lambda row: [round(v, 9) if isinstance(v, float) else v for v in row]  # noqa: E731 # sums of rows in another order
+    found = lambda: [sorted(map(digits, d.collect())) for d in L.purged_kfold_ml(bars, ["rsi_14", "hl_spread"], **options)]
+    once = found()
+    assert len(made) == 2 and sum(d.count() for d in made) < 60
+    monkeypatch.setattr(L, "OF_WHOLE", {"rsi_14"})  # each part as a series of its own
+    alone = found()
+    assert made[2].count() > 80 and once == alone and len(once[0]) == 4
